@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import itertools
-import os
 import tempfile
-import unicodedata
 import uuid
 
 import numpy as np
@@ -143,11 +141,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end] for many ranges at once, by prefix sums of a polynomial."""
-    up, down = _powers(len(values) + 1)
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial over mixed values, modulo 2**64."""
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(mix(values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
+    np.cumsum(mix(values.astype(np.uint64) + np.uint64(1)) * _powers(len(values) + 1)[0][: len(values)], out=sums[1:])
+    return sums
+
+
+def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of values[start:end] for many ranges at once; sums: prefix_sums(values), if at hand."""
+    down = _powers(len(values) + 1)[1]
+    sums = prefix_sums(values) if sums is None else sums
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
@@ -168,15 +172,3 @@ def script_of(points: np.ndarray) -> np.ndarray:
     for lo, hi, script in script_ranges():
         out[(points >= lo) & (points <= hi)] = script
     return out
-
-
-def spawn_path(spark: SparkSession, folder: str) -> None:
-    """Lets Python workers of an already running session import this package from the same place."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if folder not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (folder, have) if x)
-
-
-def is_letter(c: str) -> bool:
-    return unicodedata.category(c).startswith("L")

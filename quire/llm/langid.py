@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,6 +154,19 @@ def _label(texts: list, model: Model, switch: float):
     return out
 
 
+def labeller(spark: SparkSession, model: Model, switch: float = SWITCH):
+    """A column function: text -> struct of lang_pred, score and spans."""
+    shared = spark.sparkContext.broadcast(model)  # fixed size: languages x BUCKETS floats
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = _label(texts.tolist(), shared.value, switch)
+        spans = [[{"start": s, "end": e, "lang": g} for s, e, g in x[2]] for x in found]
+        return pd.DataFrame({"lang_pred": pd.Series([x[0] for x in found], dtype=object), "score": pd.Series([x[1] for x in found], dtype=float), "spans": pd.Series(spans, dtype=object)})
+
+    small_batches(spark)
+    return F.pandas_udf(run, "lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:
     """One row per document: id, lang_pred, score, spans.
 
@@ -161,21 +175,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     without letters and an empty model give ``und``, 0 and no spans. Each row is judged alone: repeated rows get
     equal answers. Empty table: no rows. Only the id and the text are read.
     """
-    import pyarrow as pa
-
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # fixed size: languages x BUCKETS floats
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            found = _label(b.column(1).to_pylist(), shared.value, switch)
-            spans = [[{"start": s, "end": e, "lang": g} for s, e, g in x[2]] for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(spans, kind)], names=["id", "lang_pred", "score", "spans"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
+    label = labeller(docs.sparkSession, model, switch)
+    return docs.select(F.col(id_col).alias("id"), label(F.col(text_col)).alias("found")).select("id", "found.*")
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

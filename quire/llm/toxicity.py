@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -240,6 +241,38 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: i
     return model
 
 
+def _score(texts: list, m: Model) -> tuple[list[float], list[list[dict]]]:
+    scores: list[float] = []
+    spans: list[list[dict]] = []
+    for lo, hi in chunks_by_chars(texts):
+        w = Words([t or "" for t in texts[lo:hi]])
+        p = marginals(m.emissions(w), w.first, m.trans)
+        x = np.concatenate((_summary(p, w.first), np.ones((hi - lo, 1))), 1) @ m.calibration
+        scores += (1 / (1 + np.exp(-np.clip(x, -30, 30)))).tolist()
+        of: list[list] = [[] for _ in range(hi - lo)]
+        edge = np.diff(np.concatenate(([False], p >= 0.5, [False])).astype(np.int8))
+        for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+            while i < j:  # a run may pass the end of a text
+                d = int(w.doc[i])
+                e = min(j, int(w.first[d + 1]))
+                of[d].append({"start": int(w.start[i] - w.base[d]), "end": int(w.end[e - 1] - w.base[d]), "p": float(p[i:e].max())})
+                i = e
+        spans += of
+    return scores, spans
+
+
+def scorer(spark: SparkSession, model: Model):
+    """A column function: text -> struct of score and spans."""
+    shared = spark.sparkContext.broadcast(model)  # fixed size: BUCKETS floats
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        scores, spans = _score(texts.tolist(), shared.value)
+        return pd.DataFrame({"score": pd.Series(scores, dtype=float), "spans": pd.Series(spans, dtype=object)})
+
+    small_batches(spark)
+    return F.pandas_udf(run, "score double, spans array<struct<start:long,end:long,p:double>>")
+
+
 def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, score, spans.
 
@@ -248,36 +281,8 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     without letters get the score of a text without a toxic word, and no spans. Each row is judged alone. Empty
     table: no rows. Only the id and the text are read.
     """
-    import pyarrow as pa
-
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # fixed size: BUCKETS floats
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        m = shared.value
-        for b in batches:
-            texts, scores, spans = b.column(1).to_pylist(), [], []
-            for lo, hi in chunks_by_chars(texts):
-                w = Words([t or "" for t in texts[lo:hi]])
-                p = marginals(m.emissions(w), w.first, m.trans)
-                x = np.concatenate((_summary(p, w.first), np.ones((hi - lo, 1))), 1) @ m.calibration
-                scores += (1 / (1 + np.exp(-np.clip(x, -30, 30)))).tolist()
-                of: list[list] = [[] for _ in range(hi - lo)]
-                on = np.concatenate(([False], p >= 0.5, [False]))
-                edge = np.diff(on.astype(np.int8))
-                for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-                    while i < j:  # a run may pass the end of a text
-                        d = int(w.doc[i])
-                        e = min(j, int(w.first[d + 1]))
-                        of[d].append({"start": int(w.start[i] - w.base[d]), "end": int(w.end[e - 1] - w.base[d]), "p": float(p[i:e].max())})
-                        i = e
-                spans += of
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["id", "score", "spans"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, score double, spans array<struct<start:long,end:long,p:double>>")
+    score = scorer(docs.sparkSession, model)
+    return docs.select(F.col(id_col).alias("id"), score(F.col(text_col)).alias("found")).select("id", "found.*")
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ EVIDENCE, PURITY = 24.0, 0.9
 PREFIXES = (3, 4, 5)
 #: Words on each side of a tagged word that belong to its training sequence.
 CONTEXT = 6
+#: Words added to a text's length in the share of toxic words, so that a few words alone don't make a high one.
+PAD = 50
 #: Training sequences at most.
 SEQUENCES = 40_000
 
@@ -125,26 +128,29 @@ def _fit_crf(seqs: list[tuple[np.ndarray, np.ndarray]], rounds: int = 30) -> tup
 
 
 def _summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(texts, 2): the largest marginal as a clipped log-odds, and the log of one plus the expected toxic words."""
-    out = np.zeros((len(first) - 1, 2))
+    """(texts, 3): the largest marginal as a clipped log-odds; logs of the expected toxic words, plus one, and of their share."""
+    out = np.zeros((len(first) - 1, 3))
     out[:, 0] = -12
+    out[:, 2] = -8
     some = np.flatnonzero(np.diff(first))
     if len(some):
         top = np.maximum.reduceat(p, first[some])
         out[some, 0] = np.log(np.clip(top, 6e-6, 1 - 6e-6) / (1 - np.clip(top, 6e-6, 1 - 6e-6)))
-        out[some, 1] = np.log1p(np.add.reduceat(p, first[some]))
+        total = np.add.reduceat(p, first[some])
+        out[some, 1] = np.log1p(total)
+        out[some, 2] = np.log(np.clip(total / (np.diff(first)[some] + PAD), math.exp(-8), 1))
     return out
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps with a ridge; classes weigh the same."""
+def _calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Logistic regression by Newton steps with a ridge, with the sample's weights w."""
     a = np.concatenate((x, np.ones((len(x), 1))), 1)
-    w = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    w = w / w.sum()
     c = np.zeros(a.shape[1])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(a @ c, -30, 30)))
-        h = (a * (w * p * (1 - p))[:, None]).T @ a + 1e-4 * np.eye(len(c))
-        c = c + np.linalg.solve(h, a.T @ (w * (y - p)) - 1e-4 * c)
+        h = (a * (w * p * (1 - p))[:, None]).T @ a + 1e-5 * np.eye(len(c))
+        c = c + np.linalg.solve(h, a.T @ (w * (y - p)) - 1e-5 * c)
     return c
 
 
@@ -159,7 +165,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: i
     small_batches(spark)
     known = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
     counts = {int(r[0]): r[1] for r in known.groupBy(label_col).count().collect()}
-    none = Model(np.zeros(BUCKETS, np.float32), -10.0, np.zeros((2, 2)), np.array([0.0, 0.0, -5.0 if not counts.get(1) else 5.0]))
+    none = Model(np.zeros(BUCKETS, np.float32), -10.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, -5.0 if not counts.get(1) else 5.0]))
     if not counts.get(0) or not counts.get(1):
         return none
     share = F.when(F.col(label_col) == 1, rows / counts[1]).otherwise(2 * rows / counts[0])
@@ -206,14 +212,15 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: i
                 if not len(w.start):
                     continue
                 f = features(w)
-                hit = np.isin(f, marks).any(1) & (labels[lo:hi][w.doc] == 1)
+                near = np.isin(f, marks).any(1)
+                hit = near & (labels[lo:hi][w.doc] == 1)
                 small = (f & np.uint64(BUCKETS - 1)).astype(np.int32)
                 for d in range(hi - lo):
                     a, e = int(w.first[d]), int(w.first[d + 1])
                     if a == e:
                         continue
-                    tagged = (np.flatnonzero(hit[a:e]) + a).tolist()
-                    for c in tagged[:8] if tagged else [(a * 31 + e) % (e - a) + a]:
+                    spots = (np.flatnonzero(near[a:e]) + a).tolist()  # of a clean text too: they teach what isn't toxic
+                    for c in [*spots[:8], (a * 31 + e) % (e - a) + a]:
                         x, z = max(a, c - CONTEXT), min(e, c + CONTEXT + 1)
                         rows.append((small[x:z].tobytes(), hit[x:z].astype(np.int8).tobytes()))
             if rows:
@@ -222,7 +229,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: i
     width = 1 + len(PREFIXES)
     got = sample.mapInArrow(cut, "f binary, y binary").orderBy(F.xxhash64("f", "y"), "f", "y").limit(SEQUENCES).collect()
     seqs = [(np.frombuffer(r.f, np.int32).reshape(-1, width).astype(np.int64), np.frombuffer(r.y, np.int8).astype(np.int64)) for r in got]
-    model = Model(*_fit_crf(seqs), np.zeros(3))
+    model = Model(*_fit_crf(seqs), np.zeros(4))
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches):
@@ -233,11 +240,12 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: i
             for lo, hi in chunks_by_chars(texts):
                 w = Words(texts[lo:hi])
                 parts.append(_summary(marginals(shared.value.emissions(w), w.first, shared.value.trans), w.first))
-            x = np.concatenate(parts) if parts else np.zeros((0, 2))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["y", "top", "sum"])
+            x = np.concatenate(parts) if parts else np.zeros((0, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, i]) for i in range(3))], names=["y", "top", "sum", "share"])
 
-    seen = sample.mapInArrow(score, "y int, top double, sum double").toPandas()
-    model.calibration = _calibrate(seen[["top", "sum"]].to_numpy(float), seen.y.to_numpy())
+    seen = sample.mapInArrow(score, "y int, top double, sum double, share double").toPandas()
+    weight = np.where(seen.y == 1, max(1.0, counts[1] / rows), max(1.0, counts[0] / (2 * rows)))  # back to the rates before sampling
+    model.calibration = _calibrate(seen[["top", "sum", "share"]].to_numpy(float), seen.y.to_numpy(), weight)
     return model
 
 

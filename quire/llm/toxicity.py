@@ -165,7 +165,7 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: i
     small_batches(spark)
     known = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
     counts = {int(r[0]): r[1] for r in known.groupBy(label_col).count().collect()}
-    none = Model(np.zeros(BUCKETS, np.float32), -10.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, -5.0 if not counts.get(1) else 5.0]))
+    none = Model(np.zeros(BUCKETS, np.float32), -10.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, math.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))]))  # the rate of the label, for every text
     if not counts.get(0) or not counts.get(1):
         return none
     share = F.when(F.col(label_col) == 1, rows / counts[1]).otherwise(2 * rows / counts[0])

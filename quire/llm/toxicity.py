@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Words, bucket_of, chunks_by_chars, range_hashes, small_batches
+from quire.llm.common import Spool, Words, bucket_of, chunks_by_chars, range_hashes, small_batches
 
 #: Labelled rows of each class that are used for fitting, at most about.
 TRAIN_ROWS = 6000
@@ -154,23 +154,28 @@ def _calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return c
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = TRAIN_ROWS) -> Model:
-    """Fits on a hash sample of about ``rows`` labelled rows of each class (all, if fewer).
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fits on a hash sample of about ``rows`` labelled rows of each class (twice that of the clean), or all, if fewer.
+
+    The sample is drawn from the labels, so only its ids, at most about 3 * rows, meet the texts (as a broadcast),
+    and its texts are written to the shared folder once. An id with labels that disagree is left out.
 
     The labels are of documents. A first pass counts, for each token feature, the documents of either class that
     hold it; features of which an unlikely share is toxic tag their tokens. A second pass cuts training sequences
-    around tagged tokens, and elsewhere, for the random field. A third scores the sample for the calibration.
+    around such tokens, of clean documents too, for the random field. A third scores the sample for calibration.
     """
-    spark = labelled.sparkSession
+    spark = docs.sparkSession
     small_batches(spark)
-    known = labelled.filter(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1))
-    counts = {int(r[0]): r[1] for r in known.groupBy(label_col).count().collect()}
+    agreed = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("z")).filter("y = z").select("id", "y")
+    counts = {int(r[0]): r[1] for r in agreed.groupBy("y").count().collect()}
     none = Model(np.zeros(BUCKETS, np.float32), -10.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, math.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))]))  # the rate of the label, for every text
     if not counts.get(0) or not counts.get(1):
         return none
-    share = F.when(F.col(label_col) == 1, rows / counts[1]).otherwise(2 * rows / counts[0])
-    draw = F.pmod(F.xxhash64(id_col, F.lit(10)), F.lit(1_000_000)) / 1e6
-    sample = known.filter(draw < share).select(F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("text"))
+    share = F.when(F.col("y") == 1, rows / counts[1]).otherwise(2 * rows / counts[0])
+    draw = F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1_000_000)) / 1e6
+    chosen = F.broadcast(agreed.filter(draw < share))  # about 3 * rows ids at most
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    sample = Spool(spark, "labelled").put(texts.join(chosen, "id").select("y", "text"))
 
     def tally(batches):
         import pyarrow as pa
@@ -293,19 +298,10 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).alias("id"), score(F.col(text_col)).alias("found")).select("id", "found.*")
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with their toxic label, of the documents outside the held-out fifth.
-
-    A repeated label is one if it agrees and none if it doesn't.
-    """
-    y = labels.filter(F.col("toxic").isin(0, 1) & (bucket_of(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("z")).filter("y = z")
-    return docs.select("doc_id", "text").join(y.select("doc_id", "y"), "doc_id")
-
-
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.common import table
 
     docs = table(spark, sf_dir, "documents")
-    model = fit(labelled(docs, table(spark, sf_dir, "labels")), "doc_id", "text", "y")
+    model = fit(docs, table(spark, sf_dir, "labels").filter(bucket_of(F.col("doc_id"), 5) != 0))
     out = detect(docs, model)
     return out.select(F.col("id").alias("doc_id"), (bucket_of(F.col("id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))

@@ -2,5 +2,215 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quire.functions import text as X
+from quire.operators import headings as H
+from quire.operators import jobs as J
+from quire.operators import notes as N
+from quire.operators import outline as O
+from quire.sources.corpora import CORPORA, corpus
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def longs(df: DataFrame) -> DataFrame:
+    """Integers as longs, so that both engines agree on types."""
+    return df.select(*[F.col(f.name).cast("long").alias(f.name) if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)) else F.col(f.name) for f in df.schema])
+
+
+def query(name: str, source: str | tuple[str, ...], sql: str | None = None):
+    """Registers a function of the named corpora (or tables, in capitals) as a query; sql: of the same result in DuckDB, after a WITH clause that defines the corpora."""
+    names = (source,) if isinstance(source, str) else source
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            got = [corpus(spark, sf_dir, n) if n in CORPORA else spark.read.parquet(f"{sf_dir}/{n.lower()}.parquet") for n in names]
+            return longs(f(*got))
+
+        QUERIES[name] = run
+        if sql:
+            parts = [f"{n if n != names[0] or not n.endswith('_md') else 'lines'} AS ({CORPORA[n]})" for n in names if n in CORPORA]
+            ORACLE_SQL[name] = ("WITH " + ",\n".join(parts) + (",\n" if sql.lstrip().startswith("--with") and parts else "\n") if parts else "WITH " if sql.lstrip().startswith("--with") else "") + sql.replace("--with", "", 1)
+        return f
+
+    return add
+
+
+# DuckDB fragments: fences, headings.
+FENCES = r"""--with f AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS isf FROM lines),
+m AS (SELECT *, isf OR (sum(CASE WHEN isf THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no)) % 2 = 1 AS masked FROM f)"""
+ATX = r"'^(#{1,9})[ \t]+(.+?)(?:[ \t]+#+)?[ \t]*$'"
+HEADS = (
+    FENCES
+    + rf""",
+h0 AS (SELECT *, CASE WHEN masked THEN 0 ELSE length(regexp_extract(line, {ATX}, 1)) END AS hashes, regexp_extract(line, {ATX}, 2) AS title,
+    CASE WHEN masked THEN '' ELSE regexp_extract(line, '(?i)^\s*<!--\s*heading-level:\s*([7-9])\s*-->\s*$', 1) END AS meta FROM m),
+h1 AS (SELECT *, coalesce(lead(hashes) OVER w, 0) AS nh, lead(title) OVER w AS nt, coalesce(lag(meta) OVER w, '') AS pm FROM h0 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+headings AS (SELECT doc_id, line_no + 1 AS line_no, line_no AS start_line_no, meta::INT AS level, nt AS text, nh AS md_level FROM h1 WHERE meta <> '' AND nh BETWEEN 1 AND 6
+    UNION ALL SELECT doc_id, line_no, line_no, hashes, title, least(hashes, 6) FROM h1 WHERE hashes > 0 AND NOT (pm <> '' AND hashes <= 6))"""
+)
+SER = "CASE WHEN level <= 6 THEN repeat('#', level::INT) || ' ' || text ELSE '<!-- heading-level: ' || level::VARCHAR || ' -->' || chr(10) || '###### ' || text END"
+REFS = r"""--with f AS (SELECT *, regexp_matches(line, '^\s*```') AS isf FROM lines),
+m AS (SELECT *, isf OR (sum(CASE WHEN isf THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no)) % 2 = 1 AS masked FROM f),
+r0 AS (SELECT doc_id, line_no, regexp_extract_all(line, '\[\^(\d+)\]', 1) AS ns FROM m WHERE NOT masked AND NOT regexp_matches(line, '^\s*\[\^(\d+)\]:')),
+refs AS (SELECT doc_id, line_no, (s - 1)::BIGINT AS seq, ns[s]::INT AS n FROM r0, unnest(range(1, len(ns) + 1)) t(s)),
+defs AS (SELECT doc_id, line_no, 0::BIGINT AS seq, regexp_extract(line, '^\s*\[\^(\d+)\]:', 1)::INT AS n FROM lines WHERE regexp_matches(line, '^\s*\[\^(\d+)\]:')),
+rz AS (SELECT *, CASE WHEN coalesce(n < lag(n) OVER (PARTITION BY doc_id ORDER BY line_no, seq), TRUE) THEN 1 ELSE 0 END AS z FROM refs),
+dz AS (SELECT *, CASE WHEN coalesce(n < lag(n) OVER (PARTITION BY doc_id ORDER BY line_no, seq), TRUE) THEN 1 ELSE 0 END AS z FROM defs),
+rg AS (SELECT doc_id, line_no, seq, n, (sum(z) OVER (PARTITION BY doc_id ORDER BY line_no, seq))::BIGINT AS g FROM rz),
+dg AS (SELECT doc_id, line_no, seq, n, (sum(z) OVER (PARTITION BY doc_id ORDER BY line_no, seq))::BIGINT AS g FROM dz)"""
+NORM = r"""trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({0}), '\*\*', '', 'g'), '(?i)\s*\([ivxlcdm\d\s,–-]+\)\s*$', ''), '(?i)\s*[—–-]\s*(?:p\.?\s*)?[ivxlcdm\d]+\s*$', ''), '^\d+(\.\d+)*\.?\s+', ''), '^[A-Z]\.?\s+', ''), '\s+', ' ', 'g')))"""
+PAGES = [r"(?i)\s*\(\s*(?:p\.?\s*)?([ivxlcdm]+|\d+)\s*\)\s*$", r"(?i)\s+[—–-]\s*(?:p\.?\s*)?([ivxlcdm]+|\d+)\s*$", r"(?i),\s*(?:p\.?\s*)?([ivxlcdm]+|\d+)\s*$", r"(?i)\.{3,}\s*([ivxlcdm]+|\d+)\s*$", r"(?i)\s{2,}([ivxlcdm]+|\d+)\s*$"]
+PAGE_OF = "coalesce(" + ", ".join(f"nullif(lower(regexp_extract(raw, '{p}', 1)), '')" for p in PAGES) + ")"
+CUT = "trim(CASE " + " ".join(f"WHEN regexp_matches(raw, '{p}') THEN regexp_replace(raw, '{p}', '')" for p in PAGES) + " ELSE raw END)"
+OUTLINE = (
+    HEADS
+    + rf""",
+e0 AS (SELECT doc_id, 0 AS src, line_no, level, text AS raw FROM headings
+    UNION ALL SELECT doc_id, 1, line_no, least(9, floor(length(regexp_extract(line, '^(\s*)[*-]\s+(.+)$', 1)) / 2) + 1)::INT, regexp_extract(line, '^(\s*)[*-]\s+(.+)$', 2) FROM lines WHERE regexp_matches(line, '^(\s*)[*-]\s+(.+)$')),
+e1 AS (SELECT doc_id, src, line_no, level, {CUT} AS text, {PAGE_OF} AS page FROM e0),
+entries AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY src, line_no) - 1 AS entry_no, level, text, {NORM.format("text")} AS norm, page FROM e1 WHERE text <> '')"""
+)
+
+# Lines and headings.
+query("split_lines", "DOCUMENTS", r"SELECT doc_id, s - 1 AS line_no, string_split(text, chr(10))[s] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(s)")(H.split_lines)
+query("fence_mask", "deep_md", FENCES + " SELECT doc_id, line_no::BIGINT AS line_no, masked FROM m")(lambda d: H.mark_fences(d).select("doc_id", "line_no", "masked"))
+query("collect_headings", "deep_md", HEADS + " SELECT doc_id, line_no::BIGINT AS line_no, start_line_no::BIGINT AS start_line_no, level::BIGINT AS level, text, md_level::BIGINT AS md_level FROM headings")(H.collect_headings)
+query("heading_levels", "deep_md", HEADS + " SELECT level::BIGINT AS level, count(*) AS n FROM headings GROUP BY 1")(lambda d: H.collect_headings(d).groupBy("level").agg(F.count("*").alias("n")))
+query("structural_report", "deep_md", HEADS + ", j AS (SELECT *, level > lag(level) OVER (PARTITION BY doc_id ORDER BY line_no) + 1 AS jump FROM headings) SELECT doc_id, count(*) AS headings, count(*) FILTER (jump) AS jumps, max(level)::BIGINT AS deepest FROM j GROUP BY 1")(lambda d: H.structural_report(H.collect_headings(d)))
+query(
+    "normalize_syntax",
+    "deep_md",
+    HEADS
+    + """, o AS (SELECT doc_id, line_no, 0 AS sub, CASE WHEN meta <> '' AND nh > 0 THEN '<!-- heading-level: ' || meta || ' -->' WHEN hashes > 6 THEN '<!-- heading-level: ' || hashes::VARCHAR || ' -->' ELSE line END AS line FROM h1 WHERE NOT (pm <> '' AND hashes > 0)
+    UNION ALL SELECT doc_id, line_no, 1, '###### ' || CASE WHEN meta <> '' THEN nt ELSE title END FROM h1 WHERE NOT (pm <> '' AND hashes > 0) AND ((meta <> '' AND nh > 0) OR hashes > 6))
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, sub) - 1 AS line_no, line FROM o""",
+)(H.normalize_syntax)
+query("trailing_headings", "chat_md", HEADS + f", b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS back FROM headings) SELECT doc_id, string_agg({SER}, chr(10) ORDER BY line_no) AS context FROM b WHERE back <= 5 GROUP BY 1")(lambda d: H.trailing_headings(H.collect_headings(d)))
+query("page_of_line", "book_md", r" SELECT doc_id, line_no::BIGINT AS line_no, last_value(nullif(regexp_extract(line, '(?i)^\s*<!--\s*page:\s*(\S+)\s*-->', 1), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS page FROM lines")(lambda d: H.carry_pages(d).select("doc_id", "line_no", "page"))
+query(
+    "sections",
+    "book_md",
+    HEADS
+    + """, s AS (SELECT l.doc_id, l.line_no, l.line, count(h.line_no) OVER w AS section_no, h.level, h.text, last_value(h.line_no IGNORE NULLS) OVER w AS upto FROM lines l LEFT JOIN headings h ON l.doc_id = h.doc_id AND l.line_no = h.start_line_no WINDOW w AS (PARTITION BY l.doc_id ORDER BY l.line_no)),
+    g AS (SELECT doc_id, section_no, coalesce(max(level), 0)::BIGINT AS level, max(text) AS heading, coalesce(regexp_replace(string_agg(line, chr(10) ORDER BY line_no) FILTER (line_no > coalesce(upto, -1)), '^\\s+|\\s+$', '', 'g'), '') AS content FROM s GROUP BY 1, 2)
+    SELECT * FROM g WHERE section_no > 0 OR content <> ''""",
+)(H.sections)
+query(
+    "chunk_offsets",
+    "book_md",
+    HEADS
+    + r""", c AS (SELECT l.doc_id, l.line_no, h.line_no AS hl, (sum(CASE WHEN regexp_matches(line, '(?i)^\s*<!--\s*page:\s*(\S+)\s*-->') THEN 1 ELSE 0 END) OVER (PARTITION BY l.doc_id ORDER BY l.line_no))::BIGINT AS chunk_no FROM lines l LEFT JOIN headings h ON l.doc_id = h.doc_id AND l.line_no = h.start_line_no),
+    p AS (SELECT doc_id, chunk_no, min(line_no)::BIGINT AS first_line, count(hl) AS n FROM c GROUP BY 1, 2)
+    SELECT doc_id, chunk_no, first_line, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS heading_offset FROM p""",
+)(H.chunk_offsets)
+
+# Whole texts.
+query("word_count", "DOCUMENTS", r"SELECT doc_id, len(regexp_split_to_array(text, '\s+')) AS words FROM documents")(lambda d: d.select("doc_id", X.word_count("text").alias("words")))
+query("find_count", "DOCUMENTS", "SELECT doc_id, len(regexp_extract_all(text, '(?i)the')) AS hits FROM documents")(lambda d: d.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(?i)\Qthe\E"), F.lit(0))).alias("hits")))
+query("collapse_blanks", "deep_md", r" SELECT doc_id, regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM lines GROUP BY 1")(lambda d: H.join_lines(d).select("doc_id", X.collapse_blanks(F.col("text")).alias("text")))
+query("strip_fences", "deep_md", r" SELECT doc_id, regexp_replace(regexp_replace(regexp_replace('```md' || chr(10) || string_agg(line, chr(10) ORDER BY line_no) || chr(10) || '```', '^\s+|\s+$', '', 'g'), '(?i)^```(?:markdown|md)?[ \t]*\n', ''), '\n```\s*$', '') AS text FROM lines GROUP BY 1")(
+    lambda d: H.join_lines(d).select("doc_id", X.strip_code_fence(F.concat(F.lit("```md\n"), F.col("text"), F.lit("\n```"))).alias("text"))
+)
+query("fix_artifacts", "deep_md", r" SELECT doc_id, line_no::BIGINT AS line_no, regexp_replace(line, '^(#{1,9})\s+#{1,9}\s+(.+)$', '\1 \2') AS line FROM lines")(lambda d: d.select("doc_id", "line_no", X.single_marker(F.col("line")).alias("line")))
+query(
+    "doc_stats",
+    "book_md",
+    HEADS
+    + r""", c AS (SELECT doc_id, count(*) FILTER (regexp_matches(line, '(?i)^\s*<!--\s*page:\s*(\S+)\s*-->')) AS pages, count(*) FILTER (regexp_matches(line, '^\s*\|')) AS table_lines, sum(len(regexp_extract_all(line, '\[\^\w+\]')))::BIGINT AS note_marks FROM lines GROUP BY 1)
+    SELECT c.*, coalesce(h.n, 0) AS headings FROM c LEFT JOIN (SELECT doc_id, count(*) AS n FROM headings GROUP BY 1) h USING (doc_id)""",
+)(
+    lambda d: d.groupBy("doc_id")
+    .agg(F.count_if(F.col("line").rlike(X.PAGE)).alias("pages"), F.count_if(F.col("line").rlike(r"^\s*\|")).alias("table_lines"), F.sum(F.size(F.regexp_extract_all("line", F.lit(r"\[\^\w+\]"), F.lit(0)))).alias("note_marks"))
+    .join(H.collect_headings(d).groupBy("doc_id").agg(F.count("*").alias("headings")), "doc_id", "left")
+    .withColumn("headings", F.coalesce("headings", F.lit(0)))
+)
+
+# Notes.
+query("note_refs", "book_md", REFS + " SELECT doc_id, line_no::BIGINT AS line_no, seq, n::BIGINT AS n FROM refs")(N.note_refs)
+query("note_defs", "book_md", REFS + " SELECT doc_id, line_no::BIGINT AS line_no, n::BIGINT AS n FROM defs")(lambda d: N.note_defs(d).drop("seq"))
+query("note_groups", "book_md", REFS + " SELECT doc_id, line_no::BIGINT AS line_no, seq, n::BIGINT AS n, g FROM rg")(lambda d: N.grouped(N.note_refs(d)))
+query("numbering", "book_md", REFS + " SELECT doc_id, count(*) AS defs, max(g) AS groups, CASE WHEN max(g) > 1 THEN 'per-chapter' ELSE 'continuous' END AS numbering FROM dg GROUP BY 1")(N.numbering)
+GAPS = (
+    REFS
+    + """, same AS (SELECT doc_id FROM (SELECT doc_id, max(g) AS k FROM rg GROUP BY 1) JOIN (SELECT doc_id, max(g) AS k FROM dg GROUP BY 1) USING (doc_id, k)),
+    r AS (SELECT * FROM rg WHERE doc_id IN (FROM same)), d AS (SELECT * FROM dg WHERE doc_id IN (FROM same)),
+    t AS (SELECT doc_id, g, max(n) AS hi, least(min(n), (SELECT min(r.n) FROM r WHERE r.doc_id = d.doc_id AND r.g = d.g)) AS lo FROM d GROUP BY doc_id, g),
+    run AS (SELECT doc_id, g, unnest(range({lo}, hi + 1))::INT AS n FROM t),
+    gr AS (SELECT doc_id, g, n, 'ref' AS kind FROM run ANTI JOIN r USING (doc_id, g, n)), gd AS (SELECT doc_id, g, n, 'def' AS kind FROM run ANTI JOIN d USING (doc_id, g, n))
+    SELECT gr.doc_id, gr.g, gr.n::BIGINT AS n, kind, coalesce(arg_min(r.line_no, (r.line_no, r.seq)) FILTER (r.n > gr.n), max(r.line_no))::BIGINT AS line_no FROM gr JOIN r ON gr.doc_id = r.doc_id AND gr.g = r.g GROUP BY 1, 2, 3, 4
+    UNION ALL SELECT gd.doc_id, gd.g, gd.n::BIGINT, kind, coalesce(min(d.line_no) FILTER (d.n > gd.n), max(d.line_no))::BIGINT FROM gd JOIN d ON gd.doc_id = d.doc_id AND gd.g = d.g GROUP BY 1, 2, 3, 4"""
+)
+query("gap_fill", "book_md", GAPS.replace("{lo}", "1"))(lambda d: N.gap_fill(d, True))
+query("gap_fill_continuous", "book_md", GAPS.replace("{lo}", "lo"))(lambda d: N.gap_fill(d, False))
+query(
+    "reconcile_notes",
+    "book_md",
+    REFS
+    + """, a AS (SELECT doc_id, g, n, min(line_no) AS def_line FROM dg GROUP BY 1, 2, 3), b AS (SELECT doc_id, g, n, min(line_no) AS ref_line FROM rg GROUP BY 1, 2, 3)
+    SELECT doc_id, g, n::BIGINT AS n, def_line::BIGINT AS def_line, coalesce(ref_line, -1)::BIGINT AS ref_line, 'e' || (row_number() OVER (PARTITION BY doc_id ORDER BY def_line, n))::VARCHAR AS label FROM a LEFT JOIN b USING (doc_id, g, n)""",
+)(lambda d: N.reconcile(d).withColumn("ref_line", F.coalesce("ref_line", F.lit(-1))))
+query("repeat_refs", "book_md", REFS + " SELECT doc_id, line_no::BIGINT AS line_no, seq, n::BIGINT AS n, row_number() OVER (PARTITION BY doc_id, n ORDER BY line_no, seq) = 1 AS live FROM refs")(N.repeat_refs)
+query(
+    "note_pages",
+    "book_md",
+    r"""--with p AS (SELECT doc_id, line_no, regexp_extract(line, '^\[\^(\w+)\]:', 1) AS label, last_value(nullif(regexp_extract(line, '(?i)^\s*<!--\s*page:\s*(\S+)\s*-->', 1), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS page FROM lines)
+    SELECT doc_id, label, arg_min(page, line_no) AS page FROM p WHERE label <> '' AND page IS NOT NULL GROUP BY 1, 2""",
+)(N.note_pages)
+query("strip_placeholders", "book_md", r" SELECT doc_id, line_no::BIGINT AS line_no, line FROM lines WHERE NOT regexp_matches(line, '(?i)^\s*\[\^\w+\]:\s*\[\s*(?:end|foot)?note\s*\d*\s*\]\s*$')")(N.without_placeholders)
+query("rename_labels", "book_md", r"""--with b AS (SELECT DISTINCT doc_id, line_no // 20 AS batch_no, regexp_extract(line, '^\s*\[\^(\d+)\]:', 1) AS label FROM lines WHERE regexp_matches(line, '^\s*\[\^(\d+)\]:')), k AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, label ORDER BY batch_no) AS k FROM b) SELECT doc_id, batch_no::BIGINT AS batch_no, label, CASE WHEN k = 1 THEN label ELSE label || '_' || k::VARCHAR END AS new_label FROM k""")(
+    lambda d: N.rename_labels(N.note_defs(d).select("doc_id", F.floor(F.col("line_no") / 20).alias("batch_no"), F.col("n").cast("string").alias("label")).distinct())
+)
+query(
+    "merge_continuations",
+    "book_md",
+    r"""--with b AS (SELECT doc_id, line_no, line, regexp_matches(line, '^\s*\[\^\w+\]:') AS note, regexp_matches(line, '^\s*(\[\^\w+\]:|#{1,9}\s|<!--|```|~~~|---)') AS bound FROM lines),
+    c AS (SELECT *, last_value(CASE WHEN bound THEN line_no END IGNORE NULLS) OVER w AS head, last_value(CASE WHEN bound THEN note END IGNORE NULLS) OVER w AS on_note FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+    SELECT doc_id, head::BIGINT AS def_line, string_agg(trim(line), ' ' ORDER BY line_no) AS text FROM c WHERE on_note AND trim(line) <> '' GROUP BY 1, 2""",
+)(N.merge_continuations)
+
+# Outlines.
+query("parse_outline", "outline_md", OUTLINE + " SELECT doc_id, entry_no, level::BIGINT AS level, text, norm, page FROM entries")(O.parse_outline)
+BOOK_AND_OUTLINE = OUTLINE + ", bh AS (SELECT doc_id, line_no, regexp_extract(line, '^(#+) (.*)$', 2) AS text, length(regexp_extract(line, '^(#+) (.*)$', 1)) AS level FROM book_md WHERE line LIKE '#%'), bn AS (SELECT *, " + NORM.format("text") + " AS norm FROM bh)"
+query("remap_levels", ("outline_md", "book_md"), BOOK_AND_OUTLINE + ", fe AS (SELECT doc_id, norm, arg_min(level, entry_no) AS ol FROM entries GROUP BY 1, 2) SELECT doc_id, line_no::BIGINT AS line_no, coalesce(ol, level)::BIGINT AS new_level FROM bn LEFT JOIN fe USING (doc_id, norm)")(
+    lambda o, b: O.remap_levels(H.collect_headings(b), O.parse_outline(o)).select("doc_id", "line_no", "new_level")
+)
+query("outline_guard_semi", ("outline_md", "book_md"), BOOK_AND_OUTLINE + " SELECT doc_id, line_no::BIGINT AS line_no, norm FROM bn SEMI JOIN entries USING (doc_id, norm)")(lambda o, b: O.in_outline(H.collect_headings(b), O.parse_outline(o)).select("doc_id", "line_no", "norm"))
+query("missing_titles_anti", ("outline_md", "book_md"), BOOK_AND_OUTLINE + " SELECT doc_id, entry_no, norm FROM entries ANTI JOIN bn USING (doc_id, norm)")(lambda o, b: O.missing_titles(H.collect_headings(b), O.parse_outline(o)).select("doc_id", "entry_no", "norm"))
+
+# Jobs, log, history, models.
+query("log_groups", "joblog", " SELECT job_id, arg_min(file_name, (ts, id)) AS file_name, count(*) AS entries, max(ts) AS latest, bool_or(level IN ('warn', 'error')) AS has_issue FROM joblog GROUP BY 1")(J.log_groups)
+query("log_filter", "joblog", " SELECT id, level, message FROM joblog WHERE (contains(lower(file_name), '-3') OR contains(lower(message), '-3')) AND level IN ('warn', 'error')")(lambda d: J.log_filter(d, "-3", "issues").select("id", "level", "message"))
+query("log_newest_500", "joblog", " SELECT id, ts FROM joblog ORDER BY ts DESC, id DESC LIMIT 500")(lambda d: J.newest_log(d).select("id", "ts"))
+query("log_counts", "joblog", " SELECT level, count(*) AS n FROM joblog GROUP BY 1")(lambda d: d.groupBy("level").agg(F.count("*").alias("n")))
+KEY = "concat_ws('::', source_path, nullif(language, ''))"
+query("history_upsert", "history", f" SELECT id, file_name, converted_at FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY (id::BIGINT % 4 = 0) DESC, converted_at DESC, id DESC) AS rn FROM history) WHERE rn = 1")(
+    lambda d: J.upsert_history(d.filter("cast(id as bigint) % 4 <> 0"), d.filter("cast(id as bigint) % 4 = 0")).select("id", "file_name", "converted_at")
+)
+query("history_insert_absent", "history", f" SELECT id FROM history WHERE id::BIGINT % 2 = 0 UNION ALL SELECT id FROM history WHERE id::BIGINT % 2 = 1 AND {KEY} NOT IN (SELECT {KEY} FROM history WHERE id::BIGINT % 2 = 0)")(
+    lambda d: J.insert_absent(d.filter("cast(id as bigint) % 2 = 0"), d.filter("cast(id as bigint) % 2 = 1")).select("id")
+)
+query("history_search", "history", " SELECT id FROM history WHERE contains(lower(file_name), 'file 12')")(lambda d: J.search_history(d, "File 12").select("id"))
+Q = "'\"' || replace(coalesce({0}, ''), '\"', '\"\"') || '\"'"
+query("history_csv", "history", " SELECT id, " + " || ',' || ".join(Q.format(c) for c in ("file_name", "source_path", "language", "total_pages::VARCHAR", "strftime(converted_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'", "floor(duration_ms / 1000 + 0.5)::BIGINT::VARCHAR")) + " AS line FROM history")(J.history_csv)
+query("model_topk", "models", " SELECT id, context_length FROM models WHERE is_free ORDER BY coalesce(context_length, 0) DESC, id LIMIT 5")(lambda d: J.top_free(d).select("id", "context_length"))
+query("model_rank", "models", " SELECT id, row_number() OVER (ORDER BY is_free DESC, coalesce(context_length, 0) DESC, id) AS place FROM models QUALIFY place <= 50")(lambda d: J.rank_models(d, 50).agg(F.sort_array(F.collect_list(F.struct((~F.col("is_free")).alias("a"), (-F.coalesce("context_length", F.lit(0))).alias("b"), "id"))).alias("r")).select(F.posexplode("r").alias("p", "r")).select("r.id", (F.col("p") + 1).alias("place")))
+query("model_fallback", "models", " SELECT id, coalesce(nullif(CASE WHEN is_free THEN '' ELSE stage_model END, ''), nullif(provider_model, ''), display_name) AS model FROM models")(
+    lambda d: d.withColumn("stage_model", F.when(F.col("is_free"), "").otherwise(F.col("stage_model"))).select("id", J.fallback("stage_model", "provider_model", "display_name").alias("model"))
+)
+query("skip_models_anti", "models", " SELECT id FROM models WHERE NOT is_free")(lambda d: J.without_skipped(d, d.filter("is_free")).select("id"))
+query("unique_paths", "history", " SELECT id, CASE WHEN k = 0 THEN source_path ELSE regexp_replace(source_path, '(\\.[^./]*)?$', '') || ' (' || k::VARCHAR || ')' || regexp_extract(source_path, '(\\.[^./]*)$', 1) END AS unique_path FROM (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY id) - 1 AS k FROM history)")(
+    lambda d: J.unique_paths(d.withColumnRenamed("source_path", "path")).select("id", "unique_path")
+)
+query("queue_snapshot", "joblog", " SELECT id, CASE level WHEN 'error' THEN 'queued' WHEN 'warn' THEN 'interrupted' ELSE 'queued' END AS status FROM joblog WHERE level IN ('error', 'warn', 'info')")(
+    lambda d: J.queue_snapshot(d.select("id", F.create_map(*[F.lit(x) for x in ("error", "error", "warn", "converting", "info", "queued", "success", "done")])[F.col("level")].alias("status")))
+)
+query("roman_to_int", "models", " SELECT r, v FROM (VALUES ('i', 1::BIGINT), ('iv', 4), ('ix', 9), ('XLII', 42), ('mcmxciv', 1994)) t(r, v)")(
+    lambda d: d.sparkSession.createDataFrame([("i",), ("iv",), ("ix",), ("XLII",), ("mcmxciv",)], "r string").select("r", X.roman_value(F.col("r")).alias("v"))
+)

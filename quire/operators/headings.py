@@ -8,7 +8,9 @@ from pyspark.sql import Window as W
 
 from quire.functions import text as T
 
-BY_LINE = W.partitionBy("doc_id").orderBy("line_no")
+def by_line():
+    return W.partitionBy("doc_id").orderBy("line_no")
+
 
 
 def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -25,14 +27,14 @@ def join_lines(lines: DataFrame, order: str = "line_no") -> DataFrame:
 def mark_fences(lines: DataFrame, tildes: bool = True) -> DataFrame:
     """Adds masked: the line is a fence or inside fences. Any kind of fence closes any other."""
     fence = T.is_fence("line", tildes)
-    return lines.withColumn("masked", fence | (F.sum(fence.cast("int")).over(BY_LINE) % 2 == 1))
+    return lines.withColumn("masked", fence | (F.sum(fence.cast("int")).over(by_line()) % 2 == 1))
 
 
 def heading_fields(lines: DataFrame) -> DataFrame:
     """Adds hashes, title, meta (of an open line) and pair, on the level comment of a pair with the next line."""
     seen = mark_fences(lines).withColumn("hashes", F.when(~F.col("masked"), F.length(F.regexp_extract("line", T.ATX, 1))).otherwise(0))
     seen = seen.withColumn("title", F.regexp_extract("line", T.ATX, 2)).withColumn("meta", F.when(~F.col("masked"), F.regexp_extract("line", T.META, 1)).otherwise(""))
-    return seen.withColumn("next_hashes", F.lead("hashes", 1, 0).over(BY_LINE)).withColumn("next_title", F.lead("title").over(BY_LINE)).withColumn("before", F.lag("meta", 1, "").over(BY_LINE))
+    return seen.withColumn("next_hashes", F.lead("hashes", 1, 0).over(by_line())).withColumn("next_title", F.lead("title").over(by_line())).withColumn("before", F.lag("meta", 1, "").over(by_line()))
 
 
 def collect_headings(lines: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def trailing_headings(headings: DataFrame, n: int = 5) -> DataFrame:
 def carry_pages(lines: DataFrame) -> DataFrame:
     """Adds page: the label of the last page marker at or before the line; null before the first."""
     label = F.nullif(F.regexp_extract("line", T.PAGE, 1), F.lit(""))
-    return lines.withColumn("page", F.last(label, ignorenulls=True).over(BY_LINE))
+    return lines.withColumn("page", F.last(label, ignorenulls=True).over(by_line()))
 
 
 def sections(lines: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def sections(lines: DataFrame) -> DataFrame:
     """
     h = collect_headings(lines)
     starts = h.select("doc_id", F.col("start_line_no").alias("line_no"), F.col("line_no").alias("end_no"), "level", F.col("text").alias("heading"))
-    body = lines.join(starts, ["doc_id", "line_no"], "left").withColumn("section_no", F.count("end_no").over(BY_LINE)).withColumn("inside", F.col("line_no") > F.coalesce(F.last("end_no", ignorenulls=True).over(BY_LINE), F.lit(-1)))
+    body = lines.join(starts, ["doc_id", "line_no"], "left").withColumn("section_no", F.count("end_no").over(by_line())).withColumn("inside", F.col("line_no") > F.coalesce(F.last("end_no", ignorenulls=True).over(by_line()), F.lit(-1)))
     rows = F.sort_array(F.collect_list(F.when(F.col("inside"), F.struct("line_no", "line"))))
     out = body.groupBy("doc_id", "section_no").agg(F.coalesce(F.max("level"), F.lit(0)).alias("level"), F.max("heading").alias("heading"), T.js_trim(F.array_join(F.transform(rows, lambda r: r["line"]), "\n")).alias("content"))
     return out.filter((F.col("section_no") > 0) | (F.col("content") != ""))
@@ -107,7 +109,7 @@ def sections(lines: DataFrame) -> DataFrame:
 
 def chunk_offsets(lines: DataFrame) -> DataFrame:
     """(doc_id, chunk_no, first_line, heading_offset): page chunks with the number of headings before each."""
-    chunk = F.sum(F.col("line").rlike(T.PAGE).cast("int")).over(BY_LINE)
+    chunk = F.sum(F.col("line").rlike(T.PAGE).cast("int")).over(by_line())
     h = collect_headings(lines).select("doc_id", F.col("start_line_no").alias("line_no"), F.lit(1).alias("one"))
     per = lines.withColumn("chunk_no", chunk).join(h, ["doc_id", "line_no"], "left").groupBy("doc_id", "chunk_no").agg(F.min("line_no").alias("first_line"), F.count("one").alias("n"))
     w = W.partitionBy("doc_id").orderBy("chunk_no").rowsBetween(W.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.functions import text as T
-from quire.operators.headings import BY_LINE, carry_pages, mark_fences
+from quire.operators.headings import by_line, carry_pages, mark_fences
 
 PLACEHOLDER = r"(?i)^\[\^\w+\]:\s*\[\s*(?:end|foot)?note\s*\d*\s*\]\s*$"
 MISSING = r"(?i)^\[\^\w+\]:\s*\[[^\]]*\b(?:omitted|missing|unavailable|not\s+(?:available|visible|shown|present|provided|included))\b[^\]]*\]\s*$"
@@ -112,6 +112,6 @@ def merge_continuations(lines: DataFrame) -> DataFrame:
     """
     is_def = F.col("line").rlike(r"^\s*\[\^\w+\]:")
     bound = is_def | F.col("line").rlike(r"^\s*(#{1,9}\s|<!--|```|~~~|---)")
-    spans = lines.withColumn("head", F.last(F.when(bound, F.struct("line_no", is_def.alias("note"))), ignorenulls=True).over(BY_LINE)).filter("head.note").filter(T.js_trim(F.col("line")) != "")
+    spans = lines.withColumn("head", F.last(F.when(bound, F.struct("line_no", is_def.alias("note"))), ignorenulls=True).over(by_line())).filter("head.note").filter(T.js_trim(F.col("line")) != "")
     rows = F.sort_array(F.collect_list(F.struct("line_no", T.js_trim(F.col("line")).alias("line"))))
     return spans.groupBy("doc_id", F.col("head.line_no").alias("def_line")).agg(F.array_join(F.transform(rows, lambda r: r["line"]), " ").alias("text"))

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import text as X
+from quire.operators import edits as E
+from quire.operators import export as EX
+from quire.operators import folds as FO
 from quire.operators import headings as H
 from quire.operators import jobs as J
 from quire.operators import notes as N
 from quire.operators import outline as O
+from quire.sources import providers as P
 from quire.sources.corpora import CORPORA, corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +218,46 @@ query("queue_snapshot", "joblog", " SELECT id, CASE level WHEN 'error' THEN 'que
 query("roman_to_int", "models", " SELECT r, v FROM (VALUES ('i', 1::BIGINT), ('iv', 4), ('ix', 9), ('XLII', 42), ('mcmxciv', 1994)) t(r, v)")(
     lambda d: d.sparkSession.createDataFrame([("i",), ("iv",), ("ix",), ("XLII",), ("mcmxciv",)], "r string").select("r", X.roman_value(F.col("r")).alias("v"))
 )
+
+# Folds: one decision depends on the last, so SQL has none; tests hold them against line-by-line models.
+query("toc_drop", "toc_md")(FO.drop_toc)
+query("dedupe_headings", "chat_md")(FO.drop_repeated_headings)
+query("flatten_outline", "outline_md")(lambda d: FO.flatten_outline(d.unionByName(d.select("doc_id", F.lit(-1).alias("line_no"), F.lit("<!-- Document Outline -->").alias("line")).distinct())))
+query("clean_headings", "chat_md")(FO.clean_headings)
+query("pack_correct", "chat_md")(lambda d: FO.correction_ranges(d, 200))
+query("pack_translate", "DOCUMENTS")(lambda d: FO.translate_chunks(d).select("doc_id", "chunk_no", F.char_length("text").alias("chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32")))
+query("translate_stub", "DOCUMENTS")(lambda d: P.translate(FO.translate_chunks(d), "Latin", ["m1", "m2"]).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32")))
+query("rename_labels_exact", "book_md")(lambda d: FO.rename_labels(H.join_lines(d.withColumn("doc_id", F.struct("doc_id", F.floor(F.col("line_no") / 20).alias("batch_no")))).select("doc_id.*", "text")))
+query("docx_blocks", "book_md")(FO.blocks)
+_COMMANDS = r"""t AS (SELECT doc_id, line_no, list_transform(string_split(regexp_replace(trim(line), '^[-*]\s+', ''), '|'), lambda x: trim(x)) AS p FROM commands),
+    w AS (SELECT *, upper(p[1]) AS word, try_cast(regexp_extract(coalesce(p[2], ''), '^([+-]?\d{1,9})', 1) AS INT) AS n, try_cast(regexp_extract(coalesce(p[3], ''), '^([+-]?\d{1,9})', 1) AS INT) AS lv FROM t),
+    a AS (SELECT doc_id, line_no::BIGINT AS seq, CASE word WHEN 'MERGE_UP' THEN 'merge' ELSE lower(word) END AS action, n::BIGINT AS line, CASE WHEN word IN ('RELEVEL', 'PROMOTE', 'INSERT') THEN lv::BIGINT END AS level,
+        CASE word WHEN 'RETITLE' THEN nullif(array_to_string(p[3:], '|'), '') WHEN 'INSERT' THEN nullif(array_to_string(p[4:], '|'), '') END AS text FROM w)"""
+query(
+    "parse_commands",
+    "commands",
+    "--with "
+    + _COMMANDS
+    + """
+    SELECT doc_id, seq, action, line, coalesce(level, -1) AS level, text FROM a WHERE action IN ('retitle', 'relevel', 'merge', 'demote', 'promote', 'insert') AND line >= 1 AND (action NOT IN ('relevel', 'promote', 'insert') OR level BETWEEN 1 AND 9) AND (action NOT IN ('retitle', 'insert') OR text IS NOT NULL)""",
+)(lambda d: E.parse_commands(d).withColumn("level", F.coalesce("level", F.lit(-1))))
+query(
+    "dedupe_commands",
+    "commands",
+    "--with " + _COMMANDS + f""", c AS (SELECT * FROM a WHERE action IN ('retitle', 'relevel', 'merge', 'demote', 'promote', 'insert') AND line >= 1 AND (action NOT IN ('relevel', 'promote', 'insert') OR level BETWEEN 1 AND 9) AND (action NOT IN ('retitle', 'insert') OR text IS NOT NULL)),
+    k AS (SELECT *, list_position(['retitle', 'relevel', 'merge', 'demote', 'promote', 'insert'], action) AS r, CASE action WHEN 'insert' THEN 'insert:' || {NORM.format("text")} ELSE action || ':' || line::VARCHAR END AS key FROM c),
+    b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY seq DESC) AS back FROM k)
+    SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY r, seq) AS place FROM b WHERE back = 1""",
+)(lambda d: E.ordered_commands(E.parse_commands(d)).select("doc_id", "seq", "place"))
+query("apply_commands", ("book_md", "commands", "outline_md"))(lambda b, c, o: E.apply_commands(b, E.parse_commands(c), o))
+query(
+    "relevel_batch",
+    "deep_md",
+)(lambda d: H.relevel(d, d.select("doc_id").distinct().withColumn("h_no", F.explode(F.sequence(F.lit(0), F.lit(40), F.lit(4)))).withColumn("new_level", (F.col("h_no") % 9 + 1).cast("int"))))
+query("retry_schedule", "models", " SELECT k AS attempt, (['a', 'b'])[((k - 1) // 2) % 2 + 1] AS model, k * 5 AS delay_s FROM range(1, 9) t(k)")(lambda d: J.retry_schedule(["a", "b"], 8, "other")(d.sparkSession))
+query("file_joins", ("history", "joblog"), " SELECT count(DISTINCT h.file_name) AS known FROM history h SEMI JOIN (SELECT 'file ' || job_id || '.pdf' AS f FROM joblog) j ON h.file_name = j.f")(
+    lambda h, j: h.join(j.select(F.concat(F.lit("file "), "job_id", F.lit(".pdf")).alias("file_name")), "file_name", "left_semi").agg(F.countDistinct("file_name").alias("known"))
+)
+query("json_export", "book_md")(lambda d: EX.json_export(d).select("doc_id", F.char_length("json").alias("chars"), F.crc32(F.col("json").cast("binary")).alias("json_crc32")))
+query("docx_bytes", "book_md")(lambda d: EX.docx(d).select("doc_id", F.octet_length("content").alias("bytes")))
+query("html_export", "chat_md")(lambda d: EX.html_export(d).select("doc_id", F.crc32(F.col("html").cast("binary")).alias("html_crc32")))

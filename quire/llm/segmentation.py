@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import chunks_by_chars, code_points, mix, prefix_sums, range_hashes, small_batches
 
 SAMPLES = 2
+#: Characters of the texts that share a lattice; more of them repeat more words.
+CHUNK_CHARS = 500_000
 SEED = 5
 SPACE = 0x2581
 _GOLD, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -54,6 +56,7 @@ class Vocabulary:
         self.slots[slot] = np.arange(len(slot))
         self.slots[slot[1:][slot[1:] == slot[:-1]]] = -2
         self.unknown = sp.unk_id()
+        self.byte_ids = np.array([self.bytes.get(b, self.unknown) for b in range(256)])
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of the piece with each hash, or -1."""
@@ -130,7 +133,7 @@ class Lattice:
         head = tail + span
         place = np.zeros(total + len(n), np.int64)
         place[node + 1] = np.arange(total) - np.repeat(self.char0, n) + 1
-        order = np.lexsort((head, place[head]))
+        order = np.argsort(place[head] * (total + len(n)) + head, kind="stable")
         tail, head, span, piece, score = tail[order], head[order], span[order], piece[order], score[order]
         new = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1]))) if len(head) else np.zeros(0, np.int64)
         level = place[head]
@@ -224,7 +227,12 @@ class Lattice:
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of a path; a character without a piece is spelled by its bytes."""
         p = self.piece[edges]
-        if (p >= 0).all():
+        odd = np.flatnonzero(p < 0)
+        if not len(odd):
+            return p
+        points = -1 - p[odd]
+        if points.max() < 0x80 and len(self.v.bytes) == 256:  # a line end, mostly
+            p[odd] = self.v.byte_ids[points]
             return p
         out: list[int] = []
         for x in p.tolist():
@@ -365,7 +373,7 @@ def segment(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, id_
         v = vocabulary(model)
         for b in batches:
             names, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in chunks_by_chars(texts, 800_000):
+            for lo, hi in chunks_by_chars(texts, CHUNK_CHARS):
                 rows = []
                 for name, found in zip(names[lo:hi], top_k(texts[lo:hi], [0 if x is None else int(x) for x in names[lo:hi]], v, k, seed)):
                     rows += [(name, i + 1, ids.astype("<u2").tobytes(), lp, g, incl) for i, (ids, lp, g, incl) in enumerate(found)]

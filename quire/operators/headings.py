@@ -37,26 +37,31 @@ def heading_fields(lines: DataFrame) -> DataFrame:
     return seen.withColumn("next_hashes", F.lead("hashes", 1, 0).over(by_line())).withColumn("next_title", F.lead("title").over(by_line())).withColumn("before", F.lag("meta", 1, "").over(by_line()))
 
 
-def collect_headings(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, start_line_no, level, text, md_level): logical headings.
+def with_headings(lines: DataFrame) -> DataFrame:
+    """Adds h_level, h_text, h_line and h_native on the first line of each logical heading, null elsewhere.
 
-    A level comment and the native heading below it are one heading; raw hashes up to 9 are headings too.
+    A level comment and the native heading below it are one heading; raw hashes up to 9 are headings too. All in
+    the one window over a document's lines, so what needs headings beside their lines needs no join.
     """
     f = heading_fields(lines)
     pair = (F.col("meta") != "") & F.col("next_hashes").between(1, T.NATIVE_LEVELS)
     own = (F.col("hashes") > 0) & ~((F.col("before") != "") & (F.col("hashes") <= T.NATIVE_LEVELS))
-    found = f.filter(pair | own)
-    either = lambda a, b: F.when(pair, a).otherwise(b)
-    return found.select(
-        "doc_id",
-        either(F.col("line_no") + 1, F.col("line_no")).alias("line_no"),
-        F.col("line_no").alias("start_line_no"),
-        either(F.when(pair, F.col("meta")).otherwise("0").cast("int"), F.col("hashes")).alias("level"),
-        either(F.col("next_title"), F.col("title")).alias("text"),
-        either(F.col("next_hashes"), F.least(F.col("hashes"), F.lit(T.NATIVE_LEVELS))).alias("md_level"),
+    either = lambda x, y: F.when(pair, x).when(own, y)
+    return f.select(
+        *lines.columns,
+        either(F.when(pair, F.col("meta")).otherwise("0").cast("int"), F.col("hashes")).alias("h_level"),
+        either(F.col("next_title"), F.col("title")).alias("h_text"),
+        either(F.col("line_no") + 1, F.col("line_no")).alias("h_line"),
+        either(F.col("next_hashes"), F.least(F.col("hashes"), F.lit(T.NATIVE_LEVELS))).alias("h_native"),
     )
 
 
+def collect_headings(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, start_line_no, level, text, md_level): logical headings."""
+    found = with_headings(lines).filter("h_level is not null")
+    return found.select("doc_id", F.col("h_line").alias("line_no"), F.col("line_no").alias("start_line_no"), F.col("h_level").alias("level"), F.col("h_text").alias("text"), F.col("h_native").alias("md_level"))
+
+
 def normalize_syntax(lines: DataFrame) -> DataFrame:
     """Lines with every heading in its canonical form; renumbered."""
     f = heading_fields(lines)
@@ -99,9 +104,8 @@ def sections(lines: DataFrame) -> DataFrame:
 
     What stands before the first heading is a section of level 0 without a heading, if it isn't blank.
     """
-    h = collect_headings(lines)
-    starts = h.select("doc_id", F.col("start_line_no").alias("line_no"), F.col("line_no").alias("end_no"), "level", F.col("text").alias("heading"))
-    body = lines.join(starts, ["doc_id", "line_no"], "left").withColumn("section_no", F.count("end_no").over(by_line())).withColumn("inside", F.col("line_no") > F.coalesce(F.last("end_no", ignorenulls=True).over(by_line()), F.lit(-1)))
+    upto = F.coalesce(F.last("h_line", ignorenulls=True).over(by_line()), F.lit(-1))
+    body = with_headings(lines).select("doc_id", "line_no", "line", F.col("h_level").alias("level"), F.col("h_text").alias("heading"), F.count("h_level").over(by_line()).alias("section_no"), (F.col("line_no") > upto).alias("inside"))
     rows = F.sort_array(F.collect_list(F.when(F.col("inside"), F.struct("line_no", "line"))))
     out = body.groupBy("doc_id", "section_no").agg(F.coalesce(F.max("level"), F.lit(0)).alias("level"), F.max("heading").alias("heading"), T.js_trim(F.array_join(F.transform(rows, lambda r: r["line"]), "\n")).alias("content"))
     return out.filter((F.col("section_no") > 0) | (F.col("content") != ""))
@@ -110,8 +114,7 @@ def sections(lines: DataFrame) -> DataFrame:
 def chunk_offsets(lines: DataFrame) -> DataFrame:
     """(doc_id, chunk_no, first_line, heading_offset): page chunks with the number of headings before each."""
     chunk = F.sum(F.col("line").rlike(T.PAGE).cast("int")).over(by_line())
-    h = collect_headings(lines).select("doc_id", F.col("start_line_no").alias("line_no"), F.lit(1).alias("one"))
-    per = lines.withColumn("chunk_no", chunk).join(h, ["doc_id", "line_no"], "left").groupBy("doc_id", "chunk_no").agg(F.min("line_no").alias("first_line"), F.count("one").alias("n"))
+    per = with_headings(lines).withColumn("chunk_no", chunk).groupBy("doc_id", "chunk_no").agg(F.min("line_no").alias("first_line"), F.count("h_level").alias("n"))
     w = W.partitionBy("doc_id").orderBy("chunk_no").rowsBetween(W.unboundedPreceding, -1)
     return per.select("doc_id", "chunk_no", "first_line", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("heading_offset"))
 

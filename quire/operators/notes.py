@@ -47,22 +47,24 @@ def gap_fill(lines: DataFrame, per_chapter: bool = True) -> DataFrame:
     definition, else after the last. A document whose groups of references and definitions differ in number is
     left alone.
     """
-    refs, defs = grouped(note_refs(lines)), grouped(note_defs(lines))
-    same = refs.groupBy("doc_id").agg(F.max("g").alias("k")).join(defs.groupBy("doc_id").agg(F.max("g").alias("k")), ["doc_id", "k"]).select("doc_id")
-    r, d = refs.join(same, "doc_id", "left_semi"), defs.join(same, "doc_id", "left_semi")
-    top = d.groupBy("doc_id", "g").agg(F.max("n").alias("hi"), F.min("n").alias("lo_d")).join(r.groupBy("doc_id", "g").agg(F.min("n").alias("lo_r")), ["doc_id", "g"])
-    lo = F.lit(1) if per_chapter else F.least("lo_d", "lo_r")
-    run = top.filter(lo <= F.col("hi")).select("doc_id", "g", F.explode(F.sequence(lo, F.col("hi"))).alias("n"))
-
-    def missing(have: DataFrame, kind: str) -> DataFrame:
-        at = F.struct("line_no", "seq")
-        gaps = run.join(have.select("doc_id", "g", "n").distinct(), ["doc_id", "g", "n"], "left_anti")
-        spot = have.select("doc_id", "g", F.col("n").alias("m"), at.alias("at"))
-        last = have.groupBy("doc_id", "g").agg(F.max(at).alias("last"))
-        higher = gaps.join(spot, ["doc_id", "g"]).filter("m > n").groupBy("doc_id", "g", "n").agg(F.min("at").alias("first"))
-        return gaps.join(higher, ["doc_id", "g", "n"], "left").join(last, ["doc_id", "g"]).select("doc_id", "g", "n", F.lit(kind).alias("kind"), F.coalesce("first", "last")["line_no"].alias("line_no"))
-
-    return missing(r, "ref").unionByName(missing(d, "def"))
+    def groups(notes: DataFrame, name: str) -> DataFrame:
+        """One row a group: its notes in order; k: the number of groups of the document."""
+        rows = F.sort_array(F.collect_list(F.struct("line_no", "seq", "n")))
+        per = grouped(notes).groupBy("doc_id", "g").agg(rows.alias(name))
+        return per.withColumn("k", F.max("g").over(W.partitionBy("doc_id")))
+
+    both = groups(note_refs(lines), "r").join(groups(note_defs(lines), "d"), ["doc_id", "k", "g"])
+    numbers = lambda x: F.transform(x, lambda y: y["n"])
+    hi = F.array_max(numbers("d"))
+    lo = F.lit(1) if per_chapter else F.least(F.array_min(numbers("d")), F.array_min(numbers("r")))
+    run = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+    def missing(have: str, kind: str):
+        gaps = F.array_except(run, numbers(have))
+        spot = lambda n: F.coalesce(F.try_element_at(F.filter(have, lambda x: x["n"] > n), F.lit(1)), F.element_at(have, -1))["line_no"]
+        return F.transform(gaps, lambda n: F.struct(n.alias("n"), F.lit(kind).alias("kind"), spot(n).alias("line_no")))
+
+    return both.select("doc_id", "g", F.explode(F.concat(missing("r", "ref"), missing("d", "def"))).alias("gap")).select("doc_id", "g", "gap.*")
 
 
 def reconcile(lines: DataFrame) -> DataFrame:

@@ -130,10 +130,12 @@ query(
     + r""", c AS (SELECT doc_id, count(*) FILTER (regexp_matches(line, '(?i)^\s*<!--\s*page:\s*(\S+)\s*-->')) AS pages, count(*) FILTER (regexp_matches(line, '^\s*\|')) AS table_lines, sum(len(regexp_extract_all(line, '\[\^\w+\]')))::BIGINT AS note_marks FROM lines GROUP BY 1)
     SELECT c.*, coalesce(h.n, 0) AS headings FROM c LEFT JOIN (SELECT doc_id, count(*) AS n FROM headings GROUP BY 1) h USING (doc_id)""",
 )(
-    lambda d: d.groupBy("doc_id")
-    .agg(F.count_if(F.col("line").rlike(X.PAGE)).alias("pages"), F.count_if(F.col("line").rlike(r"^\s*\|")).alias("table_lines"), F.sum(F.size(F.regexp_extract_all("line", F.lit(r"\[\^\w+\]"), F.lit(0)))).alias("note_marks"))
-    .join(H.collect_headings(d).groupBy("doc_id").agg(F.count("*").alias("headings")), "doc_id", "left")
-    .withColumn("headings", F.coalesce("headings", F.lit(0)))
+    lambda d: H.with_headings(d).groupBy("doc_id").agg(
+        F.count_if(F.col("line").rlike(X.PAGE)).alias("pages"),
+        F.count_if(F.col("line").rlike(r"^\s*\|")).alias("table_lines"),
+        F.sum(F.size(F.regexp_extract_all("line", F.lit(r"\[\^\w+\]"), F.lit(0)))).alias("note_marks"),
+        F.count("h_level").alias("headings"),
+    )
 )
 
 # Notes.

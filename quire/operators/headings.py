@@ -128,3 +128,18 @@ def relevel(lines: DataFrame, changes: DataFrame) -> DataFrame:
     at_end = new.filter("s <> e").select("doc_id", F.col("e").alias("line_no"), F.lit(True).alias("gone"))
     out = canon.join(at_start, ["doc_id", "line_no"], "left").join(at_end, ["doc_id", "line_no"], "left").filter("gone is null")
     return renumber(out.select("doc_id", "line_no", F.posexplode(F.split(F.coalesce("new", "line"), "\n")).alias("sub", "line")), "line_no", "sub")
+
+
+def parents(headings: DataFrame) -> DataFrame:
+    """Adds parent_line: the nearest earlier heading of a smaller level; null for none. One window, no join."""
+    w = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col("level") == k, F.col("line_no")), ignorenulls=True).over(w) for k in range(1, T.MAX_LEVEL)]
+    above = [F.when(F.col("level") > k, c) for k, c in enumerate(last, 1)]
+    return headings.withColumn("parent_line", F.greatest(*above))
+
+
+def heading_chunks(lines: DataFrame) -> DataFrame:
+    """(doc_id, h_no, chunk_no): the page chunk that holds each heading."""
+    chunk = F.sum(F.col("line").rlike(T.PAGE).cast("int")).over(by_line())
+    seen = with_headings(lines).withColumn("chunk_no", chunk).filter("h_level is not null")
+    return seen.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")) - 1).alias("h_no"), "chunk_no")

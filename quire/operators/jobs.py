@@ -97,3 +97,36 @@ def retry_schedule(models: list[str], attempts: int, kind: str):
     wait = {"skip": F.lit(2), "rate": F.lit(10), "overload": F.lit(30)}.get(kind, F.col("attempt") * 5)
     model = F.element_at(F.array(*map(F.lit, models)), (F.floor((F.col("attempt") - 1) / 2) % len(models) + 1).cast("int"))
     return lambda spark: spark.range(1, attempts + 1).select(F.col("id").alias("attempt")).select("attempt", model.alias("model"), wait.cast("long").alias("delay_s"))
+
+
+def cached_models(cache: DataFrame, now_ms: int, ttl_ms: int = MODEL_TTL_MS) -> DataFrame:
+    """Cached listings younger than the time to live."""
+    return cache.filter(F.lit(now_ms) - F.col("cached_at") < ttl_ms)
+
+
+def text_models(models: DataFrame) -> DataFrame:
+    """Models whose output side of ``in->out`` modalities is text, or that state none."""
+    out = F.element_at(F.split("modality", "->"), -1)
+    return models.filter(F.col("modality").isNull() | F.array_contains(F.split(out, r"\+"), "text"))
+
+
+def reusable(jobs: DataFrame, history: DataFrame) -> DataFrame:
+    """Adds reuse_id to translation jobs: the history entry of the same path without a language."""
+    done = history.filter(F.coalesce("language", F.lit("")) == "").groupBy("source_path").agg(F.max_by("id", F.struct("converted_at", "id")).alias("reuse_id"))
+    return jobs.join(done, "source_path", "left")
+
+
+def available_priority(priority: DataFrame, available: DataFrame) -> DataFrame:
+    """The models of a priority list that can be had, in its order."""
+    return priority.join(available.select("id"), "id", "left_semi")
+
+
+def new_jobs(files: DataFrame) -> DataFrame:
+    """A queued job for each file, with defaults and a generated id."""
+    return files.select(F.expr("uuid()").alias("id"), "file_name", "source_path", F.lit("queued").alias("status"), F.lit(0).alias("progress"), F.lit(None).cast("string").alias("error"))
+
+
+def migrated(settings: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """Settings with each missing or null field at its default."""
+    have = set(settings.columns)
+    return settings.select(*[(F.coalesce(F.col(k), F.lit(v)) if k in have else F.lit(v)).alias(k) for k, v in defaults.items()], *[c for c in settings.columns if c not in defaults])

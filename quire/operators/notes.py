@@ -117,3 +117,45 @@ def merge_continuations(lines: DataFrame) -> DataFrame:
     spans = lines.withColumn("head", F.last(F.when(bound, F.struct("line_no", is_def.alias("note"))), ignorenulls=True).over(by_line())).filter("head.note").filter(T.js_trim(F.col("line")) != "")
     rows = F.sort_array(F.collect_list(F.struct("line_no", T.js_trim(F.col("line")).alias("line"))))
     return spans.groupBy("doc_id", F.col("head.line_no").alias("def_line")).agg(F.array_join(F.transform(rows, lambda r: r["line"]), " ").alias("text"))
+
+
+def shown_pages(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, label, page, shown): a definition's page is shown where it differs from the one before."""
+    label = F.regexp_extract(T.js_trim(F.col("line")), r"^\[\^(\w+)\]:", 1)
+    defs = carry_pages(lines).withColumn("label", label).filter("label <> ''")
+    return defs.select("doc_id", "line_no", "label", "page", (~F.col("page").eqNullSafe(F.lag("page").over(by_line())) & F.col("page").isNotNull()).alias("shown"))
+
+
+def note_index(lines: DataFrame) -> DataFrame:
+    """(doc_id, label, idx, text): notes numbered by their first definition; the last text counts."""
+    pattern = r"^\[\^(\w+)\]:\s*(.*)$"
+    defs = lines.select("doc_id", "line_no", F.regexp_extract("line", pattern, 1).alias("label"), F.regexp_extract("line", pattern, 2).alias("text")).filter("label <> ''")
+    per = defs.groupBy("doc_id", "label").agg(F.min("line_no").alias("first"), F.max_by("text", "line_no").alias("text"))
+    return per.select("doc_id", "label", F.row_number().over(W.partitionBy("doc_id").orderBy("first")).alias("idx"), "text")
+
+
+def without_printed_notes(lines: DataFrame) -> DataFrame:
+    """Lines without printed notes sections: definitions with the headings, markers and labels before and between.
+
+    A run is a maximal stretch of definitions, headings, page markers, rules, notes labels and blank lines; of a
+    run with definitions, all but blank lines go from the last heading or marker before the first definition's
+    section to the last definition.
+    """
+    t = T.js_trim(F.col("line"))
+    is_def = t.rlike(r"^\[\^\w+\]:")
+    loose = t.rlike(r"^(#{1,9}\s|<!--|---$)") | t.rlike(r"(?i)^(?:end)?notes(?: to .*)?\z") | (t == "")
+    seen = lines.withColumn("is_def", is_def).withColumn("body", ~(is_def | loose))
+    run = seen.withColumn("run", F.sum(F.col("body").cast("int")).over(by_line()))
+    w = W.partitionBy("doc_id", "run")
+    ends = run.withColumn("first", F.min(F.when(F.col("is_def"), F.col("line_no"))).over(w)).withColumn("last", F.max(F.when(F.col("is_def"), F.col("line_no"))).over(w))
+    inside = ~F.col("body") & F.col("last").isNotNull() & (F.col("line_no") <= F.col("last")) & (t != "")
+    return ends.filter(~inside).select("doc_id", "line_no", "line")
+
+
+def chapter_breaks(lines: DataFrame) -> DataFrame:
+    """(doc_id, g, line_no): where each chapter of notes after the first begins: the nearest heading above its first reference, if below the previous chapter's last."""
+    refs = grouped(note_refs(lines)).groupBy("doc_id", "g").agg(F.min("line_no").alias("first"), F.max("line_no").alias("end"))
+    near = lines.withColumn("head", F.last(F.when(F.col("line").rlike(r"^#{1,9}\s"), F.col("line_no")), ignorenulls=True).over(by_line())).select("doc_id", F.col("line_no").alias("first"), "head")
+    before = F.lag("end").over(W.partitionBy("doc_id").orderBy("g"))
+    spots = refs.withColumn("before", before).filter("before is not null").join(near, ["doc_id", "first"])
+    return spots.select("doc_id", "g", F.when(F.col("head") > F.col("before"), F.col("head")).otherwise(F.col("first")).alias("line_no"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import text as X
+from quire.functions import values as V
 from quire.operators import edits as E
 from quire.operators import export as EX
 from quire.operators import folds as FO
@@ -16,6 +17,7 @@ from quire.operators import headings as H
 from quire.operators import jobs as J
 from quire.operators import notes as N
 from quire.operators import outline as O
+from quire.sources import files as FI
 from quire.sources import providers as P
 from quire.sources.corpora import CORPORA, corpus
 
@@ -263,3 +265,46 @@ query("file_joins", ("history", "joblog"), " SELECT count(DISTINCT h.file_name)
 query("json_export", "book_md")(lambda d: EX.json_export(d).select("doc_id", F.char_length("json").alias("chars"), F.crc32(F.col("json").cast("binary")).alias("json_crc32")))
 query("docx_bytes", "book_md")(lambda d: EX.docx(d).select("doc_id", F.octet_length("content").alias("bytes")))
 query("html_export", "chat_md")(lambda d: EX.html_export(d).select("doc_id", F.crc32(F.col("html").cast("binary")).alias("html_crc32")))
+
+# More notes, headings and values.
+query("shown_pages", "book_md", r"""--with p AS (SELECT doc_id, line_no, regexp_extract(line, '^\[\^(\w+)\]:', 1) AS label, last_value(nullif(regexp_extract(line, '(?i)^\s*<!--\s*page:\s*(\S+)\s*-->', 1), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS page FROM lines), d AS (SELECT * FROM p WHERE label <> '') SELECT doc_id, line_no::BIGINT AS line_no, label, page, page IS DISTINCT FROM lag(page) OVER (PARTITION BY doc_id ORDER BY line_no) AND page IS NOT NULL AS shown FROM d""")(N.shown_pages)
+query("note_index", "book_md", r"""--with d AS (SELECT doc_id, line_no, regexp_extract(line, '^\[\^(\w+)\]:\s*(.*)$', 1) AS label, regexp_extract(line, '^\[\^(\w+)\]:\s*(.*)$', 2) AS text FROM lines), g AS (SELECT doc_id, label, min(line_no) AS f, arg_max(text, line_no) AS text FROM d WHERE label <> '' GROUP BY 1, 2) SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY f) AS idx, text FROM g""")(N.note_index)
+query(
+    "strip_notes_section",
+    "book_md",
+    r"""--with b AS (SELECT *, regexp_matches(trim(line), '^\[\^\w+\]:') AS d, NOT (regexp_matches(trim(line), '^\[\^\w+\]:') OR regexp_matches(trim(line), '^(#{1,9}\s|<!--|---$)') OR regexp_matches(trim(line), '(?i)^(?:end)?notes(?: to .*)?$') OR trim(line) = '') AS body FROM lines),
+    r AS (SELECT *, sum(body::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM b), e AS (SELECT *, max(CASE WHEN d THEN line_no END) OVER (PARTITION BY doc_id, run) AS l FROM r)
+    SELECT doc_id, line_no::BIGINT AS line_no, line FROM e WHERE NOT (NOT body AND l IS NOT NULL AND line_no <= l AND trim(line) <> '')""",
+)(N.without_printed_notes)
+query(
+    "chapter_breaks",
+    "book_md",
+    REFS
+    + r""", c AS (SELECT doc_id, g, min(line_no) AS f, max(line_no) AS e FROM rg GROUP BY 1, 2), p AS (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY g) AS b FROM c),
+    h AS (SELECT doc_id, line_no, last_value(CASE WHEN regexp_matches(line, '^#{1,9}\s') THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS head FROM lines)
+    SELECT p.doc_id, g, (CASE WHEN head > b THEN head ELSE f END)::BIGINT AS line_no FROM p JOIN h ON p.doc_id = h.doc_id AND p.f = h.line_no WHERE b IS NOT NULL""",
+)(N.chapter_breaks)
+query("parent_heading", "deep_md", HEADS + " SELECT doc_id, line_no::BIGINT AS line_no, coalesce((SELECT max(p.line_no) FROM headings p WHERE p.doc_id = h.doc_id AND p.line_no < h.line_no AND p.level < h.level), -1)::BIGINT AS parent_line FROM headings h")(lambda d: H.parents(H.collect_headings(d)).select("doc_id", "line_no", F.coalesce("parent_line", F.lit(-1)).alias("parent_line")))
+query("heading_chunks", "book_md", HEADS + r""", c AS (SELECT doc_id, line_no, (sum(CASE WHEN regexp_matches(line, '(?i)^\s*<!--\s*page:\s*(\S+)\s*-->') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no))::BIGINT AS chunk_no FROM lines) SELECT h.doc_id, row_number() OVER (PARTITION BY h.doc_id ORDER BY h.line_no) - 1 AS h_no, chunk_no FROM headings h JOIN c ON h.doc_id = c.doc_id AND h.start_line_no = c.line_no""")(H.heading_chunks)
+query("heading_ordinals", "deep_md", HEADS + " SELECT doc_id, count(*) AS n FROM headings GROUP BY 1")(lambda d: H.collect_headings(d).groupBy("doc_id").agg(F.count("*").alias("n")))
+query("protected_lines", "book_md", r""" SELECT doc_id, line_no::BIGINT AS line_no FROM lines WHERE trim(line) = '' OR regexp_matches(trim(line), '(?i)^\s*<!--\s*page:\s*(\S+)\s*-->') OR regexp_matches(trim(line), '^\[\^[^\]]+\]:|^[>|]|^([*+-]|\d+[.)])\s|^(```|~~~)')""")(lambda d: d.filter(V.is_protected(F.col("line"))).select("doc_id", "line_no"))
+query("endnotes_to_links", "book_md", r""" SELECT doc_id, line_no::BIGINT AS line_no, CASE WHEN regexp_matches(line, '^\[\^(\w+)\]:\s*(.*)$') THEN regexp_replace(line, '^\[\^(\w+)\]:\s*(.*)$', '<a id="en-\1"></a>\1. \2') ELSE regexp_replace(line, '\[\^(\w+)\]', '[\1](#en-\1)', 'g') END AS line FROM lines""")(lambda d: d.select("doc_id", "line_no", V.endnotes_to_links(F.col("line")).alias("line")))
+query("frontmatter", "history", r""" SELECT id, '---' || chr(10) || 'title: "' || regexp_replace(file_name, '(?i)\.pdf$', '') || '"' || chr(10) || 'source: "' || file_name || '"' || chr(10) || 'pages: ' || total_pages::VARCHAR || chr(10) || 'date: ' || strftime(converted_at, '%Y-%m-%d') || chr(10) || 'provider: p' || chr(10) || 'model: m' || chr(10) || '---' || chr(10) AS head FROM history""")(
+    lambda d: d.select("id", V.frontmatter(F.col("file_name"), F.col("total_pages"), F.col("converted_at"), "p", "m").alias("head"))
+)
+query("frontmatter_fields", "history", " SELECT id, regexp_replace(file_name, '(?i)\\.pdf$', '') AS title, total_pages::VARCHAR AS pages FROM history")(
+    lambda d: d.select("id", V.frontmatter_map(V.frontmatter(F.col("file_name"), F.col("total_pages"), F.col("converted_at"), "p", "m")).alias("f")).select("id", F.col("f")["title"].alias("title"), F.col("f")["pages"].alias("pages"))
+)
+query("duration_text", "history", " SELECT id, CASE WHEN s < 60 THEN s::VARCHAR || 's' ELSE (s // 60)::VARCHAR || 'm ' || (s % 60)::VARCHAR || 's' END AS took FROM (SELECT id, floor(duration_ms / 1000 + 0.5)::BIGINT AS s FROM history)")(lambda d: d.select("id", V.duration_text(F.col("duration_ms")).alias("took")))
+query("paths", "history", r" SELECT id, regexp_replace(source_path, '\.[^./\\]+$', '') || '.md' AS target, regexp_extract(source_path, '^(.*)[/\\][^/\\]*$', 1) AS folder FROM history")(lambda d: d.select("id", V.with_extension(F.col("source_path"), "md").alias("target"), V.folder_of(F.col("source_path")).alias("folder")))
+query("escape_html", "PAGES", "SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM pages")(lambda d: d.select("page_id", V.escape_html(F.col("html")).alias("html")))
+query("codecs", "CUSTOMER", "SELECT c_custkey, base64(encode(c_name)) AS b, hex(encode(c_name)) AS h FROM customer")(lambda d: d.select("c_custkey", F.base64(F.col("c_name").cast("binary")).alias("b"), F.hex(F.col("c_name").cast("binary")).alias("h")))
+query("image_fit", "PART", "SELECT p_partkey, floor(w * least(1.0::DOUBLE, 576.0::DOUBLE / w) + 0.5)::BIGINT AS width, floor(p_size * least(1.0::DOUBLE, 576.0::DOUBLE / w) + 0.5)::BIGINT AS height FROM (SELECT *, p_size * 40 AS w FROM part)")(lambda d: d.select("p_partkey", V.fit_width(F.col("p_size") * 40, F.col("p_size")).alias("f")).select("p_partkey", "f.*"))
+query("progress_percent", "ORDERS", "SELECT o_custkey, floor(count(*) FILTER (o_orderstatus = 'F') * 100 / count(*) + 0.5)::BIGINT AS percent FROM orders GROUP BY 1")(lambda d: d.groupBy("o_custkey").agg(V.percent(F.count_if(F.col("o_orderstatus") == "F"), F.count("*")).alias("percent")))
+query("error_categories", "EVENTS", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'rate' WHEN event_id % 5 = 1 THEN 'overload' WHEN event_id % 5 = 2 THEN 'key' WHEN contains(event_type, 'e') AND event_type = 'error' THEN 'network' ELSE 'other' END AS category FROM events")(
+    lambda d: d.select("event_id", V.error_category(F.element_at(F.array(*map(F.lit, (429, 503, 401, 0, 0))), (F.col("event_id") % 5 + 1).cast("int")), F.when(F.col("event_type") == "error", "network down").otherwise("?")).alias("category"))
+)
+query("reuse_transcription", "history", " SELECT j.id, d.reuse_id FROM history j JOIN (SELECT source_path, arg_max(id, (converted_at, id)) AS reuse_id FROM history WHERE coalesce(language, '') = '' GROUP BY 1) d USING (source_path) WHERE j.language <> ''")(lambda d: J.reusable(d.filter("language <> ''"), d).filter("reuse_id is not null").select("id", "reuse_id"))
+query("available_models", "models", " SELECT id FROM models WHERE is_free AND context_length IS NOT NULL")(lambda d: J.available_priority(d.filter("is_free"), d.filter("context_length is not null")).select("id"))
+query("note_labels", "book_md", r""" SELECT doc_id, line_no::BIGINT AS line_no FROM lines WHERE regexp_matches(trim(replace(line, '### ', '')), '(?i)^(?:end)?notes(?: to .*)?$|^chapter\s+(?:[ivxlcdm]+|\d+)\b.*$')""")(lambda d: d.filter(V.is_notes_label(F.replace("line", F.lit("### "), F.lit("")))).select("doc_id", "line_no"))
+query("page_ranges", "ORDERS", "SELECT o_orderkey AS doc_id, b AS batch_no, b * 5 AS start, least(b * 5 + 5, n) AS \"end\" FROM (SELECT o_orderkey, (o_custkey % 23)::BIGINT AS n FROM orders), unnest(range(0, (n + 4) // 5)) t(b)")(lambda d: FI.page_ranges(d.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 23).alias("pages"))))

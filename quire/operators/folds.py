@@ -71,3 +71,8 @@ def blocks(lines: DataFrame) -> DataFrame:
     """(doc_id, block_no, kind, payload)."""
     found = _per_document(lines, lambda x: [{"kind": k, "payload": p} for k, p in M.blocks(x)], "array<struct<kind:string,payload:string>>")
     return found.select("doc_id", F.posexplode("out").alias("block_no", "b")).select("doc_id", "block_no", "b.*")
+
+
+def preview_chunks(lines: DataFrame, most: int = 50_000) -> DataFrame:
+    """(doc_id, chunk_no, text)."""
+    return _per_document(lines, lambda x: M.preview_chunks("\n".join(x), most), "array<string>").select("doc_id", F.posexplode("out").alias("chunk_no", "text"))

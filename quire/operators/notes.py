@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.functions import text as T
+from quire.functions import values as V
 from quire.operators.headings import by_line, carry_pages, mark_fences
 
+BREAK = "<!-- ENDNOTE-SECTION-BREAK -->"
 PLACEHOLDER = r"(?i)^\[\^\w+\]:\s*\[\s*(?:end|foot)?note\s*\d*\s*\]\s*$"
 MISSING = r"(?i)^\[\^\w+\]:\s*\[[^\]]*\b(?:omitted|missing|unavailable|not\s+(?:available|visible|shown|present|provided|included))\b[^\]]*\]\s*$"
 
@@ -108,15 +110,21 @@ def rename_labels(defs: DataFrame) -> DataFrame:
 
 
 def merge_continuations(lines: DataFrame) -> DataFrame:
-    """(doc_id, def_line, text): each definition with the paragraphs that follow it up to the next boundary.
+    """Lines in which each definition holds the paragraphs that followed it up to the next boundary.
 
-    A heading, page marker, fence or another definition is a boundary.
+    Another definition, a heading, its level comment, a notes label and a section break are boundaries. Blank lines
+    in between go; page markers stay and so come after the merged note.
     """
-    is_def = F.col("line").rlike(r"^\s*\[\^\w+\]:")
-    bound = is_def | F.col("line").rlike(r"^\s*(#{1,9}\s|<!--|```|~~~|---)")
-    spans = lines.withColumn("head", F.last(F.when(bound, F.struct("line_no", is_def.alias("note"))), ignorenulls=True).over(by_line())).filter("head.note").filter(T.js_trim(F.col("line")) != "")
-    rows = F.sort_array(F.collect_list(F.struct("line_no", T.js_trim(F.col("line")).alias("line"))))
-    return spans.groupBy("doc_id", F.col("head.line_no").alias("def_line")).agg(F.array_join(F.transform(rows, lambda r: r["line"]), " ").alias("text"))
+    t = T.js_trim(F.col("line"))
+    is_def, is_page = t.rlike(r"^\[\^\w+\]:"), t.rlike(r"(?i)^<!--\s*page:.*-->\z")
+    bound = is_def | (V.is_furniture(F.col("line")) & ~is_page) | (t == BREAK)
+    head = F.last(F.when(bound, F.struct("line_no", is_def.alias("note"))), ignorenulls=True).over(by_line())
+    seen = lines.withColumn("t", t).withColumn("page", is_page).withColumn("head", head)
+    inside = F.coalesce(F.col("head.note"), F.lit(False))
+    parts = F.collect_list(F.when(~F.col("page") & (F.col("t") != ""), F.col("t"))).over(W.partitionBy("doc_id", "head.line_no").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    own = F.col("line_no") == F.col("head.line_no")
+    merged = seen.withColumn("merged", F.when(inside & own, F.array_join(parts, " ")))
+    return merged.filter(~inside | own | F.col("page")).select("doc_id", "line_no", F.coalesce("merged", "line").alias("line"))
 
 
 def shown_pages(lines: DataFrame) -> DataFrame:
@@ -135,27 +143,32 @@ def note_index(lines: DataFrame) -> DataFrame:
 
 
 def without_printed_notes(lines: DataFrame) -> DataFrame:
-    """Lines without printed notes sections: definitions with the headings, markers and labels before and between.
+    """Lines without the furniture of printed notes sections: headings, level comments, page markers and labels.
 
-    A run is a maximal stretch of definitions, headings, page markers, rules, notes labels and blank lines; of a
-    run with definitions, all but blank lines go from the last heading or marker before the first definition's
-    section to the last definition.
+    A run is a maximal stretch of definitions, furniture and blank lines; of one with definitions, the furniture
+    from its start to its last definition goes. The definitions stay, for the notes of the export.
     """
     t = T.js_trim(F.col("line"))
-    is_def = t.rlike(r"^\[\^\w+\]:")
-    loose = t.rlike(r"^(#{1,9}\s|<!--|---$)") | t.rlike(r"(?i)^(?:end)?notes(?: to .*)?\z") | (t == "")
-    seen = lines.withColumn("is_def", is_def).withColumn("body", ~(is_def | loose))
-    run = seen.withColumn("run", F.sum(F.col("body").cast("int")).over(by_line()))
-    w = W.partitionBy("doc_id", "run")
-    ends = run.withColumn("first", F.min(F.when(F.col("is_def"), F.col("line_no"))).over(w)).withColumn("last", F.max(F.when(F.col("is_def"), F.col("line_no"))).over(w))
-    inside = ~F.col("body") & F.col("last").isNotNull() & (F.col("line_no") <= F.col("last")) & (t != "")
-    return ends.filter(~inside).select("doc_id", "line_no", "line")
+    is_def, furniture = t.rlike(r"^\[\^\w+\]:"), V.is_furniture(F.col("line"))
+    body = ~(is_def | furniture | (t == ""))
+    run = lines.withColumn("is_def", is_def).withColumn("furniture", furniture & ~is_def).withColumn("run", F.sum(body.cast("int")).over(by_line()))
+    last = F.max(F.when(F.col("is_def"), F.col("line_no"))).over(W.partitionBy("doc_id", "run"))
+    gone = F.col("furniture") & (F.col("line_no") <= F.coalesce(F.col("last"), F.lit(-1)))
+    return run.withColumn("last", last).filter(~gone).select("doc_id", "line_no", "line")
 
 
 def chapter_breaks(lines: DataFrame) -> DataFrame:
-    """(doc_id, g, line_no): where each chapter of notes after the first begins: the nearest heading above its first reference, if below the previous chapter's last."""
-    refs = grouped(note_refs(lines)).groupBy("doc_id", "g").agg(F.min("line_no").alias("first"), F.max("line_no").alias("end"))
-    near = lines.withColumn("head", F.last(F.when(F.col("line").rlike(r"^#{1,9}\s"), F.col("line_no")), ignorenulls=True).over(by_line())).select("doc_id", F.col("line_no").alias("first"), "head")
-    before = F.lag("end").over(W.partitionBy("doc_id").orderBy("g"))
-    spots = refs.withColumn("before", before).filter("before is not null").join(near, ["doc_id", "first"])
-    return spots.select("doc_id", "g", F.when(F.col("head") > F.col("before"), F.col("head")).otherwise(F.col("first")).alias("line_no"))
+    """(doc_id, g, line_no): the line before which each chapter of notes after the first begins.
+
+    The nearest heading above the chapter's first reference and below the previous chapter's, with the furniture
+    and blank lines right above it; without one, the reference's own line.
+    """
+    refs = grouped(note_refs(lines)).groupBy("doc_id", "g").agg(F.min("line_no").alias("first"))
+    t = T.js_trim(F.col("line"))
+    heading = t.rlike(r"^#{1,9}[ \t]+\S")
+    loose = heading | t.rlike(T.META) | t.rlike(r"(?i)^<!--\s*page:.*-->\z") | (t == "")
+    top = F.coalesce(F.last(F.when(~loose, F.col("line_no")), ignorenulls=True).over(by_line()), F.lit(-1)) + 1
+    seen = lines.withColumn("top", top).withColumn("near", F.last(F.when(heading, F.struct("line_no", "top")), ignorenulls=True).over(by_line()))
+    before = F.lag("first").over(W.partitionBy("doc_id").orderBy("g"))
+    spots = refs.withColumn("before", before).filter("before is not null").join(seen.select("doc_id", F.col("line_no").alias("first"), "near"), ["doc_id", "first"])
+    return spots.select("doc_id", "g", F.when(F.col("near.line_no") > F.col("before"), F.greatest(F.col("near.top"), F.col("before") + 1)).otherwise(F.col("first")).alias("line_no"))

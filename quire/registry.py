@@ -84,6 +84,8 @@ e1 AS (SELECT doc_id, src, line_no, level, {CUT} AS text, {PAGE_OF} AS page FROM
 entries AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY src, line_no) - 1 AS entry_no, level, text, {NORM.format("text")} AS norm, page FROM e1 WHERE text <> '')"""
 )
 
+_FURNITURE = r"""u AS (SELECT *, trim(line) AS t, regexp_matches(trim(line), '^\[\^\w+\]:') AS d, regexp_matches(trim(line), '^#{1,9}[ \t]+\S') OR regexp_matches(trim(line), '(?i)^<!--\s*page:.*-->$') OR regexp_matches(trim(line), '(?i)^\s*<!--\s*heading-level:\s*([7-9])\s*-->\s*$') OR regexp_matches(trim(line), '(?i)^(end\s*notes|notes)$|^(notes?\s+(to|for)\b.*)$|^chapter\s+[0-9ivxlcdm]+\.?$') AS f FROM lines)"""
+
 # Lines and headings.
 query("split_lines", "DOCUMENTS", r"SELECT doc_id, s - 1 AS line_no, string_split(text, chr(10))[s] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(s)")(H.split_lines)
 query("fence_mask", "deep_md", FENCES + " SELECT doc_id, line_no::BIGINT AS line_no, masked FROM m")(lambda d: H.mark_fences(d).select("doc_id", "line_no", "masked"))
@@ -178,9 +180,12 @@ query("rename_labels", "book_md", r"""--with b AS (SELECT DISTINCT doc_id, line_
 query(
     "merge_continuations",
     "book_md",
-    r"""--with b AS (SELECT doc_id, line_no, line, regexp_matches(line, '^\s*\[\^\w+\]:') AS note, regexp_matches(line, '^\s*(\[\^\w+\]:|#{1,9}\s|<!--|```|~~~|---)') AS bound FROM lines),
-    c AS (SELECT *, last_value(CASE WHEN bound THEN line_no END IGNORE NULLS) OVER w AS head, last_value(CASE WHEN bound THEN note END IGNORE NULLS) OVER w AS on_note FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
-    SELECT doc_id, head::BIGINT AS def_line, string_agg(trim(line), ' ' ORDER BY line_no) AS text FROM c WHERE on_note AND trim(line) <> '' GROUP BY 1, 2""",
+    "--with "
+    + _FURNITURE
+    + r""", b AS (SELECT *, d OR (f AND NOT regexp_matches(t, '(?i)^<!--\s*page:.*-->$')) AS bound, regexp_matches(t, '(?i)^<!--\s*page:.*-->$') AS page FROM u),
+    c AS (SELECT *, last_value(CASE WHEN bound THEN line_no END IGNORE NULLS) OVER w AS head, coalesce(last_value(CASE WHEN bound THEN d END IGNORE NULLS) OVER w, FALSE) AS inside FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+    g AS (SELECT doc_id, head, string_agg(t, ' ' ORDER BY line_no) AS merged FROM c WHERE inside AND NOT page AND t <> '' GROUP BY 1, 2)
+    SELECT c.doc_id, line_no::BIGINT AS line_no, CASE WHEN inside AND line_no = c.head THEN merged ELSE line END AS line FROM c LEFT JOIN g ON c.doc_id = g.doc_id AND c.head = g.head WHERE NOT inside OR line_no = c.head OR page""",
 )(N.merge_continuations)
 
 # Outlines.
@@ -272,17 +277,19 @@ query("note_index", "book_md", r"""--with d AS (SELECT doc_id, line_no, regexp_e
 query(
     "strip_notes_section",
     "book_md",
-    r"""--with b AS (SELECT *, regexp_matches(trim(line), '^\[\^\w+\]:') AS d, NOT (regexp_matches(trim(line), '^\[\^\w+\]:') OR regexp_matches(trim(line), '^(#{1,9}\s|<!--|---$)') OR regexp_matches(trim(line), '(?i)^(?:end)?notes(?: to .*)?$') OR trim(line) = '') AS body FROM lines),
-    r AS (SELECT *, sum(body::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM b), e AS (SELECT *, max(CASE WHEN d THEN line_no END) OVER (PARTITION BY doc_id, run) AS l FROM r)
-    SELECT doc_id, line_no::BIGINT AS line_no, line FROM e WHERE NOT (NOT body AND l IS NOT NULL AND line_no <= l AND trim(line) <> '')""",
+    "--with "
+    + _FURNITURE
+    + """, r AS (SELECT *, sum((NOT (d OR f OR t = ''))::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM u), e AS (SELECT *, max(CASE WHEN d THEN line_no END) OVER (PARTITION BY doc_id, run) AS l FROM r)
+    SELECT doc_id, line_no::BIGINT AS line_no, line FROM e WHERE NOT (f AND NOT d AND line_no <= coalesce(l, -1))""",
 )(N.without_printed_notes)
 query(
     "chapter_breaks",
     "book_md",
     REFS
-    + r""", c AS (SELECT doc_id, g, min(line_no) AS f, max(line_no) AS e FROM rg GROUP BY 1, 2), p AS (SELECT *, lag(e) OVER (PARTITION BY doc_id ORDER BY g) AS b FROM c),
-    h AS (SELECT doc_id, line_no, last_value(CASE WHEN regexp_matches(line, '^#{1,9}\s') THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS head FROM lines)
-    SELECT p.doc_id, g, (CASE WHEN head > b THEN head ELSE f END)::BIGINT AS line_no FROM p JOIN h ON p.doc_id = h.doc_id AND p.f = h.line_no WHERE b IS NOT NULL""",
+    + r""", c AS (SELECT doc_id, g, min(line_no) AS first FROM rg GROUP BY 1, 2), p AS (SELECT *, lag(first) OVER (PARTITION BY doc_id ORDER BY g) AS prev FROM c),
+    k AS (SELECT *, regexp_matches(trim(line), '^#{1,9}[ \t]+\S') AS h, regexp_matches(trim(line), '^#{1,9}[ \t]+\S') OR regexp_matches(trim(line), '(?i)^<!--\s*page:.*-->$') OR trim(line) = '' AS loose FROM lines),
+    q AS (SELECT p.doc_id, g, first, prev, (SELECT max(k.line_no) FROM k WHERE k.doc_id = p.doc_id AND k.h AND k.line_no <= first AND k.line_no > prev) AS near FROM p WHERE prev IS NOT NULL)
+    SELECT doc_id, g, (CASE WHEN near IS NULL THEN first ELSE greatest(prev + 1, 1 + coalesce((SELECT max(k.line_no) FROM k WHERE k.doc_id = q.doc_id AND NOT k.loose AND k.line_no < near), -1)) END)::BIGINT AS line_no FROM q""",
 )(N.chapter_breaks)
 query("parent_heading", "deep_md", HEADS + " SELECT doc_id, line_no::BIGINT AS line_no, coalesce((SELECT max(p.line_no) FROM headings p WHERE p.doc_id = h.doc_id AND p.line_no < h.line_no AND p.level < h.level), -1)::BIGINT AS parent_line FROM headings h")(lambda d: H.parents(H.collect_headings(d)).select("doc_id", "line_no", F.coalesce("parent_line", F.lit(-1)).alias("parent_line")))
 query("heading_chunks", "book_md", HEADS + r""", c AS (SELECT doc_id, line_no, (sum(CASE WHEN regexp_matches(line, '(?i)^\s*<!--\s*page:\s*(\S+)\s*-->') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no))::BIGINT AS chunk_no FROM lines) SELECT h.doc_id, row_number() OVER (PARTITION BY h.doc_id ORDER BY h.line_no) - 1 AS h_no, chunk_no FROM headings h JOIN c ON h.doc_id = c.doc_id AND h.start_line_no = c.line_no""")(H.heading_chunks)
@@ -306,5 +313,6 @@ query("error_categories", "EVENTS", "SELECT event_id, CASE WHEN event_id % 5 = 0
 )
 query("reuse_transcription", "history", " SELECT j.id, d.reuse_id FROM history j JOIN (SELECT source_path, arg_max(id, (converted_at, id)) AS reuse_id FROM history WHERE coalesce(language, '') = '' GROUP BY 1) d USING (source_path) WHERE j.language <> ''")(lambda d: J.reusable(d.filter("language <> ''"), d).filter("reuse_id is not null").select("id", "reuse_id"))
 query("available_models", "models", " SELECT id FROM models WHERE is_free AND context_length IS NOT NULL")(lambda d: J.available_priority(d.filter("is_free"), d.filter("context_length is not null")).select("id"))
-query("note_labels", "book_md", r""" SELECT doc_id, line_no::BIGINT AS line_no FROM lines WHERE regexp_matches(trim(replace(line, '### ', '')), '(?i)^(?:end)?notes(?: to .*)?$|^chapter\s+(?:[ivxlcdm]+|\d+)\b.*$')""")(lambda d: d.filter(V.is_notes_label(F.replace("line", F.lit("### "), F.lit("")))).select("doc_id", "line_no"))
+query("note_labels", "book_md", r""" SELECT doc_id, line_no::BIGINT AS line_no FROM lines WHERE regexp_matches(trim(replace(line, '### ', '')), '(?i)^(end\s*notes|notes)$|^(notes?\s+(to|for)\b.*)$|^chapter\s+[0-9ivxlcdm]+\.?$')""")(lambda d: d.filter(V.is_notes_label(F.replace("line", F.lit("### "), F.lit("")))).select("doc_id", "line_no"))
+query("preview_chunks", "book_md")(FO.preview_chunks)
 query("page_ranges", "ORDERS", "SELECT o_orderkey AS doc_id, b AS batch_no, b * 5 AS start, least(b * 5 + 5, n) AS \"end\" FROM (SELECT o_orderkey, (o_custkey % 23)::BIGINT AS n FROM orders), unnest(range(0, (n + 4) // 5)) t(b)")(lambda d: FI.page_ranges(d.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 23).alias("pages"))))

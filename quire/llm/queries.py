@@ -19,6 +19,24 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    # Every page of the fixture tables marks its article, and its entities are those of XML (titles can be cut before the semicolon).
+    "op1_styletree": r"""
+        WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM pages),
+        d AS (SELECT page_id, url, coalesce(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')), '') AS text FROM a)
+        SELECT page_id, url, text, length(text) AS n_chars FROM d
+    """,
+    # All pairs and a walk along the links: the brute force of the operator, for tables of a few thousand vectors.
+    "op8_projection": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS g FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.g) = len(b.g) AND list_cosine_similarity(a.g, b.g) >= 0.9
+        ), reach(a, c) AS (
+            SELECT a, a FROM (SELECT DISTINCT a FROM l) UNION SELECT l.b, r.c FROM reach r JOIN l ON l.a = r.a WHERE r.c < l.b
+        ), c AS (SELECT a, min(c) AS c FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+        FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN c ON e.vec_id = c.a
+    """,
     # An exact search is a join of the stated query set with all rows; SQL takes it whole.
     "op7_balltree": """
         WITH v AS (

@@ -76,3 +76,40 @@ def blocks(lines: DataFrame) -> DataFrame:
 def preview_chunks(lines: DataFrame, most: int = 50_000) -> DataFrame:
     """(doc_id, chunk_no, text)."""
     return _per_document(lines, lambda x: M.preview_chunks("\n".join(x), most), "array<string>").select("doc_id", F.posexplode("out").alias("chunk_no", "text"))
+
+
+def ocr_texts(pages: DataFrame) -> DataFrame:
+    """(doc_id, text) from (doc_id, index, markdown, header, footer): pages without their header and footer lines, marked with printed page numbers, joined by blank lines."""
+
+    def run(body: pd.Series, header: pd.Series, footer: pd.Series) -> pd.Series:
+        return pd.Series([M.ocr_page(b or "", h, f) for b, h, f in zip(body, header, footer)], dtype=object)
+
+    page = pages.select("doc_id", "index", F.pandas_udf(run, "string")("markdown", "header", "footer").alias("text"))
+    rows = F.sort_array(F.collect_list(F.struct("index", "text")))
+    return page.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n\n").alias("text"))
+
+
+def streamed_texts(pieces: DataFrame) -> DataFrame:
+    """(doc_id, text, error) from (doc_id, seq, piece): streamed answers put together; an error event gives its message."""
+
+    def run(found: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in found:
+            try:
+                out.append((M.sse_text(list(x)), None))
+            except RuntimeError as e:
+                out.append((None, str(e)))
+        return pd.DataFrame(out, columns=["text", "error"])
+
+    rows = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "piece"))).alias("p"))
+    return rows.select("doc_id", F.pandas_udf(run, "text string, error string")("p.piece").alias("r")).select("doc_id", "r.*")
+
+
+def inline_runs(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, run_no, text, bold, italic, sup, sub, brk, note)."""
+
+    def run(text: pd.Series) -> pd.Series:
+        return pd.Series([M.inline_runs(t) for t in text], dtype=object)
+
+    kind = "array<struct<text:string,bold:boolean,italic:boolean,sup:boolean,sub:boolean,brk:boolean,note:string>>"
+    return lines.select("doc_id", "line_no", F.posexplode(F.pandas_udf(run, kind)("line")).alias("run_no", "r")).select("doc_id", "line_no", "run_no", "r.*")

@@ -316,3 +316,28 @@ query("available_models", "models", " SELECT id FROM models WHERE is_free AND co
 query("note_labels", "book_md", r""" SELECT doc_id, line_no::BIGINT AS line_no FROM lines WHERE regexp_matches(trim(replace(line, '### ', '')), '(?i)^(end\s*notes|notes)$|^(notes?\s+(to|for)\b.*)$|^chapter\s+[0-9ivxlcdm]+\.?$')""")(lambda d: d.filter(V.is_notes_label(F.replace("line", F.lit("### "), F.lit("")))).select("doc_id", "line_no"))
 query("preview_chunks", "book_md")(FO.preview_chunks)
 query("page_ranges", "ORDERS", "SELECT o_orderkey AS doc_id, b AS batch_no, b * 5 AS start, least(b * 5 + 5, n) AS \"end\" FROM (SELECT o_orderkey, (o_custkey % 23)::BIGINT AS n FROM orders), unnest(range(0, (n + 4) // 5)) t(b)")(lambda d: FI.page_ranges(d.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 23).alias("pages"))))
+
+# Model answers, pages, tables and moves.
+query("ocr_pages", "book_md")(lambda d: FO.ocr_texts(d.select("doc_id", F.col("line_no").alias("index"), F.concat(F.col("line"), F.lit("\nbody")).alias("markdown"), F.when(F.col("line").startswith("## "), F.concat(F.col("line"), F.lit("\n7"))).alias("header"), F.lit(None).cast("string").alias("footer"))))
+query("sse_decode", "DOCUMENTS", "SELECT doc_id, left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 200) AS text, NULL::VARCHAR AS error FROM documents")(
+    lambda d: FO.streamed_texts(
+        d.select("doc_id", F.left(F.regexp_replace("text", "[^a-zA-Z ]", ""), F.lit(200)).alias("t"))
+        .select("doc_id", F.concat(F.to_json(F.struct(F.array(F.struct(F.struct(F.col("t").alias("content")).alias("delta"))).alias("choices"))), F.lit("\ndata: [DONE]\n")).alias("j"))
+        .select("doc_id", F.posexplode(F.array(F.concat(F.lit("data: "), F.left("j", F.lit(9))), F.substring("j", 10, 1_000_000))).alias("seq", "piece"))
+    )
+)
+query("inline_runs", "book_md")(FO.inline_runs)
+query("table_rows", "book_md", r""" SELECT doc_id, trim(string_split(line, '|')[2]) AS first_cell FROM lines WHERE regexp_matches(line, '^\|.*\|$')""")(lambda d: FO.blocks(d).filter("kind = 'table'").select("doc_id", F.explode(F.from_json("payload", "array<array<string>>")).alias("r")).select("doc_id", F.col("r")[0].alias("first_cell")))
+query("safe_urls", "PAGES", "SELECT page_id, TRUE AS safe FROM pages WHERE regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) IN ('', 'http', 'https')")(lambda d: d.select("page_id", V.is_safe_url(F.col("url")).alias("safe")).filter("safe"))
+query("moved_levels", "deep_md", HEADS + " SELECT doc_id, line_no::BIGINT AS line_no, (CASE WHEN level + 2 BETWEEN 1 AND 9 THEN level + 2 ELSE level END)::BIGINT AS level FROM headings")(lambda d: H.collect_headings(d).select("doc_id", "line_no", V.moved_level(F.col("level"), F.lit(2)).alias("level")))
+query("note_style", "ORDERS", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'footnotes' WHEN 1 THEN 'endnotes' WHEN 2 THEN 'none' ELSE 'unknown' END AS style FROM orders")(
+    lambda d: d.select("o_orderkey", V.note_style(F.concat(F.lit("# x\n note style: "), F.element_at(F.array(*map(F.lit, ("Footnotes", "ENDNOTES", "none", "mixed"))), (F.col("o_orderkey") % 4 + 1).cast("int")))).alias("style"))
+)
+query("outline_block", "ORDERS", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '# A' || chr(10) || o_orderpriority END AS outline FROM orders WHERE o_orderkey % 2 = 0")(
+    lambda d: d.select("o_orderkey", V.outline_block(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("x\n<!-- Document Outline -->\n\n# A\n"), "o_orderpriority", F.lit("\n\n---\nbody\n\n---\n"))).otherwise("none")).alias("outline")).filter("outline is not null")
+)
+query("text_models", "models", " SELECT id FROM models WHERE length(display_name) % 3 <> 1")(
+    lambda d: J.text_models(d.withColumn("modality", F.element_at(F.array(F.lit("text+image->text"), F.lit("text->image"), F.lit(None).cast("string")), (F.length("display_name") % 3 + 1).cast("int")))).select("id")
+)
+query("cached_models", "models", " SELECT id FROM models WHERE 100000000 - coalesce(context_length, 0) * 50000 < 86400000")(lambda d: J.cached_models(d.withColumn("cached_at", F.coalesce("context_length", F.lit(0)) * 50_000), 100_000_000).select("id"))
+query("translated_paths", "history", r""" SELECT id, CASE WHEN coalesce(language, '') = '' THEN source_path ELSE regexp_replace(source_path, '(\.[^./]*)$', '.' || language || '\1') END AS target FROM history""")(lambda d: d.select("id", FI.translated_path("source_path", "language").alias("target")))

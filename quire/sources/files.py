@@ -32,7 +32,7 @@ def page_ranges(docs: DataFrame, size: int = 5) -> DataFrame:
 
 def translated_path(path: str, language: str):
     """The path with the language before its extension."""
-    return F.when(F.coalesce(F.col(language), F.lit("")) == "", F.col(path)).otherwise(F.regexp_replace(F.col(path), F.lit(r"(\.[^./]*)?\z"), F.concat(F.lit("."), F.col(language), F.lit("$1"))))
+    return F.when(F.coalesce(F.col(language), F.lit("")) == "", F.col(path)).otherwise(F.regexp_replace(F.col(path), F.lit(r"^(.*?)(\.[^./]*)?\z"), F.concat(F.lit("$1."), F.col(language), F.lit("$2"))))
 
 
 def save_formats(df: DataFrame, path: str, formats: dict) -> list[tuple[str, str | None]]:

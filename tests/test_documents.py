@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quire.functions import markdown as M
 from quire.functions import text as X
@@ -161,3 +162,33 @@ def test_incremental_batches(spark, tmp_path):
     assert out.count() == 3
     assert {(r.batch_no, r.text) for r in latest(out, "doc_id", "batch_no").collect()} == {(0, "a"), (1, "c")}
     assert progress(out, spark.createDataFrame([(1, 3), (2, 1)], "doc_id long, total long")).orderBy("doc_id").first().percent == 67
+
+
+def test_values(spark):
+    from quire.functions import values as V
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc2\x00\x0b\x08" + (30).to_bytes(2, "big") + (40).to_bytes(2, "big") + b"\x00" * 4
+    df = spark.createDataFrame([(png,), (jpeg,), (b"GIF",), (None,)], "content binary")
+    assert [tuple(r.s) for r in df.select(V.image_size("content").alias("s")).collect()] == [(640, 480), (40, 30), (None, None), (None, None)]
+    one = spark.createDataFrame([("a&amp;lt;b", "12_2", "**A** `b` [c](d) _e_", "javascript:x")], "a string, b string, c string, d string")
+    r = one.select(V.decode_entities(F.col("a")), V.shown_label(F.col("b")), V.plain_label(F.col("c")), V.is_safe_url(F.col("d"))).first()
+    assert tuple(r) == ("a<b", "12", "A b c e", False)
+    head = spark.createDataFrame([('---\na: "x: y"\nb: 1\na: z\nbad\n---\nbody',), ("none",)], "t string")
+    assert [x[0] for x in head.select(V.frontmatter_map(F.col("t"))).collect()] == [{"a": "z", "b": "1"}, {}]
+    assert M.frontmatter('---\na: "x: y"\nb: 1.5\n---\nbody') == ({"a": "x: y", "b": 1.5}, "body")
+
+
+def test_files(spark, tmp_path):
+    from quire.sources import files
+
+    (tmp_path / "a.md").write_text("# A\n")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF")
+    (tmp_path / "s.json").write_text('{"id": "1"')
+    assert [r.text for r in files.markdown_files(spark, str(tmp_path)).collect()] == ["# A\n"]
+    assert files.pdf_files(spark, str(tmp_path)).count() == 1
+    assert files.json_state(spark, str(tmp_path / "s.json"), "id string").first().id in (None, "1")
+    ranges = files.page_ranges(spark.createDataFrame([(1, 7), (2, 0)], "doc_id long, pages int"), 5)
+    assert [tuple(r) for r in ranges.orderBy("start").collect()] == [(1, 0, 0, 5), (1, 1, 5, 7)]
+    done = files.save_formats(spark.range(3), str(tmp_path / "out"), {"json": lambda d, p: d.write.json(p), "bad": lambda d, p: 1 / 0})
+    assert done == [("json", None), ("bad", "division by zero")] and spark.read.json(str(tmp_path / "out/json")).count() == 3

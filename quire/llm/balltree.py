@@ -151,8 +151,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20, id_col: str = "vec_id
     shard first; the kth score found there goes with it to all other shards, whose trees prune against it from
     the start. Queries stream through a shard's task in batches, with one copy of the shard for each query_rows
     queries. Vectors that are null, empty or hold null or non-finite components take no part; vectors of
-    different lengths are not compared. A repeated id is a row of its own among candidates, but rows with a
-    query's id are never its answers. Fewer than k candidates: all of them. Empty table: no rows.
+    different lengths are not compared. A repeated id is a row of its own among candidates; as a query it asks with
+    the smallest of its vectors (by bytes), and rows with its id are never its answers. Fewer than k candidates: all of them. Empty table: no rows.
     """
     spark = vectors.sparkSession
     small_batches(spark, 4000)
@@ -165,7 +165,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20, id_col: str = "vec_id
     base = all_rows.withColumn("home", spot)
     cell = lambda s, g: F.concat_ws("/", "dim", s, g)
     cands = base.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(cell("home", "g").alias("cell"), F.lit(0).alias("kind"), "id", "raw", F.lit(None).cast("double").alias("floor"), "dim")
-    queries = base.filter(F.col("id") % every == 0).dropDuplicates(["id"])
+    queries = base.filter(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("raw", "dim", "home")).alias("q")).select("id", "q.*")
 
     def scan(asked: DataFrame) -> DataFrame:
         rows = cands.unionByName(asked).repartition(max(2, min(shards * groups, 4000)), "cell").sortWithinPartitions("cell", "kind", "id")

@@ -143,3 +143,16 @@ def heading_chunks(lines: DataFrame) -> DataFrame:
     chunk = F.sum(F.col("line").rlike(T.PAGE).cast("int")).over(by_line())
     seen = with_headings(lines).withColumn("chunk_no", chunk).filter("h_level is not null")
     return seen.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")) - 1).alias("h_no"), "chunk_no")
+
+
+def marker_coverage(lines: DataFrame, totals: DataFrame) -> DataFrame:
+    """(doc_id, markers, total, short): page markers found against the pages a document has; totals(doc_id, total)."""
+    found = lines.groupBy("doc_id").agg(F.count_if(F.col("line").rlike(T.PAGE)).alias("markers"))
+    return found.join(totals, "doc_id").select("doc_id", "markers", "total", (F.col("markers") < F.col("total")).alias("short"))
+
+
+def clean_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, headings_before, headings_after, lines_removed) of a clean-up."""
+    count = lambda d, n: with_headings(d).groupBy("doc_id").agg(F.count("h_level").alias(f"headings_{n}"), F.count("*").alias(n))
+    both = count(before, "before").join(count(after, "after"), "doc_id", "left").fillna(0)
+    return both.select("doc_id", "headings_before", "headings_after", (F.col("before") - F.col("after")).alias("lines_removed"))

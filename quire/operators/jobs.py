@@ -130,3 +130,24 @@ def migrated(settings: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Settings with each missing or null field at its default."""
     have = set(settings.columns)
     return settings.select(*[(F.coalesce(F.col(k), F.lit(v)) if k in have else F.lit(v)).alias(k) for k, v in defaults.items()], *[c for c in settings.columns if c not in defaults])
+
+
+def rehydrated(jobs: DataFrame, progress: DataFrame, files: DataFrame) -> DataFrame:
+    """The queue after a restart: unfinished jobs with their progress(id, done), if their file still is there or some progress is."""
+    known = files.select("file_name").distinct().withColumn("there", F.lit(True))
+    both = queue_snapshot(jobs).join(progress, "id", "left").join(known, "file_name", "left")
+    return both.filter(F.col("there").isNotNull() | F.col("done").isNotNull()).drop("there")
+
+
+def with_history(files: DataFrame, history: DataFrame) -> DataFrame:
+    """Adds earlier: the number of history entries with the file's key."""
+    known = history.groupBy(history_key().alias("k")).agg(F.count("*").alias("n"))
+    return files.withColumn("k", history_key()).join(known, "k", "left").withColumn("earlier", F.coalesce("n", F.lit(0))).drop("k", "n")
+
+
+def moved(queue: DataFrame, source: int, target: int) -> DataFrame:
+    """(id, job_id, place): each job's entries in time order, the one at place source moved to target."""
+    w = W.partitionBy("job_id")
+    at = queue.withColumn("at", F.row_number().over(w.orderBy("ts", "id")))
+    key = F.when(F.col("at") == source, target + (0.5 if source < target else -0.5)).otherwise(F.col("at"))
+    return at.withColumn("key", key).select("id", "job_id", F.row_number().over(w.orderBy("key")).alias("place"))

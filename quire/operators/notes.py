@@ -172,3 +172,10 @@ def chapter_breaks(lines: DataFrame) -> DataFrame:
     before = F.lag("first").over(W.partitionBy("doc_id").orderBy("g"))
     spots = refs.withColumn("before", before).filter("before is not null").join(seen.select("doc_id", F.col("line_no").alias("first"), "near"), ["doc_id", "first"])
     return spots.select("doc_id", "g", F.when(F.col("near.line_no") > F.col("before"), F.greatest(F.col("near.top"), F.col("before") + 1)).otherwise(F.col("first")).alias("line_no"))
+
+
+def restarts(lines: DataFrame) -> DataFrame:
+    """(doc_id, restarts): whether a definition at the start of a line has a smaller number than the one before it."""
+    found = lines.select("doc_id", "line_no", F.regexp_extract("line", r"^\[\^(\d+)\]:", 1).alias("n")).filter("n <> ''").withColumn("n", F.col("n").cast("int"))
+    drop = F.col("n") < F.lag("n").over(W.partitionBy("doc_id").orderBy("line_no"))
+    return found.withColumn("drop", F.coalesce(drop, F.lit(False))).groupBy("doc_id").agg(F.bool_or("drop").alias("restarts"))

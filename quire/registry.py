@@ -20,6 +20,7 @@ from quire.operators import outline as O
 from quire.sources import files as FI
 from quire.sources import providers as P
 from quire.sources.corpora import CORPORA, corpus
+from quire.streaming import batches as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,6 +62,13 @@ h1 AS (SELECT *, coalesce(lead(hashes) OVER w, 0) AS nh, lead(title) OVER w AS n
 headings AS (SELECT doc_id, line_no + 1 AS line_no, line_no AS start_line_no, meta::INT AS level, nt AS text, nh AS md_level FROM h1 WHERE meta <> '' AND nh BETWEEN 1 AND 6
     UNION ALL SELECT doc_id, line_no, line_no, hashes, title, least(hashes, 6) FROM h1 WHERE hashes > 0 AND NOT (pm <> '' AND hashes <= 6))"""
 )
+NORMAL = (
+    HEADS
+    + """, o AS (SELECT doc_id, line_no, 0 AS sub, CASE WHEN meta <> '' AND nh > 0 THEN '<!-- heading-level: ' || meta || ' -->' WHEN hashes > 6 THEN '<!-- heading-level: ' || hashes::VARCHAR || ' -->' ELSE line END AS line FROM h1 WHERE NOT (pm <> '' AND hashes > 0)
+    UNION ALL SELECT doc_id, line_no, 1, '###### ' || CASE WHEN meta <> '' THEN nt ELSE title END FROM h1 WHERE NOT (pm <> '' AND hashes > 0) AND ((meta <> '' AND nh > 0) OR hashes > 6))"""
+)
+SECTIONS = """, s AS (SELECT l.doc_id, l.line_no, l.line, count(h.line_no) OVER w AS section_no, h.level, h.text, last_value(h.line_no IGNORE NULLS) OVER w AS upto FROM lines l LEFT JOIN headings h ON l.doc_id = h.doc_id AND l.line_no = h.start_line_no WINDOW w AS (PARTITION BY l.doc_id ORDER BY l.line_no)),
+    g AS (SELECT doc_id, section_no, coalesce(max(level), 0)::BIGINT AS level, max(text) AS heading, coalesce(regexp_replace(string_agg(line, chr(10) ORDER BY line_no) FILTER (line_no > coalesce(upto, -1)), '^\\s+|\\s+$', '', 'g'), '') AS content FROM s GROUP BY 1, 2)"""
 SER = "CASE WHEN level <= 6 THEN repeat('#', level::INT) || ' ' || text ELSE '<!-- heading-level: ' || level::VARCHAR || ' -->' || chr(10) || '###### ' || text END"
 REFS = r"""--with f AS (SELECT *, regexp_matches(line, '^\s*```') AS isf FROM lines),
 m AS (SELECT *, isf OR (sum(CASE WHEN isf THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no)) % 2 = 1 AS masked FROM f),
@@ -92,23 +100,15 @@ query("fence_mask", "deep_md", FENCES + " SELECT doc_id, line_no::BIGINT AS line
 query("collect_headings", "deep_md", HEADS + " SELECT doc_id, line_no::BIGINT AS line_no, start_line_no::BIGINT AS start_line_no, level::BIGINT AS level, text, md_level::BIGINT AS md_level FROM headings")(H.collect_headings)
 query("heading_levels", "deep_md", HEADS + " SELECT level::BIGINT AS level, count(*) AS n FROM headings GROUP BY 1")(lambda d: H.collect_headings(d).groupBy("level").agg(F.count("*").alias("n")))
 query("structural_report", "deep_md", HEADS + ", j AS (SELECT *, level > lag(level) OVER (PARTITION BY doc_id ORDER BY line_no) + 1 AS jump FROM headings) SELECT doc_id, count(*) AS headings, count(*) FILTER (jump) AS jumps, max(level)::BIGINT AS deepest FROM j GROUP BY 1")(lambda d: H.structural_report(H.collect_headings(d)))
-query(
-    "normalize_syntax",
-    "deep_md",
-    HEADS
-    + """, o AS (SELECT doc_id, line_no, 0 AS sub, CASE WHEN meta <> '' AND nh > 0 THEN '<!-- heading-level: ' || meta || ' -->' WHEN hashes > 6 THEN '<!-- heading-level: ' || hashes::VARCHAR || ' -->' ELSE line END AS line FROM h1 WHERE NOT (pm <> '' AND hashes > 0)
-    UNION ALL SELECT doc_id, line_no, 1, '###### ' || CASE WHEN meta <> '' THEN nt ELSE title END FROM h1 WHERE NOT (pm <> '' AND hashes > 0) AND ((meta <> '' AND nh > 0) OR hashes > 6))
-    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, sub) - 1 AS line_no, line FROM o""",
-)(H.normalize_syntax)
+query("normalize_syntax", "deep_md", NORMAL + " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, sub) - 1 AS line_no, line FROM o")(H.normalize_syntax)
 query("trailing_headings", "chat_md", HEADS + f", b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS back FROM headings) SELECT doc_id, string_agg({SER}, chr(10) ORDER BY line_no) AS context FROM b WHERE back <= 5 GROUP BY 1")(lambda d: H.trailing_headings(H.collect_headings(d)))
 query("page_of_line", "book_md", r" SELECT doc_id, line_no::BIGINT AS line_no, last_value(nullif(regexp_extract(line, '(?i)^\s*<!--\s*page:\s*(\S+)\s*-->', 1), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS page FROM lines")(lambda d: H.carry_pages(d).select("doc_id", "line_no", "page"))
 query(
     "sections",
     "book_md",
     HEADS
-    + """, s AS (SELECT l.doc_id, l.line_no, l.line, count(h.line_no) OVER w AS section_no, h.level, h.text, last_value(h.line_no IGNORE NULLS) OVER w AS upto FROM lines l LEFT JOIN headings h ON l.doc_id = h.doc_id AND l.line_no = h.start_line_no WINDOW w AS (PARTITION BY l.doc_id ORDER BY l.line_no)),
-    g AS (SELECT doc_id, section_no, coalesce(max(level), 0)::BIGINT AS level, max(text) AS heading, coalesce(regexp_replace(string_agg(line, chr(10) ORDER BY line_no) FILTER (line_no > coalesce(upto, -1)), '^\\s+|\\s+$', '', 'g'), '') AS content FROM s GROUP BY 1, 2)
-    SELECT * FROM g WHERE section_no > 0 OR content <> ''""",
+    + SECTIONS
+    + " SELECT * FROM g WHERE section_no > 0 OR content <> ''",
 )(H.sections)
 query(
     "chunk_offsets",
@@ -236,7 +236,17 @@ query("toc_drop", "toc_md", r""" SELECT doc_id::BIGINT AS doc_id, row_number() O
 query("dedupe_headings", "chat_md", REPEATS)(FO.drop_repeated_headings)
 query("flatten_outline", "outline_md", r"""--with o AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '^#+ ') THEN repeat('  ', length(regexp_extract(line, '^(#+) ', 1)) - 1) || '- ' || regexp_extract(line, '^#+ (.*)$', 1) ELSE line END AS line FROM lines UNION ALL SELECT DISTINCT doc_id, -1, '<!-- Document Outline -->' FROM lines) SELECT doc_id, line_no::BIGINT + 1 AS line_no, line FROM o""")(lambda d: FO.flatten_outline(d.unionByName(d.select("doc_id", F.lit(-1).alias("line_no"), F.lit("<!-- Document Outline -->").alias("line")).distinct())))
 query("clean_headings", "chat_md", REPEATS)(FO.clean_headings)
-query("pack_correct", "chat_md")(lambda d: FO.correction_ranges(d, 200))
+query(
+    "pack_correct",
+    "book_md",
+    r""" SELECT doc_id, chunk_no, start, "end" FROM (WITH RECURSIVE t AS (SELECT doc_id, line_no, trim(line) = '' AS blank, CASE WHEN line = '' THEN 0 ELSE len(regexp_split_to_array(line, '\s+')) END AS words, max(line_no) OVER (PARTITION BY doc_id) AS top FROM lines),
+    r(doc_id, line_no, start, words, cut, top) AS (
+        SELECT doc_id, line_no, 0, words, words >= 200 AND blank, top FROM t WHERE line_no = 0
+        UNION ALL SELECT t.doc_id, t.line_no, CASE WHEN cut THEN t.line_no ELSE r.start END, CASE WHEN cut THEN 0 ELSE r.words END + t.words, CASE WHEN cut THEN 0 ELSE r.words END + t.words >= 200 AND blank, r.top
+        FROM r JOIN t ON t.doc_id = r.doc_id AND t.line_no = r.line_no + 1
+    )
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_no, start::BIGINT AS start, (line_no + 1)::BIGINT AS "end" FROM r WHERE cut OR line_no = top)""",
+)(lambda d: FO.correction_ranges(d, 200))
 query("pack_translate", "DOCUMENTS")(lambda d: FO.translate_chunks(d).select("doc_id", "chunk_no", F.char_length("text").alias("chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32")))
 query("translate_stub", "DOCUMENTS")(lambda d: P.translate(FO.translate_chunks(d), "Latin", ["m1", "m2"]).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32")))
 query("rename_labels_exact", "book_md")(lambda d: FO.rename_labels(H.join_lines(d.withColumn("doc_id", F.struct("doc_id", F.floor(F.col("line_no") / 20).alias("batch_no")))).select("doc_id.*", "text")))
@@ -270,7 +280,11 @@ query("retry_schedule", "models", " SELECT k AS attempt, (['a', 'b'])[((k - 1) /
 query("file_joins", ("history", "joblog"), " SELECT count(DISTINCT h.file_name) AS known FROM history h SEMI JOIN (SELECT 'file ' || job_id || '.pdf' AS f FROM joblog) j ON h.file_name = j.f")(
     lambda h, j: h.join(j.select(F.concat(F.lit("file "), "job_id", F.lit(".pdf")).alias("file_name")), "file_name", "left_semi").agg(F.countDistinct("file_name").alias("known"))
 )
-query("json_export", "book_md")(lambda d: EX.json_export(d).select("doc_id", F.char_length("json").alias("chars"), F.crc32(F.col("json").cast("binary")).alias("json_crc32")))
+query(
+    "json_export",
+    "book_md",
+    HEADS + SECTIONS + """ SELECT doc_id, to_json({'sections': list({'level': level, 'heading': heading, 'content': content} ORDER BY section_no)})::VARCHAR AS json FROM g WHERE section_no > 0 OR content <> '' GROUP BY 1""",
+)(EX.json_export)
 query("docx_bytes", "book_md")(lambda d: EX.docx(d).select("doc_id", F.octet_length("content").alias("bytes")))
 query("html_export", "chat_md")(lambda d: EX.html_export(d).select("doc_id", F.crc32(F.col("html").cast("binary")).alias("html_crc32")))
 
@@ -317,19 +331,29 @@ query("error_categories", "EVENTS", "SELECT event_id, CASE WHEN event_id % 5 = 0
 query("reuse_transcription", "history", " SELECT j.id, d.reuse_id FROM history j JOIN (SELECT source_path, arg_max(id, (converted_at, id)) AS reuse_id FROM history WHERE coalesce(language, '') = '' GROUP BY 1) d USING (source_path) WHERE j.language <> ''")(lambda d: J.reusable(d.filter("language <> ''"), d).filter("reuse_id is not null").select("id", "reuse_id"))
 query("available_models", "models", " SELECT id FROM models WHERE is_free AND context_length IS NOT NULL")(lambda d: J.available_priority(d.filter("is_free"), d.filter("context_length is not null")).select("id"))
 query("note_labels", "book_md", r""" SELECT doc_id, line_no::BIGINT AS line_no FROM lines WHERE regexp_matches(trim(replace(line, '### ', '')), '(?i)^(end\s*notes|notes)$|^(notes?\s+(to|for)\b.*)$|^chapter\s+[0-9ivxlcdm]+\.?$')""")(lambda d: d.filter(V.is_notes_label(F.replace("line", F.lit("### "), F.lit("")))).select("doc_id", "line_no"))
-query("preview_chunks", "book_md")(FO.preview_chunks)
+query(
+    "preview_chunks",
+    "book_md",
+    r"""--with c AS (SELECT *, sum(CASE WHEN line LIKE '<!-- page:%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS k, max(line_no) OVER (PARTITION BY doc_id) AS top FROM lines)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS chunk_no, string_agg(line, chr(10) ORDER BY line_no) || CASE WHEN max(line_no) < max(top) THEN chr(10) ELSE '' END AS text FROM c GROUP BY doc_id, k""",
+)(FO.preview_chunks)
 query("page_ranges", "ORDERS", "SELECT o_orderkey AS doc_id, b AS batch_no, b * 5 AS start, least(b * 5 + 5, n) AS \"end\" FROM (SELECT o_orderkey, (o_custkey % 23)::BIGINT AS n FROM orders), unnest(range(0, (n + 4) // 5)) t(b)")(lambda d: FI.page_ranges(d.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 23).alias("pages"))))
 
 # Model answers, pages, tables and moves.
 query("ocr_pages", "book_md")(lambda d: FO.ocr_texts(d.select("doc_id", F.col("line_no").alias("index"), F.concat(F.col("line"), F.lit("\nbody")).alias("markdown"), F.when(F.col("line").startswith("## "), F.concat(F.col("line"), F.lit("\n7"))).alias("header"), F.lit(None).cast("string").alias("footer"))))
-query("sse_decode", "DOCUMENTS", "SELECT doc_id, left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 200) AS text, NULL::VARCHAR AS error FROM documents")(
+query("sse_decode", "DOCUMENTS", "SELECT doc_id, text, NULL::VARCHAR AS error FROM documents")(
     lambda d: FO.streamed_texts(
-        d.select("doc_id", F.left(F.regexp_replace("text", "[^a-zA-Z ]", ""), F.lit(200)).alias("t"))
-        .select("doc_id", F.concat(F.to_json(F.struct(F.array(F.struct(F.struct(F.col("t").alias("content")).alias("delta"))).alias("choices"))), F.lit("\ndata: [DONE]\n")).alias("j"))
-        .select("doc_id", F.posexplode(F.array(F.concat(F.lit("data: "), F.left("j", F.lit(9))), F.substring("j", 10, 1_000_000))).alias("seq", "piece"))
+        d.select("doc_id", F.concat(F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))), F.lit("\ndata: [DONE]\n")).alias("j"))
+        .select("doc_id", F.posexplode(F.array(F.concat(F.lit("data: "), F.left("j", F.lit(9))), F.substr("j", F.lit(10)))).alias("seq", "piece"))
     )
 )
-query("inline_runs", "book_md")(FO.inline_runs)
+query(
+    "inline_runs",
+    "book_md",
+    r"""--with p AS (SELECT doc_id, line_no, list_filter(string_split(regexp_replace(line, '(\[\^\w+\])', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM lines),
+    q AS (SELECT doc_id, line_no, CASE WHEN len(p) = 0 THEN [''] ELSE p END AS p FROM p), r AS (SELECT doc_id, line_no, s - 1 AS run_no, p[s] AS t, regexp_extract(p[s], '^\[\^(\w+)\]$', 1) AS note FROM q, unnest(range(1, len(p) + 1)) u(s))
+    SELECT doc_id, line_no::BIGINT AS line_no, run_no, CASE WHEN note = '' THEN t ELSE '' END AS text, FALSE AS bold, FALSE AS italic, FALSE AS sup, FALSE AS sub, FALSE AS brk, nullif(note, '') AS note FROM r""",
+)(FO.inline_runs)
 query("table_rows", "book_md", r""" SELECT doc_id, trim(string_split(line, '|')[2]) AS first_cell FROM lines WHERE regexp_matches(line, '^\|.*\|$')""")(lambda d: FO.blocks(d).filter("kind = 'table'").select("doc_id", F.explode(F.from_json("payload", "array<array<string>>")).alias("r")).select("doc_id", F.col("r")[0].alias("first_cell")))
 query("safe_urls", "PAGES", "SELECT page_id, TRUE AS safe FROM pages WHERE regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) IN ('', 'http', 'https')")(lambda d: d.select("page_id", V.is_safe_url(F.col("url")).alias("safe")).filter("safe"))
 query("moved_levels", "deep_md", HEADS + " SELECT doc_id, line_no::BIGINT AS line_no, (CASE WHEN level + 2 BETWEEN 1 AND 9 THEN level + 2 ELSE level END)::BIGINT AS level FROM headings")(lambda d: H.collect_headings(d).select("doc_id", "line_no", V.moved_level(F.col("level"), F.lit(2)).alias("level")))
@@ -344,3 +368,65 @@ query("text_models", "models", " SELECT id FROM models WHERE length(display_name
 )
 query("cached_models", "models", " SELECT id FROM models WHERE 100000000 - coalesce(context_length, 0) * 50000 < 86400000")(lambda d: J.cached_models(d.withColumn("cached_at", F.coalesce("context_length", F.lit(0)) * 50_000), 100_000_000).select("id"))
 query("translated_paths", "history", r""" SELECT id, CASE WHEN coalesce(language, '') = '' THEN source_path ELSE regexp_replace(source_path, '(\.[^./]*)$', '.' || language || '\1') END AS target FROM history""")(lambda d: d.select("id", FI.translated_path("source_path", "language").alias("target")))
+
+# Values, labels and bookkeeping that the queries above leave out.
+query("has_endnotes", "ORDERS", "SELECT o_orderkey, o_orderkey % 3 = 0 AS endnotes FROM orders")(
+    lambda d: d.select("o_orderkey", V.has_endnotes(F.concat(F.lit("---\ntitle: x\nnotes: "), F.element_at(F.array(F.lit('"endnotes"'), F.lit("footnotes"), F.lit("none")), (F.col("o_orderkey") % 3 + 1).cast("int")), F.lit("\n---\n"))).alias("endnotes"))
+)
+query("printed_page", "PART", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN (p_partkey % 10000)::VARCHAR WHEN p_partkey % 3 = 1 THEN 'xiv' END AS label FROM part")(
+    lambda d: d.select(
+        "p_partkey",
+        X.printed_page(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), (F.col("p_partkey") % 10000).cast("string"))).otherwise(F.col("p_name")), F.when(F.col("p_partkey") % 3 == 1, "xiv ").otherwise(F.col("p_type"))).alias("label"),
+    )
+)
+query("title_of_file", "PART", "SELECT p_partkey, p_name || ' ' || p_brand || ' — ' || p_size::VARCHAR AS title FROM part")(
+    lambda d: d.select("p_partkey", X.title_of_file(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("__"), "p_brand", F.lit(" - "), F.col("p_size").cast("string"), F.lit(".PDF"))).alias("title"))
+)
+query("decode_entities", "PAGES", "SELECT page_id, replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"') AS html FROM pages")(lambda d: d.select("page_id", V.decode_entities(F.col("html")).alias("html")))
+query("shown_label", "LINEITEM", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, 'n_' || l_suppkey::VARCHAR || 'a' AS label, count(*) AS n FROM lineitem GROUP BY ALL")(
+    lambda d: d.select("l_orderkey", "l_linenumber", V.shown_label(F.concat(F.lit("n_"), F.col("l_suppkey").cast("string"), F.lit("a_"), F.col("l_linenumber").cast("string"))).alias("label")).groupBy("l_orderkey", "l_linenumber", "label").agg(F.count("*").alias("n"))
+)
+query("plain_label", "PART", "SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type AS label FROM part")(
+    lambda d: d.select("p_partkey", V.plain_label(F.concat(F.lit(" **"), "p_name", F.lit("** `"), "p_brand", F.lit("` ["), "p_type", F.lit("](#a) "))).alias("label"))
+)
+query("price_projection", "models", " SELECT id, context_length * 0.5::DOUBLE AS per_million, is_free FROM models")(
+    lambda d: d.select("id", V.price_per_million(F.col("context_length") * F.lit(0.5) / 1_000_000).alias("p"), "is_free").select("id", F.round("p", 3).alias("per_million"), "is_free")
+)
+query("printed_numbering", "book_md", r""" SELECT doc_id, coalesce(bool_or(n < p), FALSE) AS restarts FROM (SELECT doc_id, n, lag(n) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM (
+    SELECT doc_id, line_no, regexp_extract(line, '^\[\^(\d+)\]:', 1)::INT AS n FROM lines WHERE regexp_matches(line, '^\[\^(\d+)\]:'))) GROUP BY 1""")(N.restarts)
+query("marker_coverage", ("book_md", "ORDERS"), r""" SELECT doc_id, markers, total, markers < total AS short FROM (SELECT doc_id, count(*) FILTER (regexp_matches(line, '(?i)^\s*<!--\s*page:\s*(\S+)\s*-->')) AS markers FROM lines GROUP BY 1)
+    JOIN (SELECT o_custkey AS doc_id, count(*) + max(o_orderkey % 2) AS total FROM orders GROUP BY 1) USING (doc_id)""")(
+    lambda d, o: H.marker_coverage(d, o.groupBy(F.col("o_custkey").alias("doc_id")).agg((F.count("*") + F.max(F.col("o_orderkey") % 2)).alias("total")))
+)
+query("clean_delta", "chat_md", HEADS + """, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id, level, trim(text) ORDER BY line_no) AS k FROM headings)
+    SELECT doc_id, count(*) AS headings_before, count(*) FILTER (k = 1) AS headings_after, count(*) FILTER (k > 1) AS lines_removed FROM s GROUP BY 1""")(lambda d: H.clean_delta(d, FO.clean_headings(d)))
+query("command_stats", "commands", "--with " + _COMMANDS + " SELECT doc_id, action, count(*) AS n FROM a WHERE action IN ('retitle', 'relevel', 'merge', 'demote', 'promote', 'insert') AND line >= 1 AND (action NOT IN ('relevel', 'promote', 'insert') OR level BETWEEN 1 AND 9) AND (action NOT IN ('retitle', 'insert') OR text IS NOT NULL) GROUP BY 1, 2")(
+    lambda d: E.parse_commands(d).groupBy("doc_id", "action").agg(F.count("*").alias("n"))
+)
+query("model_sets", "models", " SELECT id, CASE WHEN stage_model = provider_model THEN concat_ws('|', stage_model, id) ELSE concat_ws('|', stage_model, id, provider_model) END AS both_lists, CASE WHEN provider_model = stage_model THEN '' ELSE provider_model END AS left_over FROM models")(
+    lambda d: d.select("id", F.array_join(F.array_distinct(F.array("stage_model", "id", "stage_model", "provider_model")), "|").alias("both_lists"), F.array_join(F.array_except(F.array("provider_model", "id"), F.array("id", "stage_model")), "|").alias("left_over"))
+)
+query("rehydrated_queue", ("joblog", "history"), """ SELECT j.id, CASE WHEN j.level = 'error' THEN 'queued' ELSE 'interrupted' END AS status, h.done FROM joblog j
+    LEFT JOIN (SELECT id, max(total_pages) AS done FROM history GROUP BY 1) h USING (id) WHERE j.level IN ('error', 'warn') AND (j.file_name LIKE 'book-1%' OR h.done IS NOT NULL)""")(
+    lambda j, h: J.rehydrated(
+        j.select("id", "file_name", F.when(F.col("level") == "error", "error").when(F.col("level") == "warn", "converting").otherwise("done").alias("status")),
+        h.groupBy("id").agg(F.max("total_pages").alias("done")),
+        j.filter("file_name like 'book-1%'").select("file_name").distinct(),
+    ).select("id", "status", "done")
+)
+query("files_in_history", "history", f""" SELECT h.id, coalesce(k.n, 0) AS earlier FROM history h LEFT JOIN (SELECT {KEY} AS k, count(*) AS n FROM history WHERE id::BIGINT % 4 = 0 GROUP BY 1) k ON {KEY.replace('source_path', 'h.source_path').replace('language', 'h.language')} = k.k WHERE h.id::BIGINT % 4 <> 0""")(
+    lambda d: J.with_history(d.filter("cast(id as bigint) % 4 <> 0"), d.filter("cast(id as bigint) % 4 = 0")).select("id", "earlier")
+)
+query("queue_moves", "joblog", " SELECT id, job_id, row_number() OVER (PARTITION BY job_id ORDER BY CASE WHEN event_place = 1 THEN 3.5 ELSE event_place END) AS place FROM (SELECT id, job_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, id) AS event_place FROM joblog)")(lambda d: J.moved(d, 1, 3))
+query("settings_migrated", "models", " SELECT id, coalesce(context_length, 4096) AS context_length, 5::BIGINT AS pages_per_batch FROM models")(lambda d: J.migrated(d.select("id", "context_length"), {"context_length": 4096, "pages_per_batch": 5}).select("id", "context_length", F.col("pages_per_batch").cast("long").alias("pages_per_batch")))
+query("new_jobs", "history", " SELECT file_name, source_path, 'queued' AS status, 0::BIGINT AS progress, TRUE AS fresh FROM history")(lambda d: J.new_jobs(d).select("file_name", "source_path", "status", "progress", (F.col("error").isNull() & (F.length("id") == 36)).alias("fresh")))
+query("image_sizes", "PART", "SELECT p_partkey, p_size::BIGINT AS width, (p_partkey % 60000)::BIGINT AS height FROM part")(
+    lambda d: d.select("p_partkey", V.image_size(F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), F.unhex(F.lpad(F.hex(F.col("p_size").cast("long")), 8, "0")), F.unhex(F.lpad(F.hex(F.col("p_partkey") % 60000), 8, "0")))).alias("s")).select("p_partkey", "s.width", "s.height")
+)
+query("batch_progress", ("LINEITEM", "ORDERS"), "SELECT o_orderkey AS doc_id, done, total, floor(done * 100 / total + 0.5)::BIGINT AS percent FROM (SELECT o_orderkey, 8::BIGINT AS total FROM orders) JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber) AS done FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey UNION ALL SELECT o_orderkey, 0, 8, 0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")(
+    lambda li, o: B.progress(li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("batch_no")), o.select(F.col("o_orderkey").alias("doc_id"), F.lit(8).cast("long").alias("total")))
+)
+query("latest_results", "EVENTS", "SELECT user_id AS doc_id, event_type AS batch_no, max(event_id) AS epoch FROM events GROUP BY 1, 2")(lambda d: B.latest(d.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("batch_no"), F.col("event_id").alias("epoch")), "doc_id", "batch_no"))
+query("page_label_order", "CUSTOMER", "SELECT c_custkey, c_custkey % 89 + 1 AS first_page, c_custkey % 89 + 11 AS last_page FROM customer")(
+    lambda d: d.select("c_custkey", V.ordered_labels(F.array(*[(F.col("c_custkey") % 89 + k).cast("string") for k in (11, 1, 9)])).alias("p")).select("c_custkey", F.col("p")[0].cast("long").alias("first_page"), F.element_at("p", -1).cast("long").alias("last_page"))
+)

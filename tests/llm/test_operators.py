@@ -323,3 +323,19 @@ def test_vector_links_against_brute_force(spark):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(500, 505))
     assert projection.near_duplicates(vectors(spark, rows[:0])).count() == 0
     assert projection.passes_for(10**9) > projection.passes_for(10**5)
+
+
+@pytest.mark.parametrize("least", [projection.TILE_LEAST, 700])
+def test_links_of_a_large_component_by_tiles(spark, monkeypatch, least):
+    monkeypatch.setattr(projection, "TILE_LEAST", least)
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal(16) + 0.25 * rng.standard_normal((1500, 16))
+    x = np.concatenate((x, x[:3])).astype(np.float32)
+    y = x.astype(np.float64)
+    y /= np.sqrt((y**2).sum(1, keepdims=True))
+    links = y @ y.T >= 0.9
+    np.fill_diagonal(links, False)
+    got = {r.vec_id: r for r in projection.near_duplicates(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    held = [i for i in range(len(x)) if got[i].component_id == 0]
+    assert len(held) > 1400
+    assert all(got[i].n_links == links[i, held].sum() for i in held)

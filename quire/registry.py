@@ -249,8 +249,24 @@ query(
 )(lambda d: FO.correction_ranges(d, 200))
 query("pack_translate", "DOCUMENTS")(lambda d: FO.translate_chunks(d).select("doc_id", "chunk_no", F.char_length("text").alias("chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32")))
 query("translate_stub", "DOCUMENTS")(lambda d: P.translate(FO.translate_chunks(d), "Latin", ["m1", "m2"]).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32")))
-query("rename_labels_exact", "book_md")(lambda d: FO.rename_labels(H.join_lines(d.withColumn("doc_id", F.struct("doc_id", F.floor(F.col("line_no") / 20).alias("batch_no")))).select("doc_id.*", "text")))
-query("docx_blocks", "book_md")(FO.blocks)
+query(
+    "rename_labels_exact",
+    "book_md",
+    r"""--with l AS (SELECT *, line_no // 20 AS batch_no, regexp_extract(line, '\[\^(\d+)\]', 1) AS n, regexp_matches(line, '^\[\^\d+\]:') AS d FROM lines),
+    o AS (SELECT doc_id, batch_no, n, row_number() OVER (PARTITION BY doc_id, n ORDER BY batch_no) AS j FROM (SELECT DISTINCT doc_id, batch_no, n FROM l WHERE d))
+    SELECT doc_id, batch_no::BIGINT AS batch_no, string_agg(CASE WHEN j > 1 THEN replace(line, '[^' || n || ']', '[^' || n || '_' || j::VARCHAR || ']') ELSE line END, chr(10) ORDER BY line_no) AS text FROM l LEFT JOIN o USING (doc_id, batch_no, n) GROUP BY 1, 2""",
+)(lambda d: FO.rename_labels(H.join_lines(d.withColumn("doc_id", F.struct("doc_id", F.floor(F.col("line_no") / 20).alias("batch_no")))).select("doc_id.*", "text")))
+BLOCKS = r"""--with b AS (SELECT doc_id, line_no, trim(line) AS line, CASE WHEN trim(line) = '' THEN 'blank' WHEN line LIKE '#%' THEN 'heading' WHEN line LIKE '<!--%' THEN 'page' WHEN regexp_matches(line, '^\|.*\|$') THEN 'table' ELSE 'paragraph' END AS kind FROM lines),
+    c AS (SELECT *, kind = 'paragraph' AND coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no), '') = 'paragraph' AS goes_on FROM b),
+    d AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM c),
+    blocks AS (SELECT doc_id, k, min(kind) AS kind, string_agg(line, ' ' ORDER BY line_no) AS t FROM d WHERE kind <> 'blank' GROUP BY 1, 2)"""
+query(
+    "docx_blocks",
+    "book_md",
+    BLOCKS
+    + r""" SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS block_no, kind, CASE kind WHEN 'heading' THEN length(regexp_extract(t, '^#+')) || chr(9) || regexp_replace(t, '^#+ ', '') WHEN 'page' THEN regexp_extract(t, 'page: (\S+)', 1)
+        WHEN 'table' THEN '[["' || trim(string_split(t, '|')[2]) || '", "' || trim(string_split(t, '|')[3]) || '"]]' ELSE t END AS payload FROM blocks""",
+)(FO.blocks)
 _COMMANDS = r"""t AS (SELECT doc_id, line_no, list_transform(string_split(regexp_replace(trim(line), '^[-*]\s+', ''), '|'), lambda x: trim(x)) AS p FROM commands),
     w AS (SELECT *, upper(p[1]) AS word, try_cast(regexp_extract(coalesce(p[2], ''), '^([+-]?\d{1,9})', 1) AS INT) AS n, try_cast(regexp_extract(coalesce(p[3], ''), '^([+-]?\d{1,9})', 1) AS INT) AS lv FROM t),
     a AS (SELECT doc_id, line_no::BIGINT AS seq, CASE word WHEN 'MERGE_UP' THEN 'merge' ELSE lower(word) END AS action, n::BIGINT AS line, CASE WHEN word IN ('RELEVEL', 'PROMOTE', 'INSERT') THEN lv::BIGINT END AS level,
@@ -286,7 +302,14 @@ query(
     HEADS + SECTIONS + """ SELECT doc_id, to_json({'sections': list({'level': level, 'heading': heading, 'content': content} ORDER BY section_no)})::VARCHAR AS json FROM g WHERE section_no > 0 OR content <> '' GROUP BY 1""",
 )(EX.json_export)
 query("docx_bytes", "book_md")(lambda d: EX.docx(d).select("doc_id", F.octet_length("content").alias("bytes")))
-query("html_export", "chat_md")(lambda d: EX.html_export(d).select("doc_id", F.crc32(F.col("html").cast("binary")).alias("html_crc32")))
+query(
+    "html_export",
+    "book_md",
+    BLOCKS
+    + r""", e AS (SELECT *, regexp_replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\[\^(\w+)\]', '<sup>\1</sup>', 'g') AS x, length(regexp_extract(t, '^#+'))::VARCHAR AS h FROM blocks)
+    SELECT doc_id, '<!DOCTYPE html><html><head><meta charset="utf-8"></head><body>' || chr(10) || string_agg(CASE kind WHEN 'heading' THEN '<h' || h || '>' || regexp_replace(x, '^#+ ', '') || '</h' || h || '>' WHEN 'page' THEN '<p>— page ' || regexp_extract(t, 'page: (\S+)', 1) || ' —</p>'
+        WHEN 'table' THEN '<table><tr><td>' || trim(string_split(x, '|')[2]) || '</td><td>' || trim(string_split(x, '|')[3]) || '</td></tr></table>' ELSE '<p>' || x || '</p>' END, chr(10) ORDER BY k) || chr(10) || '</body></html>' AS html FROM e GROUP BY 1""",
+)(EX.html_export)
 
 # More notes, headings and values.
 query("shown_pages", "book_md", r"""--with p AS (SELECT doc_id, line_no, regexp_extract(line, '^\[\^(\w+)\]:', 1) AS label, last_value(nullif(regexp_extract(line, '(?i)^\s*<!--\s*page:\s*(\S+)\s*-->', 1), '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS page FROM lines), d AS (SELECT * FROM p WHERE label <> '') SELECT doc_id, line_no::BIGINT AS line_no, label, page, page IS DISTINCT FROM lag(page) OVER (PARTITION BY doc_id ORDER BY line_no) AND page IS NOT NULL AS shown FROM d""")(N.shown_pages)
@@ -340,7 +363,12 @@ query(
 query("page_ranges", "ORDERS", "SELECT o_orderkey AS doc_id, b AS batch_no, b * 5 AS start, least(b * 5 + 5, n) AS \"end\" FROM (SELECT o_orderkey, (o_custkey % 23)::BIGINT AS n FROM orders), unnest(range(0, (n + 4) // 5)) t(b)")(lambda d: FI.page_ranges(d.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 23).alias("pages"))))
 
 # Model answers, pages, tables and moves.
-query("ocr_pages", "book_md")(lambda d: FO.ocr_texts(d.select("doc_id", F.col("line_no").alias("index"), F.concat(F.col("line"), F.lit("\nbody")).alias("markdown"), F.when(F.col("line").startswith("## "), F.concat(F.col("line"), F.lit("\n7"))).alias("header"), F.lit(None).cast("string").alias("footer"))))
+query(
+    "ocr_pages",
+    "book_md",
+    r""" SELECT doc_id, string_agg(CASE WHEN line LIKE '## %' THEN '<!-- page: ' || CASE WHEN length(n) > 4 OR n = '7' THEN '7' ELSE least(n::INT, 7)::VARCHAR || '-' || greatest(n::INT, 7)::VARCHAR END || ' -->' ELSE line END || chr(10) || 'body', chr(10) || chr(10) ORDER BY line_no) AS text
+    FROM (SELECT *, regexp_extract(line, '(\d+)$', 1) AS n FROM lines) GROUP BY 1""",
+)(lambda d: FO.ocr_texts(d.select("doc_id", F.col("line_no").alias("index"), F.concat(F.col("line"), F.lit("\nbody")).alias("markdown"), F.when(F.col("line").startswith("## "), F.concat(F.col("line"), F.lit("\n7"))).alias("header"), F.lit(None).cast("string").alias("footer"))))
 query("sse_decode", "DOCUMENTS", "SELECT doc_id, text, NULL::VARCHAR AS error FROM documents")(
     lambda d: FO.streamed_texts(
         d.select("doc_id", F.concat(F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))), F.lit("\ndata: [DONE]\n")).alias("j"))

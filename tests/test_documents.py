@@ -192,3 +192,15 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in ranges.orderBy("start").collect()] == [(1, 0, 0, 5), (1, 1, 5, 7)]
     done = files.save_formats(spark.range(3), str(tmp_path / "out"), {"json": lambda d, p: d.write.json(p), "bad": lambda d, p: 1 / 0})
     assert done == [("json", None), ("bad", "division by zero")] and spark.read.json(str(tmp_path / "out/json")).count() == 3
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(LINE, min_size=1, max_size=30), st.dictionaries(st.integers(0, 9), st.integers(-1, 12), min_size=1))
+def test_new_levels_by_ordinal(spark, lines, changes):
+    canon = M.normalize(lines)
+    found = M.headings(canon)
+    new = {h.start: M.serialize(changes[i], h.text) for i, h in enumerate(found) if i in changes}
+    gone = {h.line for i, h in enumerate(found) if i in changes and h.line != h.start}
+    want = [y for n, x in enumerate(canon) if n not in gone for y in new.get(n, [x])]
+    rows = spark.createDataFrame([(0, k, v) for k, v in changes.items()], "doc_id long, h_no int, new_level int")
+    assert lines_of(H.relevel(frame(spark, lines), rows)) == {0: want}

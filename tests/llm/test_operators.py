@@ -339,3 +339,31 @@ def test_links_of_a_large_component_by_tiles(spark, monkeypatch, least):
     held = [i for i in range(len(x)) if got[i].component_id == 0]
     assert len(held) > 1400
     assert all(got[i].n_links == links[i, held].sum() for i in held)
+
+
+def hot_cluster(n, pairs, seed=31, near=0.8, dim=64):
+    """A third of the rows around one centre (cosine near), in it pairs at cosine 0.905 that have no other partner: row i and row i + pairs."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.sqrt((x**2).sum(-1, keepdims=True))
+    c = unit(rng.standard_normal(dim))
+    e = rng.standard_normal((n // 3, dim))
+    e = unit(e - (e @ c)[:, None] * c)
+    f = rng.standard_normal((pairs, dim))
+    f -= (f @ c)[:, None] * c
+    f = unit(f - (f * e[:pairs]).sum(1, keepdims=True) * e[:pairs])
+    w = (0.905 - near**2) / (1 - near**2)
+    e[pairs : 2 * pairs] = w * e[:pairs] + math.sqrt(1 - w * w) * f
+    return np.concatenate((near * c + math.sqrt(1 - near**2) * e, unit(rng.standard_normal((n - len(e), dim))))).astype(np.float32)
+
+
+def test_pairs_inside_a_dense_group_are_found(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n, pairs = 36_000, 1000
+    x = hot_cluster(n, pairs)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))}), f"{tmp_path}/v.parquet")
+    df = spark.read.parquet(f"{tmp_path}/v.parquet")
+    got = {r.vec_id: r for r in projection.near_duplicates(df).filter("n_links > 0").collect()}
+    found = sum(i in got and i + pairs in got and got[i + pairs].component_id == got[i].component_id for i in range(pairs))
+    assert found >= 0.98 * pairs, found

@@ -367,3 +367,17 @@ def test_pairs_inside_a_dense_group_are_found(spark, tmp_path):
     got = {r.vec_id: r for r in projection.near_duplicates(df).filter("n_links > 0").collect()}
     found = sum(i in got and i + pairs in got and got[i + pairs].component_id == got[i].component_id for i in range(pairs))
     assert found >= 0.98 * pairs, found
+
+
+@pytest.mark.parametrize("kind", ["inserted", "deleted", "changed"])
+def test_near_copies_of_a_passage_are_found(spark, kind):
+    rng = np.random.default_rng(41)
+    texts = []
+    for _ in range(40):
+        p = words(rng, 60, "p").split()
+        k = int(rng.integers(8, 52))
+        near = p[:k] + {"inserted": ["new", p[k]], "deleted": [], "changed": ["new"]}[kind] + p[k + 1 :]
+        texts += [f"{words(rng, 100)} {' '.join(p)} {words(rng, 100)}", f"{words(rng, 80)} {' '.join(near)} {words(rng, 90)}"]
+    got = {(r.doc, r.rep): r for r in substring.repeated_passages(docs(spark, *texts)).collect()}
+    assert set(got) == {(i + 1, i) for i in range(1, 80, 2)}
+    assert all(r.word <= 82 and r.word_end >= 137 and r.similarity >= 0.8 for r in got.values())

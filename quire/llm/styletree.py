@@ -17,6 +17,8 @@ from quire.llm.common import Spool, small_batches
 MIN_PAGES = 5
 #: Branches whose composite importance is below this are removed.
 THRESHOLD = 0.3
+#: Share of a page's text from which a branch is not noise by a word of its class, id or role alone.
+MOST = 0.5
 #: Weight of a branch's content against its presentation in its importance.
 CONTENT_WEIGHT = 0.9
 
@@ -45,30 +47,31 @@ RAW_END = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in RAW}
 class Node:
     """An element: its style (tag and class words), path in the style tree, children and own text in order."""
 
-    __slots__ = ("tag", "style", "path", "parts", "noise", "children", "up")
+    __slots__ = ("tag", "style", "path", "parts", "noise", "named", "children", "up")
 
     def __init__(self, tag: str, style: str, path: int, noise: bool, up: Node | None):
         self.tag, self.style, self.path, self.noise, self.up = tag, style, path, noise, up
+        self.named = False
         self.parts: list = []
         self.children: list[str] = []
 
 
-def _branch(tag: str, attrs: str) -> tuple[str, bool]:
-    """(style, whether it can't be part of an article)."""
+def _branch(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """(style, whether it can't be part of an article by its element or as hidden, whether a word of its names says so)."""
     if not attrs.strip():
-        return tag, tag in NOISE_TAGS
-    style, noise = [tag], tag in NOISE_TAGS
+        return tag, tag in NOISE_TAGS, False
+    style, noise, named = [tag], tag in NOISE_TAGS, False
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
             words = [w.lower() for w in WORD.findall(value)]
             if tag not in ("body", "html", "main", "article") or name == "role":
-                noise |= not NOISE_WORDS.isdisjoint(words)
+                named |= not NOISE_WORDS.isdisjoint(words)
             if name != "id":
                 style += words
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             noise = True
-    return ".".join(style), noise
+    return ".".join(style), noise, named
 
 
 def parse(text: str) -> Node:
@@ -109,13 +112,14 @@ def parse(text: str) -> Node:
                 top, up = up, up.up
             if top is not None:
                 node = top.up
-        style, noise = _branch(tag, m["attrs"])
+        style, noise, named = _branch(tag, m["attrs"])
         node.children.append(style)
         if tag in VOID:
             if tag not in INLINE:
                 node.parts.append(" ")
             continue
         made = Node(tag, style, xxhash.xxh64_intdigest(style.encode(), node.path) >> 1, noise, node)
+        made.named = named
         node.parts.append(made)
         if tag in RAW_END:
             at = RAW_END[tag].search(text, at).end()
@@ -123,9 +127,37 @@ def parse(text: str) -> Node:
             node = made
     if at < len(text):
         node.parts.append(text[at:])
+    _name_noise(root)
     return root
 
 
+def _name_noise(root: Node) -> None:
+    """Marks the branches that their names call noise, but none that holds the page's article or most of its text.
+
+    Where a page marks articles outside such branches, those inside (comments, say) don't count.
+    """
+    order = list(_elements(root))  # parents come before their children
+    if not any(x.named for x in order):
+        return
+    size: dict[int, int] = {}
+    holds: set[int] = set()
+    free = False  # an article that no named branch holds
+    shut: set[int] = set()
+    for x in order:
+        if x.noise or x.named or (x.up is not None and id(x.up) in shut):
+            shut.add(id(x))
+        elif x.tag in ("article", "main"):
+            free = True
+    for x in reversed(order):
+        inside = [c for c in x.parts if not isinstance(c, str)]
+        size[id(x)] = 0 if x.noise else sum(len("".join(c.split())) for c in x.parts if isinstance(c, str)) + sum(size[id(c)] for c in inside)
+        if not x.noise and (x.tag in ("article", "main") or any(id(c) in holds for c in inside)):
+            holds.add(id(x))
+    for x in order:
+        kept = not free and (id(x) in holds or (id(root) not in holds and size[id(x)] >= MOST * size[id(root)]))
+        x.noise |= x.named and not kept
+
+
 def _flat(node: Node, drop: frozenset, out: list[str]) -> None:
     """Text below a node in page order, without noise and dropped branches; a space at each block's edge."""
     stack: list = [node]

@@ -381,3 +381,11 @@ def test_near_copies_of_a_passage_are_found(spark, kind):
     got = {(r.doc, r.rep): r for r in substring.repeated_passages(docs(spark, *texts)).collect()}
     assert set(got) == {(i + 1, i) for i in range(1, 80, 2)}
     assert all(r.word <= 82 and r.word_end >= 137 and r.similarity >= 0.8 for r in got.values())
+
+
+@pytest.mark.parametrize("name", ["class='site has-sidebar'", "class=no-sidebar", "class=comments-open", "class='with-banner'", "id='ad-free'"])
+def test_a_noise_word_on_a_wrapper_keeps_the_article(name):
+    around = '<nav>menu</nav><div class="ad">buy</div>'
+    assert styletree.main_text(f"<body><div {name}>{around}<article><p>one two<div id=comments>me too</div></article></div></body>") == "one two"
+    assert styletree.main_text(f"<body><div {name}>{around}<p>one two three four five</p></div></body>") == "one two three four five"
+    assert styletree.main_text(f"<body><article>one two</article><div {name}><article>me too</article></div></body>") == "one two"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quire.llm.common import Spool, small_batches
+from quire.llm.common import Spool, bounded_batches
 from quire.llm.vectors import matrix, packed
 
 K = 20
@@ -155,7 +155,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20, id_col: str = "vec_id
     the smallest of its vectors (by bytes), and rows with its id are never its answers. Fewer than k candidates: all of them. Empty table: no rows.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 4000)
+    bounded_batches(spark)
     spool = Spool(spark, "topk")
     all_rows = spool.put(packed(vectors, id_col, vec_col).mapInArrow(_grid(scale), "id long, raw binary, dim int"))
     n = all_rows.count()

@@ -11,16 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to a Python worker; keeps a batch of long texts within a small worker.
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Bytes of a table that is dealt to all cores at once.
+SMALL_TABLE = 64 << 20
+#: Characters of the texts that are worked on together in a worker.
+CHUNK_CHARS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer files than there are cores, and small, is dealt to all of them, as a file may be one row group."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() < SMALL_TABLE
+    return df.repartition(cores, df.columns[0]) if small and len(df.inputFiles()) < cores else df
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of an Arrow batch; texts are wide, so the default of 10,000 rows needs much memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds an Arrow batch by rows and bytes; texts are wide, so the default of 10,000 rows needs much memory.
+
+    All operators set the same bounds, so a plan that runs later keeps them.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -103,17 +115,22 @@ class Words:
         self.doc = np.repeat(np.arange(len(low)), np.diff(self.first))
 
 
-def chunks_by_chars(texts: list, limit: int = 1_500_000):
-    """Index ranges of consecutive texts with about so many characters together (a longer text is alone)."""
-    at, total = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > at and total + n > limit:
-            yield at, i
-            at, total = i, 0
+def length_chunks(texts: list, limit: int = CHUNK_CHARS):
+    """Lists of indices of texts with about so many characters together (a longer text is alone), shorter texts first.
+
+    Steps over the words of all texts of a chunk at once take as many turns as its longest has words, so texts of
+    like length go together.
+    """
+    out, total = [], 0
+    for i in sorted(range(len(texts)), key=lambda i: len(texts[i] or "")):
+        n = len(texts[i] or "")
+        if out and total + n > limit:
+            yield out
+            out, total = [], 0
+        out.append(i)
         total += n
-    if at < len(texts):
-        yield at, len(texts)
+    if out:
+        yield out
 
 
 _ODD = 0x9E3779B97F4A7C15 | 1

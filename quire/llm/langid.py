@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Words, bucket_of, chunks_by_chars, mix, script_of, small_batches
+from quire.llm.common import Words, bounded_batches, bucket_of, length_chunks, mix, script_of
 
 #: Training rows per language, at most about; the model is fitted on this many whole texts.
 TRAIN_ROWS = 2000
@@ -77,12 +77,12 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int =
         grams, scripts = np.zeros((len(langs), BUCKETS), np.int64), np.zeros((len(langs), 16), np.int64)
         for b in batches:
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in chunks_by_chars(texts):
-                w = Words(texts[lo:hi])
+            for rows in length_chunks(texts):
+                w = Words([texts[i] for i in rows])
                 if not len(w.start):
                     continue
                 two, three = _grams(w)
-                lang = np.array([index[x] for x in names[lo:hi]])
+                lang = np.array([index[names[i]] for i in rows])
                 of = np.repeat(lang[w.doc], w.end - w.start)
                 at = np.arange(len(of)) + np.repeat(w.start - np.concatenate(([0], np.cumsum(w.end - w.start)[:-1])), w.end - w.start)
                 for g in (two, three):
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int =
         k, g = np.nonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(g), pa.array(both[k, g])], names=["lang", "slot", "n"])
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     found = sample.mapInArrow(tally, "lang long, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()  # languages x (BUCKETS + 16) at most
     both = np.zeros((len(langs), BUCKETS + 16))
     both[found.lang.to_numpy(np.int64), found.slot.to_numpy(np.int64)] = found.n.to_numpy(float)
@@ -135,22 +135,21 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
 
 def _label(texts: list, model: Model, switch: float):
     """(label, score, spans) of each text; spans are (first char, end char, language) runs of words."""
-    out = []
-    for lo, hi in chunks_by_chars(texts):
-        w = Words([t or "" for t in texts[lo:hi]])
+    out: list = [("und", 0.0, [])] * len(texts)
+    for rows in length_chunks(texts):
+        w = Words([texts[i] or "" for i in rows])
         tags = viterbi(model.word_scores(w), w.first, switch) if model.langs else np.zeros(len(w.start), np.int16)
         size = w.end - w.start
-        for d in range(hi - lo):
+        for d, i in enumerate(rows):
             a, b = w.first[d], w.first[d + 1]
             if a == b or not model.langs:
-                out.append(("und", 0.0, []))
                 continue
             share = np.bincount(tags[a:b], size[a:b], len(model.langs))
             k = int(share.argmax())
             cut = np.flatnonzero(np.diff(tags[a:b])) + 1
             left, right = np.concatenate(([0], cut)) + a, np.concatenate((cut, [b - a])) + a - 1
             spans = list(zip((w.start[left] - w.base[d]).tolist(), (w.end[right] - w.base[d]).tolist(), [model.langs[x] for x in tags[left]]))
-            out.append((model.langs[k], float(share[k] / share.sum()), spans))
+            out[i] = (model.langs[k], float(share[k] / share.sum()), spans)
     return out
 
 
@@ -163,7 +162,7 @@ def labeller(spark: SparkSession, model: Model, switch: float = SWITCH):
         spans = [[{"start": s, "end": e, "lang": g} for s, e, g in x[2]] for x in found]
         return pd.DataFrame({"lang_pred": pd.Series([x[0] for x in found], dtype=object), "score": pd.Series([x[1] for x in found], dtype=float), "spans": pd.Series(spans, dtype=object)})
 
-    small_batches(spark)
+    bounded_batches(spark)
     return F.pandas_udf(run, "lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.common import small_batches
+from quire.llm.common import bounded_batches
 
 LENGTH = 1024
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     alone. Repeated rows are documents of their own. Empty table: no rows. sequence_id holds the partition in its
     high bits; it names a sequence within one run.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         encode = encoder(tokenizer)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import chunks_by_chars, code_points, mix, prefix_sums, range_hashes, small_batches
+from quire.llm.common import bounded_batches, code_points, length_chunks, mix, prefix_sums, range_hashes
 
 SAMPLES = 2
 #: Characters of the texts that share a lattice; more of them repeat more words.
@@ -367,15 +367,15 @@ def segment(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, id_
     """
     import pyarrow as pa
 
-    small_batches(docs.sparkSession, 500)
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         v = vocabulary(model)
         for b in batches:
             names, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in chunks_by_chars(texts, CHUNK_CHARS):
+            for at in length_chunks(texts, CHUNK_CHARS):
                 rows = []
-                for name, found in zip(names[lo:hi], top_k(texts[lo:hi], [0 if x is None else int(x) for x in names[lo:hi]], v, k, seed)):
+                for name, found in zip([names[i] for i in at], top_k([texts[i] for i in at], [int(names[i] or 0) for i in at], v, k, seed)):
                     rows += [(name, i + 1, ids.astype("<u2").tobytes(), lp, g, incl) for i, (ids, lp, g, incl) in enumerate(found)]
                 cols = list(zip(*rows)) if rows else [[]] * 6
                 kinds = [pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Spool, chunks_by_chars, small_batches
+from quire.llm.common import Spool, bounded_batches
 from quire.llm.components import connected_components
 
 SHINGLE = 4
@@ -40,7 +40,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long; null and empty texts have 0."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), dtype="int64")

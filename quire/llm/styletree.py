@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Spool, small_batches
+from quire.llm.common import Spool, bounded_batches
 
 #: A host's tree judges by entropy from this many pages on; below, only by what a branch is.
 MIN_PAGES = 5
@@ -312,7 +312,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     goes back to the pages holds low branches only, one row a host.
     """
     spark = pages.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     low = Spool(spark, "styles").put(low_branches(pages, url_col, html_col))
 
     def of(texts: pd.Series, paths: pd.Series) -> pd.Series:

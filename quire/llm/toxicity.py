@@ -10,23 +10,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Spool, Words, bucket_of, chunks_by_chars, range_hashes, small_batches
+from quire.llm.common import Spool, Words, bounded_batches, bucket_of, length_chunks, range_hashes
 
 #: Labelled rows of each class that are used for fitting, at most about.
 TRAIN_ROWS = 6000
 #: Hashed feature weights.
 BUCKETS = 1 << 18
 #: A token feature marks its tokens as toxic if its document counts by label are this unlikely by chance
-#: (log-likelihood ratio) and this share of its documents is labelled toxic.
-EVIDENCE, PURITY = 24.0, 0.9
+#: (log-likelihood ratio; the first level that any feature reaches) and this share of its documents is labelled toxic.
+EVIDENCE, PURITY = (24.0, 12.0, 6.0), 0.9
 #: Prefix lengths that are token features besides the word itself.
 PREFIXES = (3, 4, 5)
 #: Words on each side of a tagged word that belong to its training sequence.
 CONTEXT = 6
 #: Words added to a text's length in the share of toxic words, so that a few words alone don't make a high one.
 PAD = 50
-#: Training sequences at most.
-SEQUENCES = 40_000
+#: Training sequences at most (a hash sample beyond), and features that mark tokens at most (those of the most documents beyond).
+SEQUENCES, MARKS = 40_000, 100_000
 
 
 def features(w: Words) -> np.ndarray:
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     around such tokens, of clean documents too, for the random field. A third scores the sample for calibration.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     agreed = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("z")).filter("y = z").select("id", "y")
     counts = {int(r[0]): r[1] for r in agreed.groupBy("y").count().collect()}
     none = Model(np.zeros(BUCKETS, np.float32), -10.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, math.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))]))  # the rate of the label, for every text
@@ -183,13 +183,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
         for b in batches:
             labels, texts = np.array(b.column(0).to_pylist()), b.column(1).to_pylist()
             parts = []
-            for lo, hi in chunks_by_chars(texts):
-                w = Words(texts[lo:hi])
+            for rows in length_chunks(texts):
+                w = Words([texts[i] for i in rows])
                 if len(w.start):
                     f = features(w)
                     doc = np.repeat(w.doc, f.shape[1]).astype(np.uint64)
                     pair = np.unique(np.stack((f.ravel(), doc)), axis=1)
-                    parts.append((pair[0], labels[lo:hi][pair[1].astype(np.int64)]))
+                    parts.append((pair[0], labels[rows][pair[1].astype(np.int64)]))
             if parts:
                 f, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
                 keys, at = np.unique(f, return_inverse=True)
@@ -200,8 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     tall = sample.mapInArrow(tally, "f long, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     rate = F.col("bad") / (F.col("bad") + F.col("good"))
     ratio = 2 * (F.col("bad") * F.log(rate / base) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - rate) / (1 - base))).otherwise(0.0))
-    strong = tall.filter((F.col("bad") >= 3) & (rate >= PURITY) & (ratio >= EVIDENCE)).orderBy(F.desc("bad"), "f").limit(100_000)
-    marks = np.array(sorted(x.f for x in strong.select("f").collect()), np.int64).view(np.uint64)  # at most 100,000, from a bounded sample
+    strong = tall.filter((F.col("bad") >= 3) & (rate >= PURITY) & (ratio >= EVIDENCE[-1])).orderBy(F.desc("bad"), "f").limit(MARKS)
+    seen = strong.select("f", ratio.alias("ratio")).collect()  # from a bounded sample
+    level = next((e for e in EVIDENCE if any(x.ratio >= e for x in seen)), 0.0)
+    marks = np.array([x.f for x in seen if x.ratio >= level], np.int64).view(np.uint64)
     marks.sort()
     if not len(marks):
         return none
@@ -211,25 +213,25 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
 
         for b in batches:
             labels, texts = np.array(b.column(0).to_pylist()), b.column(1).to_pylist()
-            rows = []
-            for lo, hi in chunks_by_chars(texts):
-                w = Words(texts[lo:hi])
+            out = []
+            for rows in length_chunks(texts):
+                w = Words([texts[i] for i in rows])
                 if not len(w.start):
                     continue
                 f = features(w)
                 near = np.isin(f, marks).any(1)
-                hit = near & (labels[lo:hi][w.doc] == 1)
+                hit = near & (labels[rows][w.doc] == 1)
                 small = (f & np.uint64(BUCKETS - 1)).astype(np.int32)
-                for d in range(hi - lo):
+                for d in range(len(rows)):
                     a, e = int(w.first[d]), int(w.first[d + 1])
                     if a == e:
                         continue
                     spots = (np.flatnonzero(near[a:e]) + a).tolist()  # of a clean text too: they teach what isn't toxic
-                    for c in [*spots[:8], (a * 31 + e) % (e - a) + a]:
+                    for c in [*spots, a + int(f[a, 0] % np.uint64(e - a))]:  # and one place that any text has
                         x, z = max(a, c - CONTEXT), min(e, c + CONTEXT + 1)
-                        rows.append((small[x:z].tobytes(), hit[x:z].astype(np.int8).tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["f", "y"])
+                        out.append((small[x:z].tobytes(), hit[x:z].astype(np.int8).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out]), pa.array([r[1] for r in out])], names=["f", "y"])
 
     width = 1 + len(PREFIXES)
     got = sample.mapInArrow(cut, "f binary, y binary").orderBy(F.xxhash64("f", "y"), "f", "y").limit(SEQUENCES).collect()
@@ -241,11 +243,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
         import pyarrow as pa
 
         for b in batches:
-            texts, parts = b.column(1).to_pylist(), []
-            for lo, hi in chunks_by_chars(texts):
-                w = Words(texts[lo:hi])
-                parts.append(_summary(marginals(shared.value.emissions(w), w.first, shared.value.trans), w.first))
-            x = np.concatenate(parts) if parts else np.zeros((0, 3))
+            texts = b.column(1).to_pylist()
+            x = np.zeros((len(texts), 3))
+            for rows in length_chunks(texts):
+                w = Words([texts[i] for i in rows])
+                x[rows] = _summary(marginals(shared.value.emissions(w), w.first, shared.value.trans), w.first)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, i]) for i in range(3))], names=["y", "top", "sum", "share"])
 
     seen = sample.mapInArrow(score, "y int, top double, sum double, share double").toPandas()
@@ -255,23 +257,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
 
 
 def _score(texts: list, m: Model) -> tuple[list[float], list[list[dict]]]:
-    scores: list[float] = []
-    spans: list[list[dict]] = []
-    for lo, hi in chunks_by_chars(texts):
-        w = Words([t or "" for t in texts[lo:hi]])
+    scores = np.zeros(len(texts))
+    spans: list[list[dict]] = [[] for _ in texts]
+    for rows in length_chunks(texts):
+        w = Words([texts[i] or "" for i in rows])
         p = marginals(m.emissions(w), w.first, m.trans)
-        x = np.concatenate((_summary(p, w.first), np.ones((hi - lo, 1))), 1) @ m.calibration
-        scores += (1 / (1 + np.exp(-np.clip(x, -30, 30)))).tolist()
-        of: list[list] = [[] for _ in range(hi - lo)]
+        x = np.concatenate((_summary(p, w.first), np.ones((len(rows), 1))), 1) @ m.calibration
+        scores[rows] = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         edge = np.diff(np.concatenate(([False], p >= 0.5, [False])).astype(np.int8))
         for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
             while i < j:  # a run may pass the end of a text
                 d = int(w.doc[i])
                 e = min(j, int(w.first[d + 1]))
-                of[d].append({"start": int(w.start[i] - w.base[d]), "end": int(w.end[e - 1] - w.base[d]), "p": float(p[i:e].max())})
+                spans[rows[d]].append({"start": int(w.start[i] - w.base[d]), "end": int(w.end[e - 1] - w.base[d]), "p": float(p[i:e].max())})
                 i = e
-        spans += of
-    return scores, spans
+    return scores.tolist(), spans
 
 
 def scorer(spark: SparkSession, model: Model):
@@ -282,7 +282,7 @@ def scorer(spark: SparkSession, model: Model):
         scores, spans = _score(texts.tolist(), shared.value)
         return pd.DataFrame({"score": pd.Series(scores, dtype=float), "spans": pd.Series(spans, dtype=object)})
 
-    small_batches(spark)
+    bounded_batches(spark)
     return F.pandas_udf(run, "score double, spans array<struct<start:long,end:long,p:double>>")
 
 

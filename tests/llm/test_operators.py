@@ -115,18 +115,85 @@ def test_all_repeats_of_fifty_words_are_covered(spark):
             assert first == i or set(range(k, k + 50)) <= cover[i]
 
 
-def test_compact_windows_are_cartesian_subtrees():
+def test_compact_windows_are_nodes_of_cartesian_trees():
     rng = np.random.default_rng(4)
-    s = substring.Shingles([words(rng, 120), words(rng, 40), words(rng, 70)])
-    got = substring.compact_windows(s, 0, 20)
-    place = got & np.uint64((1 << 20) - 1)
-    h = (substring.mix(s.hashes ^ np.uint64(0xA24BAED4963EE407))) >> np.uint64(20)
-    for i in range(len(got)):
-        last = i + 20 - 1
-        whole = last < len(s.whole) and s.doc[i] == s.doc[last] and s.whole[i : last + 1].all()
-        assert (got[i] > 0) == whole
-        if whole:
-            assert i + int(np.argmin(h[i : last + 1])) - s.first[s.doc[i]] == place[i]
+    s = substring.Shingles([words(rng, 120), words(rng, 12), "", words(rng, 70), "a " * 60])
+    width = 20
+    trees = [substring.Tree(s, k, width) for k in (0, 1)]
+    want: list[dict] = []
+    for k, tree in enumerate(trees):
+        v = substring.min_hash(s.hashes, k)
+        nodes = {}
+        for d in range(5):
+            lo, n = int(s.first[d]), int(s.size[d])
+            for x in range(lo, lo + n):
+                left, right = x, x
+                while left > lo and v[left - 1] > v[x]:
+                    left -= 1
+                while right < lo + n - 1 and v[right + 1] > v[x]:
+                    right += 1
+                if right - left + 1 >= width:
+                    nodes[x] = (left, right)
+        assert {int(c): (int(x), int(y)) for c, x, y in zip(tree.place, tree.left, tree.right)} == nodes
+        for c, u in zip(tree.place, tree.up):
+            if u >= 0:
+                assert tree.left[u] <= c <= tree.right[u] and v[tree.place[u]] < v[c]
+        want.append(nodes)
+    u, w = substring.joint_windows(*trees, width)
+    got = {(int(trees[0].place[i]), int(trees[1].place[j])) for i, j in zip(u, w)}
+    cells = set()
+    for d in range(5):
+        lo, n = int(s.first[d]), int(s.size[d])
+        for i in range(lo, lo + n - width + 1):
+            cells.add(tuple(i + int(np.argmin(substring.min_hash(s.hashes, k)[i : i + width])) for k in (0, 1)))
+    assert got == cells and len(got) == len(u)
+
+
+def test_passages_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HEAVY", 3)
+    rng = np.random.default_rng(51)
+    shared, line = words(rng, 60, "p"), words(rng, 30, "l")
+    texts = [f"{words(rng, 40)} {shared if i % 2 else line} {words(rng, 40)}" for i in range(24)]
+    d = docs(spark, *texts)
+    got = [sorted(map(tuple, substring.repeated_passages(d.repartition(n)).collect())) for n in (1, 3, 17)]
+    assert got[0] == got[1] == got[2] and {r[0] for r in got[0]} == set(range(4, 25, 2)) and all(r[1] < r[0] and r[1] % 2 == 0 for r in got[0])
+
+
+def test_pairs_that_match_only_each_other_around_a_common_line(spark, monkeypatch):
+    rng = np.random.default_rng(52)
+    line = words(rng, 44, "l")
+    texts = [f"{words(rng, 40)} {line} {words(rng, 40)}" for _ in range(40)]
+    pairs = []
+    for _ in range(10):
+        a, z = words(rng, 3, "a"), words(rng, 4, "z")
+        pairs.append((len(texts) + 1, len(texts) + 2))
+        texts += [f"{words(rng, 40)} {a} {line} {z} {words(rng, 40)}" for _ in range(2)]
+    for heavy in (substring.HEAVY, 4):
+        monkeypatch.setattr(substring, "HEAVY", heavy)
+        got = {(r.rep, r.doc) for r in substring.repeated_passages(docs(spark, *texts)).collect()}
+        assert got == set(pairs)
+
+
+def test_repeated_and_missing_ids_are_cut_by_their_own_text(spark):
+    rng = np.random.default_rng(53)
+    shared = words(rng, 60, "p")
+    first, lone, alone = f"{words(rng, 80)} {shared}", words(rng, 91), f"{words(rng, 20)} {shared}"
+    rows = [(1, first), (5, f"{shared} tail"), (5, lone), (5, lone), (None, alone), (None, None), (7, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter((r.doc_id, r.text) for r in substring.without_repeats(d).collect())
+    assert sum(left.values()) == 7 and left[(5, lone)] == 2 and left[(None, None)] == 1 and left[(7, "")] == 1
+    held = sum(shared in (t or "") for _, t in left)
+    assert held == 1 and (1, first) in left or (None, alone) in left
+    found = substring.repeated_passages(d).collect()
+    assert len(found) == 2 and {r.doc for r in found} | {r.rep for r in found} == {1, 5, None}
+
+
+def test_repetitive_texts_stay_linear(spark):
+    found = substring.repeated_passages(docs(spark, "a " * 60_000, "b c " * 30_000, "x y z " + "a " * 300, "b c " * 40)).collect()
+    cover: dict = {}
+    for r in found:
+        cover.setdefault((r.doc, r.rep), set()).update(range(r.word, r.word_end))
+    assert cover[(3, 1)] >= set(range(3, 303)) and cover[(4, 2)] == set(range(80))
 
 
 def test_packing_keeps_every_id(spark):

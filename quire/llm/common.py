@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; one of fewer files than there are cores, and small, is dealt to all of them, as a file may be one row group."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() < SMALL_TABLE
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_TABLE
     return df.repartition(cores, df.columns[0]) if small and len(df.inputFiles()) < cores else df
 
 

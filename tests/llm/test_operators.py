@@ -456,3 +456,35 @@ def test_a_noise_word_on_a_wrapper_keeps_the_article(name):
     assert styletree.main_text(f"<body><div {name}>{around}<article><p>one two<div id=comments>me too</div></article></div></body>") == "one two"
     assert styletree.main_text(f"<body><div {name}>{around}<p>one two three four five</p></div></body>") == "one two three four five"
     assert styletree.main_text(f"<body><article>one two</article><div {name}><article>me too</article></div></body>") == "one two"
+
+
+def test_the_style_tree_decides_inside_and_outside_marked_articles(spark):
+    rng = np.random.default_rng(61)
+    def page(i, body, mark):
+        return f"<body><div class=top>All news daily</div><{mark}><div class=lead>Read our terms</div><div class=txt><p>{body}</p><div class='related-work'><p>rw{i} {body[:9]}</p></div></div></{mark}></body>"
+    rows = []
+    for host, mark in (("a", "article"), ("b", "div")):
+        for i in range(8):
+            rows.append((len(rows), f"http://{host}.example/{i}", page(i, words(rng, 30), mark)))
+    rows += [(90 + i, "http://a.example/0", rows[0][2]) for i in range(40)]  # copies of one page count once
+    rows += [(200, "http://c.example/", page(0, "only page of its host", "article")), (201, None, page(1, "no host", "div"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.id: r.text for r in styletree.extract(df).collect()}
+    for i, _, h in rows[:56]:
+        body = h.split("<p>")[1].split("</p>")[0]
+        assert got[i] == f"{body} {h.split('<p>')[2].split('</p>')[0]}", i
+    assert got[200] == "Read our terms only page of its host rw0 only page"  # nothing to compare with
+    off = styletree.main_text(rows[0][2], frozenset())
+    assert "Read our terms" in off and "Read our terms" not in got[0]  # the tree decided
+
+
+def test_broken_and_deep_pages_cost_one_pass():
+    import time
+
+    began = time.time()
+    for page in ("<a " + '"' * 10_001 + " x>hi", "<a " + "='" * 10_001 + " x>hi", "<main>" * 5000 + "x", "<div>" * 5000 + "x" + "</div>" * 5000, "<a " * 20_000, "<b>" * 5000 + "</i>" * 5000 + "<p>" * 2000):
+        styletree.style_rows(styletree.parse(page))
+        styletree.main_text(page)
+    assert time.time() - began < 20
+    text = styletree.main_text('<article><p>aa</p><div class="related-work"><p>bb</p></div><section id="search"><p>cc</p></section><p class="alert">dd</p><div class="comments"><p>zz</p></div></article>')
+    assert text == "aa bb cc dd"

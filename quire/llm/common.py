@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to a Python worker; keeps a batch of long texts within a small worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: A key that holds more than this part of all rows is hot.
+HOT_SHARE = 1000
 #: Bytes of a table that is dealt to all cores at once.
 SMALL_TABLE = 64 << 20
 #: Characters of the texts that are worked on together in a worker.
@@ -52,35 +54,97 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_HELD: list = []
+
+
+def share(spark: SparkSession, value):
+    """A broadcast that ``release`` takes back."""
+    made = spark.sparkContext.broadcast(value)
+    _HELD.append(lambda: made.unpersist())
+    return made
+
+
+def release(since: int = 0) -> int:
+    """Takes back the broadcasts and deletes the spooled tables made since a mark; the number of those left is a mark.
+
+    Only for what nothing reads any more: a caller that has written an operator's result.
+    """
+    while len(_HELD) > since:
+        _HELD.pop()()
+    return len(_HELD)
+
+
+def mark() -> int:
+    return len(_HELD)
+
+
 class Spool:
-    """Intermediate tables in the shared folder: each cuts the lineage and survives a lost executor."""
+    """Intermediate tables in the shared folder: each cuts the lineage and survives a lost executor.
+
+    They stay until ``release``, as the DataFrames that read them are lazy.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        _HELD.append(self.clear)
         self.base = f"{shared_dir(spark)}/quire-{label}-{uuid.uuid4().hex}"
         self.count = itertools.count()
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{next(self.count)}"
         df.write.parquet(path)
+        self.spark._jvm.java.lang.System.gc()  # lets Spark delete the shuffles behind it, which nothing reads any more
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept.spool_path = path
         return kept
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that nothing reads any more."""
-        jvm, path = self.spark._jvm, getattr(df, "spool_path", None)
-        if path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(df, "spool_path", None):
+            self._delete(path)
+
+    def clear(self) -> None:
+        """Deletes all its tables."""
+        self._delete(self.base)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def bucket_of(column, modulus: int):
-    """crc32 of the decimal text of a key, modulo a small number: the folds of the learned operators."""
-    return F.crc32(column.cast("string").cast("binary")) % modulus
+    """crc32 of the decimal text of a key, modulo a small number: the folds of the learned operators. A null key has -1."""
+    return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus, F.lit(-1))
+
+
+def join_by_key(rows: DataFrame, named: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of rows with a table of one row for each key, whose ``count`` is the number of rows with that key.
+
+    Keys of more than a HOT_SHARE-th of all rows, so at most HOT_SHARE, are broadcast: no task gets all rows of one.
+    """
+    total = named.agg(F.sum(count)).first()[0] or 0
+    hot = named.filter(F.col(count) > total / HOT_SHARE).drop(count)
+    rest = named.filter(F.col(count) <= total / HOT_SHARE).drop(count)
+    if not hot.limit(1).count():
+        return rows.join(rest, key)
+    many = rows.join(F.broadcast(hot), key)
+    return many.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key).select(many.columns))
 
 
 _LETTER = None
+_LOWER = None
+
+
+def lower_table() -> np.ndarray:
+    """The lower case of each code point that has a single one, so places in a text stay what they are."""
+    global _LOWER
+    if _LOWER is None:
+        _LOWER = np.arange(0x110000, dtype=np.uint32)
+        for i in range(0x110000):
+            c = chr(i).lower()
+            if len(c) == 1:
+                _LOWER[i] = ord(c)
+    return _LOWER
 
 
 def letter_table() -> np.ndarray:
@@ -98,21 +162,20 @@ def code_points(text: str) -> np.ndarray:
 class Words:
     """The letter runs of a batch of texts, as flat arrays.
 
-    chars: code points of the lower-cased texts, one separator after each; start, end: of each word in chars;
+    chars: code points of the texts, each in lower case, one separator after each; start, end: of each word in chars;
     doc: the text of each word; first: index of each text's first word, with the total at the end; base: where
     each text starts in chars.
     """
 
     def __init__(self, texts: list[str]):
-        low = [t.lower() for t in texts]
-        self.chars = code_points("\n".join(low) + "\n")
-        is_letter = letter_table()[np.minimum(self.chars, 0x10FFFF)]
+        self.chars = lower_table()[code_points("\n".join(texts) + "\n")]
+        is_letter = letter_table()[self.chars]
         step = np.diff(np.concatenate(([0], is_letter.view(np.int8), [0])))
         self.start, self.end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        size = np.fromiter((len(t) + 1 for t in low), np.int64, len(low))
+        size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.base = np.concatenate(([0], np.cumsum(size)))
         self.first = np.searchsorted(self.start, self.base)
-        self.doc = np.repeat(np.arange(len(low)), np.diff(self.first))
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
 
 def length_chunks(texts: list, limit: int = CHUNK_CHARS):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Spool, bounded_batches
+from quire.llm.common import Spool, bounded_batches, join_by_key
 from quire.llm.components import connected_components
 
 SHINGLE = 4
@@ -18,6 +19,8 @@ SEED = 42
 MAX_BITS = 4
 #: A posting list with more distinct fingerprints is linked through midpoints instead of pairs.
 DENSE = 2048
+#: Distinct fingerprints from which the lists go by four bytes.
+WIDER = 50_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -39,28 +42,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long; null and empty texts have 0."""
+    """(id, fp, sign): fp is the fingerprint as a signed long, null and empty texts have 0; sign is the text's xxhash64."""
     bounded_batches(docs.sparkSession)
 
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), dtype="int64")
 
-    return docs.select(F.col(id_col).alias("id"), F.pandas_udf(of, "long")(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), F.pandas_udf(of, "long")(F.col(text_col)).alias("fp"), F.xxhash64(text_col).alias("sign"))
 
 
 def byte_groups(width: int) -> list[tuple[int, ...]]:
-    """Sets of byte positions such that any MAX_BITS equal bytes of 8 contain at least one of them whole.
-
-    Two fingerprints with at most 4 differing bits agree in at least 4 of their 8 bytes. width 4: all 70 sets of
-    4 positions. width 3: 20 triples, by splitting the positions in three parts and taking the triples inside a
-    part and those with two positions in a part and one in the next.
-    """
-    if width == 4:
-        return list(combinations(range(8), 4))
-    part = [(0, 1, 2), (3, 4, 5), (6, 7)]
-    found = [t for p in part for t in combinations(p, 3)]
-    found += [tuple(sorted((*two, one))) for i, p in enumerate(part) for two in combinations(p, 2) for one in part[(i + 1) % 3]]
-    return found
+    """The sets of ``width`` of the 8 byte positions. Fingerprints that share at least 4 bytes share C(4, width) sets or more."""
+    return list(combinations(range(8), width))
 
 
 def _mask(group: tuple[int, ...]) -> int:
@@ -68,64 +61,69 @@ def _mask(group: tuple[int, ...]) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def _agreeing_bytes(x):
-    """Number of zero bytes of a long: the tally of shared positional bytes of a pair."""
-    return sum((F.shiftrightunsigned(x, 8 * b).bitwiseAND(F.lit(255)) == 0).cast("int") for b in range(8))
+def postings(fps: DataFrame, width: int) -> DataFrame:
+    """(g, v, fp): the index of fingerprints by the bytes at each set of positions."""
+    posted = [F.struct(F.lit(i).alias("g"), F.col("fp").bitwiseAND(F.lit(_mask(g))).alias("v")) for i, g in enumerate(byte_groups(width))]
+    return fps.select("fp", F.explode(F.array(*posted)).alias("key")).select("key.g", "key.v", "fp")
 
 
-def links(spark: SparkSession, fps: DataFrame, spool: Spool, dense: int = DENSE) -> DataFrame:
-    """(src, dst) node pairs that connect exactly what the pairs with at most MAX_BITS differing bits connect.
+def tallied(index: DataFrame, width: int) -> DataFrame:
+    """(src, dst): pairs that share at least as many lists of the index as MAX_BITS differing bits leave them."""
+    a, b = index.alias("a"), index.alias("b")
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.fp") < F.col("b.fp")))
+    met = met.select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+    least = comb(8 - MAX_BITS, width)
+    return met.groupBy("src", "dst").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least).select("src", "dst")
+
 
-    fps: distinct fingerprints (fp, node). Each is posted under groups of positional bytes; a pair found in a
-    list counts if its tally of shared bytes reaches the guaranteed minimum of 4, if this list is the first it
-    shares (so it comes once), and if the differing bits, counted exactly, are few enough. In a list with over
-    ``dense`` fingerprints no pairs are made: two fingerprints differ in at most 4 bits just if some midpoint is
-    within 2 bits of both, so each is linked to the smallest node at each of its midpoints, and the work is linear.
+def links(spark: SparkSession, fps: DataFrame, spool: Spool, dense: int = DENSE) -> DataFrame:
+    """(src, dst) fingerprints that connect exactly what the pairs with at most MAX_BITS differing bits connect.
+
+    fps: distinct fingerprints. Two with at most 4 differing bits agree in at least 4 of their 8 bytes, so they share
+    at least C(4, 3) = 4 of the 56 lists by three positional bytes: pairs are tallied over the lists, those that reach
+    the minimum stay, and their bits are counted. In a list with over ``dense`` fingerprints no pairs are made: two
+    fingerprints differ in at most 4 bits just if some midpoint is within 2 bits of both, so each is linked to the
+    smallest at each of its midpoints, and the work is linear; a pair that shares such a list is connected there, and
+    any other pair has all its shared lists among the rest, so the minimum holds for these. From WIDER fingerprints on
+    lists go by four bytes, as those by three would be long by chance; one shared list is then the minimum.
     """
-    width = 3 if fps.count() <= 50_000_000 else 4
-    groups = byte_groups(width)
-    masks = [_mask(g) for g in groups]
-    posted = F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)])).alias("key")
-    index = fps.select("fp", "node", posted).select("fp", "node", "key.g", "key.v")
+    width = 3 if fps.count() <= WIDER else 4
+    index = postings(fps, width)
     heavy = spool.put(index.groupBy("g", "v").count().filter(F.col("count") > dense).select("g", "v"))
     some = heavy.limit(1).count() > 0
     light = index.join(heavy, ["g", "v"], "left_anti") if some else index
-
-    a, b = light.alias("a"), light.alias("b")
-    x = F.expr("a.fp ^ b.fp")
-    earlier = F.coalesce(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)])
-    near = (F.bit_count(x) <= MAX_BITS) & (_agreeing_bytes(x) >= 8 - MAX_BITS)
-    if not some:
-        near = near & (earlier == F.col("a.g"))
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.node") < F.col("b.node")) & near)
-    found = pairs.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+    found = tallied(light, width).filter(F.bit_count(F.expr("src ^ dst")) <= MAX_BITS)
     if not some:
         return found
-    free = {i: [b for b in range(64) if not (m >> b) & 1] for i, m in enumerate(masks)}
     wrap = lambda v: v - (1 << 64) if v >> 63 else v
+    free = {i: [b for b in range(64) if b // 8 not in g] for i, g in enumerate(byte_groups(width))}
     flips = [(i, wrap(sum(1 << b for b in bits))) for i, bs in free.items() for n in range(MAX_BITS // 2 + 1) for bits in combinations(bs, n)]
     table = F.broadcast(spark.createDataFrame(pd.DataFrame(flips, columns=["g", "flip"]), "g int, flip long"))  # fixed size: some 821 rows a group
-    hot = index.join(heavy, ["g", "v"], "left_semi").join(table, "g").select("g", "node", F.expr("fp ^ flip").alias("mid"))
-    hub = hot.groupBy("g", "mid").agg(F.min("node").alias("dst"), F.count("*").alias("n")).filter("n > 1").select("g", "mid", "dst")
-    star = hot.join(hub, ["g", "mid"]).filter("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
+    hot = index.join(heavy, ["g", "v"], "left_semi").join(table, "g").select("g", "fp", F.expr("fp ^ flip").alias("mid"))
+    hub = hot.groupBy("g", "mid").agg(F.min("fp").alias("dst"), F.count("*").alias("n")).filter("n > 1").select("g", "mid", "dst")
+    star = hot.join(hub, ["g", "mid"]).filter("fp <> dst").select(F.col("fp").alias("src"), "dst").distinct()
     return found.unionByName(star)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
-    """One row per document: id, fp (signed long), component_id, the smallest id reachable by links.
+    """One row per document: id, fp (signed long), sign (xxhash64 of the text), component_id (the smallest id reachable by links), group.
 
-    Equal fingerprints are one node (their smallest id), so a group of copies costs one node however large it is.
-    Null, empty and blank texts share fingerprint 0 and so one component, as the links say. Repeated rows come
-    back as often as they stand in the input. A null id takes no part in the choice of a component's id. An
-    empty table gives an empty table. Other columns are not read.
+    group is the smallest fingerprint of the component: it tells components apart where rows of one id have different
+    texts. Equal fingerprints are one node, so a group of copies costs one node however large it is. Null, empty and
+    blank texts share fingerprint 0 and so one component, as the links say. Repeated rows come back as often as they
+    stand in the input. A null id takes no part in the choice of a component's id; a component of such rows has none.
+    An empty table gives an empty table. Other columns are not read.
     """
     spark = docs.sparkSession
     spool = Spool(spark, "simhash")
     each = spool.put(fingerprints(docs, id_col, text_col))
-    nodes = spool.put(each.groupBy("fp").agg(F.min("id").alias("node")))
-    linked = connected_components(spark, links(spark, nodes.filter("node is not null"), spool, dense), spool)
-    named = nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return each.join(named, "fp").select("id", "fp", "component_id")
+    nodes = spool.put(each.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("rows")))
+    linked = connected_components(spark, links(spark, nodes.select("fp"), spool, dense), spool)
+    named = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "node", "rows", F.coalesce("component", "fp").alias("group"))
+    named = spool.put(named)
+    least = spool.put(named.groupBy("group").agg(F.min("node").alias("component_id"), F.count("*").alias("nodes")))
+    named = spool.put(join_by_key(named, least, "group", "nodes"))
+    return join_by_key(each, named.select("fp", "group", "component_id", "rows"), "fp", "rows").select("id", "fp", "sign", "component_id", "group")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

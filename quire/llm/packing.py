@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import math
 import zlib
 
 import numpy as np
@@ -53,13 +54,57 @@ def encoder(path: str):
     return _ENCODER[path]
 
 
+class Open:
+    """The sequences with room, by room: finds the cheapest with room for a piece among all of them.
+
+    A heap of (cost, sequence) for each room from 1 to the length, and a tree of minima over the rooms.
+    """
+
+    def __init__(self, rooms: list[int], length: int):
+        self.size = 1 << length.bit_length()
+        self.heaps: list[list] = [[] for _ in range(self.size)]
+        self.best: list = [(math.inf, -1)] * (2 * self.size)
+        for s, r in enumerate(rooms):
+            self.heaps[r].append((0.0, s))  # in order, so a heap already
+        for r in set(rooms):
+            self._settle(r)
+
+    def _settle(self, room: int) -> None:
+        i = room + self.size
+        self.best[i] = self.heaps[room][0] if self.heaps[room] else (math.inf, -1)
+        while i := i >> 1:
+            self.best[i] = min(self.best[2 * i], self.best[2 * i + 1])
+
+    def take(self, need: int) -> tuple[float, int, int] | None:
+        """(cost, sequence, room) of the cheapest sequence with room for ``need`` tokens, taken out; None if there is none."""
+        low, high, found = need + self.size, 2 * self.size, None
+        while low < high:
+            if low & 1:
+                found = low if found is None or self.best[low] < self.best[found] else found
+                low += 1
+            low, high = low >> 1, high >> 1
+        if found is None or self.best[found][1] < 0:
+            return None
+        while found < self.size:
+            found = 2 * found + (self.best[2 * found + 1] < self.best[2 * found])
+        room = found - self.size
+        c, s = heapq.heappop(self.heaps[room])
+        self._settle(room)
+        return c, s, room
+
+    def put(self, cost: float, s: int, room: int) -> None:
+        if room:
+            heapq.heappush(self.heaps[room], (cost, s))
+            self._settle(room)
+
+
 def assign(sizes: list[int], length: int = LENGTH, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece; every token lies in one piece.
 
     Whole sequences are cut off the front of documents that exceed one. What is left goes, longest first, to the
-    sequence of the lowest estimated cost among those with room for it. The number of sequences is the smallest
-    that holds the tokens; a document that finds no room whole is cut over the roomiest sequences, so all but the
-    last one come out full.
+    sequence of the lowest estimated cost among all those with room for it. The number of sequences is the smallest
+    that holds the tokens; a document that finds no room whole is cut over the cheapest sequences with any room, so
+    all but the last one come out full.
     """
     out, rest, seq = [], [], 0
     for d, n in enumerate(sizes):
@@ -74,37 +119,22 @@ def assign(sizes: list[int], length: int = LENGTH, linear: float = LINEAR, quadr
     if not total:
         return out
     opened = -(-total // length)
-    room = [length] * opened
-    room[-1] = total - length * (opened - 1)
-    cost = [(0.0, s) for s in range(opened)]
-    heapq.heapify(cost)
+    rooms = [length] * opened
+    rooms[-1] = total - length * (opened - 1)
+    free = Open(rooms, length)
     held: list[list[tuple[int, int, int]]] = [[] for _ in range(opened)]
     cut = []
-    for n, d, at in sorted(rest, key=lambda x: (-x[0], x[1])):
-        passed = []
-        while cost and len(passed) < 64:
-            c, s = heapq.heappop(cost)
-            if room[s] >= n:
-                held[s].append((d, at, n))
-                room[s] -= n
-                if room[s]:
-                    heapq.heappush(cost, (c + linear * n + quadratic * n * n, s))
-                break
-            passed.append((c, s))
-        else:
-            cut.append((n, d, at))
-        for x in passed:
-            heapq.heappush(cost, x)
-    gaps = [(-r, s) for s, r in enumerate(room) if r]
-    heapq.heapify(gaps)
-    for n, d, at in cut:
-        while n:
-            r, s = heapq.heappop(gaps)
-            k = min(n, -r)
-            held[s].append((d, at, k))
-            at, n = at + k, n - k
-            if k < -r:
-                heapq.heappush(gaps, (r + k, s))
+    for whole in (True, False):
+        for n, d, at in sorted(rest, key=lambda x: (-x[0], x[1])) if whole else cut:
+            if whole and (found := free.take(n)) is None:
+                cut.append((n, d, at))
+                continue
+            while n:
+                c, s, room = found if whole else free.take(1)
+                k = min(n, room)
+                held[s].append((d, at, k))
+                free.put(c + linear * k + quadratic * k * k, s, room - k)
+                at, n = at + k, n - k
     for s, pieces in enumerate(held):
         at = 0
         for d, start, n in pieces:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,8 +58,20 @@ class Vocabulary:
         self.slots[slot] = np.arange(len(slot))
         self.slots[slot[1:][slot[1:] == slot[:-1]]] = -2
         self.unknown = sp.unk_id()
+        self.id_type = "<u2" if size <= 1 << 16 else "<u4"
+        spelled = {i: bytes([b]) for b, i in self.bytes.items()}
+        said = [spelled.get(i) or sp.id_to_piece(i).replace("▁", " ").encode() for i in range(size)]
+        self.said = np.frombuffer(b"".join(said), np.uint8)
+        self.said_end = np.cumsum([len(x) for x in said])
+        self.said_size = np.diff(np.concatenate(([0], self.said_end)))
         self.byte_ids = np.array([self.bytes.get(b, self.unknown) for b in range(256)])
 
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids spell, without the space that each text begins with."""
+        size = self.said_size[ids]
+        skip = np.repeat(self.said_end[ids] - np.cumsum(size), size)
+        return self.said[skip + np.arange(len(skip))].tobytes()[1:]
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of the piece with each hash, or -1."""
         hit = self.slots[(h >> np.uint64(42)).astype(np.int64)].astype(np.int64)
@@ -153,9 +167,11 @@ class Lattice:
         number = np.full(total + len(n), -1)
         number[head[new]] = np.arange(len(new))
         self.number = number
-        running = np.cumsum(mass) if len(mass) else mass
-        before = np.repeat(running[new] - mass[new], np.diff(np.concatenate((new, [len(mass)])))) if len(mass) else mass
-        self.steps = np.minimum(running - before, 1.0) + np.repeat(np.arange(len(new)), np.diff(np.concatenate((new, [len(mass)])))) if len(mass) else mass
+        self.steps = mass.copy()  # running sums inside each node, so no other node's digits are in them
+        many = np.diff(np.concatenate((new, [len(mass)])))
+        for j in range(1, int(many.max()) if len(many) else 0):
+            at = new[many > j] + j
+            self.steps[at] += self.steps[at - 1]
         self.last = np.concatenate((new[1:], [len(mass)])) - 1
         self.edge0 = new
         self.total = alpha[self.base + n]
@@ -169,7 +185,7 @@ class Lattice:
         count = np.zeros(m, np.int64)
         while len(left):
             k = self.number[at]
-            u = k + uniform(keys[left] + np.uint64(t * _GOLD & _ALL))
+            u = uniform(keys[left] + np.uint64(t * _GOLD & _ALL))
             e, low = self.last[k], self.edge0[k]
             down = np.flatnonzero(e > low)  # from the longest piece, which is the likeliest
             while len(down := down[u[down] < self.steps[e[down] - 1]]):
@@ -350,15 +366,25 @@ def top_k(texts: list[str], row_keys: list[int], v: Vocabulary, k: int = SAMPLES
 
 def decode(ids, path: str) -> str:
     """The text of piece ids: bytes joined, U+2581 back to spaces, without the first one."""
-    v = vocabulary(path)
-    back = {i: b for b, i in v.bytes.items()}
-    out = b"".join(bytes([back[i]]) if i in back else v.processor.id_to_piece(i).encode() for i in map(int, ids))
-    return out.decode("utf-8", "replace").replace("▁", " ")[1:]
+    return vocabulary(path).decoded(np.asarray(ids, np.int64)).decode("utf-8", "replace")
+
+
+def decoded(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
+    """The rows with a column ``decoded``: the text of each row's ids (binary, as ``segment`` returns them). Null ids: null."""
+    bounded_batches(rows.sparkSession)
+
+    def of(ids: pd.Series) -> pd.Series:
+        v = vocabulary(model)
+        return pd.Series([None if x is None else v.decoded(np.frombuffer(x, v.id_type).astype(np.int64)).decode("utf-8", "replace") for x in ids], dtype=object)
+
+    return rows.withColumn("decoded", F.pandas_udf(of, "string")(F.col(ids_col)))
 
 
 def segment(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k rows per document: id, sample (from 1), ids (binary, unsigned little-endian 16-bit), log_prob, perturbed, log_inclusion.
+    """k rows per document: id, sample (from 1), ids (binary, unsigned little-endian, 16-bit where the vocabulary allows, else 32), log_prob, perturbed, log_inclusion, decoded_crc32.
 
+    decoded_crc32 is that of the bytes the ids decode to, for a round trip: the text's own, but that a literal U+2581
+    comes back as a space.
     The samples of a text are distinct segmentations, drawn without replacement in the order of their perturbed
     log-probabilities; log_inclusion is the log-probability that one exceeds the first value left out. Draws
     depend on the seed and the row's key only, not on partitions, so a lost task gives the same again and repeated
@@ -376,13 +402,13 @@ def segment(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SEED, id_
             for at in length_chunks(texts, CHUNK_CHARS):
                 rows = []
                 for name, found in zip([names[i] for i in at], top_k([texts[i] for i in at], [int(names[i] or 0) for i in at], v, k, seed)):
-                    rows += [(name, i + 1, ids.astype("<u2").tobytes(), lp, g, incl) for i, (ids, lp, g, incl) in enumerate(found)]
-                cols = list(zip(*rows)) if rows else [[]] * 6
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"])
+                    rows += [(name, i + 1, ids.astype(v.id_type).tobytes(), lp, g, incl, zlib.crc32(v.decoded(ids))) for i, (ids, lp, g, incl) in enumerate(found)]
+                cols = list(zip(*rows)) if rows else [[]] * 7
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", "decoded_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, sample int, ids binary, log_prob double, perturbed double, log_inclusion double")
+    return rows.mapInArrow(run, "id long, sample int, ids binary, log_prob double, perturbed double, log_inclusion double, decoded_crc32 long")
 
 
 def default_model() -> str:
@@ -395,4 +421,4 @@ def op5_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.common import table
 
     out = segment(table(spark, sf_dir, "documents"), default_model())
-    return out.select(F.col("id").alias("doc_id"), "sample", (F.octet_length("ids") / 2).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion")
+    return out.select(F.col("id").alias("doc_id"), "sample", (F.octet_length("ids") / 2).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion", "decoded_crc32")

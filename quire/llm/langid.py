@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Words, bounded_batches, bucket_of, length_chunks, mix, script_of
+from quire.llm.common import Words, bounded_batches, bucket_of, length_chunks, mix, script_of, share
 
 #: Training rows per language, at most about; the model is fitted on this many whole texts.
 TRAIN_ROWS = 2000
+#: Languages that are learned at most: those of the most rows. Bounds the model.
+LANGUAGES = 512
 BUCKETS = 1 << 16
 #: Log-probability lost by changing the language between two words.
 SWITCH = 12.0
@@ -60,9 +62,9 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS) -> Model:
-    """Gram counts by language over a hash sample of about ``rows`` rows of each language (all, if fewer)."""
+    """Gram counts by language over a hash sample of about ``rows`` rows of each language (all, if fewer), of at most LANGUAGES languages."""
     known = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((16, 0), bool))
@@ -155,7 +157,7 @@ def _label(texts: list, model: Model, switch: float):
 
 def labeller(spark: SparkSession, model: Model, switch: float = SWITCH):
     """A column function: text -> struct of lang_pred, score and spans."""
-    shared = spark.sparkContext.broadcast(model)  # fixed size: languages x BUCKETS floats
+    shared = share(spark, model)  # fixed size: at most LANGUAGES x BUCKETS floats
 
     def run(texts: pd.Series) -> pd.DataFrame:
         found = _label(texts.tolist(), shared.value, switch)
@@ -170,7 +172,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """One row per document: id, lang_pred, score, spans.
 
     lang_pred is the language of most letters on the Viterbi path of the whole text, score its share of the
-    letters, spans its runs as (start, end, lang) over the characters of the lower-cased text. Null texts, texts
+    letters, spans its runs as (start, end, lang) over the characters of the text. Null texts, texts
     without letters and an empty model give ``und``, 0 and no spans. Each row is judged alone: repeated rows get
     equal answers. Empty table: no rows. Only the id and the text are read.
     """
@@ -184,4 +186,4 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.filter(bucket_of(F.col("doc_id"), 4) != 2), "doc_id", "text", "lang")
     out = identify(docs, model)
-    return out.select(F.col("id").alias("doc_id"), (bucket_of(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+    return out.select(F.col("id").alias("doc_id"), (bucket_of(F.col("id"), 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"), F.to_json("spans").alias("spans"))

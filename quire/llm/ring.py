@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from quire.llm.common import Spool
+
 SHARDS = 40
 VNODES = 64
 #: Equal arcs of the key space. Only their counts (at most this many rows) reach the driver.
@@ -67,18 +69,18 @@ def plan(counts: dict[int, int], shards: int, vnodes: int = VNODES) -> list[tupl
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", vnodes: int = VNODES) -> DataFrame:
     """One row per document: id, size, text_crc32, shard, slot.
 
-    The key of a row is its id (and, for repeated rows, all else that is returned): rows of equal texts spread
-    over the ring like any others, so no group is hot. Texts are never shuffled; only (id, size, crc32) are.
-    Ranks are taken inside a cell, so no task holds more than rows / CELLS. Null texts have size 16 and the crc32
+    The key of a row is its id with its size and checksum: rows of equal texts, and those of one id with different
+    texts, spread over the ring like any others. Texts are never shuffled; only (id, size, crc32) are. Ranks are taken
+    inside a cell, about rows / CELLS rows; rows that are equal in all three share one, and a task sorts them. Null texts have size 16 and the crc32
     of no bytes. A null id is a key like any other. Empty table: no rows. The driver sees one count per cell.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.col(id_col)
     rows = docs.select(key.alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    spot = F.xxhash64(F.col("id"))
-    rows = rows.withColumn("cell", F.pmod(spot, F.lit(CELLS)).cast("int"))
-    counts = {r.cell: r.n for r in docs.select(key.alias("id")).groupBy(F.pmod(spot, F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").alias("n")).collect()}
+    spot = F.xxhash64("id", "size", "text_crc32")
+    rows = Spool(spark, "ring").put(rows.withColumn("cell", F.pmod(spot, F.lit(CELLS)).cast("int")))  # so that texts are read once
+    counts = {r.cell: r.n for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     parts = T.StructType([T.StructField(n, T.LongType() if n in ("lo", "hi", "slot0") else T.IntegerType()) for n in ("cell", "lo", "hi", "shard", "slot0")])
     moves = F.broadcast(spark.createDataFrame(plan(counts, shards, vnodes), parts))  # at most CELLS + shards * vnodes rows
     rank = F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(1)), "id", "text_crc32", "size")) - 1

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Spool, Words, bounded_batches, bucket_of, length_chunks, range_hashes
+from quire.llm.common import Spool, Words, bounded_batches, bucket_of, length_chunks, range_hashes, share
 
 #: Labelled rows of each class that are used for fitting, at most about.
 TRAIN_ROWS = 6000
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     got = sample.mapInArrow(cut, "f binary, y binary").orderBy(F.xxhash64("f", "y"), "f", "y").limit(SEQUENCES).collect()
     seqs = [(np.frombuffer(r.f, np.int32).reshape(-1, width).astype(np.int64), np.frombuffer(r.y, np.int8).astype(np.int64)) for r in got]
     model = Model(*_fit_crf(seqs), np.zeros(4))
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
 
     def score(batches):
         import pyarrow as pa
@@ -276,7 +276,7 @@ def _score(texts: list, m: Model) -> tuple[list[float], list[list[dict]]]:
 
 def scorer(spark: SparkSession, model: Model):
     """A column function: text -> struct of score and spans."""
-    shared = spark.sparkContext.broadcast(model)  # fixed size: BUCKETS floats
+    shared = share(spark, model)  # fixed size: BUCKETS floats
 
     def run(texts: pd.Series) -> pd.DataFrame:
         scores, spans = _score(texts.tolist(), shared.value)
@@ -290,7 +290,7 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """One row per document: id, score, spans.
 
     score (0 to 1) is a calibrated sum of the tag marginals of all words of the text; spans are the (start, end,
-    p) runs of words whose marginal is at least a half, as offsets in the lower-cased text. Null texts and texts
+    p) runs of words whose marginal is at least a half, as character offsets in the text. Null texts and texts
     without letters get the score of a text without a toxic word, and no spans. Each row is judged alone. Empty
     table: no rows. Only the id and the text are read.
     """
@@ -304,4 +304,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels").filter(bucket_of(F.col("doc_id"), 5) != 0))
     out = detect(docs, model)
-    return out.select(F.col("id").alias("doc_id"), (bucket_of(F.col("id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return out.select(F.col("id").alias("doc_id"), (bucket_of(F.col("id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), F.to_json(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("spans"))

@@ -488,3 +488,184 @@ def test_broken_and_deep_pages_cost_one_pass():
     assert time.time() - began < 20
     text = styletree.main_text('<article><p>aa</p><div class="related-work"><p>bb</p></div><section id="search"><p>cc</p></section><p class="alert">dd</p><div class="comments"><p>zz</p></div></article>')
     assert text == "aa bb cc dd"
+
+
+def test_top_k_over_shards_with_copies_and_negative_ids(spark):
+    rng = np.random.default_rng(71)
+    x = np.concatenate((rng.normal(size=(200, 6)), rng.normal(size=(100, 6)) + 4)).astype(np.float32)
+    x[50:150] = x[49]
+    ids = np.arange(300) - 120
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)] + [(3, x[0].tolist())]
+    g = np.floor(np.concatenate((x, x[:1])).astype(float) * 64)
+    ids = np.append(ids, 3)
+    want = {}
+    for q in (i for i in range(-120, 180) if i % 20 == 0):
+        s = g @ g[ids.tolist().index(q)]
+        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:5]
+        want[q] = [(n + 1, int(ids[i]), int(s[i])) for n, i in enumerate(order)]
+    for size, group in ((1000, 1000), (40, 3)):
+        got: dict = {}
+        for r in balltree.top_k(vectors(spark, rows), k=5, shard_rows=size, query_rows=group).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert {q: sorted(v) for q, v in got.items()} == want
+
+
+def test_queries_skip_shards_that_cannot_matter():
+    rng = np.random.default_rng(72)
+    x = np.concatenate([rng.normal(size=(500, 8)) + c for c in (0, 60, -60, 200)])
+    ids = np.arange(len(x))
+    cuts = balltree.Cuts(ids, x, 4)
+    home = cuts.home(ids, x)
+    assert sorted(np.bincount(home).tolist()) == [500] * 4
+    copies = balltree.Cuts(ids, np.ones((2000, 8)), 4).home(ids, np.ones((2000, 8)))
+    assert np.bincount(copies).min() > 400
+    import pyarrow as pa
+
+    radius = np.array([np.sqrt(((x[home == s] - cuts.centres[s]) ** 2).sum(1)).max() for s in range(4)])
+    q = x[-20:]
+    floor = np.sort(q @ x[home == home[-1]].T, axis=1)[:, -5]
+    b = pa.RecordBatch.from_arrays([pa.array(ids[-20:]), pa.array([v.tobytes() for v in q], pa.binary()), pa.array(np.full(20, 8, np.int32)), pa.array(home[-20:].astype(np.int32)), pa.array(floor)], names=["id", "raw", "dim", "home", "floor"])
+    assert sum(x.num_rows for x in balltree._routes({8: (np.arange(4), cuts.centres, radius)})([b])) == 0
+
+
+def test_one_id_with_two_vectors_and_null_ids(spark):
+    e = np.eye(4, dtype=np.float32)
+    rows = [(1, e[0]), (2, e[0] + 0.1 * e[3]), (5, e[1]), (5, e[2]), (6, e[1] + 0.1 * e[3]), (7, e[2] + 0.1 * e[3]), (None, e[0]), (8, None)]
+    df = spark.createDataFrame([(i, None if v is None else v.tolist()) for i, v in rows], "vec_id long, embedding array<float>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in projection.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (None, 0, None, True), (8, 0, 8, True)], key=repr)
+
+
+def test_tally_keeps_only_pairs_with_the_minimum_of_shared_bytes(spark):
+    rng = np.random.default_rng(73)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    base = [int(x) for x in rng.integers(0, 2**63, 400)]
+    fps = base + [f ^ (0xFF << 8 * k) for f in base[:60] for k in range(3)] + [(int(rng.integers(0, 2**40)) << 24) | (f & 0xFFFFFF) for f in base[:60]]
+    fps = sorted({signed(f) for f in fps})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    agree = lambda a, b: sum(((a ^ b) >> 8 * k) & 255 == 0 for k in range(8))
+    index = simhash.postings(df, 3)
+    met = index.alias("a").join(index.alias("b"), ["g", "v"]).filter("a.fp < b.fp").select("a.fp", "b.fp").distinct().count()
+    got = {(r.src, r.dst) for r in simhash.tallied(index, 3).collect()}
+    assert got == {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if agree(a, b) >= 4} and 0 < len(got) < met
+
+
+def test_one_id_with_two_texts_in_near_dedup(spark):
+    rng = np.random.default_rng(74)
+    a, b = words(rng, 200), words(rng, 200)
+    d = spark.createDataFrame([(5, a), (5, b), (7, a), (9, b), (None, "x y z")], "doc_id long, text string")
+    got = simhash.near_duplicates(d).collect()
+    assert len({r.group for r in got}) == 3 and Counter((r.id, r.component_id) for r in got) == {(5, 5): 2, (7, 5): 1, (9, 5): 1, (None, None): 1}
+
+
+def test_packing_takes_the_cheapest_sequence_with_room():
+    rng = np.random.default_rng(75)
+    sizes = rng.integers(100, 1000, 3000).tolist()
+    pieces = packing.assign(sizes)
+    load, cost, cuts = Counter(), Counter(), Counter(d for d, *_ in pieces)
+    for _, _, n, s, _ in pieces:
+        load[s] += n
+        cost[s] += n + n * n / 512
+    assert sorted(load.values())[1] == 1024 and sum(load.values()) == sum(sizes)
+    assert sum(c > 1 for c in cuts.values()) < 0.2 * len(sizes)
+    # against a plain search over all sequences
+    small = rng.integers(20, 400, 120).tolist()
+    opened = -(-sum(small) // 1024)
+    room, spent = [1024] * opened, [0.0] * opened
+    room[-1] = sum(small) - 1024 * (opened - 1)
+    whole = {}
+    for n, d in sorted(((n, d) for d, n in enumerate(small)), key=lambda x: (-x[0], x[1])):
+        fits = [(spent[s], s) for s in range(opened) if room[s] >= n]
+        if fits:
+            c, s = min(fits)
+            spent[s], room[s], whole[d] = c + n + n * n / 512, room[s] - n, s
+    got = {}
+    for d, start, n, s, _ in packing.assign(small):
+        if n == small[d]:
+            got[d] = s
+    assert all(got[d] == s for d, s in whole.items())
+
+
+def test_ids_equal_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tok, encode = Tokenizer.from_file(path), packing.encoder(path)
+    for t in ("", "<|endoftext|>", "a<|endoftext|>b", "\x00\x01\x7f\x85\u2028", "\r\n \t\n\n", "'s 'LL don't", "\u00a0\u3000x", "é" * 5000, "x" * 20_000, " " * 5000, "\ud7ff\ufffd\U0010ffff", "123456789 " * 300):
+        assert list(encode(t)) == tok.encode(t, add_special_tokens=False).ids, t[:20]
+
+
+def test_second_samples_and_inclusion_follow_their_law():
+    v = segmentation.vocabulary(segmentation.default_model())
+    text, n = "ab c", 6000
+    every = {tuple(f[0]): math.exp(f[1]) for f in segmentation.top_k([text], [0], v, 200)[0]}
+    assert abs(sum(every.values()) - 1) < 1e-6
+    first, pair, included, weight = Counter(), Counter(), Counter(), Counter()
+    for found in segmentation.top_k([text] * n, list(range(n)), v, 2):
+        a, b = (tuple(f[0]) for f in found)
+        first[a] += 1
+        pair[a, b] += 1
+        for f in found:
+            included[tuple(f[0])] += 1
+            weight[tuple(f[0])] += math.exp(f[1] - f[3])  # p over inclusion: its mean over draws is p
+    for (a, b), hits in pair.most_common(5):
+        p = every[a] * every[b] / (1 - every[a])
+        assert abs(hits / n - p) < 5 * math.sqrt(p * (1 - p) / n)
+    for s, _ in included.most_common(3):
+        assert abs(weight[s] / n - every[s]) < 0.1 * every[s] + 0.01
+    lone = segmentation.top_k([text, "other words", text], [3, 4, 3], v, 2)
+    alone = segmentation.top_k([text], [3], v, 2)[0]
+    assert [tuple(f[0]) for f in lone[0]] == [tuple(f[0]) for f in alone] == [tuple(f[0]) for f in lone[2]]
+
+
+def test_decoding_restores_every_text(spark):
+    texts = ["日本語 x\n\ty\u0000", "", " a  b ", "é" * 300, "😀😀", None, "plain words " * 50]
+    rows = segmentation.decoded(segmentation.segment(docs(spark, *texts), segmentation.default_model()), segmentation.default_model()).collect()
+    for r in rows:
+        t = texts[r.id - 1] or ""
+        assert r.decoded == t and r.decoded_crc32 == zlib.crc32(t.encode())
+
+
+def test_few_rows_move_to_a_new_shard(spark):
+    counts = Counter(int(c) for c in np.random.default_rng(76).integers(0, ring.CELLS, 200_000))
+    owner = []
+    for n in (40, 41):
+        at: dict = {}
+        for cell, lo, hi, s, _ in ring.plan(counts, n):
+            at.setdefault(cell, []).append((lo, hi, s))
+        owner.append(at)
+    moved = 0
+    for cell in counts:
+        for r in range(counts[cell]):
+            a, b = (next(s for lo, hi, s in o[cell] if lo <= r < hi) for o in owner)
+            moved += a != b
+    assert moved < 0.08 * 200_000  # 1 of 41 is the least
+
+
+def test_ring_places_rows_as_a_walk_does():
+    rng = np.random.default_rng(77)
+    cells = rng.integers(0, ring.CELLS, 500).tolist()
+    counts = Counter(cells)
+    nodes, room = ring.ring(7, 5), [500 // 7 + (s < 500 % 7) for s in range(7)]
+    want = Counter()
+    for cell in sorted(cells):
+        i = next((k for k, (p, _) in enumerate(nodes) if p >= cell), 0)
+        while not room[nodes[i % len(nodes)][1]]:
+            i += 1
+        s = nodes[i % len(nodes)][1]
+        room[s] -= 1
+        want[cell, s] += 1
+    got = Counter()
+    for cell, lo, hi, s, _ in ring.plan(counts, 7, 5):
+        got[cell, s] += hi - lo
+    assert got == want
+
+
+def test_null_ids_in_the_learned_queries(spark, tmp_path):
+    rng = np.random.default_rng(78)
+    rows = [(i if i % 7 else None, words(rng, 40, "ab"[i % 2]), "xy"[i % 2], "s", 5) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query in (langid.op6_langid, toxicity.op10_toxicity):
+        got = query(spark, str(tmp_path)).collect()
+        assert len(got) == 60 and all(r.held_out is not None and 0 <= r.score <= 1 for r in got)

@@ -66,3 +66,24 @@ def test_empty_corpus(spark, folder, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, base)
     assert docs.count() == 0
+
+
+def test_columns_and_ids_that_clash(spark, folder):
+    base, _ = folder
+    rng = np.random.default_rng(13)
+    long = [" ".join(f"w{x}" for x in rng.integers(0, 9000, 80)) for _ in range(3)]
+    rows = [(5, long[0], "aa", 1, 2), (5, long[1], "aa", 3, 4), (5, long[2], "aa", 5, 6), (5, long[2], "aa", 7, 8), (None, long[0], "aa", 9, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quire_verdict long, quire_cuts long").withColumn("row", docs_row()).withColumn("cuts", docs_row())
+    kept = sorted((r.doc_id, r.text, r.quire_verdict) for r in corpus_pipeline.near_dedup(spark, docs, base).collect())
+    assert kept == sorted([(5, long[0], 1), (5, long[1], 3), (5, long[2], 5)])
+    cut = corpus_pipeline.passage_dedup(spark, docs, base)
+    assert cut.columns == docs.columns and sorted(r.quire_verdict for r in cut.collect()) in ([1, 3, 5, 7], [3, 5, 7, 9])
+    for stage in (corpus_pipeline.toxic, corpus_pipeline.language):
+        out = stage(spark, docs, base)
+        assert out.columns == docs.columns and {r.quire_verdict for r in out.collect()} <= {1, 3, 5, 7, 9}
+
+
+def docs_row():
+    from pyspark.sql import functions as F
+
+    return F.lit("r")

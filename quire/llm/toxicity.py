@@ -171,9 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     none = Model(np.zeros(BUCKETS, np.float32), -10.0, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, math.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))]))  # the rate of the label, for every text
     if not counts.get(0) or not counts.get(1):
         return none
-    share = F.when(F.col("y") == 1, rows / counts[1]).otherwise(2 * rows / counts[0])
+    part = F.when(F.col("y") == 1, rows / counts[1]).otherwise(2 * rows / counts[0])
     draw = F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1_000_000)) / 1e6
-    chosen = F.broadcast(agreed.filter(draw < share))  # about 3 * rows ids at most
+    chosen = F.broadcast(agreed.filter(draw < part))  # about 3 * rows ids at most
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     sample = Spool(spark, "labelled").put(texts.join(chosen, "id").select("y", "text"))
 

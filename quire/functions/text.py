@@ -15,6 +15,7 @@ NOTE_DEF = r"^\s*\[\^(\d+)\]:"
 NOTE_REF = r"\[\^(\d+)\]"
 MAX_LEVEL, NATIVE_LEVELS = 9, 6
 ROMAN = r"(?i)^[ivxlcdm]+$"
+VALID_ROMAN = r"(?i)^(?=[ivxlcdm])m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})\z"
 
 
 def js_trim(c) -> Column:
@@ -34,7 +35,11 @@ def serialize(level, text) -> Column:
 
 
 def normalized_title(c, dashes: bool = True) -> Column:
-    """A title for matching: no bold marks, page in parentheses (or after a dash), or leading number or letter."""
+    """A title for matching: no bold marks, page in parentheses (or after a dash), or leading number or letter.
+
+    The converter matches without the rule for dashes, the editor with it.
+    """
+    # What is cut off a title, in this order.
     c = F.regexp_replace(js_trim(c), r"\*\*", "")
     c = F.regexp_replace(c, r"(?i)\s*\([ivxlcdm\d\s,\x{2013}-]+\)\s*\z", "")
     if dashes:
@@ -72,22 +77,31 @@ def word_count(c) -> Column:
 
 
 def roman_value(c) -> Column:
-    """A roman numeral as an integer by subtractive sums; null if it is none."""
+    """A well-formed roman numeral as an integer by subtractive sums; null if it is none."""
     value = F.create_map(*[F.lit(x) for kv in (("i", 1), ("v", 5), ("x", 10), ("l", 50), ("c", 100), ("d", 500), ("m", 1000)) for x in kv])
     digits = F.transform(F.split(F.lower(c), ""), lambda x: value[x])
     total = F.aggregate(digits, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")), lambda s, x: F.struct((s["sum"] + x - F.when(s["last"] < x, 2 * s["last"]).otherwise(0)).alias("sum"), x.alias("last")), lambda s: s["sum"])
-    return F.when(c.rlike(ROMAN), total)
+    return F.when(c.rlike(VALID_ROMAN), total)
 
 
 def printed_page(footer, header) -> Column:
-    """A printed label, from the footer before the header: 1 to 4 digits or a roman numeral alone."""
-    alone = lambda c: F.when(js_trim(c).rlike(r"^\d{1,4}\z") | js_trim(c).rlike(ROMAN), js_trim(c))
-    return F.coalesce(alone(footer), alone(header))
+    """A printed label, from the footer before the header: a lone number of 1 to 4 digits, else a lone roman numeral.
+
+    Of each text the first lone number counts, and without one the first lone run of roman letters, if well-formed.
+    """
+
+    def label(c) -> Column:
+        t = js_trim(c)
+        number = F.regexp_extract(t, r"(?:^|[\s\x{A0}])(\d{1,4})(?:[\s\x{A0}]|\z)", 1)
+        letters = F.regexp_extract(t, r"(?i)(?:^|[\s\x{A0}])([ivxlcdm]{1,8})(?:[\s\x{A0}]|\z)", 1)
+        return F.when(number != "", number).when(letters.rlike(VALID_ROMAN), F.lower(letters))
+
+    return F.coalesce(label(footer), label(header))
 
 
 def strip_code_fence(c) -> Column:
-    """Removes a fence that wraps a whole answer."""
-    return F.regexp_replace(F.regexp_replace(js_trim(c), r"(?i)^```(?:markdown|md)?[ \t]*\n", ""), r"\n```\s*\z", "")
+    """Removes a fence that wraps a whole answer, and one that is open at either end."""
+    return js_trim(F.regexp_replace(F.regexp_replace(js_trim(c), r"^```(?:markdown|md)?", ""), r"```\z", ""))
 
 
 def collapse_blanks(c) -> Column:
@@ -95,13 +109,13 @@ def collapse_blanks(c) -> Column:
 
 
 def single_marker(c) -> Column:
-    """A doubled heading marker keeps its outer level."""
-    return F.regexp_replace(c, r"^(#{1,9})\s+#{1,9}\s+(.+)$", "$1 $2")
+    """A doubled heading marker keeps its outer level; of a whole text, a lone marker line takes in the heading below it."""
+    return F.regexp_replace(c, r"(?m)^(#{1,9})\s+#{1,9}\s+(.+)$", "$1 $2")
 
 
 def title_of_file(c) -> Column:
-    c = F.regexp_replace(F.regexp_replace(c, r"(?i)\.pdf\z", ""), "_", " ")
-    return js_trim(F.regexp_replace(F.regexp_replace(c, r"\s+-\s+", " — "), r"\s+", " "))
+    c = F.replace(F.replace(F.regexp_replace(c, r"(?i)\.pdf\z", ""), F.lit("_"), F.lit(" ")), F.lit(" - "), F.lit(" — "))
+    return js_trim(F.regexp_replace(c, r"\s+", " "))
 
 
 def csv_quote(c) -> Column:

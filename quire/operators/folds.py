@@ -79,12 +79,15 @@ def preview_chunks(lines: DataFrame, most: int = 50_000) -> DataFrame:
 
 
 def ocr_texts(pages: DataFrame) -> DataFrame:
-    """(doc_id, text) from (doc_id, index, markdown, header, footer): pages without their header and footer lines, marked with printed page numbers, joined by blank lines."""
+    """(doc_id, text) from (doc_id, index, markdown, header, footer, and perhaps images map<string,string>, data URIs by name): pages without their header and footer lines, marked with printed page numbers, joined by blank lines."""
 
-    def run(body: pd.Series, header: pd.Series, footer: pd.Series) -> pd.Series:
-        return pd.Series([M.ocr_page(b or "", h, f) for b, h, f in zip(body, header, footer)], dtype=object)
+    def run(body: pd.Series, header: pd.Series, footer: pd.Series, images: pd.Series) -> pd.Series:
+        import json
 
-    page = pages.select("doc_id", "index", F.pandas_udf(run, "string")("markdown", "header", "footer").alias("text"))
+        return pd.Series([M.ocr_page(b or "", h, f, json.loads(i) if i else None) for b, h, f, i in zip(body, header, footer, images)], dtype=object)
+
+    images = F.to_json("images") if "images" in pages.columns else F.lit(None).cast("string")
+    page = pages.select("doc_id", "index", F.pandas_udf(run, "string")("markdown", "header", "footer", images).alias("text"))
     rows = F.sort_array(F.collect_list(F.struct("index", "text")))
     return page.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n\n").alias("text"))
 

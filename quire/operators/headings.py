@@ -119,8 +119,26 @@ def chunk_offsets(lines: DataFrame) -> DataFrame:
     return per.select("doc_id", "chunk_no", "first_line", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("heading_offset"))
 
 
+def mark_head(lines: DataFrame) -> DataFrame:
+    """Adds head: the line belongs to the YAML head, from ``---`` in the first line to the next one, with a line at least between."""
+    w = W.partitionBy("doc_id")
+    opens = F.max(((F.col("line_no") == 0) & (F.col("line") == "---")).cast("int")).over(w) == 1
+    closes = F.min(F.when((F.col("line_no") >= 2) & (F.col("line") == "---"), F.col("line_no"))).over(w)
+    return lines.withColumn("head", F.coalesce(opens & (F.col("line_no") <= closes), F.lit(False)))
+
+
 def relevel(lines: DataFrame, changes: DataFrame) -> DataFrame:
-    """Lines with new levels for headings by their ordinal: changes(doc_id, h_no, new_level), clamped to 1 to 9."""
+    """Lines with new levels for headings by their ordinal: changes(doc_id, h_no, new_level), clamped to 1 to 9.
+
+    A YAML head is set aside: its lines hold no headings and stay as they are.
+    """
+    marked = mark_head(lines)
+    head = marked.filter("head").select("doc_id", F.lit(0).alias("part"), "line_no", "line")
+    body = _relevel_body(renumber(marked.filter(~F.col("head")), "line_no"), changes)
+    return renumber(head.unionByName(body.select("doc_id", F.lit(1).alias("part"), "line_no", "line")), "part", "line_no")
+
+
+def _relevel_body(lines: DataFrame, changes: DataFrame) -> DataFrame:
     canon = normalize_syntax(lines)
     h = collect_headings(canon).withColumn("h_no", F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")) - 1)
     new = h.join(changes, ["doc_id", "h_no"]).select("doc_id", F.col("start_line_no").alias("s"), F.col("line_no").alias("e"), T.serialize(F.col("new_level"), F.col("text")).alias("new"))
@@ -156,3 +174,33 @@ def clean_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     count = lambda d, n: with_headings(d).groupBy("doc_id").agg(F.count("h_level").alias(f"headings_{n}"), F.count("*").alias(n))
     both = count(before, "before").join(count(after, "after"), "doc_id", "left").fillna(0)
     return both.select("doc_id", "headings_before", "headings_after", (F.col("before") - F.col("after")).alias("lines_removed"))
+
+
+def demoted(lines: DataFrame, choices: DataFrame) -> DataFrame:
+    """Lines in which headings are plain text: choices(doc_id, h_no), by their ordinals."""
+    canon = normalize_syntax(lines)
+    h = collect_headings(canon).withColumn("h_no", F.row_number().over(W.partitionBy("doc_id").orderBy("line_no")) - 1)
+    hit = h.join(choices.select("doc_id", "h_no").distinct(), ["doc_id", "h_no"]).select("doc_id", F.explode(F.sequence("start_line_no", "line_no")).alias("line_no"), F.col("line_no").alias("last"), "text")
+    out = canon.join(hit, ["doc_id", "line_no"], "left").filter(F.col("last").isNull() | (F.col("line_no") == F.col("last")))
+    return renumber(out.select("doc_id", "line_no", F.coalesce("text", "line").alias("line")), "line_no")
+
+
+def promoted(lines: DataFrame, choices: DataFrame) -> DataFrame:
+    """Lines in which a line chosen by its text is a heading: choices(doc_id, title, level); the first line that says it.
+
+    A line says a title if it does without its heading marker and bold marks, or as it stands.
+    """
+    canon = normalize_syntax(lines)
+    bare = T.js_trim(F.regexp_replace(F.regexp_replace("line", r"^#{1,9}\s+", ""), r"^\*\*(.+)\*\*\z", "$1"))
+    seen = canon.withColumn("bare", bare)
+    said = seen.join(choices, "doc_id").filter((F.col("bare") == F.col("title")) | (T.js_trim(F.col("line")) == F.col("title")))
+    first = said.groupBy("doc_id", "title").agg(F.min(F.struct("line_no", "level", "bare")).alias("x")).select("doc_id", "x.line_no", T.serialize(F.col("x.level"), F.col("x.bare")).alias("new"))
+    out = canon.join(first, ["doc_id", "line_no"], "left")
+    return renumber(out.select("doc_id", "line_no", F.posexplode(F.split(F.coalesce("new", "line"), "\n")).alias("sub", "line")), "line_no", "sub")
+
+
+def first_chunks(lines: DataFrame, loaded: int = 10) -> DataFrame:
+    """Lines of the first page chunks, as a preview loads them ten at a time."""
+    chunk = F.sum(F.col("line").rlike(T.PAGE).cast("int")).over(by_line())
+    first = F.min("chunk").over(W.partitionBy("doc_id"))
+    return lines.withColumn("chunk", chunk).withColumn("at", F.col("chunk") - first).filter(F.col("at") < loaded).drop("chunk", "at")

@@ -84,12 +84,24 @@ def queue_snapshot(jobs: DataFrame) -> DataFrame:
     return jobs.filter(F.col("status").isin("queued", "converting", "error")).withColumn("status", status)
 
 
-def unique_paths(files: DataFrame) -> DataFrame:
-    """Adds unique_path: the k-th file of a path gets `` (k-1)`` before its extension."""
-    k = F.row_number().over(W.partitionBy("path").orderBy("id")) - 1
-    numbered = F.regexp_replace("path", r"(\.[^./]*)?\z", "")
-    ext = F.regexp_extract("path", r"(\.[^./]*)\z", 1)
-    return files.withColumn("k", k).withColumn("unique_path", F.when(F.col("k") == 0, F.col("path")).otherwise(F.concat(numbered, F.lit(" ("), F.col("k").cast("string"), F.lit(")"), ext))).drop("k")
+def unique_paths(files: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """Adds unique_path: each file's path, or with the first free `` (i)`` before its extension.
+
+    present(path): names that are taken already. Files of one path take free numbers in the order of their ids; names
+    of the batch itself are taken too, so a file that is called ``a (1).pdf`` keeps its name.
+    """
+    ext = r"(\.[^./]*)\z"
+    parts = lambda df: df.withColumn("base", F.regexp_replace("path", ext, "")).withColumn("ext", F.regexp_extract("path", ext, 1))
+    taken = files.select("path").unionByName(present.select("path")) if present is not None else files.select("path")
+    numbered = parts(taken.distinct()).select(F.regexp_replace("base", r" \(\d+\)\z", "").alias("base"), "ext", F.regexp_extract("base", r" \(([1-9]\d{0,8})\)\z", 1).alias("i")).filter("i <> ''")
+    used = numbered.groupBy("base", "ext").agg(F.array_sort(F.collect_set(F.col("i").cast("int"))).alias("used"))
+    first = F.row_number().over(W.partitionBy("path").orderBy("id")) - 1
+    here = files.withColumn("k", first)
+    if present is not None:
+        here = here.join(present.select("path").distinct().withColumn("there", F.lit(1)), "path", "left").withColumn("k", F.col("k") + F.coalesce("there", F.lit(0))).drop("there")
+    free = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("k").cast("int"), lambda k, u: F.when(u <= k, k + 1).otherwise(k))  # the k-th number that isn't used
+    out = parts(here).join(used, ["base", "ext"], "left")
+    return out.withColumn("unique_path", F.when(F.col("k") == 0, F.col("path")).otherwise(F.concat("base", F.lit(" ("), free.cast("string"), F.lit(")"), "ext"))).drop("k", "base", "ext", "used")
 
 
 def retry_schedule(models: list[str], attempts: int, kind: str):
@@ -105,9 +117,77 @@ def cached_models(cache: DataFrame, now_ms: int, ttl_ms: int = MODEL_TTL_MS) ->
 
 
 def text_models(models: DataFrame) -> DataFrame:
-    """Models whose output side of ``in->out`` modalities is text, or that state none."""
-    out = F.element_at(F.split("modality", "->"), -1)
-    return models.filter(F.col("modality").isNull() | F.array_contains(F.split(out, r"\+"), "text"))
+    """Models whose output side of ``in->out`` modalities is text alone; one that states none is left out."""
+    return models.filter(F.trim(F.try_element_at(F.split("modality", "->"), F.lit(2))) == "text")
+
+
+# Which ids of a service's listing are models for documents (all of the first, none of the second).
+LISTED = {
+    "gemini": ((r"(?i)flash|pro", r"(?i)gemini-(2|3|4)"), r"(?i)thinking|embedding|aqa|text|tts"),
+    "openai": ((r"^(gpt-|o\d)",), r"(?i)instruct|embed|whisper|tts|dall"),
+}
+
+
+def listed_models(models: DataFrame, service: str) -> DataFrame:
+    """The models of a service's listing whose ids its patterns let through; of a service without patterns, all."""
+    wanted, unwanted = LISTED.get(service, ((), None))
+    for p in wanted:
+        models = models.filter(F.col("id").rlike(p))
+    return models if unwanted is None else models.filter(~F.col("id").rlike(unwanted))
+
+
+def newest_history(history: DataFrame, n: int) -> DataFrame:
+    """The newest entries with their place, ties by id: a top-k, merged from partial ones."""
+    return _placed(history.orderBy(F.desc("converted_at"), F.desc("id")).limit(n), F.struct("converted_at", "id"))
+
+
+def newest_groups(log: DataFrame, n: int) -> DataFrame:
+    """Log groups by their latest entry, newest first, ties by job, with their place."""
+    return _placed(log_groups(log).orderBy(F.desc("latest"), F.desc("job_id")).limit(n), F.struct("latest", "job_id"))
+
+
+def ids_descending(models: DataFrame, n: int) -> DataFrame:
+    """The last model ids in code point order, with their place."""
+    return _placed(models.select("id").distinct().orderBy(F.desc("id")).limit(n), F.struct("id"))
+
+
+def _placed(few: DataFrame, key) -> DataFrame:
+    """Adds place, from 1, by a key that is largest first; of a bounded number of rows."""
+    rows = F.sort_array(F.collect_list(F.struct(key.alias("k"), F.struct(*few.columns).alias("r"))), asc=False)
+    return few.agg(rows.alias("rows")).select(F.posexplode("rows").alias("p", "x")).select("x.r.*", (F.col("p") + 1).alias("place"))
+
+
+def retry_delay(kind, attempt):
+    """Seconds before the next try after one that failed: skipped model, rate limit, overload, else five a try."""
+    return F.when(kind == "skip", 2).when(kind == "rate", 10).when(kind == "overload", 30).otherwise(attempt * 5)
+
+
+def rotated(models: list[str], attempt, tries: int = 2):
+    """The model of a try (from 1): so many tries each, in turn."""
+    return F.element_at(F.array(*map(F.lit, models)), (F.floor((attempt - 1) / tries) % len(models) + 1).cast("int"))
+
+
+def stored(store: DataFrame, kind: str) -> DataFrame:
+    """(job_id, content) of the documents of one kind in a store by (kind, job_id); of several the last written counts."""
+    w = W.partitionBy("job_id").orderBy(F.desc("written_at"))
+    return store.filter(F.col("kind") == kind).withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("job_id", "content")
+
+
+def session_skips(failures: DataFrame) -> DataFrame:
+    """(session, model, reason): the models a session skips, with the last reason given."""
+    return failures.groupBy("session", "model").agg(F.max_by("reason", "at").alias("reason"))
+
+
+def text_progress(pieces: DataFrame) -> DataFrame:
+    """Adds chars: the characters received so far of each answer."""
+    w = W.partitionBy("doc_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    return pieces.withColumn("chars", F.sum(F.length("piece")).over(w))
+
+
+def deduped_styles(styles: DataFrame) -> DataFrame:
+    """One definition a style id: the last with an outline level, else the last."""
+    best = F.max_by("xml", F.struct("has_outline", "at"))
+    return styles.withColumn("has_outline", F.contains("xml", F.lit("w:outlineLvl"))).groupBy("style_id").agg(best.alias("xml"))
 
 
 def reusable(jobs: DataFrame, history: DataFrame) -> DataFrame:

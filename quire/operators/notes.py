@@ -11,6 +11,7 @@ from quire.functions import values as V
 from quire.operators.headings import by_line, carry_pages, mark_fences
 
 BREAK = "<!-- ENDNOTE-SECTION-BREAK -->"
+# Definitions that stand in for a note's missing text.
 PLACEHOLDER = r"(?i)^\[\^\w+\]:\s*\[\s*(?:end|foot)?note\s*\d*\s*\]\s*$"
 MISSING = r"(?i)^\[\^\w+\]:\s*\[[^\]]*\b(?:omitted|missing|unavailable|not\s+(?:available|visible|shown|present|provided|included))\b[^\]]*\]\s*$"
 
@@ -121,10 +122,22 @@ def merge_continuations(lines: DataFrame) -> DataFrame:
     head = F.last(F.when(bound, F.struct("line_no", is_def.alias("note"))), ignorenulls=True).over(by_line())
     seen = lines.withColumn("t", t).withColumn("page", is_page).withColumn("head", head)
     inside = F.coalesce(F.col("head.note"), F.lit(False))
-    parts = F.collect_list(F.when(~F.col("page") & (F.col("t") != ""), F.col("t"))).over(W.partitionBy("doc_id", "head.line_no").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    own = F.col("line_no") == F.col("head.line_no")
-    merged = seen.withColumn("merged", F.when(inside & own, F.array_join(parts, " ")))
-    return merged.filter(~inside | own | F.col("page")).select("doc_id", "line_no", F.coalesce("merged", "line").alias("line"))
+    rows = F.sort_array(F.collect_list(F.struct("line_no", "t")))  # of one note each
+    merged = seen.filter(inside & ~F.col("page") & (F.col("t") != "")).groupBy("doc_id", F.col("head.line_no").alias("line_no")).agg(F.array_join(F.transform(rows, lambda r: r["t"]), " ").alias("merged"))
+    kept = seen.filter(~inside | (F.col("line_no") == F.col("head.line_no")) | F.col("page")).select("doc_id", "line_no", "line")
+    return kept.join(merged, ["doc_id", "line_no"], "left").select("doc_id", "line_no", F.coalesce("merged", "line").alias("line"))
+
+
+def endnotes_to_links(lines: DataFrame) -> DataFrame:
+    """Lines in which endnotes are plain links: ``[n](#en-n)`` for a reference, the same before a definition's text.
+
+    Lines in backtick fences stay as they are, definitions that only echo a note's name go.
+    """
+    definition = r"^(\s*)\[\^(\w+)\]:[ \t]*(.*)$"
+    echo = r"(?i)^\s*\[\^\w+\]:\s*\[\s*(?:end|foot)?note\s*\d*\s*\]\s*$"
+    seen = mark_fences(lines, tildes=False).filter(F.col("masked") | ~F.col("line").rlike(echo))
+    link = F.when(F.col("line").rlike(definition), F.regexp_replace("line", definition, "$1[$2](#en-$2) $3")).otherwise(F.regexp_replace("line", r"\[\^(\w+)\]", "[$1](#en-$1)"))
+    return seen.select("doc_id", "line_no", F.when(F.col("masked"), F.col("line")).otherwise(link).alias("line"))
 
 
 def shown_pages(lines: DataFrame) -> DataFrame:

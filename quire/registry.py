@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from quire.functions import text as X
 from quire.functions import values as V
+from quire.operators import convert as C
 from quire.operators import edits as E
 from quire.operators import export as EX
 from quire.operators import folds as FO
@@ -80,6 +81,7 @@ dz AS (SELECT *, CASE WHEN coalesce(n < lag(n) OVER (PARTITION BY doc_id ORDER B
 rg AS (SELECT doc_id, line_no, seq, n, (sum(z) OVER (PARTITION BY doc_id ORDER BY line_no, seq))::BIGINT AS g FROM rz),
 dg AS (SELECT doc_id, line_no, seq, n, (sum(z) OVER (PARTITION BY doc_id ORDER BY line_no, seq))::BIGINT AS g FROM dz)"""
 NORM = r"""trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({0}), '\*\*', '', 'g'), '(?i)\s*\([ivxlcdm\d\s,–-]+\)\s*$', ''), '(?i)\s*[—–-]\s*(?:p\.?\s*)?[ivxlcdm\d]+\s*$', ''), '^\d+(\.\d+)*\.?\s+', ''), '^[A-Z]\.?\s+', ''), '\s+', ' ', 'g')))"""
+NORM4 = r"""trim(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({0}), '\*\*', '', 'g'), '(?i)\s*\([ivxlcdm\d\s,–-]+\)\s*$', ''), '^\d+(\.\d+)*\.?\s+', ''), '^[A-Z]\.?\s+', ''), '\s+', ' ', 'g')))"""  # without the rule for dashes
 PAGES = [r"(?i)\s*\(\s*(?:p\.?\s*)?([ivxlcdm]+|\d+)\s*\)\s*$", r"(?i)\s+[—–-]\s*(?:p\.?\s*)?([ivxlcdm]+|\d+)\s*$", r"(?i),\s*(?:p\.?\s*)?([ivxlcdm]+|\d+)\s*$", r"(?i)\.{3,}\s*([ivxlcdm]+|\d+)\s*$", r"(?i)\s{2,}([ivxlcdm]+|\d+)\s*$"]
 PAGE_OF = "coalesce(" + ", ".join(f"nullif(lower(regexp_extract(raw, '{p}', 1)), '')" for p in PAGES) + ")"
 CUT = "trim(CASE " + " ".join(f"WHEN regexp_matches(raw, '{p}') THEN regexp_replace(raw, '{p}', '')" for p in PAGES) + " ELSE raw END)"
@@ -123,10 +125,10 @@ query(
 query("word_count", "DOCUMENTS", r"SELECT doc_id, len(regexp_split_to_array(text, '\s+')) AS words FROM documents")(lambda d: d.select("doc_id", X.word_count("text").alias("words")))
 query("find_count", "DOCUMENTS", "SELECT doc_id, len(regexp_extract_all(text, '(?i)the')) AS hits FROM documents")(lambda d: d.select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(?i)\Qthe\E"), F.lit(0))).alias("hits")))
 query("collapse_blanks", "deep_md", r" SELECT doc_id, regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM lines GROUP BY 1")(lambda d: H.join_lines(d).select("doc_id", X.collapse_blanks(F.col("text")).alias("text")))
-query("strip_fences", "deep_md", r" SELECT doc_id, regexp_replace(regexp_replace(regexp_replace('```md' || chr(10) || string_agg(line, chr(10) ORDER BY line_no) || chr(10) || '```', '^\s+|\s+$', '', 'g'), '(?i)^```(?:markdown|md)?[ \t]*\n', ''), '\n```\s*$', '') AS text FROM lines GROUP BY 1")(
-    lambda d: H.join_lines(d).select("doc_id", X.strip_code_fence(F.concat(F.lit("```md\n"), F.col("text"), F.lit("\n```"))).alias("text"))
+query("strip_fences", "deep_md", r""" SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '^```(?:markdown|md)?', ''), '```$', ''), '^\s+|\s+$', '', 'g') AS text FROM (SELECT doc_id, (['```md', '```markdown ', '```', '', '  '])[(doc_id % 5 + 1)::INT] || chr(10) || string_agg(line, chr(10) ORDER BY line_no) || CASE WHEN doc_id % 2 = 0 THEN '```' ELSE chr(10) END AS t FROM lines GROUP BY 1)""")(
+    lambda d: H.join_lines(d).select("doc_id", X.strip_code_fence(F.concat(F.element_at(F.array(*map(F.lit, ("```md", "```markdown ", "```", "", "  "))), (F.col("doc_id") % 5 + 1).cast("int")), F.lit("\n"), F.col("text"), F.when(F.col("doc_id") % 2 == 0, "```").otherwise("\n"))).alias("text"))
 )
-query("fix_artifacts", "deep_md", r" SELECT doc_id, line_no::BIGINT AS line_no, regexp_replace(line, '^(#{1,9})\s+#{1,9}\s+(.+)$', '\1 \2') AS line FROM lines")(lambda d: d.select("doc_id", "line_no", X.single_marker(F.col("line")).alias("line")))
+query("fix_artifacts", "deep_md", r""" SELECT doc_id, regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '(?m)^(#{1,9})\s+#{1,9}\s+(.+)$', '\1 \2', 'g') AS text FROM lines GROUP BY 1""")(lambda d: H.join_lines(d).select("doc_id", X.single_marker(F.col("text")).alias("text")))
 query(
     "doc_stats",
     "book_md",
@@ -191,8 +193,8 @@ query(
 # Outlines.
 query("parse_outline", "outline_md", OUTLINE + " SELECT doc_id, entry_no, level::BIGINT AS level, text, norm, page FROM entries")(O.parse_outline)
 BOOK_AND_OUTLINE = OUTLINE + ", bh AS (SELECT doc_id, line_no, regexp_extract(line, '^(#+) (.*)$', 2) AS text, length(regexp_extract(line, '^(#+) (.*)$', 1)) AS level FROM book_md WHERE line LIKE '#%'), bn AS (SELECT *, " + NORM.format("text") + " AS norm FROM bh)"
-query("remap_levels", ("outline_md", "book_md"), BOOK_AND_OUTLINE + ", fe AS (SELECT doc_id, norm, arg_min(level, entry_no) AS ol FROM entries GROUP BY 1, 2) SELECT doc_id, line_no::BIGINT AS line_no, coalesce(ol, level)::BIGINT AS new_level FROM bn LEFT JOIN fe USING (doc_id, norm)")(
-    lambda o, b: O.remap_levels(H.collect_headings(b), O.parse_outline(o)).select("doc_id", "line_no", "new_level")
+query("remap_levels", ("outline_md", "book_md"), BOOK_AND_OUTLINE + ", k0 AS (SELECT *, " + NORM4.format("raw") + " AS k FROM e0), fe AS (SELECT doc_id, k, arg_min(level, (src, line_no)) AS ol FROM k0 GROUP BY 1, 2), b4 AS (SELECT *, " + NORM4.format("text") + " AS k FROM bh) SELECT doc_id, line_no::BIGINT AS line_no, coalesce(ol, level)::BIGINT AS new_level FROM b4 LEFT JOIN fe USING (doc_id, k)")(
+    lambda o, b: O.remap_levels(H.collect_headings(b), o).select("doc_id", "line_no", "new_level")
 )
 query("outline_guard_semi", ("outline_md", "book_md"), BOOK_AND_OUTLINE + " SELECT doc_id, line_no::BIGINT AS line_no, norm FROM bn SEMI JOIN entries USING (doc_id, norm)")(lambda o, b: O.in_outline(H.collect_headings(b), O.parse_outline(o)).select("doc_id", "line_no", "norm"))
 query("missing_titles_anti", ("outline_md", "book_md"), BOOK_AND_OUTLINE + " SELECT doc_id, entry_no, norm FROM entries ANTI JOIN bn USING (doc_id, norm)")(lambda o, b: O.missing_titles(H.collect_headings(b), O.parse_outline(o)).select("doc_id", "entry_no", "norm"))
@@ -224,8 +226,10 @@ query("unique_paths", "history", " SELECT id, CASE WHEN k = 0 THEN source_path E
 query("queue_snapshot", "joblog", " SELECT id, CASE level WHEN 'error' THEN 'queued' WHEN 'warn' THEN 'interrupted' ELSE 'queued' END AS status FROM joblog WHERE level IN ('error', 'warn', 'info')")(
     lambda d: J.queue_snapshot(d.select("id", F.create_map(*[F.lit(x) for x in ("error", "error", "warn", "converting", "info", "queued", "success", "done")])[F.col("level")].alias("status")))
 )
-query("roman_to_int", "models", " SELECT r, v FROM (VALUES ('i', 1::BIGINT), ('iv', 4), ('ix', 9), ('XLII', 42), ('mcmxciv', 1994)) t(r, v)")(
-    lambda d: d.sparkSession.createDataFrame([("i",), ("iv",), ("ix",), ("XLII",), ("mcmxciv",)], "r string").select("r", X.roman_value(F.col("r")).alias("v"))
+ROMANS = [("", "m", "mm", "mmm"), ("", "c", "cc", "ccc", "cd", "d", "dc", "dcc", "dccc", "cm"), ("", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"), ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")]
+_NUMERAL = lambda n: F.concat(*[F.element_at(F.array(*map(F.lit, x)), (F.floor(n / k) % 10 + 1).cast("int")) for x, k in zip(ROMANS, (1000, 100, 10, 1))])
+query("roman_to_int", "PART", "SELECT p_partkey, p_partkey % 3999 + 1 AS value, p_partkey % 3999 + 1 AS upper_value, NULL::BIGINT AS wrong FROM part")(
+    lambda d: d.withColumn("r", _NUMERAL(F.col("p_partkey") % 3999 + 1)).select("p_partkey", X.roman_value(F.col("r")).cast("long").alias("value"), X.roman_value(F.upper("r")).cast("long").alias("upper_value"), X.roman_value(F.concat(F.col("r"), F.lit("iiii"))).cast("long").alias("wrong"))
 )
 
 # Folds: one decision depends on the last. SQL has them for corpora whose shape settles the decisions (documents
@@ -247,8 +251,20 @@ query(
     )
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_no, start::BIGINT AS start, (line_no + 1)::BIGINT AS "end" FROM r WHERE cut OR line_no = top)""",
 )(lambda d: FO.correction_ranges(d, 200))
-query("pack_translate", "DOCUMENTS")(lambda d: FO.translate_chunks(d).select("doc_id", "chunk_no", F.char_length("text").alias("chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32")))
-query("translate_stub", "DOCUMENTS")(lambda d: P.translate(FO.translate_chunks(d), "Latin", ["m1", "m2"]).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32")))
+# No line of the fixture's documents is a heading or blank, so each is one chunk; tests hold the rest against models.
+query("pack_translate", "DOCUMENTS", r"SELECT doc_id, 0::BIGINT AS chunk_no, length(t) AS chars, md5(t) AS text_md5 FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)")(lambda d: FO.translate_chunks(d).select("doc_id", "chunk_no", F.char_length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5")))
+query("translate_stub", "DOCUMENTS", r"SELECT doc_id, md5('[m1] ' || regexp_replace(text, '^\s+|\s+$', '', 'g')) AS text_md5 FROM documents")(lambda d: P.translate(FO.translate_chunks(d), "Latin", ["m1", "m2"]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5")))
+query(
+    "convert_pages",
+    "DOCUMENTS",
+    r"""WITH l AS (SELECT doc_id, s - 1 AS i, string_split(text, chr(10))[s] AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(s)),
+    p AS (SELECT doc_id, i // 4 AS page, string_agg(line, chr(10) ORDER BY i) AS t FROM l GROUP BY 1, 2), b AS (SELECT doc_id, page // 2 AS batch, regexp_replace(string_agg(t, chr(10) || chr(10) ORDER BY page), '^\s+|\s+$', '', 'g') AS t FROM p GROUP BY 1, 2)
+    SELECT doc_id, count(*) AS total, md5(regexp_replace(string_agg(t, chr(10) || chr(10) ORDER BY batch), '\n{3,}', chr(10) || chr(10), 'g')) AS text_md5 FROM b GROUP BY 1""",
+)(
+    lambda d: C.convert(
+        d.select("doc_id", F.split("text", "\n").alias("l")).select("doc_id", F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 4).cast("int")), lambda k: F.array_join(F.slice("l", k * 4 + 1, F.lit(4)), "\n")).alias("pages")), ["m1"], size=2
+    ).select("doc_id", "total", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+)
 query(
     "rename_labels_exact",
     "book_md",
@@ -288,20 +304,43 @@ query(
     SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY r, seq) AS place FROM b WHERE back = 1""",
 )(lambda d: E.ordered_commands(E.parse_commands(d)).select("doc_id", "seq", "place"))
 query("apply_commands", ("book_md", "commands", "outline_md"))(lambda b, c, o: E.apply_commands(b, E.parse_commands(c), o))
+# DuckDB has to keep the numbered headings: inlined, it filters them before it numbers them.
 query(
     "relevel_batch",
     "deep_md",
+    NORMAL
+    + r""", canon AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, sub) - 1 AS line_no, line FROM o), """
+    + HEADS.replace("--with f AS", "f2 AS").replace("FROM lines)", "FROM canon)").replace("m AS (SELECT", "m2 AS (SELECT", 1).replace("FROM f)", "FROM f2)").replace("h0 AS (", "x0 AS (").replace("FROM m)", "FROM m2)").replace("h1 AS (", "x1 AS (").replace("FROM h0 ", "FROM x0 ").replace("headings AS (", "again AS (").replace("FROM h1 ", "FROM x1 ")
+    + r""", n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS h_no FROM again), c AS MATERIALIZED (SELECT *, h_no % 9 + 1 AS nl FROM n WHERE h_no % 4 = 0 AND h_no <= 40),
+    r AS (SELECT l.doc_id, l.line_no, 0 AS sub, CASE WHEN nl IS NULL THEN line WHEN nl <= 6 THEN repeat('#', nl::INT) || ' ' || text ELSE '<!-- heading-level: ' || nl::VARCHAR || ' -->' END AS line FROM canon l LEFT JOIN c ON l.doc_id = c.doc_id AND l.line_no = c.start_line_no
+        WHERE NOT EXISTS (SELECT 1 FROM c e WHERE e.doc_id = l.doc_id AND e.line_no = l.line_no AND e.start_line_no < e.line_no)
+        UNION ALL SELECT doc_id, start_line_no, 1, '###### ' || text FROM c WHERE nl > 6)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, sub) - 1 AS line_no, line FROM r""",
 )(lambda d: H.relevel(d, d.select("doc_id").distinct().withColumn("h_no", F.explode(F.sequence(F.lit(0), F.lit(40), F.lit(4)))).withColumn("new_level", (F.col("h_no") % 9 + 1).cast("int"))))
-query("retry_schedule", "models", " SELECT k AS attempt, (['a', 'b'])[((k - 1) // 2) % 2 + 1] AS model, k * 5 AS delay_s FROM range(1, 9) t(k)")(lambda d: J.retry_schedule(["a", "b"], 8, "other")(d.sparkSession))
+query("retry_schedule", "PART", "SELECT p_partkey, (['a', 'b', 'c'])[((p_size - 1) // 2) % 3 + 1] AS model, CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 10 WHEN 2 THEN 30 ELSE p_size * 5 END::BIGINT AS delay_s FROM part")(
+    lambda d: d.select("p_partkey", J.rotated(["a", "b", "c"], F.col("p_size")).alias("model"), J.retry_delay(F.element_at(F.array(*map(F.lit, ("skip", "rate", "overload", "other"))), (F.col("p_partkey") % 4 + 1).cast("int")), F.col("p_size")).cast("long").alias("delay_s"))
+)
 query("file_joins", ("history", "joblog"), " SELECT count(DISTINCT h.file_name) AS known FROM history h SEMI JOIN (SELECT 'file ' || job_id || '.pdf' AS f FROM joblog) j ON h.file_name = j.f")(
     lambda h, j: h.join(j.select(F.concat(F.lit("file "), "job_id", F.lit(".pdf")).alias("file_name")), "file_name", "left_semi").agg(F.countDistinct("file_name").alias("known"))
 )
+def _headed(d: DataFrame) -> DataFrame:
+    """book_md under a head and an outline block."""
+    first = F.array(F.lit("---"), F.concat(F.lit('title: "x: '), F.col("doc_id").cast("string"), F.lit('"')), F.concat(F.lit("pages: "), F.col("doc_id").cast("string")), *map(F.lit, ("---", "<!--Document Outline  -->", "", '- a "b"', "", "---")))
+    return d.select("doc_id", (F.col("line_no") + 9).alias("line_no"), "line").unionByName(d.select("doc_id").distinct().select("doc_id", F.posexplode(first).alias("line_no", "line")))
+
+
 query(
     "json_export",
     "book_md",
-    HEADS + SECTIONS + """ SELECT doc_id, to_json({'sections': list({'level': level, 'heading': heading, 'content': content} ORDER BY section_no)})::VARCHAR AS json FROM g WHERE section_no > 0 OR content <> '' GROUP BY 1""",
-)(EX.json_export)
-query("docx_bytes", "book_md")(lambda d: EX.docx(d).select("doc_id", F.octet_length("content").alias("bytes")))
+    HEADS + SECTIONS + """ SELECT doc_id, '{"metadata":{"title":"x: ' || doc_id::VARCHAR || '","pages":' || doc_id::VARCHAR || '},"outline":"- a \\"b\\"","sections":' || to_json(list({'level': level, 'heading': heading, 'content': content} ORDER BY section_no))::VARCHAR || '}' AS json FROM g WHERE section_no > 0 OR content <> '' GROUP BY 1""",
+)(lambda d: EX.json_export(_headed(d)))
+query(
+    "docx_text",
+    "book_md",
+    BLOCKS.replace("FROM lines)", r"FROM lines WHERE NOT regexp_matches(line, '^\s*\[\^(\w+)\]:'))")
+    + r""", e AS (SELECT *, regexp_replace(regexp_replace(t, '^#+ ', ''), '\[\^\w+\]', '', 'g') AS x FROM blocks)
+    SELECT doc_id, string_agg(CASE kind WHEN 'page' THEN '— page ' || regexp_extract(t, 'page: (\S+)', 1) || ' —' WHEN 'table' THEN trim(string_split(x, '|')[2]) || chr(10) || trim(string_split(x, '|')[3]) || chr(10) ELSE x END, chr(10) ORDER BY k) AS text FROM e GROUP BY 1""",
+)(EX.docx_text)
 query(
     "html_export",
     "book_md",
@@ -335,12 +374,19 @@ query("parent_heading", "deep_md", HEADS + " SELECT doc_id, line_no::BIGINT AS l
 query("heading_chunks", "book_md", HEADS + r""", c AS (SELECT doc_id, line_no, (sum(CASE WHEN regexp_matches(line, '(?i)^\s*<!--\s*page:\s*(\S+)\s*-->') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no))::BIGINT AS chunk_no FROM lines) SELECT h.doc_id, row_number() OVER (PARTITION BY h.doc_id ORDER BY h.line_no) - 1 AS h_no, chunk_no FROM headings h JOIN c ON h.doc_id = c.doc_id AND h.start_line_no = c.line_no""")(H.heading_chunks)
 query("heading_ordinals", "deep_md", HEADS + " SELECT doc_id, count(*) AS n FROM headings GROUP BY 1")(lambda d: H.collect_headings(d).groupBy("doc_id").agg(F.count("*").alias("n")))
 query("protected_lines", "book_md", r""" SELECT doc_id, line_no::BIGINT AS line_no FROM lines WHERE trim(line) = '' OR regexp_matches(trim(line), '(?i)^\s*<!--\s*page:\s*(\S+)\s*-->') OR regexp_matches(trim(line), '^\[\^[^\]]+\]:|^[>|]|^([*+-]|\d+[.)])\s|^(```|~~~)')""")(lambda d: d.filter(V.is_protected(F.col("line"))).select("doc_id", "line_no"))
-query("endnotes_to_links", "book_md", r""" SELECT doc_id, line_no::BIGINT AS line_no, CASE WHEN regexp_matches(line, '^\[\^(\w+)\]:\s*(.*)$') THEN regexp_replace(line, '^\[\^(\w+)\]:\s*(.*)$', '<a id="en-\1"></a>\1. \2') ELSE regexp_replace(line, '\[\^(\w+)\]', '[\1](#en-\1)', 'g') END AS line FROM lines""")(lambda d: d.select("doc_id", "line_no", V.endnotes_to_links(F.col("line")).alias("line")))
-query("frontmatter", "history", r""" SELECT id, '---' || chr(10) || 'title: "' || regexp_replace(file_name, '(?i)\.pdf$', '') || '"' || chr(10) || 'source: "' || file_name || '"' || chr(10) || 'pages: ' || total_pages::VARCHAR || chr(10) || 'date: ' || strftime(converted_at, '%Y-%m-%d') || chr(10) || 'provider: p' || chr(10) || 'model: m' || chr(10) || '---' || chr(10) AS head FROM history""")(
-    lambda d: d.select("id", V.frontmatter(F.col("file_name"), F.col("total_pages"), F.col("converted_at"), "p", "m").alias("head"))
+query(
+    "endnotes_to_links",
+    "book_md",
+    REFS
+    + r""" SELECT doc_id, line_no::BIGINT AS line_no, CASE WHEN masked THEN line WHEN regexp_matches(line, '^\s*\[\^\w+\]:') THEN regexp_replace(line, '^(\s*)\[\^(\w+)\]:[ \t]*(.*)$', '\1[\2](#en-\2) \3') ELSE regexp_replace(line, '\[\^(\w+)\]', '[\1](#en-\1)', 'g') END AS line
+    FROM m WHERE masked OR NOT regexp_matches(line, '(?i)^\s*\[\^\w+\]:\s*\[\s*(?:end|foot)?note\s*\d*\s*\]\s*$')""",
+)(N.endnotes_to_links)
+query("frontmatter", "history", r""" SELECT id, '---' || chr(10) || 'title: "' || regexp_replace(file_name, '(?i)\.pdf$', '') || '"' || chr(10) || 'source_file: "' || file_name || '"' || chr(10) || 'pages: ' || total_pages::VARCHAR || chr(10) || 'converted: "' || strftime(converted_at, '%Y-%m-%d') || '"' || chr(10) || 'converter: "quire"' || chr(10) || 'provider: "p"' || chr(10) || 'model: "m"' || chr(10)
+    || CASE WHEN total_pages % 3 = 0 THEN 'notes: "endnotes"' || chr(10) || CASE WHEN total_pages % 2 = 0 THEN 'notes_position: "section-end"' || chr(10) ELSE '' END ELSE '' END || '---' AS head FROM history""")(
+    lambda d: d.select("id", V.frontmatter(F.col("file_name"), F.col("total_pages"), F.col("converted_at"), "p", "m", notes=F.when(F.col("total_pages") % 3 == 0, "endnotes").otherwise("footnotes"), position=F.when(F.col("total_pages") % 2 == 0, "section-end")).alias("head"))
 )
-query("frontmatter_fields", "history", " SELECT id, regexp_replace(file_name, '(?i)\\.pdf$', '') AS title, total_pages::VARCHAR AS pages FROM history")(
-    lambda d: d.select("id", V.frontmatter_map(V.frontmatter(F.col("file_name"), F.col("total_pages"), F.col("converted_at"), "p", "m")).alias("f")).select("id", F.col("f")["title"].alias("title"), F.col("f")["pages"].alias("pages"))
+query("frontmatter_fields", "history", " SELECT id, regexp_replace(file_name, '(?i)\\.pdf$', '') AS title, total_pages::VARCHAR AS pages, total_pages::VARCHAR AS word_pages, regexp_replace(file_name, '(?i)\\.pdf$', '') AS word_title FROM history")(
+    lambda d: d.select("id", V.frontmatter(F.col("file_name"), F.col("total_pages"), F.col("converted_at"), "p", "m").alias("t")).select("id", V.frontmatter_map(F.col("t")).alias("f"), V.head_words(F.col("t")).alias("w")).select("id", F.col("f")["title"].alias("title"), F.col("f")["pages"].alias("pages"), F.col("w")["pages"].alias("word_pages"), F.col("w")["title"].alias("word_title"))
 )
 query("duration_text", "history", " SELECT id, CASE WHEN s < 60 THEN s::VARCHAR || 's' ELSE (s // 60)::VARCHAR || 'm ' || (s % 60)::VARCHAR || 's' END AS took FROM (SELECT id, floor(duration_ms / 1000 + 0.5)::BIGINT AS s FROM history)")(lambda d: d.select("id", V.duration_text(F.col("duration_ms")).alias("took")))
 query("paths", "history", r" SELECT id, regexp_replace(source_path, '\.[^./\\]+$', '') || '.md' AS target, regexp_extract(source_path, '^(.*)[/\\][^/\\]*$', 1) AS folder FROM history")(lambda d: d.select("id", V.with_extension(F.col("source_path"), "md").alias("target"), V.folder_of(F.col("source_path")).alias("folder")))
@@ -369,10 +415,12 @@ query(
     r""" SELECT doc_id, string_agg(CASE WHEN line LIKE '## %' THEN '<!-- page: ' || CASE WHEN length(n) > 4 OR n = '7' THEN '7' ELSE least(n::INT, 7)::VARCHAR || '-' || greatest(n::INT, 7)::VARCHAR END || ' -->' ELSE line END || chr(10) || 'body', chr(10) || chr(10) ORDER BY line_no) AS text
     FROM (SELECT *, regexp_extract(line, '(\d+)$', 1) AS n FROM lines) GROUP BY 1""",
 )(lambda d: FO.ocr_texts(d.select("doc_id", F.col("line_no").alias("index"), F.concat(F.col("line"), F.lit("\nbody")).alias("markdown"), F.when(F.col("line").startswith("## "), F.concat(F.col("line"), F.lit("\n7"))).alias("header"), F.lit(None).cast("string").alias("footer"))))
-query("sse_decode", "DOCUMENTS", "SELECT doc_id, text, NULL::VARCHAR AS error FROM documents")(
+query("sse_decode", "DOCUMENTS", "SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN text END AS text, CASE WHEN doc_id % 7 = 0 THEN 'failed ' || doc_id::VARCHAR END AS error FROM documents")(
     lambda d: FO.streamed_texts(
-        d.select("doc_id", F.concat(F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))), F.lit("\ndata: [DONE]\n")).alias("j"))
-        .select("doc_id", F.posexplode(F.array(F.concat(F.lit("data: "), F.left("j", F.lit(9))), F.substr("j", F.lit(10)))).alias("seq", "piece"))
+        d.select("doc_id", *[F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(x.alias("content")).alias("delta"))).alias("choices"))), F.lit("\n")).alias(n) for n, x in (("a", F.left("text", F.lit(40))), ("b", F.substr("text", F.lit(41))))])
+        .withColumn("e", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit('data: {"error":{"message":"failed '), F.col("doc_id").cast("string"), F.lit('"}}\n'))).otherwise(": quiet\ndata: {broken\n"))
+        .select("doc_id", F.concat("a", "e", "b", F.lit("data: [DONE]\n")).alias("j"))
+        .select("doc_id", F.posexplode(F.array(F.left("j", F.lit(9)), F.substr("j", F.lit(10), F.lit(50)), F.substr("j", F.lit(60)))).alias("seq", "piece"))
     )
 )
 query(
@@ -383,16 +431,18 @@ query(
     SELECT doc_id, line_no::BIGINT AS line_no, run_no, CASE WHEN note = '' THEN t ELSE '' END AS text, FALSE AS bold, FALSE AS italic, FALSE AS sup, FALSE AS sub, FALSE AS brk, nullif(note, '') AS note FROM r""",
 )(FO.inline_runs)
 query("table_rows", "book_md", r""" SELECT doc_id, trim(string_split(line, '|')[2]) AS first_cell FROM lines WHERE regexp_matches(line, '^\|.*\|$')""")(lambda d: FO.blocks(d).filter("kind = 'table'").select("doc_id", F.explode(F.from_json("payload", "array<array<string>>")).alias("r")).select("doc_id", F.col("r")[0].alias("first_cell")))
-query("safe_urls", "PAGES", "SELECT page_id, TRUE AS safe FROM pages WHERE regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) IN ('', 'http', 'https')")(lambda d: d.select("page_id", V.is_safe_url(F.col("url")).alias("safe")).filter("safe"))
+query("safe_urls", "PAGES", "SELECT page_id, page_id % 5 NOT IN (1, 3) AS safe FROM pages")(
+    lambda d: d.select("page_id", V.is_safe_url(F.when(F.col("page_id") % 5 == 1, F.concat(F.lit("JavaScript:"), "url")).when(F.col("page_id") % 5 == 2, F.regexp_replace("url", "^https?:", "")).when(F.col("page_id") % 5 == 3, F.concat(F.lit("vbscript:"), "url")).when(F.col("page_id") % 5 == 4, "mailto:a@b.example").otherwise(F.col("url"))).alias("safe"))
+)
 query("moved_levels", "deep_md", HEADS + " SELECT doc_id, line_no::BIGINT AS line_no, (CASE WHEN level + 2 BETWEEN 1 AND 9 THEN level + 2 ELSE level END)::BIGINT AS level FROM headings")(lambda d: H.collect_headings(d).select("doc_id", "line_no", V.moved_level(F.col("level"), F.lit(2)).alias("level")))
 query("note_style", "ORDERS", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'footnotes' WHEN 1 THEN 'endnotes' WHEN 2 THEN 'none' ELSE 'unknown' END AS style FROM orders")(
     lambda d: d.select("o_orderkey", V.note_style(F.concat(F.lit("# x\n note style: "), F.element_at(F.array(*map(F.lit, ("Footnotes", "ENDNOTES", "none", "mixed"))), (F.col("o_orderkey") % 4 + 1).cast("int")))).alias("style"))
 )
-query("outline_block", "ORDERS", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '# A' || chr(10) || o_orderpriority END AS outline FROM orders WHERE o_orderkey % 2 = 0")(
-    lambda d: d.select("o_orderkey", V.outline_block(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("x\n<!-- Document Outline -->\n\n# A\n"), "o_orderpriority", F.lit("\n\n---\nbody\n\n---\n"))).otherwise("none")).alias("outline")).filter("outline is not null")
+query("outline_block", "ORDERS", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '# A' || chr(10) || o_orderpriority END AS outline FROM orders")(
+    lambda d: d.select("o_orderkey", V.outline_block(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.when(F.col("o_orderkey") % 4 == 0, "x\n<!-- Document Outline -->\n\n# A\n").otherwise("<!--Document Outline \t-->\n\n# A\n"), "o_orderpriority", F.lit("\n\n---\nbody\n\n---\n"))).otherwise("none")).alias("outline"))
 )
-query("text_models", "models", " SELECT id FROM models WHERE length(display_name) % 3 <> 1")(
-    lambda d: J.text_models(d.withColumn("modality", F.element_at(F.array(F.lit("text+image->text"), F.lit("text->image"), F.lit(None).cast("string")), (F.length("display_name") % 3 + 1).cast("int")))).select("id")
+query("text_models", "models", " SELECT id FROM models WHERE length(display_name) % 4 = 0")(
+    lambda d: J.text_models(d.withColumn("modality", F.element_at(F.array(F.lit("text+image-> text"), F.lit("text->image"), F.lit("text->text+image"), F.lit(None).cast("string")), (F.length("display_name") % 4 + 1).cast("int")))).select("id")
 )
 query("cached_models", "models", " SELECT id FROM models WHERE 100000000 - coalesce(context_length, 0) * 50000 < 86400000")(lambda d: J.cached_models(d.withColumn("cached_at", F.coalesce("context_length", F.lit(0)) * 50_000), 100_000_000).select("id"))
 query("translated_paths", "history", r""" SELECT id, CASE WHEN coalesce(language, '') = '' THEN source_path ELSE regexp_replace(source_path, '(\.[^./]*)$', '.' || language || '\1') END AS target FROM history""")(lambda d: d.select("id", FI.translated_path("source_path", "language").alias("target")))
@@ -401,16 +451,21 @@ query("translated_paths", "history", r""" SELECT id, CASE WHEN coalesce(language
 query("has_endnotes", "ORDERS", "SELECT o_orderkey, o_orderkey % 3 = 0 AS endnotes FROM orders")(
     lambda d: d.select("o_orderkey", V.has_endnotes(F.concat(F.lit("---\ntitle: x\nnotes: "), F.element_at(F.array(F.lit('"endnotes"'), F.lit("footnotes"), F.lit("none")), (F.col("o_orderkey") % 3 + 1).cast("int")), F.lit("\n---\n"))).alias("endnotes"))
 )
-query("printed_page", "PART", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN (p_partkey % 10000)::VARCHAR WHEN p_partkey % 3 = 1 THEN 'xiv' END AS label FROM part")(
+query("printed_page", "PART", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN (p_partkey % 10000)::VARCHAR WHEN 1 THEN 'xiv' WHEN 2 THEN '12' WHEN 3 THEN '7' WHEN 4 THEN 'iv' END AS label FROM part")(
     lambda d: d.select(
         "p_partkey",
-        X.printed_page(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), (F.col("p_partkey") % 10000).cast("string"))).otherwise(F.col("p_name")), F.when(F.col("p_partkey") % 3 == 1, "xiv ").otherwise(F.col("p_type"))).alias("label"),
+        X.printed_page(
+            F.element_at(F.array(F.concat(F.lit(" "), (F.col("p_partkey") % 10000).cast("string")), F.lit("VIVID 12345"), F.lit("Page 12 of 300"), F.lit("x 7 y"), F.lit("vivid"), F.lit("IIII -")), (F.col("p_partkey") % 6 + 1).cast("int")),
+            F.element_at(F.array(F.lit("9"), F.lit("a XIV b"), F.lit("9"), F.lit("9"), F.lit("IV "), F.lit("MIX.")), (F.col("p_partkey") % 6 + 1).cast("int")),
+        ).alias("label"),
     )
 )
 query("title_of_file", "PART", "SELECT p_partkey, p_name || ' ' || p_brand || ' — ' || p_size::VARCHAR AS title FROM part")(
     lambda d: d.select("p_partkey", X.title_of_file(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("__"), "p_brand", F.lit(" - "), F.col("p_size").cast("string"), F.lit(".PDF"))).alias("title"))
 )
-query("decode_entities", "PAGES", "SELECT page_id, replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"') AS html FROM pages")(lambda d: d.select("page_id", V.decode_entities(F.col("html")).alias("html")))
+query("decode_entities", "PAGES", "SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&#', '&_'), '&nbsp;', chr(160)), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"') || chr((page_id % 200 + 40)::INT) || '|' || chr(65533) || chr(65) AS html FROM pages")(
+    lambda d: d.select("page_id", V.decode_entities(F.concat(F.replace("html", F.lit("&#"), F.lit("&_")), F.lit("&#"), (F.col("page_id") % 200 + 40).cast("string"), F.lit(";|&#55296;&#6553600065;"))).alias("html"))
+)
 query("shown_label", "LINEITEM", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, 'n_' || l_suppkey::VARCHAR || 'a' AS label, count(*) AS n FROM lineitem GROUP BY ALL")(
     lambda d: d.select("l_orderkey", "l_linenumber", V.shown_label(F.concat(F.lit("n_"), F.col("l_suppkey").cast("string"), F.lit("a_"), F.col("l_linenumber").cast("string"))).alias("label")).groupBy("l_orderkey", "l_linenumber", "label").agg(F.count("*").alias("n"))
 )
@@ -458,3 +513,44 @@ query("latest_results", "EVENTS", "SELECT user_id AS doc_id, event_type AS batch
 query("page_label_order", "CUSTOMER", "SELECT c_custkey, c_custkey % 89 + 1 AS first_page, c_custkey % 89 + 11 AS last_page FROM customer")(
     lambda d: d.select("c_custkey", V.ordered_labels(F.array(*[(F.col("c_custkey") % 89 + k).cast("string") for k in (11, 1, 9)])).alias("p")).select("c_custkey", F.col("p")[0].cast("long").alias("first_page"), F.element_at("p", -1).cast("long").alias("last_page"))
 )
+
+# Orders, listings, stores and what a session remembers.
+query("history_newest", "history", " SELECT id, row_number() OVER (ORDER BY converted_at DESC, id DESC) AS place FROM history QUALIFY place <= 100")(lambda d: J.newest_history(d, 100).select("id", "place"))
+query("log_groups_newest", "joblog", " SELECT job_id, row_number() OVER (ORDER BY max(ts) DESC, job_id DESC) AS place FROM joblog GROUP BY 1 QUALIFY place <= 20")(lambda d: J.newest_groups(d, 20).select("job_id", "place"))
+query("model_ids_descending", "models", " SELECT id, row_number() OVER (ORDER BY id DESC) AS place FROM (SELECT DISTINCT id FROM models) QUALIFY place <= 30")(lambda d: J.ids_descending(d, 30))
+query("first_chunks", "book_md", r"""--with c AS (SELECT *, sum(CASE WHEN regexp_matches(line, '(?i)^\s*<!--\s*page:\s*(\S+)\s*-->') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM lines) SELECT doc_id, count(*) AS lines FROM c WHERE k < 3 GROUP BY 1""")(lambda d: H.first_chunks(d, 3).groupBy("doc_id").agg(F.count("*").alias("lines")))
+query("listed_models", "models", " SELECT id, service FROM (SELECT CASE WHEN context_length % 3 = 0 THEN 'gpt-' || id || CASE WHEN context_length % 2 = 0 THEN '-Instruct' ELSE '' END WHEN context_length % 3 = 1 THEN 'gemini-2.5-flash-' || id ELSE 'gemini-1-pro-' || id END AS id, context_length AS c FROM models), (VALUES ('openai'), ('gemini'), ('other')) s(service) WHERE CASE service WHEN 'openai' THEN c % 3 = 0 AND c % 2 = 1 WHEN 'gemini' THEN c % 3 = 1 ELSE TRUE END")(
+    lambda d: (
+        lambda m: J.listed_models(m, "openai").withColumn("service", F.lit("openai")).unionByName(J.listed_models(m, "gemini").withColumn("service", F.lit("gemini"))).unionByName(J.listed_models(m, "other").withColumn("service", F.lit("other")))
+    )(d.select(F.when(F.col("context_length") % 3 == 0, F.concat(F.lit("gpt-"), "id", F.when(F.col("context_length") % 2 == 0, "-Instruct").otherwise(""))).when(F.col("context_length") % 3 == 1, F.concat(F.lit("gemini-2.5-flash-"), "id")).otherwise(F.concat(F.lit("gemini-1-pro-"), "id")).alias("id")))
+)
+query("stored_outlines", "history", " SELECT source_path AS job_id, arg_max(file_name, (converted_at, id)) AS content FROM history WHERE id::BIGINT % 2 = 0 GROUP BY 1")(
+    lambda d: J.stored(d.select(F.when(F.col("id").cast("long") % 2 == 0, "outline").otherwise("translate-src").alias("kind"), F.col("source_path").alias("job_id"), F.struct("converted_at", "id").alias("written_at"), F.col("file_name").alias("content")), "outline")
+)
+query("session_skips", "joblog", " SELECT job_id AS session, file_name AS model, arg_max(message, (ts, id)) AS reason FROM joblog WHERE level = 'error' GROUP BY 1, 2")(
+    lambda d: J.session_skips(d.filter("level = 'error'").select(F.col("job_id").alias("session"), F.col("file_name").alias("model"), F.col("message").alias("reason"), F.struct("ts", "id").alias("at")))
+)
+query("text_progress", "CONVERSATIONS", "SELECT conv_id AS doc_id, turn AS seq, (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS chars FROM conversations")(lambda d: J.text_progress(d.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.col("text").alias("piece"))).select("doc_id", "seq", F.col("chars").cast("long").alias("chars")))
+query("deduped_styles", "PART", "SELECT p_brand AS style_id, coalesce(arg_max(p_name, p_partkey) FILTER (p_size % 2 = 0), arg_max(p_name, p_partkey)) AS name FROM part GROUP BY 1")(
+    lambda d: J.deduped_styles(d.select(F.col("p_brand").alias("style_id"), F.col("p_partkey").alias("at"), F.concat("p_name", F.when(F.col("p_size") % 2 == 0, "<w:outlineLvl/>").otherwise("")).alias("xml"))).select("style_id", F.replace("xml", F.lit("<w:outlineLvl/>"), F.lit("")).alias("name"))
+)
+query("relative_dates", "history", " SELECT id, CASE WHEN d = 0 THEN 'Today' WHEN d = 1 THEN 'Yesterday' WHEN d < 7 THEN d::VARCHAR || ' days ago' WHEN year(converted_at) = 1998 THEN strftime(converted_at, '%b %-d') ELSE strftime(converted_at, '%b %-d, %Y') END AS shown FROM (SELECT id, converted_at, floor((epoch_ms(TIMESTAMP '1998-08-03 12:00:00') - epoch_ms(converted_at)) / 86400000)::BIGINT AS d FROM history)")(
+    lambda d: d.select("id", V.relative_date(F.col("converted_at"), F.lit("1998-08-03 12:00:00").cast("timestamp")).alias("shown"))
+)
+query("price_texts", "models", " SELECT id, CASE WHEN context_length IS NULL THEN 'Free' WHEN context_length % 4 = 0 THEN NULL WHEN context_length % 4 = 1 THEN '$0.25/M' ELSE '$' || context_length::VARCHAR || '/M' END AS price FROM models")(
+    lambda d: d.withColumn("p", F.when(F.col("context_length") % 4 == 0, 0.0).when(F.col("context_length") % 4 == 1, 0.25).otherwise(F.col("context_length").cast("double")))
+    .select("id", V.price_text(V.is_free(F.when(F.col("context_length").isNotNull(), "0.1"), F.lit("0")), F.col("p")).alias("price"))
+)
+query("endnote_positions", "ORDERS", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'docEnd' WHEN 1 THEN 'sectEnd' ELSE CASE WHEN o_custkey % 2 = 0 THEN 'sectEnd' ELSE 'docEnd' END END AS position FROM orders")(
+    lambda d: d.select("o_orderkey", V.endnote_position(F.element_at(F.array(F.lit("document-end"), F.lit("section-end"), F.lit("x"), F.lit(None).cast("string")), (F.col("o_orderkey") % 4 + 1).cast("int")), F.col("o_custkey") % 2 == 0).alias("position"))
+)
+query("demoted_headings", "chat_md", HEADS + " SELECT lines.doc_id, lines.line_no::BIGINT AS line_no, coalesce(h.text, line) AS line FROM lines LEFT JOIN (SELECT doc_id, line_no, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS n FROM headings) WHERE n % 2 = 0) h USING (doc_id, line_no)")(
+    lambda d: H.demoted(d, H.collect_headings(d).withColumn("h_no", F.row_number().over(H.by_line()) - 1).filter("h_no % 2 = 0").select("doc_id", "h_no"))
+)
+query("promoted_lines", "chat_md", r"""--with f AS (SELECT doc_id, min(line_no) AS n FROM lines WHERE trim(regexp_replace(line, '^#{1,9}\s+', '')) = 'user' GROUP BY 1) SELECT lines.doc_id, line_no::BIGINT AS line_no, CASE WHEN line_no = n THEN '#### user' ELSE line END AS line FROM lines LEFT JOIN f USING (doc_id)""")(
+    lambda d: H.promoted(d, d.select("doc_id").distinct().select("doc_id", F.lit("user").alias("title"), F.lit(4).alias("level")))
+)
+query("translation_prompts", "DOCUMENTS", r"SELECT doc_id, chunk_no, md5('Translate into Latin. Keep the Markdown, notes, page markers and references.' || chr(10) || CASE WHEN n > 1 THEN 'Part ' || (chunk_no + 1)::VARCHAR || ' of ' || n::VARCHAR || '.' || chr(10) ELSE '' END || chr(10) || '---' || chr(10) || text) AS prompt_md5 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS chunk_no, count(*) OVER (PARTITION BY lang, source) AS n FROM documents)")(
+    lambda d: C.translation_prompts(d.withColumn("id", F.col("doc_id")).withColumn("doc_id", F.struct("lang", "source")).withColumn("chunk_no", F.row_number().over(H.W.partitionBy("doc_id").orderBy("id")) - 1).select("doc_id", "chunk_no", "text", "id"), "Latin").select(F.col("id").alias("doc_id"), "chunk_no", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+)
+query("finished_checkpoints", ("ORDERS", "LINEITEM"), "SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")(lambda o, li: B.without_finished(o.select(F.col("o_orderkey").alias("doc_id")), li.select(F.col("l_orderkey").alias("doc_id")).distinct()))

@@ -30,6 +30,17 @@ def page_ranges(docs: DataFrame, size: int = 5) -> DataFrame:
     return out.select("doc_id", (F.col("start") / size).cast("int").alias("batch_no"), "start", F.least(F.col("start") + size, F.col("pages")).alias("end"))
 
 
+def existing(paths: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Adds exists to (path): whether the file is in a folder's listing; the listing is read as a table, without contents."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), F.lit(True).alias("there"))
+    return paths.join(listing, "path", "left").withColumn("exists", F.coalesce("there", F.lit(False))).drop("there")
+
+
+def overwrite(df: DataFrame, path: str) -> None:
+    """Writes lines in place of a Markdown file's part files; readers see the old or the new ones."""
+    df.select("text").write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
 def translated_path(path: str, language: str):
     """The path with the language before its extension."""
     return F.when(F.coalesce(F.col(language), F.lit("")) == "", F.col(path)).otherwise(F.regexp_replace(F.col(path), F.lit(r"^(.*?)(\.[^./]*)?\z"), F.concat(F.lit("$1."), F.col(language), F.lit("$2"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import markdown as M
+
 TRIES = 2
 # Seconds before the next try, and the patient rounds (tries, seconds) while a service is overloaded.
 SKIP_DELAY, RATE_DELAY, OVERLOAD_DELAY, STEP_DELAY = 2, 10, 30, 5
@@ -23,9 +26,23 @@ class ProviderError(Exception):
 
 
 class Provider(ABC):
+    #: Seconds between two calls for one document.
+    delay = 0.0
+
     @abstractmethod
     def call(self, model: str, prompt: str) -> str: ...
 
+    def call_bytes(self, model: str, data: bytes, prompt: str) -> str:
+        """The answer to a file with a prompt."""
+        raise ProviderError(f"{model} takes no files", "persistent")
+
+    def prompt_capable(self, model: str) -> bool:
+        """Whether a model follows prompts; one that reads pages only doesn't."""
+        return True
+
+    def prefers_full_document(self, model: str) -> bool:
+        return False
+
 
 class EchoProvider(Provider):
     """Offline and deterministic: the text after the prompt's last marker, tagged with the model."""
@@ -34,7 +51,36 @@ class EchoProvider(Provider):
         return f"[{model}] " + prompt.rpartition("\n---\n")[2]
 
 
-_PROVIDERS: dict[str, Callable[[], Provider]] = {"echo": EchoProvider}
+class PageProvider(Provider):
+    """Offline and deterministic: pages come back as they are, a scan gives their headings."""
+
+    def call(self, model: str, prompt: str) -> str:
+        pages = prompt.rpartition("\n---\n")[2]
+        return "\n".join(x for x in pages.split("\n") if x.startswith("#") or x.startswith("NOTE STYLE:")) if prompt.startswith("Outline:") else pages
+
+
+class ReaderProvider(Provider):
+    """Offline: a model that reads pages only refuses text calls for good, so the rotation moves on; others echo."""
+
+    def __init__(self, reads_only: str = r"(?i)^mistral-ocr"):
+        self.reads_only = reads_only
+
+    def prompt_capable(self, model: str) -> bool:
+        return re.search(self.reads_only, model) is None
+
+    def prefers_full_document(self, model: str) -> bool:
+        return not self.prompt_capable(model)
+
+    def call(self, model: str, prompt: str) -> str:
+        if not self.prompt_capable(model):
+            raise ProviderError(f"{model} reads pages and can't be asked", "persistent")
+        return EchoProvider().call(model, prompt)
+
+    def call_bytes(self, model: str, data: bytes, prompt: str) -> str:
+        return data.decode("utf-8", "replace")
+
+
+_PROVIDERS: dict[str, Callable[[], Provider]] = {"echo": EchoProvider, "pages": PageProvider, "reader": ReaderProvider}
 
 
 def register(name: str, make: Callable[[], Provider]) -> None:
@@ -93,7 +139,7 @@ def translate(chunks: DataFrame, language: str, models: list[str], name: str = "
 
     def run(texts: pd.Series) -> pd.Series:
         p, skip = provider(name), set()
-        return pd.Series([call(p, models, f"Translate to {language}.\n---\n{t}", skip)[0] for t in texts], dtype=object)
+        return pd.Series([M.strip_fence(call(p, models, f"Translate to {language}.\n---\n{t}", skip)[0]) for t in texts], dtype=object)
 
     done = chunks.withColumn("text", F.pandas_udf(run, "string")("text"))
     rows = F.sort_array(F.collect_list(F.struct("chunk_no", "text")))

@@ -26,6 +26,11 @@ def latest(results: DataFrame, *keys: str) -> DataFrame:
     return results.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
 
+def without_finished(state: DataFrame, finished: DataFrame) -> DataFrame:
+    """The checkpoints of the jobs that go on: those of finished ones are deleted, one that isn't there is no error."""
+    return state.join(finished.select("doc_id"), "doc_id", "left_anti")
+
+
 def progress(results: DataFrame, totals: DataFrame) -> DataFrame:
     """(doc_id, done, total, percent): completed batches of each document, percent rounded half up."""
     done = results.select("doc_id", "batch_no").distinct().groupBy("doc_id").agg(F.count("*").alias("done"))

@@ -204,3 +204,94 @@ def test_new_levels_by_ordinal(spark, lines, changes):
     want = [y for n, x in enumerate(canon) if n not in gone for y in new.get(n, [x])]
     rows = spark.createDataFrame([(0, k, v) for k, v in changes.items()], "doc_id long, h_no int, new_level int")
     assert lines_of(H.relevel(frame(spark, lines), rows)) == {0: want}
+
+
+def test_expected_rows_of_the_line_operators(spark):
+    """Rows written down from what the operators are meant to do, not from what they do."""
+    from quire.functions import values as V
+
+    df = frame(spark, ["a[^1] b", "  [^2]: two", "[^3]: [Endnote 3]", "```", "[^4]: kept", "```", "[^x]:\tthree"])
+    assert lines_of(N.endnotes_to_links(df))[0] == ["a[1](#en-1) b", "  [2](#en-2) two", "```", "[^4]: kept", "```", "[x](#en-x) three"]
+    pages = spark.createDataFrame([("Page 12 of 300", "ix"), ("VIVID", "x"), (None, "a XIV b"), ("iiii", "IV"), ("12345", None), ("7\n", "9")], "f string, h string")
+    assert [r[0] for r in pages.select(X.printed_page(F.col("f"), F.col("h"))).collect()] == ["12", "x", "xiv", "iv", None, "7"]
+    roman = spark.createDataFrame([("iiii",), ("vivid",), ("XLII",), ("",)], "r string")
+    assert [r[0] for r in roman.select(X.roman_value(F.col("r"))).collect()] == [None, None, 42, None]
+    fence = spark.createDataFrame([("```markdown x```",), ("```md\ny\n```",), (" z ",), ("```\na",)], "t string")
+    assert [r[0] for r in fence.select(X.strip_code_fence(F.col("t"))).collect()] == ["x", "y", "z", "a"] == [M.strip_fence(t) for t in ("```markdown x```", "```md\ny\n```", " z ", "```\na")]
+    marks = spark.createDataFrame([("&#99999999999;|&#55296;|&#65;|&amp;#66;|&nbsp;",)], "t string")
+    assert marks.select(V.decode_entities(F.col("t"))).first()[0] == chr(99999999999 % 65536) + "|\ufffd|A|B|\u00a0"
+    assert M.inline_runs("&#99999999999;&#55296;" + "&#" + "9" * 5000 + ";")[0]["text"][1] == "\ufffd"
+    block = spark.createDataFrame([("x\n<!--Document Outline   -->\n\n# A \n\n---\nrest",)], "t string")
+    assert block.select(V.outline_block(F.col("t"))).first()[0] == "# A"
+
+
+def test_outline_levels_by_the_converter(spark):
+    from quire.operators import outline as O
+
+    plan = frame(spark, ["## Intro - 12", "- 1. Body (4)", "    - **Body**", "# A. End (xi-xvi)"])
+    heads = H.collect_headings(frame(spark, ["# Intro", "# intro - 12", "# Body", "# End"]))
+    got = {r.text: r.new_level for r in O.remap_levels(heads, plan).collect()}
+    assert got == {"Intro": 1, "intro - 12": 2, "Body": 1, "End": 1}
+
+
+def test_heads_are_set_aside(spark):
+    doc = ["---", "# not a heading", "---", "# A", "## B"]
+    rows = spark.createDataFrame([(0, 0, 3)], "doc_id long, h_no int, new_level int")
+    assert lines_of(H.relevel(frame(spark, doc), rows))[0] == ["---", "# not a heading", "---", "### A", "## B"]
+    text = "---\ntitle: \"a \\ b\"\npages: 012\nx: 1.50\n---\n<!--  Document Outline -->\n\n- t\n\n---\nbefore\n####### Deep\nin"
+    from quire.operators.headings import split_lines
+
+    one = split_lines(spark.createDataFrame([(1, text), (2, "plain"), (3, "")], "doc_id long, text string"))
+    import json
+
+    got = {r.doc_id: json.loads(r.json) for r in export.json_export(one).collect()}
+    assert got[1] == {"metadata": {"title": "a \\ b", "pages": 12, "x": 1.5}, "outline": "- t", "sections": [{"level": 0, "heading": None, "content": "before"}, {"level": 7, "heading": "Deep", "content": "in"}]}
+    assert got[2] == {"metadata": {}, "outline": None, "sections": [{"level": 0, "heading": None, "content": "plain"}]}
+    assert got[3] == {"metadata": {}, "outline": None, "sections": []}
+
+
+def test_heading_choices(spark):
+    doc = ["# A", "<!-- heading-level: 8 -->", "###### Deep", "**Title**", "Title"]
+    one = lambda s, *r: spark.createDataFrame(r, s)
+    assert lines_of(H.demoted(frame(spark, doc), one("doc_id long, h_no int", (0, 1))))[0] == ["# A", "Deep", "**Title**", "Title"]
+    up = lines_of(H.promoted(frame(spark, doc), one("doc_id long, title string, level int", (0, "Title", 7))))[0]
+    assert up == ["# A", "<!-- heading-level: 8 -->", "###### Deep", "<!-- heading-level: 7 -->", "###### Title", "Title"]
+
+
+def test_unique_names(spark):
+    from quire.operators import jobs
+
+    rows = spark.createDataFrame([(1, "/a.pdf"), (2, "/a.pdf"), (3, "/a (1).pdf"), (4, "/b.pdf"), (5, "/a.pdf")], "id int, path string")
+    there = spark.createDataFrame([("/b.pdf",), ("/b (2).pdf",)], "path string")
+    got = {r.id: r.unique_path for r in jobs.unique_paths(rows, there).collect()}
+    assert got == {1: "/a.pdf", 2: "/a (2).pdf", 3: "/a (1).pdf", 4: "/b (1).pdf", 5: "/a (3).pdf"}
+
+
+def test_conversion_resumes(spark):
+    from quire.operators import convert as C
+
+    pages = ["# One\n\ntext[^1]\n\n[^1]: a", "more", "## Two\n\nsee[^1]\n\n[^1]: b", "[^2]: [footnote text not available]", "end"]
+    docs = spark.createDataFrame([(1, pages), (2, []), (3, None)], "doc_id long, pages array<string>")
+    whole = {r.doc_id: r for r in C.convert(docs, ["m"], size=2, wait=lambda s: None).collect()}
+    assert whole[1].total == 3 and whole[1].outline == "# One\n## Two" and whole[1].skipped == []
+    assert whole[1].text == "# One\n\ntext[^1]\n\n[^1]: a\n\nmore\n\n## Two\n\nsee[^1_2]\n\n[^1_2]: b\n\nend"
+    assert whole[2].text == whole[3].text == ""
+    part = C.convert(docs, ["m"], size=2, most=1, wait=lambda s: None).cache()
+    assert {r.doc_id: r.text for r in part.collect()}[1] is None
+    again = {r.doc_id: r for r in C.convert(docs, ["m"], size=2, saved=part, wait=lambda s: None).collect()}
+    assert again == whole
+    stable, volatile = C.batch_parts(2, 3, "NOTE STYLE: endnotes", "# One")
+    assert "# One" in volatile and "2 of 3" in volatile and "gathered at the end" in stable and "2 of 3" not in stable
+    assert C.assemble("NOTE STYLE: endnotes", ["[^2]: x", "[^1]: y"])[1:] == ("endnotes", "section-end")
+    seen = []
+    with pytest.raises(providers.ProviderError):
+        providers.call(providers.provider("reader"), ["mistral-ocr-1"], "q", None, seen.append)
+    assert providers.call(providers.provider("reader"), ["mistral-ocr-1", "chat"], "q\n---\nz", None, seen.append)[:2] == ("[chat] z", "chat")
+
+
+def test_endnotes_in_word(spark):
+    data = export.docx_of(["---", "notes: endnotes", "notes_position: section-end", "---", "a[^1]", "", "<!-- ENDNOTE-SECTION-BREAK -->", "![pic](x.png)", "", "[^1]: one"])
+    z = zipfile.ZipFile(io.BytesIO(data))
+    doc = z.read("word/document.xml").decode()
+    assert "endnoteReference" in doc and doc.count("<w:sectPr>") == 2 and 'w:pos w:val="sectEnd"' in doc and "[pic]" in doc
+    assert "one" in z.read("word/endnotes.xml").decode() and "endnotes.xml" in z.read("[Content_Types].xml").decode()

@@ -55,7 +55,7 @@ def test_near_dedup_of_odd_rows(spark, folder):
     rows = [(None, long, None), (None, long, None), (None, "other " * 30, None), (7, long, None), (7, long, None), (9, long + " x", "s"), (11, None, None), (12, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, base).collect()), key=repr)
-    fresh = [(7, long), (11, None), (None, long), (None, "other " * 30)]
+    fresh = [(7, long), (11, None), (None, "other " * 30)]  # one document of each group, rows without an id after the others
     near = (9, long + " x") in kept  # depends on the bits alone
     assert kept == sorted(fresh + ([(9, long + " x")] if near else []), key=repr)
 

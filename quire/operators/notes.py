@@ -122,10 +122,13 @@ def merge_continuations(lines: DataFrame) -> DataFrame:
     head = F.last(F.when(bound, F.struct("line_no", is_def.alias("note"))), ignorenulls=True).over(by_line())
     seen = lines.withColumn("t", t).withColumn("page", is_page).withColumn("head", head)
     inside = F.coalesce(F.col("head.note"), F.lit(False))
-    rows = F.sort_array(F.collect_list(F.struct("line_no", "t")))  # of one note each
-    merged = seen.filter(inside & ~F.col("page") & (F.col("t") != "")).groupBy("doc_id", F.col("head.line_no").alias("line_no")).agg(F.array_join(F.transform(rows, lambda r: r["t"]), " ").alias("merged"))
-    kept = seen.filter(~inside | (F.col("line_no") == F.col("head.line_no")) | F.col("page")).select("doc_id", "line_no", "line")
-    return kept.join(merged, ["doc_id", "line_no"], "left").select("doc_id", "line_no", F.coalesce("merged", "line").alias("line"))
+    rows = F.sort_array(F.collect_list(F.struct("line_no", "line", "t", "page")))  # each line is in one group's rows
+    groups = seen.groupBy("doc_id", "head").agg(rows.alias("rows"))
+    text = F.array_join(F.transform(F.filter("rows", lambda r: ~r["page"] & (r["t"] != "")), lambda r: r["t"]), " ")
+    plain = lambda r: F.struct(r["line_no"].alias("line_no"), r["line"].alias("line"))
+    merged = F.concat(F.array(F.struct(F.col("head.line_no").alias("line_no"), text.alias("line"))), F.transform(F.filter("rows", lambda r: r["page"]), plain))
+    out = groups.select("doc_id", F.explode(F.when(inside, merged).otherwise(F.transform("rows", plain))).alias("r"))
+    return out.select("doc_id", "r.line_no", "r.line")
 
 
 def endnotes_to_links(lines: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def postings(fps: DataFrame, width: int) -> DataFrame:
 
 def tallied(index: DataFrame, width: int) -> DataFrame:
     """(src, dst): pairs that share at least as many lists of the index as MAX_BITS differing bits leave them."""
-    a, b = index.alias("a"), index.alias("b")
+    a, b = index.alias("a"), index.alias("b").hint("merge")  # the index is larger than Spark thinks: never a broadcast
     met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.fp") < F.col("b.fp")))
     met = met.select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
     least = comb(8 - MAX_BITS, width)
@@ -101,7 +101,7 @@ def links(spark: SparkSession, fps: DataFrame, spool: Spool, dense: int = DENSE)
     table = F.broadcast(spark.createDataFrame(pd.DataFrame(flips, columns=["g", "flip"]), "g int, flip long"))  # fixed size: some 821 rows a group
     hot = index.join(heavy, ["g", "v"], "left_semi").join(table, "g").select("g", "fp", F.expr("fp ^ flip").alias("mid"))
     hub = hot.groupBy("g", "mid").agg(F.min("fp").alias("dst"), F.count("*").alias("n")).filter("n > 1").select("g", "mid", "dst")
-    star = hot.join(hub, ["g", "mid"]).filter("fp <> dst").select(F.col("fp").alias("src"), "dst").distinct()
+    star = hot.join(hub.hint("merge"), ["g", "mid"]).filter("fp <> dst").select(F.col("fp").alias("src"), "dst").distinct()
     return found.unionByName(star)
 
 

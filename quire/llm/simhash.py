@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pandas as pd
@@ -52,8 +51,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def byte_groups(width: int) -> list[tuple[int, ...]]:
-    """The sets of ``width`` of the 8 byte positions. Fingerprints that share at least 4 bytes share C(4, width) sets or more."""
-    return list(combinations(range(8), width))
+    """Sets of byte positions such that any MAX_BITS equal bytes of 8 contain at least one of them whole.
+
+    Two fingerprints with at most 4 differing bits agree in at least 4 of their 8 bytes. width 4: all 70 sets of
+    4 positions. width 3: 20 triples, by splitting the positions in three parts and taking the triples inside a
+    part and those with two positions in a part and one in the next.
+    """
+    if width == 4:
+        return list(combinations(range(8), 4))
+    part = [(0, 1, 2), (3, 4, 5), (6, 7)]
+    found = [t for p in part for t in combinations(p, 3)]
+    return found + [tuple(sorted((*two, one))) for i, p in enumerate(part) for two in combinations(p, 2) for one in part[(i + 1) % 3]]
 
 
 def _mask(group: tuple[int, ...]) -> int:
@@ -67,32 +75,35 @@ def postings(fps: DataFrame, width: int) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*posted)).alias("key")).select("key.g", "key.v", "fp")
 
 
-def tallied(index: DataFrame, width: int) -> DataFrame:
-    """(src, dst): pairs that share at least as many lists of the index as MAX_BITS differing bits leave them."""
+def tallied(index: DataFrame, width: int, once: bool = True) -> DataFrame:
+    """(src, dst): pairs that meet in a list of the index and agree in at least as many bytes as MAX_BITS differing bits leave.
+
+    The tally of a pair's shared positional bytes is taken where they meet, as both fingerprints are at hand, so no pair
+    is written for each list it shares. once: the index is whole, and a pair counts in the first list it shares.
+    """
     a, b = index.alias("a"), index.alias("b").hint("merge")  # the index is larger than Spark thinks: never a broadcast
-    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.fp") < F.col("b.fp")))
-    met = met.select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
-    least = comb(8 - MAX_BITS, width)
-    return met.groupBy("src", "dst").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least).select("src", "dst")
+    x = F.expr("a.fp ^ b.fp")
+    shared = sum((F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) == 0).cast("int") for k in range(8))
+    first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(_mask(g))) == 0, F.lit(i)) for i, g in enumerate(byte_groups(width))])
+    meet = (F.col("a.g") == F.col("b.g")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.fp") < F.col("b.fp")) & (shared >= 8 - MAX_BITS)
+    return a.join(b, meet & (first == F.col("a.g")) if once else meet).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
 
 
 def links(spark: SparkSession, fps: DataFrame, spool: Spool, dense: int = DENSE) -> DataFrame:
     """(src, dst) fingerprints that connect exactly what the pairs with at most MAX_BITS differing bits connect.
 
-    fps: distinct fingerprints. Two with at most 4 differing bits agree in at least 4 of their 8 bytes, so they share
-    at least C(4, 3) = 4 of the 56 lists by three positional bytes: pairs are tallied over the lists, those that reach
-    the minimum stay, and their bits are counted. In a list with over ``dense`` fingerprints no pairs are made: two
-    fingerprints differ in at most 4 bits just if some midpoint is within 2 bits of both, so each is linked to the
-    smallest at each of its midpoints, and the work is linear; a pair that shares such a list is connected there, and
-    any other pair has all its shared lists among the rest, so the minimum holds for these. From WIDER fingerprints on
-    lists go by four bytes, as those by three would be long by chance; one shared list is then the minimum.
+    fps: distinct fingerprints. Each is posted under groups of positional bytes; pairs that meet in a list stay if the
+    tally of their shared bytes reaches the guaranteed minimum of 4, and then their bits are counted. In a list with
+    over ``dense`` fingerprints no pairs are made: two fingerprints differ in at most 4 bits just if some midpoint is
+    within 2 bits of both, so each is linked to the smallest at each of its midpoints, and the work is linear. From
+    WIDER fingerprints on lists go by four bytes, as those by three would be long by chance.
     """
     width = 3 if fps.count() <= WIDER else 4
     index = postings(fps, width)
     heavy = spool.put(index.groupBy("g", "v").count().filter(F.col("count") > dense).select("g", "v"))
     some = heavy.limit(1).count() > 0
     light = index.join(heavy, ["g", "v"], "left_anti") if some else index
-    found = tallied(light, width).filter(F.bit_count(F.expr("src ^ dst")) <= MAX_BITS)
+    found = tallied(light, width, not some).filter(F.bit_count(F.expr("src ^ dst")) <= MAX_BITS)
     if not some:
         return found
     wrap = lambda v: v - (1 << 64) if v >> 63 else v

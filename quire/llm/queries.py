@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from quire.llm import divergence
 from quire.llm.balltree import op7_balltree
+from quire.llm.divergence import op11_divergence
 from quire.llm.langid import op6_langid
+from quire.llm.licences import op12_licences
 from quire.llm.packing import op3_packing
+from quire.llm.periodic import op13_runs
 from quire.llm.projection import op8_projection
 from quire.llm.ring import op9_ring
 from quire.llm.segmentation import op5_segmentation
@@ -15,10 +19,11 @@ from quire.llm.toxicity import op10_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_styletree, op2_passages, op3_packing, op4_simhash, op5_segmentation, op6_langid, op7_balltree, op8_projection, op9_ring, op10_toxicity)
+    for f in (op1_styletree, op2_passages, op3_packing, op4_simhash, op5_segmentation, op6_langid, op7_balltree, op8_projection, op9_ring, op10_toxicity, op11_divergence, op12_licences, op13_runs)
 }
 
 ORACLE_SQL = {
+    "op11_divergence": divergence.ORACLE,
     # Every page of the fixture tables marks its article, and its entities are those of XML (titles can be cut before the semicolon).
     "op1_styletree": r"""
         WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM pages),

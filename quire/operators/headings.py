@@ -62,20 +62,25 @@ def collect_headings(lines: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("h_line").alias("line_no"), F.col("line_no").alias("start_line_no"), F.col("h_level").alias("level"), F.col("h_text").alias("text"), F.col("h_native").alias("md_level"))
 
 
-def normalize_syntax(lines: DataFrame) -> DataFrame:
-    """Lines with every heading in its canonical form; renumbered."""
+def canonical(lines: DataFrame, *kept: str) -> DataFrame:
+    """Lines with every heading in its canonical form; renumbered. Columns to keep go with their lines."""
     f = heading_fields(lines)
     pair = (F.col("meta") != "") & (F.col("next_hashes") > 0)
     taken = (F.col("before") != "") & (F.col("hashes") > 0)
     raw = F.col("hashes") > T.NATIVE_LEVELS
     line = F.when(pair, T.serialize(F.when(pair, F.col("meta")).otherwise("1").cast("int"), F.col("next_title"))).when(raw, T.serialize(F.col("hashes"), F.col("title"))).otherwise(F.col("line"))
-    cut = f.filter(~taken).select("doc_id", "line_no", F.posexplode(F.split(line, "\n")).alias("sub", "line"))
-    return renumber(cut, "line_no", "sub")
+    cut = f.filter(~taken).select("doc_id", "line_no", *kept, F.posexplode(F.split(line, "\n")).alias("sub", "line"))
+    return renumber(cut, "line_no", "sub", kept=kept)
+
+
+def normalize_syntax(lines: DataFrame) -> DataFrame:
+    """Lines with every heading in its canonical form; renumbered."""
+    return canonical(lines)
 
 
-def renumber(lines: DataFrame, *order: str) -> DataFrame:
+def renumber(lines: DataFrame, *order: str, kept: tuple[str, ...] = ()) -> DataFrame:
     n = F.row_number().over(W.partitionBy("doc_id").orderBy(*order)) - 1
-    return lines.select("doc_id", n.alias("line_no"), "line")
+    return lines.select("doc_id", n.alias("line_no"), "line", *kept)
 
 
 def structural_report(headings: DataFrame) -> DataFrame:

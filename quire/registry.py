@@ -303,7 +303,6 @@ query(
     b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY seq DESC) AS back FROM k)
     SELECT doc_id, seq, row_number() OVER (PARTITION BY doc_id ORDER BY r, seq) AS place FROM b WHERE back = 1""",
 )(lambda d: E.ordered_commands(E.parse_commands(d)).select("doc_id", "seq", "place"))
-query("apply_commands", ("book_md", "commands", "outline_md"))(lambda b, c, o: E.apply_commands(b, E.parse_commands(c), o))
 # DuckDB has to keep the numbered headings: inlined, it filters them before it numbers them.
 query(
     "relevel_batch",
@@ -554,3 +553,5 @@ query("translation_prompts", "DOCUMENTS", r"SELECT doc_id, chunk_no, md5('Transl
     lambda d: C.translation_prompts(d.withColumn("id", F.col("doc_id")).withColumn("doc_id", F.struct("lang", "source")).withColumn("chunk_no", F.row_number().over(H.W.partitionBy("doc_id").orderBy("id")) - 1).select("doc_id", "chunk_no", "text", "id"), "Latin").select(F.col("id").alias("doc_id"), "chunk_no", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 )
 query("finished_checkpoints", ("ORDERS", "LINEITEM"), "SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")(lambda o, li: B.without_finished(o.select(F.col("o_orderkey").alias("doc_id")), li.select(F.col("l_orderkey").alias("doc_id")).distinct()))
+
+from quire import edit_queries  # noqa: E402,F401  registers its queries here

@@ -6,6 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 LEVEL = "CAST(p_size % 9 + 1 AS INT)"
 
+#: One document for each customer, a chapter for each order: adjacent headings, deep ones, pages, bold and fenced lines.
+EDIT_MD = """
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o, k) - 1 AS INT) AS line_no, line FROM (
+            SELECT o_custkey AS doc_id, o_orderkey AS o, 0 AS k, '<!-- heading-level: ' || CAST(7 + o_orderkey % 3 AS STRING) || ' -->' AS line FROM orders WHERE o_orderkey % 5 = 0
+            UNION ALL SELECT o_custkey, o_orderkey, 1, CASE WHEN o_orderkey % 5 = 0 THEN '######' ELSE repeat('#', CAST(o_orderkey % 3 + 1 AS INT)) END || ' Order ' || CAST(o_orderkey AS STRING) FROM orders
+            UNION ALL SELECT o_custkey, o_orderkey, 2, '' FROM orders WHERE o_orderkey % 3 = 0
+            UNION ALL SELECT o_custkey, o_orderkey, 3, '### Part ' || CAST(o_orderkey AS STRING) FROM orders WHERE o_orderkey % 2 = 0
+            UNION ALL SELECT o_custkey, o_orderkey, 4, '######## Piece ' || CAST(o_orderkey AS STRING) FROM orders WHERE o_orderkey % 4 = 0
+            UNION ALL SELECT o_custkey, o_orderkey, 5, '<!-- page: ' || CAST(o_orderkey AS STRING) || ' -->' FROM orders
+            UNION ALL SELECT o_custkey, o_orderkey, 6, CASE o_orderkey % 3 WHEN 0 THEN '**Bold ' || CAST(o_orderkey AS STRING) || '**' WHEN 1 THEN 'Plain ' || CAST(o_orderkey AS STRING) ELSE '> quoted' END FROM orders
+            UNION ALL SELECT o_custkey, o_orderkey, k, CASE k WHEN 8 THEN '## Fenced ' || CAST(o_orderkey AS STRING) ELSE '```' END FROM orders CROSS JOIN (SELECT 7 AS k UNION ALL SELECT 8 UNION ALL SELECT 9) f WHERE o_orderkey % 10 = 7
+            UNION ALL SELECT o_custkey, o_orderkey, 10, 'Text of ' || CAST(o_orderkey AS STRING) FROM orders
+            UNION ALL SELECT o_custkey, o_orderkey, 11, '' FROM orders WHERE o_orderkey % 4 <> 1
+        ) x"""
+#: Commands for EDIT_MD, as numbered after its headings are canonical; those of one line meet, and so do merges side by side.
+_AT = "CAST(line_no + 1 AS STRING)"
+_EDITS = " UNION ALL ".join(
+    f"SELECT doc_id, line_no, {k} AS k, {command} AS line FROM ({{md}}) e WHERE {where}"
+    for k, (command, where) in enumerate(
+        [
+            (f"'RELEVEL|' || {_AT} || '|' || CAST(line_no % 9 + 1 AS STRING)", "line LIKE '#%' AND (line_no * 7 + doc_id) % 6 IN (0, 3)"),
+            (f"'DEMOTE|' || {_AT}", "line LIKE '#%' AND (line_no * 7 + doc_id) % 6 = 1"),
+            (f"'PROMOTE|' || {_AT} || '|3'", "line LIKE '#%' AND (line_no * 7 + doc_id) % 6 IN (1, 2)"),
+            (f"'MERGE|' || {_AT}", "line LIKE '#%' AND ((line_no * 7 + doc_id) % 6 = 4 OR doc_id % 2 = 0)"),
+            (f"'RETITLE|' || {_AT} || '|Renamed ' || CAST(line_no % 6 AS STRING)", "line LIKE '#%' AND (line_no * 7 + doc_id) % 6 = 5"),
+            (f"'PROMOTE|' || {_AT} || '|' || CAST(line_no % 9 + 1 AS STRING)", "line LIKE '**%' OR line LIKE 'Plain%' OR line LIKE '>%'"),
+            (f"'INSERT|' || {_AT} || '|' || CAST(line_no % 9 + 1 AS STRING) || '|' || CASE doc_id % 3 WHEN 0 THEN 'Absent' WHEN 1 THEN 'Elsewhere' ELSE 'Order' END || replace(replace(line, '<!-- page:', ''), ' -->', '')", "line LIKE '<!-- page:%'"),
+            (f"'INSERT|' || {_AT} || '|2|absent' || replace(replace(line, '<!-- page:', ''), ' -->', '')", "line LIKE '<!-- page:%' AND line_no % 4 = 0"),
+            (f"'DEMOTE|' || CAST(line_no + 500 AS STRING)", "line LIKE '<!-- page:%' AND line_no % 9 = 0"),
+        ]
+    )
+)
+
 #: name -> SQL of (doc_id, line_no, line), or of another table with that name.
 CORPORA = {
     # One document for each 50 parts: raw hashes, level comments over native and raw headings, closing hashes, fences.
@@ -55,6 +88,16 @@ CORPORA = {
         SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS line_no,
             CASE o_orderkey % 9 WHEN 0 THEN '- RELEVEL | ' || CAST(o_orderkey % 13 AS STRING) || ' | 3' WHEN 1 THEN 'demote|' || CAST(o_orderkey % 13 AS STRING) WHEN 2 THEN 'MERGE_UP | 7x' WHEN 3 THEN 'PROMOTE | 4 | 12'
                 WHEN 4 THEN 'RETITLE | 1 | A | B' WHEN 5 THEN 'INSERT | 3 | 2 | New ' || CAST(o_orderkey AS STRING) WHEN 6 THEN 'none' WHEN 7 THEN 'RELEVEL | x | 2' ELSE '* MERGE | 5' END AS line FROM orders""",
+    "edit_md": EDIT_MD,
+    "edit_commands": "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no, k) - 1 AS INT) AS line_no, line FROM (" + _EDITS.replace("{md}", EDIT_MD) + ") c",
+    "edit_outline": """
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o, k) - 1 AS INT) AS line_no, line FROM (
+            SELECT o_custkey AS doc_id, o_orderkey AS o, 0 AS k, '# 1.2 Order ' || CAST(o_orderkey AS STRING) AS line FROM orders
+            UNION ALL SELECT o_custkey, o_orderkey, 1, '- Absent ' || CAST(o_orderkey AS STRING) || ' (' || CAST(o_orderkey AS STRING) || ')' FROM orders
+            UNION ALL SELECT o_custkey, o_orderkey, 2, '## **Bold ' || CAST(o_orderkey AS STRING) || '** ..... 7' FROM orders WHERE o_orderkey % 2 = 0
+            UNION ALL SELECT o_custkey, o_orderkey, 3, '  * Elsewhere ' || CAST(o_orderkey AS STRING) || ', p. ' || CAST(min(o_orderkey) OVER (PARTITION BY o_custkey) AS STRING) FROM orders
+            UNION ALL SELECT o_custkey, o_orderkey, 4, '### Renamed ' || CAST(o_orderkey % 5 AS STRING) FROM orders
+        ) x WHERE doc_id % 7 <> 3""",
     "joblog": """
         SELECT CAST(event_id AS STRING) AS id, ts, CAST(user_id AS STRING) AS job_id, 'book-' || CAST(user_id % 40 AS STRING) || '.pdf' AS file_name,
             CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' WHEN 'purchase' THEN 'success' ELSE 'info' END AS level, event_type || ' ' || CAST(event_id % 100 AS STRING) AS message FROM events""",

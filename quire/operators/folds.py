@@ -67,12 +67,6 @@ def rename_labels(batches: DataFrame) -> DataFrame:
     return out.select("doc_id", F.explode(F.arrays_zip("no", "t")).alias("z")).select("doc_id", F.col("z.no").alias("batch_no"), F.col("z.t").alias("text"))
 
 
-def blocks(lines: DataFrame) -> DataFrame:
-    """(doc_id, block_no, kind, payload)."""
-    found = _per_document(lines, lambda x: [{"kind": k, "payload": p} for k, p in M.blocks(x)], "array<struct<kind:string,payload:string>>")
-    return found.select("doc_id", F.posexplode("out").alias("block_no", "b")).select("doc_id", "block_no", "b.*")
-
-
 def preview_chunks(lines: DataFrame, most: int = 50_000) -> DataFrame:
     """(doc_id, chunk_no, text)."""
     return _per_document(lines, lambda x: M.preview_chunks("\n".join(x), most), "array<string>").select("doc_id", F.posexplode("out").alias("chunk_no", "text"))
@@ -106,13 +100,3 @@ def streamed_texts(pieces: DataFrame) -> DataFrame:
 
     rows = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "piece"))).alias("p"))
     return rows.select("doc_id", F.pandas_udf(run, "text string, error string")("p.piece").alias("r")).select("doc_id", "r.*")
-
-
-def inline_runs(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, run_no, text, bold, italic, sup, sub, brk, note)."""
-
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series([M.inline_runs(t) for t in text], dtype=object)
-
-    kind = "array<struct<text:string,bold:boolean,italic:boolean,sup:boolean,sub:boolean,brk:boolean,note:string>>"
-    return lines.select("doc_id", "line_no", F.posexplode(F.pandas_udf(run, kind)("line")).alias("run_no", "r")).select("doc_id", "line_no", "run_no", "r.*")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from quire.functions import text as X
 from quire.functions import values as V
+from quire.operators import blocks as BL
 from quire.operators import convert as C
 from quire.operators import edits as E
 from quire.operators import export as EX
@@ -282,7 +283,7 @@ query(
     BLOCKS
     + r""" SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS block_no, kind, CASE kind WHEN 'heading' THEN length(regexp_extract(t, '^#+')) || chr(9) || regexp_replace(t, '^#+ ', '') WHEN 'page' THEN regexp_extract(t, 'page: (\S+)', 1)
         WHEN 'table' THEN '[["' || trim(string_split(t, '|')[2]) || '", "' || trim(string_split(t, '|')[3]) || '"]]' ELSE t END AS payload FROM blocks""",
-)(FO.blocks)
+)(BL.blocks)
 _COMMANDS = r"""t AS (SELECT doc_id, line_no, list_transform(string_split(regexp_replace(trim(line), '^[-*]\s+', ''), '|'), lambda x: trim(x)) AS p FROM commands),
     w AS (SELECT *, upper(p[1]) AS word, try_cast(regexp_extract(coalesce(p[2], ''), '^([+-]?\d{1,9})', 1) AS INT) AS n, try_cast(regexp_extract(coalesce(p[3], ''), '^([+-]?\d{1,9})', 1) AS INT) AS lv FROM t),
     a AS (SELECT doc_id, line_no::BIGINT AS seq, CASE word WHEN 'MERGE_UP' THEN 'merge' ELSE lower(word) END AS action, n::BIGINT AS line, CASE WHEN word IN ('RELEVEL', 'PROMOTE', 'INSERT') THEN lv::BIGINT END AS level,
@@ -428,8 +429,8 @@ query(
     r"""--with p AS (SELECT doc_id, line_no, list_filter(string_split(regexp_replace(line, '(\[\^\w+\])', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM lines),
     q AS (SELECT doc_id, line_no, CASE WHEN len(p) = 0 THEN [''] ELSE p END AS p FROM p), r AS (SELECT doc_id, line_no, s - 1 AS run_no, p[s] AS t, regexp_extract(p[s], '^\[\^(\w+)\]$', 1) AS note FROM q, unnest(range(1, len(p) + 1)) u(s))
     SELECT doc_id, line_no::BIGINT AS line_no, run_no, CASE WHEN note = '' THEN t ELSE '' END AS text, FALSE AS bold, FALSE AS italic, FALSE AS sup, FALSE AS sub, FALSE AS brk, nullif(note, '') AS note FROM r""",
-)(FO.inline_runs)
-query("table_rows", "book_md", r""" SELECT doc_id, trim(string_split(line, '|')[2]) AS first_cell FROM lines WHERE regexp_matches(line, '^\|.*\|$')""")(lambda d: FO.blocks(d).filter("kind = 'table'").select("doc_id", F.explode(F.from_json("payload", "array<array<string>>")).alias("r")).select("doc_id", F.col("r")[0].alias("first_cell")))
+)(BL.inline_runs)
+query("table_rows", "book_md", r""" SELECT doc_id, trim(string_split(line, '|')[2]) AS first_cell FROM lines WHERE regexp_matches(line, '^\|.*\|$')""")(lambda d: BL.table_rows(d).select("doc_id", F.col("cells")[0].alias("first_cell")))
 query("safe_urls", "PAGES", "SELECT page_id, page_id % 5 NOT IN (1, 3) AS safe FROM pages")(
     lambda d: d.select("page_id", V.is_safe_url(F.when(F.col("page_id") % 5 == 1, F.concat(F.lit("JavaScript:"), "url")).when(F.col("page_id") % 5 == 2, F.regexp_replace("url", "^https?:", "")).when(F.col("page_id") % 5 == 3, F.concat(F.lit("vbscript:"), "url")).when(F.col("page_id") % 5 == 4, "mailto:a@b.example").otherwise(F.col("url"))).alias("safe"))
 )
@@ -554,4 +555,4 @@ query("translation_prompts", "DOCUMENTS", r"SELECT doc_id, chunk_no, md5('Transl
 )
 query("finished_checkpoints", ("ORDERS", "LINEITEM"), "SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")(lambda o, li: B.without_finished(o.select(F.col("o_orderkey").alias("doc_id")), li.select(F.col("l_orderkey").alias("doc_id")).distinct()))
 
-from quire import edit_queries  # noqa: E402,F401  registers its queries here
+from quire import block_queries, edit_queries  # noqa: E402,F401  register their queries here

@@ -98,6 +98,24 @@ CORPORA = {
             UNION ALL SELECT o_custkey, o_orderkey, 3, '  * Elsewhere ' || CAST(o_orderkey AS STRING) || ', p. ' || CAST(min(o_orderkey) OVER (PARTITION BY o_custkey) AS STRING) FROM orders
             UNION ALL SELECT o_custkey, o_orderkey, 4, '### Renamed ' || CAST(o_orderkey % 5 AS STRING) FROM orders
         ) x WHERE doc_id % 7 <> 3""",
+    # Every kind of block: tables of several rows, quotes, code, rules, pages, outlines, deep headings, images, marked text.
+    "block_md": """
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p, k) - 1 AS INT) AS line_no, line FROM (
+            SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS doc_id, p_partkey AS p, k, CASE p_partkey % 12
+                WHEN 0 THEN CASE k WHEN 0 THEN '| name |  brand|' WHEN 1 THEN '| :-- | --- |' WHEN 2 THEN '| **' || p_name || '** | "' || p_brand || '" |' ELSE '  ||' || p_type || '||' END
+                WHEN 1 THEN CASE k WHEN 0 THEN '> ' || p_name WHEN 1 THEN '>  two' WHEN 2 THEN '>three' ELSE '> ' || p_type END
+                WHEN 2 THEN CASE k WHEN 0 THEN '```sql' WHEN 1 THEN '  ' || p_name WHEN 2 THEN CASE WHEN p_size % 3 = 0 THEN '<!-- ENDNOTE-SECTION-BREAK -->' ELSE '' END ELSE '```' END
+                WHEN 3 THEN CASE k WHEN 0 THEN '---' WHEN 1 THEN '```' WHEN 2 THEN '```' ELSE ' ' || p_name || '  ' END
+                WHEN 4 THEN CASE k WHEN 0 THEN '<!-- page: ' || CAST(p_partkey AS STRING) || ' -->' WHEN 1 THEN p_name ELSE p_type END
+                WHEN 5 THEN CASE k WHEN 0 THEN '<!-- Document Outline -->' WHEN 1 THEN '## ' || p_name WHEN 2 THEN p_type ELSE CASE WHEN p_size % 2 = 0 THEN '---' ELSE '> in it' END END
+                WHEN 6 THEN CASE k WHEN 0 THEN '<!-- heading-level: ' || CAST(7 + p_size % 3 AS STRING) || ' -->' WHEN 1 THEN CASE WHEN p_size % 4 = 0 THEN 'no heading' ELSE '###### ' || p_name END ELSE '#' || p_type END
+                WHEN 7 THEN CASE k WHEN 0 THEN p_name WHEN 1 THEN '![' || p_brand || '](data:image/png;base64,QUJD)' WHEN 2 THEN '![x](data:image/png;bad)' ELSE '![y](file.png)' END
+                WHEN 8 THEN CASE k WHEN 0 THEN p_name WHEN 1 THEN p_type ELSE '' END
+                WHEN 9 THEN CASE k WHEN 0 THEN p_name WHEN 1 THEN '<!-- other -->' WHEN 2 THEN '| no table' ELSE p_type END
+                WHEN 10 THEN CASE k WHEN 0 THEN '|---|:-:|' WHEN 1 THEN '' WHEN 2 THEN '| one | row ' || CAST(p_partkey AS STRING) || ' |' ELSE '' END
+                ELSE CASE k WHEN 0 THEN '**' || p_name || '** and *' || p_brand || '*<BR/> x<sup>1</sup>[^' || CAST(p_size AS STRING) || ']' WHEN 1 THEN '***both*** H<sub>2</sub>O &amp; **a [^n_1] b** &lt;' WHEN 2 THEN '[^' || CAST(p_size AS STRING) || ']: ' || p_name ELSE '* ' || p_type || ' ** *' END END AS line
+            FROM part CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) f
+        ) x""",
     "joblog": """
         SELECT CAST(event_id AS STRING) AS id, ts, CAST(user_id AS STRING) AS job_id, 'book-' || CAST(user_id % 40 AS STRING) || '.pdf' AS file_name,
             CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' WHEN 'purchase' THEN 'success' ELSE 'info' END AS level, event_type || ' ' || CAST(event_id % 100 AS STRING) AS message FROM events""",

@@ -114,7 +114,9 @@ def convert(docs: DataFrame, models: list[str], name: str = "pages", size: int =
         work = docs.select("doc_id", "pages", F.lit(None).cast("string").alias("outline"), F.lit(None).cast("array<string>").alias("results"))
     else:
         work = docs.select("doc_id", "pages").join(saved.select("doc_id", "outline", "results"), "doc_id", "left")
-    return work.select("doc_id", F.pandas_udf(run, kind)("pages", "outline", "results").alias("r")).select("doc_id", "r.*")
+    # a model's answer is no function of its input: Spark neither repeats the call for each use of the result nor moves it
+    asked = F.pandas_udf(run, kind).asNondeterministic()
+    return work.select("doc_id", asked("pages", "outline", "results").alias("r")).select("doc_id", "r.*")
 
 
 def with_head(converted: DataFrame, files: DataFrame, provider: str, model: str) -> DataFrame:

@@ -116,6 +116,14 @@ CORPORA = {
                 ELSE CASE k WHEN 0 THEN '**' || p_name || '** and *' || p_brand || '*<BR/> x<sup>1</sup>[^' || CAST(p_size AS STRING) || ']' WHEN 1 THEN '***both*** H<sub>2</sub>O &amp; **a [^n_1] b** &lt;' WHEN 2 THEN '[^' || CAST(p_size AS STRING) || ']: ' || p_name ELSE '* ' || p_type || ' ** *' END END AS line
             FROM part CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) f
         ) x""",
+    # Headings that come again under the same and other parents, near and beyond the lines that count as near.
+    "repeat_md": """
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o, k, n) - 1 AS INT) AS line_no, line FROM (
+            SELECT o_custkey AS doc_id, o_orderkey AS o, 0 AS k, 0 AS n, '<!-- heading-level: 7 -->' AS line FROM orders WHERE o_orderkey % 4 = 3
+            UNION ALL SELECT o_custkey, o_orderkey, 1, 0, CASE o_orderkey % 4 WHEN 0 THEN '# Chapter ' || CAST(o_orderkey % 8 AS STRING) WHEN 1 THEN '## Notes ' WHEN 2 THEN '### Sources' ELSE '###### Deep' END FROM orders
+            UNION ALL SELECT o_custkey, o_orderkey, 2, n, 'text' FROM orders CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10) f WHERE n < o_orderkey % 11
+            UNION ALL SELECT o_custkey, o_orderkey, 3, 0, '## Notes' FROM orders WHERE o_orderkey % 3 = 0
+        ) x""",
     "joblog": """
         SELECT CAST(event_id AS STRING) AS id, ts, CAST(user_id AS STRING) AS job_id, 'book-' || CAST(user_id % 40 AS STRING) || '.pdf' AS file_name,
             CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' WHEN 'purchase' THEN 'success' ELSE 'info' END AS level, event_type || ' ' || CAST(event_id % 100 AS STRING) AS message FROM events""",

@@ -7,17 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def run_available(spark: SparkSession, source: str, schema: str, work, sink: str, checkpoint: str) -> None:
-    """Applies ``work`` to what is new in a Parquet folder since the checkpoint, and appends it to another.
+def run_available(spark: SparkSession, source: str, schema: str, work, sink: str, checkpoint: str, files: int | None = None, mode: str = "append") -> None:
+    """Applies ``work`` to what is new in a Parquet folder since the checkpoint, and puts its rows into another.
 
-    Each micro-batch is one commit. One that is run again after a failure writes rows that ``latest`` folds.
+    work: of a stream, stateful or not; ``mode``: "update" where it aggregates, so that each micro-batch has the groups that
+    changed. Each micro-batch is one commit; ``files``: at most so many files a micro-batch.
     """
-    stream = spark.readStream.schema(schema).parquet(source)
+    reader = spark.readStream.schema(schema)
+    stream = (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(source)
+    work(stream).writeStream.outputMode(mode).foreachBatch(lambda df, epoch: commit(df, epoch, sink)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    def commit(df: DataFrame, epoch: int) -> None:
-        work(df).withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(sink)
 
-    stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def commit(df: DataFrame, epoch: int, sink: str) -> None:
+    """The rows of a micro-batch, in its own folder of the sink: one that is run again takes the place of its first run."""
+    df.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/epoch={epoch}")
+
+
+def upserted(spark: SparkSession, sink: str, *keys: str) -> DataFrame:
+    """The sink as a table: one row a key, of the last micro-batch that had it."""
+    return latest(spark.read.option("mergeSchema", "true").parquet(sink), *keys).drop("epoch")
 
 
 def latest(results: DataFrame, *keys: str) -> DataFrame:

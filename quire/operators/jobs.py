@@ -146,9 +146,13 @@ def newest_groups(log: DataFrame, n: int) -> DataFrame:
     return _placed(log_groups(log).orderBy(F.desc("latest"), F.desc("job_id")).limit(n), F.struct("latest", "job_id"))
 
 
-def ids_descending(models: DataFrame, n: int) -> DataFrame:
-    """The last model ids in code point order, with their place."""
-    return _placed(models.select("id").distinct().orderBy(F.desc("id")).limit(n), F.struct("id"))
+def ids_descending(models: DataFrame, n: int, collation: str = "UNICODE") -> DataFrame:
+    """The last model ids in the order of a locale (punctuation, then digits, then letters whatever their case), with their place.
+
+    Ids that are equal to the locale go by code points.
+    """
+    key = F.collate("id", collation)
+    return _placed(models.select("id").distinct().orderBy(key.desc(), F.desc("id")).limit(n), F.struct(key.alias("k"), "id"))
 
 
 def _placed(few: DataFrame, key) -> DataFrame:
@@ -201,6 +205,12 @@ def available_priority(priority: DataFrame, available: DataFrame) -> DataFrame:
     return priority.join(available.select("id"), "id", "left_semi")
 
 
+def available_in_order(priority: DataFrame, available: DataFrame, *of: str) -> DataFrame:
+    """What of priority lists (of, id, place) can be had, with its place in what is left of each list, from 1."""
+    left = priority.join(available.select("id").distinct(), "id", "left_semi")
+    return left.select(*of, "id", F.row_number().over(W.partitionBy(*of).orderBy("place")).alias("place"))
+
+
 def new_jobs(files: DataFrame) -> DataFrame:
     """A queued job for each file, with defaults and a generated id."""
     return files.select(F.expr("uuid()").alias("id"), "file_name", "source_path", F.lit("queued").alias("status"), F.lit(0).alias("progress"), F.lit(None).cast("string").alias("error"))

@@ -555,4 +555,4 @@ query("translation_prompts", "DOCUMENTS", r"SELECT doc_id, chunk_no, md5('Transl
 )
 query("finished_checkpoints", ("ORDERS", "LINEITEM"), "SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")(lambda o, li: B.without_finished(o.select(F.col("o_orderkey").alias("doc_id")), li.select(F.col("l_orderkey").alias("doc_id")).distinct()))
 
-from quire import block_queries, edit_queries, fold_queries, service_queries  # noqa: E402,F401  register their queries here
+from quire import block_queries, edit_queries, fold_queries, job_queries, service_queries  # noqa: E402,F401  register their queries here

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import values as V
-from quire.operators import convert, services
+from quire.operators import convert, jobs, services
 from quire.sources import providers
 
 
@@ -43,3 +43,15 @@ def test_models_are_asked_once_whatever_uses_their_answer(spark, tmp_path):
     used = [done.filter("text is not null").filter(F.length("text") > 0), convert.with_head(done, files, "echo", "m1"), providers.translate(spark.createDataFrame([(1, 0, "x")], "doc_id long, chunk_no int, text string"), "Latin", ["m1"]).filter("text is not null")]
     for df in used:
         assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_ids_in_locale_order(spark):
+    ids = ["b", "B", "a-1", "a_1", "a1", "Ä", "z", "2", "10"]
+    got = [r.id for r in jobs.ids_descending(spark.createDataFrame([(x,) for x in [*ids, "b"]], "id string"), 9).orderBy("place").collect()]
+    assert got == ["z", "B", "b", "a1", "a-1", "a_1", "Ä", "2", "10"] != sorted(ids, reverse=True)
+
+
+def test_priority_without_gaps(spark):
+    lists = spark.createDataFrame([("x", "a", 1), ("x", "b", 2), ("x", "c", 3), ("y", "b", 1)], "stage string, id string, place int")
+    have = spark.createDataFrame([("c",), ("a",), ("a",)], "id string")
+    assert sorted(tuple(r) for r in jobs.available_in_order(lists, have, "stage").collect()) == [("x", "a", 1), ("x", "c", 2)]

@@ -13,6 +13,9 @@ BACKTICK_FENCE = r"^\s*```"
 PAGE = r"(?i)^\s*<!--\s*page:\s*(\S+)\s*-->"
 NOTE_DEF = r"^\s*\[\^(\d+)\]:"
 NOTE_REF = r"\[\^(\d+)\]"
+# Definitions that stand in for a note's missing text.
+PLACEHOLDER = r"(?i)^\[\^\w+\]:\s*\[\s*(?:end|foot)?note\s*\d*\s*\]\s*$"
+MISSING = r"(?i)^\[\^\w+\]:\s*\[[^\]]*\b(?:omitted|missing|unavailable|not\s+(?:available|visible|shown|present|provided|included))\b[^\]]*\]\s*$"
 MAX_LEVEL, NATIVE_LEVELS = 9, 6
 ROMAN = r"(?i)^[ivxlcdm]+$"
 VALID_ROMAN = r"(?i)^(?=[ivxlcdm])m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})\z"
@@ -92,6 +95,7 @@ def printed_page(footer, header) -> Column:
 
     def label(c) -> Column:
         t = js_trim(c)
+        # What stands alone in an edge.
         number = F.regexp_extract(t, r"(?:^|[\s\x{A0}])(\d{1,4})(?:[\s\x{A0}]|\z)", 1)
         letters = F.regexp_extract(t, r"(?i)(?:^|[\s\x{A0}])([ivxlcdm]{1,8})(?:[\s\x{A0}]|\z)", 1)
         return F.when(number != "", number).when(letters.rlike(VALID_ROMAN), F.lower(letters))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.functions import markdown as M
+from quire.functions import pages as PG
 from quire.functions import text as T
 from quire.operators.headings import by_line, collect_headings, join_lines, renumber
 from quire.operators.lookup import attached
@@ -133,15 +134,15 @@ def preview_chunks(lines: DataFrame, most: int = 50_000) -> DataFrame:
 
 
 def ocr_texts(pages: DataFrame) -> DataFrame:
-    """(doc_id, text) from (doc_id, index, markdown, header, footer, and perhaps images map<string,string>, data URIs by name): pages without their header and footer lines, marked with printed page numbers, joined by blank lines."""
+    """(doc_id, text) from (doc_id, index, markdown, header, footer, and perhaps images map<string,string>, data URIs by name): pages without their header and footer lines, marked with printed page numbers, joined by blank lines.
 
-    def run(body: pd.Series, header: pd.Series, footer: pd.Series, images: pd.Series) -> pd.Series:
-        import json
-
-        return pd.Series([M.ocr_page(b or "", h, f, json.loads(i) if i else None) for b, h, f, i in zip(body, header, footer, images)], dtype=object)
-
-    images = F.to_json("images") if "images" in pages.columns else F.lit(None).cast("string")
-    page = pages.select("doc_id", "index", F.pandas_udf(run, "string")("markdown", "header", "footer", images).alias("text"))
+    A page without text is empty. All in columns; a document's pages meet as one array.
+    """
+    header, footer = F.col("header"), F.col("footer")
+    body = PG.without_edges(F.coalesce("markdown", F.lit("")), F.concat(PG.edge_lines(header), PG.edge_lines(footer)))
+    body = PG.with_images(body, F.col("images")) if "images" in pages.columns else body
+    page = pages.select("doc_id", "index", body.alias("body"), PG.printed_numbers(header, footer).alias("numbers"))
+    page = page.select("doc_id", "index", F.concat(PG.spread_marker(F.col("numbers")), "body").alias("text"))
     rows = F.sort_array(F.collect_list(F.struct("index", "text")))
     return page.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n\n").alias("text"))
 

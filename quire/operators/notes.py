@@ -11,9 +11,6 @@ from quire.functions import values as V
 from quire.operators.headings import by_line, carry_pages, mark_fences
 
 BREAK = "<!-- ENDNOTE-SECTION-BREAK -->"
-# Definitions that stand in for a note's missing text.
-PLACEHOLDER = r"(?i)^\[\^\w+\]:\s*\[\s*(?:end|foot)?note\s*\d*\s*\]\s*$"
-MISSING = r"(?i)^\[\^\w+\]:\s*\[[^\]]*\b(?:omitted|missing|unavailable|not\s+(?:available|visible|shown|present|provided|included))\b[^\]]*\]\s*$"
 
 
 def note_refs(lines: DataFrame) -> DataFrame:
@@ -97,7 +94,7 @@ def note_pages(lines: DataFrame) -> DataFrame:
 def without_placeholders(lines: DataFrame) -> DataFrame:
     """Lines without definitions whose whole body is a bracketed stand-in."""
     t = T.js_trim(F.col("line"))
-    return lines.filter(~(t.rlike(PLACEHOLDER) | t.rlike(MISSING)))
+    return lines.filter(~(t.rlike(T.PLACEHOLDER) | t.rlike(T.MISSING)))
 
 
 def rename_labels(defs: DataFrame) -> DataFrame:

@@ -87,9 +87,17 @@ def test_streams_pages_and_numerals():
     assert M.sse_text([event[:9], event[9:], "data: [DONE]\n", "data: {bad\n", ": x\n"]) == "ab"
     with pytest.raises(RuntimeError, match="no"):
         M.sse_text(['data: {"error":{"message":"no"}}\n'])
-    assert [M.roman(x) for x in ("iv", "MCMXCIV", "iiii", "", "ab")] == [4, 1994, None, None, None]
-    assert M.ocr_page("12 Title\nbody", "12 Title", "13") == "<!-- page: 12-13 -->\nbody"
-    assert M.ocr_page("body", None, None) == "body"
+
+
+def test_scanned_pages(spark):
+    pages = [
+        ("12 Title\nbody", "12 Title", "13", "<!-- page: 12-13 -->\nbody"), ("body", None, None, "body"), (None, "x", None, "<!-- page: x -->\n"), ("Head\nHead\ntext", "Head", None, "Head\ntext"), ("text\n  \nA.B (1)*\n\nmore", "A.B (1)*", None, "text\n  \nmore"),
+        ("b", "xii\nfoo", "XI", "<!-- page: xi-xii -->\nb"), ("b", "iiii", "mix", "<!-- page: mix -->\nb"), ("b", "7 8", "12345", "<!-- page: 7 -->\nb"), ("b", "9", "iv 3", "<!-- page: iv-9 -->\nb"), ("a\\E$1 b\nc", "a\\E$1 b", None, "c"), ("see ![](i1) b", "", "", "see ![](data:x) b"),
+    ]
+    rows = spark.createDataFrame([(k, 0, *p[:3], {"i1": "data:x"} if k % 2 == 0 else None) for k, p in enumerate(pages)], "doc_id int, index int, markdown string, header string, footer string, images map<string,string>")
+    assert {r.doc_id: r.text for r in folds.ocr_texts(rows).collect()} == {k: p[3] for k, p in enumerate(pages)}
+    numerals = spark.createDataFrame([(x,) for x in ("iv", "MCMXCIV", "iiii", "", "ab")], "x string").select(X.roman_value(F.col("x")).alias("v")).collect()
+    assert [r.v for r in numerals] == [4, 1994, None, None, None]
 
 
 def test_edit_language(spark):

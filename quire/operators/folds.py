@@ -12,7 +12,7 @@ from quire.functions import markdown as M
 from quire.functions import pages as PG
 from quire.functions import text as T
 from quire.operators.headings import by_line, collect_headings, join_lines, renumber
-from quire.operators.lookup import attached
+from quire.operators.lookup import at_home, attached
 from quire.plans.lineage import chained
 
 
@@ -77,7 +77,7 @@ def repeated_headings(lines: DataFrame, window: int = M.DUPLICATE_WINDOW) -> Dat
 def drop_repeated_headings(lines: DataFrame, window: int = M.DUPLICATE_WINDOW) -> DataFrame:
     """Lines without headings that repeat a kept one close by under the same parent; renumbered."""
     gone = repeated_headings(lines, window).select("doc_id", "line_no", F.lit(True).alias("x"))
-    left = attached(lines, gone, ["doc_id", "line_no"], "gone").filter("gone is null")
+    left = attached(at_home(lines), gone, ["doc_id", "line_no"], "gone").filter("gone is null")
     return renumber(left, "line_no")
 
 

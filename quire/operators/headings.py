@@ -8,9 +8,8 @@ from pyspark.sql import Window as W
 
 from quire.functions import text as T
 
-def by_line():
-    return W.partitionBy("doc_id").orderBy("line_no")
-
+def by_line(order: tuple[str, ...] = ("line_no",)):
+    return W.partitionBy("doc_id").orderBy(*order)
 
 
 def split_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -24,17 +23,18 @@ def join_lines(lines: DataFrame, order: str = "line_no") -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["l"]), "\n").alias("text"))
 
 
-def mark_fences(lines: DataFrame, tildes: bool = True) -> DataFrame:
+def mark_fences(lines: DataFrame, tildes: bool = True, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
     """Adds masked: the line is a fence or inside fences. Any kind of fence closes any other."""
     fence = T.is_fence("line", tildes)
-    return lines.withColumn("masked", fence | (F.sum(fence.cast("int")).over(by_line()) % 2 == 1))
+    return lines.withColumn("masked", fence | (F.sum(fence.cast("int")).over(by_line(order).rowsBetween(W.unboundedPreceding, 0)) % 2 == 1))
 
 
-def heading_fields(lines: DataFrame) -> DataFrame:
+def heading_fields(lines: DataFrame, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
     """Adds hashes, title, meta (of an open line) and pair, on the level comment of a pair with the next line."""
-    seen = mark_fences(lines).withColumn("hashes", F.when(~F.col("masked"), F.length(F.regexp_extract("line", T.ATX, 1))).otherwise(0))
+    w = by_line(order)
+    seen = mark_fences(lines, order=order).withColumn("hashes", F.when(~F.col("masked"), F.length(F.regexp_extract("line", T.ATX, 1))).otherwise(0))
     seen = seen.withColumn("title", F.regexp_extract("line", T.ATX, 2)).withColumn("meta", F.when(~F.col("masked"), F.regexp_extract("line", T.META, 1)).otherwise(""))
-    return seen.withColumn("next_hashes", F.lead("hashes", 1, 0).over(by_line())).withColumn("next_title", F.lead("title").over(by_line())).withColumn("before", F.lag("meta", 1, "").over(by_line()))
+    return seen.withColumn("next_hashes", F.lead("hashes", 1, 0).over(w)).withColumn("next_title", F.lead("title").over(w)).withColumn("before", F.lag("meta", 1, "").over(w))
 
 
 def with_headings(lines: DataFrame) -> DataFrame:
@@ -62,25 +62,32 @@ def collect_headings(lines: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("h_line").alias("line_no"), F.col("line_no").alias("start_line_no"), F.col("h_level").alias("level"), F.col("h_text").alias("text"), F.col("h_native").alias("md_level"))
 
 
-def canonical(lines: DataFrame, *kept: str) -> DataFrame:
-    """Lines with every heading in its canonical form; renumbered. Columns to keep go with their lines."""
-    f = heading_fields(lines)
+def canonical_parts(lines: DataFrame, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
+    """Adds masked and parts: the lines that each line becomes when every heading has its canonical form; none for one that its level comment takes in."""
+    f = heading_fields(lines, order)
     pair = (F.col("meta") != "") & (F.col("next_hashes") > 0)
     taken = (F.col("before") != "") & (F.col("hashes") > 0)
     raw = F.col("hashes") > T.NATIVE_LEVELS
     line = F.when(pair, T.serialize(F.when(pair, F.col("meta")).otherwise("1").cast("int"), F.col("next_title"))).when(raw, T.serialize(F.col("hashes"), F.col("title"))).otherwise(F.col("line"))
-    cut = f.filter(~taken).select("doc_id", "line_no", *kept, F.posexplode(F.split(line, "\n")).alias("sub", "line"))
-    return renumber(cut, "line_no", "sub", kept=kept)
+    return f.select(*lines.columns, "masked", F.when(taken, F.array().cast("array<string>")).otherwise(F.split(line, "\n")).alias("parts"))
+
+
+def canonical(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line, masked): lines with every heading in its canonical form, numbered by what stands before them."""
+    cut = canonical_parts(lines)
+    first = F.coalesce(F.sum(F.size("parts")).over(by_line().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counted = cut.withColumn("first", first.cast("int"))  # before the lines are dealt out, as a window beside a generator would count after it
+    return counted.select("doc_id", "first", "masked", F.posexplode("parts").alias("sub", "line")).select("doc_id", (F.col("first") + F.col("sub")).alias("line_no"), "line", "masked")
 
 
 def normalize_syntax(lines: DataFrame) -> DataFrame:
     """Lines with every heading in its canonical form; renumbered."""
-    return canonical(lines)
+    return canonical(lines).drop("masked")
 
 
-def renumber(lines: DataFrame, *order: str, kept: tuple[str, ...] = ()) -> DataFrame:
+def renumber(lines: DataFrame, *order: str) -> DataFrame:
     n = F.row_number().over(W.partitionBy("doc_id").orderBy(*order)) - 1
-    return lines.select("doc_id", n.alias("line_no"), "line", *kept)
+    return lines.select("doc_id", n.alias("line_no"), "line")
 
 
 def structural_report(headings: DataFrame) -> DataFrame:

@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def at_home(df: DataFrame, home: str = "doc_id") -> DataFrame:
+    """Rows dealt by ``home`` to the session's number of shuffle partitions, which stay as many.
+
+    Where much is done to few bytes, tasks chosen by bytes would be too few, and sides that are to meet without
+    a further shuffle have to be dealt alike.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), home)
+
+
 def attached(rows: DataFrame, side: DataFrame, keys: list[str], name: str, home: str = "doc_id") -> DataFrame:
     """Rows with a struct of the columns of the side's row of the same keys; null where there is none, or a key is null.
 
@@ -15,6 +24,6 @@ def attached(rows: DataFrame, side: DataFrame, keys: list[str], name: str, home:
     """
     struct = F.struct(*[F.col(c) for c in side.columns if c not in keys])
     kind = side.select(struct.alias("s")).schema["s"].dataType
-    theirs = side.dropna(subset=keys).select(*keys, struct.alias(name), F.lit(False).alias("_own")).repartition(home)
+    theirs = at_home(side.dropna(subset=keys).select(*keys, struct.alias(name), F.lit(False).alias("_own")), home)
     both = rows.withColumns({name: F.lit(None).cast(kind), "_own": F.lit(True)}).unionByName(theirs, allowMissingColumns=True)
     return both.withColumn(name, F.first(name, ignorenulls=True).over(W.partitionBy(*keys))).filter("_own").drop("_own")

@@ -10,6 +10,8 @@ NOTE = r"\[\^([A-Za-z0-9_]+)\]"
 MARK = r"(?i)(?:\*\*\*(.+?)\*\*\*|\*\*(.+?)\*\*|\*(.+?)\*|<sup>(.+?)</sup>|<sub>(.+?)</sub>|<br\s*/?>)"
 NAMED = (("&nbsp;", "\u00a0"), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
 CODE = r"&#(\d+);"
+#: What every mark and entity begins with: a text without any is one run as it stands.
+SIGNS = r"[*&]|(?i)<(?:su[pb]>|br)"
 
 RUN = "struct<text:string,bold:boolean,italic:boolean,sup:boolean,sub:boolean,brk:boolean,note:string>"
 
@@ -50,6 +52,7 @@ def runs_of(text: Column) -> Column:
     """
     none = F.array().cast(f"array<{RUN}>")
     as_plain = lambda x: F.when(x != "", F.array(_run(x))).otherwise(none)
-    marked = lambda x: F.when(x != "", _between(decoded(x), MARK, as_plain, lambda m: F.array(_styled(m)))).otherwise(none)
+    marked = lambda x: F.when(x.rlike(SIGNS), _between(decoded(x), MARK, as_plain, lambda m: F.array(_styled(m)))).otherwise(as_plain(x))
     runs = _between(text, NOTE, marked, lambda m: F.array(_run(None, F.regexp_extract(m, NOTE, 1))))
-    return F.when(F.size(runs) > 0, runs).when(text.isNotNull(), F.array(_run()))
+    some = F.transform(F.array(runs), lambda r: F.when(F.size(r) > 0, r).otherwise(F.array(_run())))[0]  # named once, as it would be worked out at each mention
+    return F.when(~text.rlike(rf"\[\^|{SIGNS}"), F.array(_run(text))).when(text.isNotNull(), some)

@@ -4,7 +4,9 @@ import json
 import random
 import re
 
+from quire.functions import markdown as M
 from quire.operators import blocks
+from quire.plans import checks
 
 BREAK = "<!-- ENDNOTE-SECTION-BREAK -->"
 META = re.compile(r"(?i)^\s*<!--\s*heading-level:\s*([7-9])\s*-->\s*$")
@@ -119,3 +121,13 @@ def test_no_python_in_the_plans(spark):
     for df in (blocks.blocks(lines), blocks.table_rows(lines), blocks.inline_runs(lines)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and plan.count("Exchange") <= 1
+
+
+def test_runs_are_worked_out_once_and_plain_lines_not_at_all(spark):
+    texts = ["a < b", "<b>x</b>", "<!-- page: 3 -->", "<BR/>", "<SUP>1</SUP>", "x[^1]", "[^", "[^1]*", "a[^1][^2]b", "&", "<sub>", "<subx>"]
+    lines = spark.createDataFrame([(1, n, x) for n, x in enumerate(texts)], "doc_id long, line_no int, line string")
+    runs = blocks.inline_runs(lines)
+    for n, x in enumerate(texts):
+        got = [(r.text, r.bold, r.italic, r["sup"], r["sub"], r.brk, r.note) for r in runs.filter(f"line_no = {n}").orderBy("run_no").collect()]
+        assert got == [tuple(r[k] for k in ("text", "bold", "italic", "sup", "sub", "brk", "note")) for r in M.inline_runs(x)], x
+    assert checks.physical(blocks.inline_runs(lines)).count("regexp_extract_all") < 150  # 109; 218 with each line's runs named twice

@@ -49,6 +49,18 @@ def contained(points: DataFrame, ranges: DataFrame, keys: list[str], point: str,
     return met.drop("_level", "_bin")
 
 
+def pages_of(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, page): the page of each line that lies in one of page_spans.
+
+    These ranges share no line and begin at the lines themselves, so the last marker before a line tells its page, if it
+    is that page's first: two windows within a document, and lines are shuffled once, as narrow rows.
+    """
+    page = F.lower(F.nullif(F.regexp_extract("line", T.PAGE, 1), F.lit("")))
+    marks = lines.filter("doc_id is not null and line_no is not null").select("doc_id", "line_no", F.when(page.isNotNull(), F.struct(F.col("line_no").alias("at"), page.alias("page"))).alias("mark"))
+    held = marks.select("doc_id", "line_no", F.last("mark", ignorenulls=True).over(by_line()).alias("mark")).filter("mark is not null").select("doc_id", "line_no", "mark.at", "mark.page")
+    return held.withColumn("first", F.min("at").over(W.partitionBy("doc_id", "page"))).filter("at = first").select("doc_id", "line_no", "page")
+
+
 def inside_pages(places: DataFrame, lines: DataFrame) -> DataFrame:
     """Places (doc_id, line_no, page) that lie on their page, or name one that the document doesn't mark: the guard of insertions."""
     spans = page_spans(lines)

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quire.operators import edits, headings, intervals
+from quire.plans import checks
 from tests import edits_model
 
 TITLES = ["Alpha", "Beta", "Gamma", "Intro", "##", "New One", "Alpha Beta", "Beta Gamma", "x", "Über"]
@@ -109,3 +110,12 @@ def test_page_spans_and_the_guard_of_insertions(spark):
     assert sorted(tuple(r) for r in intervals.page_spans(lines).collect()) == [(1, "2", 3, 5), (1, "iv", 1, 3)]
     places = spark.createDataFrame([(1, 2, "iv"), (1, 3, "Iv"), (1, 6, "iv"), (1, 4, "2"), (1, 0, "9"), (2, 0, "1")], "doc_id long, line_no int, page string")
     assert sorted(tuple(r) for r in intervals.inside_pages(places, lines).collect()) == [(1, 0, "9"), (1, 2, "iv"), (1, 4, "2"), (2, 0, "1")]
+
+
+def test_pages_of_lines_take_one_shuffle(spark):
+    text = ["a", "<!-- page: IV -->", "b", "<!-- page: 2 -->", "c", "<!-- page: iv -->", "d", "<!-- page: 3 -->"]
+    lines = spark.createDataFrame([(k, i, x) for k in (1, 2) for i, x in enumerate(text[k - 1 :])] + [(None, 0, "<!-- page: 1 -->"), (3, None, "<!-- page: 1 -->"), (4, 0, "none")], "doc_id long, line_no int, line string")
+    by_bins = intervals.contained(lines.select("doc_id", "line_no"), intervals.page_spans(lines.dropna()), ["doc_id"], "line_no").select("doc_id", "line_no", "page")
+    got = intervals.pages_of(lines)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_bins.collect())) == [(1, 1, "iv"), (1, 2, "iv"), (1, 3, "2"), (1, 4, "2"), (1, 7, "3"), (2, 0, "iv"), (2, 1, "iv"), (2, 2, "2"), (2, 3, "2"), (2, 6, "3")]
+    assert checks.shuffles(intervals.pages_of(lines)) == 1

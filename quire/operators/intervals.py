@@ -62,8 +62,11 @@ def pages_of(lines: DataFrame) -> DataFrame:
 
 
 def inside_pages(places: DataFrame, lines: DataFrame) -> DataFrame:
-    """Places (doc_id, line_no, page) that lie on their page, or name one that the document doesn't mark: the guard of insertions."""
-    spans = page_spans(lines)
-    named = places.withColumn("page", F.lower("page"))
-    on = contained(named, spans, ["doc_id", "page"], "line_no").select(*places.columns)
-    return on.unionByName(named.join(spans.select("doc_id", "page"), ["doc_id", "page"], "left_anti").select(*places.columns))
+    """Places (doc_id, line_no, page) that lie on their page, or name one that the document doesn't mark: the guard of insertions.
+
+    A document has one range for a page, so each place meets one at most and none is dealt to bins.
+    """
+    spans = page_spans(lines).select("doc_id", "page", F.struct("start", "end").alias("_span"))
+    named = places.withColumn("page", F.lower("page")).join(spans, ["doc_id", "page"], "left")
+    at = F.col("line_no").cast("long")
+    return named.filter(F.col("_span").isNull() | ((at >= F.col("_span.start")) & (at < F.col("_span.end")))).select(*places.columns)

@@ -119,3 +119,12 @@ def test_pages_of_lines_take_one_shuffle(spark):
     got = intervals.pages_of(lines)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_bins.collect())) == [(1, 1, "iv"), (1, 2, "iv"), (1, 3, "2"), (1, 4, "2"), (1, 7, "3"), (2, 0, "iv"), (2, 1, "iv"), (2, 2, "2"), (2, 3, "2"), (2, 6, "3")]
     assert checks.shuffles(intervals.pages_of(lines)) == 1
+
+
+def test_the_guard_of_insertions_deals_nothing_to_bins(spark):
+    lines = spark.createDataFrame([(1, 0, "<!-- page: 1 -->"), (1, 1, "x"), (1, 2, "<!-- page: 2 -->")], "doc_id long, line_no int, line string")
+    places = spark.createDataFrame([(1, 1, "1"), (1, 2, "1"), (1, 1, None), (None, 1, "1"), (1, None, "1"), (1, None, "8"), (2, 5, "1")], "doc_id long, line_no int, page string")
+    inside = intervals.inside_pages(places, lines)
+    assert sorted(map(str, map(tuple, inside.collect()))) == sorted(map(str, [(1, 1, "1"), (1, 1, None), (None, 1, "1"), (1, None, "8"), (2, 5, "1")]))
+    plan = intervals.inside_pages(places, lines)
+    assert checks.nodes(plan)["Generate"] == 0 and checks.shuffles(plan) <= 3, checks.physical(plan)

@@ -669,3 +669,14 @@ def test_null_ids_in_the_learned_queries(spark, tmp_path):
     for query in (langid.op6_langid, toxicity.op10_toxicity):
         got = query(spark, str(tmp_path)).collect()
         assert len(got) == 60 and all(r.held_out is not None and 0 <= r.score <= 1 for r in got)
+
+
+def test_held_rows_find_their_lead_without_a_join(spark):
+    from quire.llm import substring
+    from quire.plans import checks
+
+    held = spark.createDataFrame([(k, k % 2, n, 0, n) for k in (1, 2, 3) for n in range(5)], "key long, salt long, doc long, h int, place int")
+    lead = spark.createDataFrame([(1, 1, 7, 1, 3), (2, 0, 8, 2, 4), (9, 0, 9, 9, 9)], "key long, salt long, rep long, rep_h int, rep_place int")
+    led = substring._led(held, lead)
+    assert not [n for n in checks.nodes(led) if "Join" in n]
+    assert sorted(map(tuple, led.collect())) == sorted(map(tuple, held.join(lead, ["key", "salt"]).collect())) and led.count() == 10

@@ -22,3 +22,10 @@ def test_html_of_plain_lines_makes_no_runs(monkeypatch):
 def test_plain_text_is_one_run(monkeypatch, text):
     monkeypatch.setattr(M, "MARK", None)
     assert M.inline_runs(text) == [{"text": text, "bold": False, "italic": False, "sup": False, "sub": False, "brk": False, "note": None}]
+
+
+def test_word_files_are_read_back_by_fixed_patterns():
+    data = EX.docx_of(["# T", "see[^1] x<sup>2</sup>y &amp; z", "[^1]: said"])
+    xml = EX.zipfile.ZipFile(EX.io.BytesIO(data)).read("word/document.xml").decode()
+    paras = ["".join(EX.SAID.findall(p)) for p in EX.PARA.findall(EX.RAISED.sub("", xml))]
+    assert paras == ["T", "see xy &amp; z"]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.functions import markdown as M
+from quire.functions import text as T
 from quire.operators import export as EX
 
 
@@ -29,3 +31,11 @@ def test_word_files_are_read_back_by_fixed_patterns():
     xml = EX.zipfile.ZipFile(EX.io.BytesIO(data)).read("word/document.xml").decode()
     paras = ["".join(EX.SAID.findall(p)) for p in EX.PARA.findall(EX.RAISED.sub("", xml))]
     assert paras == ["T", "see xy &amp; z"]
+
+
+def test_trimming_looks_at_the_ends_only(spark):
+    ends = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    rows = [(f"{x}a{x} b{x}{x}", f"a{x} b") for x in ends] + [("\u200ba\x1c", "\u200ba\x1c"), (ends, ""), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want string").withColumn("got", T.js_trim(F.col("t")))
+    assert df.filter(~F.col("got").eqNullSafe(F.col("want"))).count() == 0
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import markdown as M
 from quire.functions import values as V
+from quire.operators.lookup import bounded
 from quire.sources import providers as P
 
 BATCH_PAGES, CONTEXT_HEADINGS = 5, 5
@@ -116,7 +117,7 @@ def convert(docs: DataFrame, models: list[str], name: str = "pages", size: int =
         work = docs.select("doc_id", "pages").join(saved.select("doc_id", "outline", "results"), "doc_id", "left")
     # a model's answer is no function of its input: Spark neither repeats the call for each use of the result nor moves it
     asked = F.pandas_udf(run, kind).asNondeterministic()
-    return work.select("doc_id", asked("pages", "outline", "results").alias("r")).select("doc_id", "r.*")
+    return bounded(work).select("doc_id", asked("pages", "outline", "results").alias("r")).select("doc_id", "r.*")
 
 
 def with_head(converted: DataFrame, files: DataFrame, provider: str, model: str) -> DataFrame:

@@ -12,7 +12,7 @@ from quire.functions import markdown as M
 from quire.functions import pages as PG
 from quire.functions import text as T
 from quire.operators.headings import by_line, collect_headings, join_lines, renumber
-from quire.operators.lookup import at_home, attached
+from quire.operators.lookup import at_home, attached, bounded
 from quire.plans.lineage import chained
 
 
@@ -22,7 +22,7 @@ def _per_document(lines: DataFrame, f, kind: str) -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([f(t.split("\n")) for t in texts], dtype=object)
 
-    return join_lines(lines).select("doc_id", F.pandas_udf(run, kind)("text").alias("out"))
+    return bounded(join_lines(lines)).select("doc_id", F.pandas_udf(run, kind)("text").alias("out"))
 
 
 def _lines_of(df: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def translate_chunks(docs: DataFrame, most: float = M.TRANSLATE_WORDS) -> DataFr
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([M.translate_chunks(t or "", most) for t in texts], dtype=object)
 
-    return docs.select("doc_id", F.posexplode(F.pandas_udf(run, "array<string>")("text")).alias("chunk_no", "text"))
+    return bounded(docs).select("doc_id", F.posexplode(F.pandas_udf(run, "array<string>")("text")).alias("chunk_no", "text"))
 
 
 def rename_labels(batches: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def rename_labels(batches: DataFrame) -> DataFrame:
         return pd.Series([M.rename_labels(list(t))[0] for t in texts], dtype=object)
 
     rows = batches.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("batch_no", "text"))).alias("b"))
-    out = rows.select("doc_id", F.col("b.batch_no").alias("no"), F.pandas_udf(run, "array<string>")("b.text").alias("t"))
+    out = bounded(rows).select("doc_id", F.col("b.batch_no").alias("no"), F.pandas_udf(run, "array<string>")("b.text").alias("t"))
     return out.select("doc_id", F.explode(F.arrays_zip("no", "t")).alias("z")).select("doc_id", F.col("z.no").alias("batch_no"), F.col("z.t").alias("text"))
 
 

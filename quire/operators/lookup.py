@@ -1,4 +1,4 @@
-"""Lookups that keep rows where they are."""
+"""Lookups that keep rows where they are, and rows that go to Python in bounded batches."""
 
 from __future__ import annotations
 
@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Rows and bytes of one Arrow batch; quire.llm sets the same.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows, which a Python worker gets in batches bounded by bytes; by default it gets 10,000 at once, and texts are wide."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def at_home(df: DataFrame, home: str = "doc_id") -> DataFrame:
     """Rows dealt by ``home`` to the session's number of shuffle partitions, which stay as many.
 

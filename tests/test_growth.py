@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quire.functions import markdown as M
 from quire.functions import text as T
 from quire.operators import export as EX
+from quire.operators import folds as FO
+from quire.sources import providers as P
 
 
 def _never(*_, **__):
@@ -39,3 +41,15 @@ def test_trimming_looks_at_the_ends_only(spark):
     df = spark.createDataFrame(rows, "t string, want string").withColumn("got", T.js_trim(F.col("t")))
     assert df.filter(~F.col("got").eqNullSafe(F.col("want"))).count() == 0
     assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_go_to_python_in_bounded_batches(spark):
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    for key in keys:
+        spark.conf.unset(key)
+    docs = spark.range(2500).coalesce(1).select(F.col("id").alias("doc_id"), F.lit(" some text ").alias("text"))
+    out = P.translate(FO.translate_chunks(docs), "Latin", ["m1"])
+    sizes = F.pandas_udf(lambda s: s * 0 + len(s), "long")
+    assert docs.select(sizes("doc_id").alias("n")).agg(F.max("n")).first()[0] <= 1000
+    assert int(spark.conf.get(keys[1])) <= 8 << 20
+    assert {tuple(r) for r in out.select("text").distinct().collect()} == {("[m1] some text",)} and out.count() == 2500

@@ -13,7 +13,7 @@ from quire.functions import pages as PG
 from quire.functions import text as T
 from quire.operators.headings import by_line, collect_headings, join_lines, renumber
 from quire.operators.lookup import at_home, attached, bounded
-from quire.plans.lineage import chained
+from quire.plans.lineage import chained, checkpointed
 
 
 def _per_document(lines: DataFrame, f, kind: str) -> DataFrame:
@@ -97,12 +97,14 @@ def correction_ranges(lines: DataFrame, most: int = M.CORRECT_WORDS) -> DataFram
     the chain of these from the first line. So a document of any length is sorted rows, never one value.
     """
     rows = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), (T.js_trim(F.col("line")) == "").alias("blank"), F.sum(F.when(F.col("line") == "", 0).otherwise(T.word_count("line"))).over(by_line()).alias("words"), (F.max("line_no").over(W.partitionBy("doc_id")) + 1).alias("total"))
-    blanks = rows.filter("blank")
-    starts = rows.filter("line_no = 0").select("doc_id", "total", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("words")).unionByName(blanks.select("doc_id", "total", (F.col("line_no") + 1).alias("start"), "words"))
-    asked = starts.select("doc_id", "total", "start", F.lit(None).cast("long").alias("stop"), (F.col("words") + most).alias("words"))
-    given = blanks.select("doc_id", "total", F.lit(None).cast("long").alias("start"), F.col("line_no").alias("stop"), "words")
+    number, words, none = F.col("line_no"), F.col("words"), F.lit(None).cast("long")
+    row = lambda start, stop, at: F.struct(start.alias("start"), stop.alias("stop"), at.alias("words"))
+    asked = [F.when(number == 0, row(F.lit(0).cast("long"), none, F.lit(0).cast("long") + most)), F.when(F.col("blank"), row(number + 1, none, words + most))]
+    given = F.when(F.col("blank"), row(none, number, words))
+    both = rows.filter("blank or line_no = 0").select("doc_id", "total", F.inline(F.array_compact(F.array(*asked, given))))
     back = W.partitionBy("doc_id").orderBy(F.desc("words"), F.col("stop").desc_nulls_last())
-    linked = asked.unionByName(given).withColumn("end", F.last("stop", ignorenulls=True).over(back) + 1).filter("start is not null").select("doc_id", "total", "start", "end")
+    linked = both.withColumn("end", F.last("stop", ignorenulls=True).over(back) + 1).filter("start is not null").select("doc_id", "total", "start", "end")
+    linked = checkpointed(linked)  # read three times below
     found = chained(linked, linked.filter("start = 0"), ["doc_id"], "start", "end")
     no = F.row_number().over(W.partitionBy("doc_id").orderBy("start")) - 1
     return found.join(linked, ["doc_id", "start"]).filter("start < total").select("doc_id", no.alias("chunk_no"), "start", F.coalesce("end", "total").cast("long").alias("end"))

@@ -53,3 +53,13 @@ def test_texts_go_to_python_in_bounded_batches(spark):
     assert docs.select(sizes("doc_id").alias("n")).agg(F.max("n")).first()[0] <= 1000
     assert int(spark.conf.get(keys[1])) <= 8 << 20
     assert {tuple(r) for r in out.select("text").distinct().collect()} == {("[m1] some text",)} and out.count() == 2500
+
+
+def test_correction_ranges_read_the_lines_once(spark, monkeypatch):
+    kept, seen = FO.checkpointed, []
+    monkeypatch.setattr(FO, "checkpointed", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    n = F.col("id") % 7
+    lines = spark.range(14).select((F.col("id") > 6).cast("int").alias("doc_id"), n.cast("int").alias("line_no"), F.when(n.isin(2, 5), "").otherwise("two words").alias("line"))
+    found = FO.correction_ranges(lines, 3).orderBy("doc_id", "chunk_no").collect()
+    assert [tuple(r) for r in found] == [(d, k, a, z) for d in (0, 1) for k, a, z in ((0, 0, 3), (1, 3, 6), (2, 6, 7))]
+    assert [x.count("Range (") for x in seen] == [1]

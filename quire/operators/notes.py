@@ -94,7 +94,7 @@ def note_pages(lines: DataFrame) -> DataFrame:
 def without_placeholders(lines: DataFrame) -> DataFrame:
     """Lines without definitions whose whole body is a bracketed stand-in."""
     t = T.js_trim(F.col("line"))
-    return lines.filter(~(t.rlike(T.PLACEHOLDER) | t.rlike(T.MISSING)))
+    return lines.filter(~(F.contains("line", F.lit("[^")) & (t.rlike(T.PLACEHOLDER) | t.rlike(T.MISSING))))  # most lines are no notes
 
 
 def rename_labels(defs: DataFrame) -> DataFrame:

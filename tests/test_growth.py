@@ -9,6 +9,8 @@ from quire.functions import markdown as M
 from quire.functions import text as T
 from quire.operators import export as EX
 from quire.operators import folds as FO
+from quire.operators import headings as H
+from quire.operators import outline as O
 from quire.sources import providers as P
 
 
@@ -63,3 +65,13 @@ def test_correction_ranges_read_the_lines_once(spark, monkeypatch):
     found = FO.correction_ranges(lines, 3).orderBy("doc_id", "chunk_no").collect()
     assert [tuple(r) for r in found] == [(d, k, a, z) for d in (0, 1) for k, a, z in ((0, 0, 3), (1, 3, 6), (2, 6, 7))]
     assert [x.count("Range (") for x in seen] == [1]
+
+
+def test_titles_are_read_once_whatever_asks_for_them(spark):
+    lines = spark.createDataFrame([(1, 0, "# One (4)"), (1, 1, "- Two, p. 5"), (1, 2, "## (7)"), (1, 3, "* ... 3")], "doc_id long, line_no int, line string")
+    entries = O.parse_outline(lines)
+    assert sorted((r.entry_no, r.text, r.norm, r.page) for r in entries.collect()) == [(0, "One", "one", "4"), (1, "Two", "two", "5")]
+    asked = O.missing_titles(H.collect_headings(lines), entries.filter("norm is not null"))
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\.{3,}") == 2 * 2  # two sources, a test and a cut each
+    assert sorted(r.norm for r in asked.collect()) == ["two"]

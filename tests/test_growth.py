@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import markdown as M
 from quire.functions import text as T
+from quire.functions import values as V
 from quire.operators import export as EX
 from quire.operators import folds as FO
 from quire.operators import headings as H
@@ -67,6 +68,14 @@ def test_correction_ranges_read_the_lines_once(spark, monkeypatch):
     assert [x.count("Range (") for x in seen] == [1]
 
 
+def test_heads_are_read_once_a_field(spark):
+    text = '---\na: 1\nb: "2"\n: none\nword\na: "3" \nc d: 4\nb: \n---\nrest'
+    df = spark.createDataFrame([(text,), ("no head",), (None,)], "t string").select(V.frontmatter_map(F.col("t")).alias("f"), V.head_words(F.col("t")).alias("w"))
+    assert [tuple(r) for r in df.collect()] == [({"": "none", "a": "3", "c d": "4", "b": ""}, {"a": "3", "b": " "}), ({}, {}), (None, None)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 4 and plan.lower().count("rlike") == 0  # two heads, a key and a value
+
+
 def test_titles_are_read_once_whatever_asks_for_them(spark):
     lines = spark.createDataFrame([(1, 0, "# One (4)"), (1, 1, "- Two, p. 5"), (1, 2, "## (7)"), (1, 3, "* ... 3")], "doc_id long, line_no int, line string")
     entries = O.parse_outline(lines)

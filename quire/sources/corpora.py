@@ -160,8 +160,23 @@ def _book(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     return lines.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("o", "k", *keys)) - 1).alias("line_no"), "line")
 
 
+def _repeat(orders: DataFrame) -> DataFrame:
+    """repeat_md as its SQL has it: orders are sorted and become lines in order. Lines hold few bytes, by which too few tasks would be chosen; they stay as many as the session has partitions."""
+    rows = at_home(orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("o"))).groupBy("doc_id", "o").agg(F.count("*").cast("int").alias("times"))
+    o = F.col("o")
+    some = lambda cond, line: F.when(cond, F.array(F.lit(line))).otherwise(F.array().cast("array<string>"))
+    head = F.when(o % 4 == 0, F.concat(F.lit("# Chapter "), (o % 8).cast("string"))).when(o % 4 == 1, "## Notes ").when(o % 4 == 2, "### Sources").otherwise("###### Deep")
+    text = F.array_repeat(F.lit("text"), F.coalesce(F.greatest(o % 11, F.lit(0)), F.lit(0)).cast("int"))
+    made = F.concat(some(o % 4 == 3, "<!-- heading-level: 7 -->"), F.array(head), text, some(o % 3 == 0, "## Notes"))
+    alike = F.flatten(F.transform(made, lambda x: F.array_repeat(x, F.col("times"))))  # orders of one number are equal, and so are their lines
+    before = F.sum(F.size("lines")).over(W.partitionBy("doc_id").orderBy("o").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.select("doc_id", "o", F.when(F.col("times") == 1, made).otherwise(alike).alias("lines"))
+    rows = rows.select("doc_id", "lines", F.coalesce(before, F.lit(0)).cast("int").alias("before"))
+    return rows.select("doc_id", "before", F.posexplode("lines").alias("at", "line")).select("doc_id", (F.col("before") + F.col("at")).alias("line_no"), "line")
+
+
 #: name -> the corpus over its tables, by name, where Spark does with less than the SQL asks for; the rows are the same.
-BUILT = {"book_md": _book}
+BUILT = {"book_md": _book, "repeat_md": _repeat}
 
 
 def corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ def tables(spark, tmp_path):
     from decimal import Decimal as D
 
     # Orders without items, of nobody, of one number twice; items of no order, with nulls, and equal but for one key.
-    orders = [(1, 7), (2, 7), (5, 7), (10, 8), (11, None), (12, 9), (12, 9), (13, None), (15, 10), (15, 11)]
+    orders = [(1, 7), (2, 7), (5, 7), (10, 8), (11, None), (12, 9), (12, 9), (13, None), (15, 10), (15, 11), (None, 12), (-3, 12), (27, 12), (27, 12)]
     item = lambda o, n, pk=3, sk=1, q="1", e="2", d="0", t="0", flag="N", status="F": (o, n, pk, sk, *[None if x is None else D(x) for x in (q, e, d, t)], flag, status)
     items = [
         item(1, 2), item(1, 1, pk=22), item(1, 1, pk=22, e="1.5"), item(1, 1, sk=None), item(2, 1, status="O"), item(2, 2, flag="R"), item(2, 3, flag=None, status=None), item(5, None, pk=None),
@@ -47,3 +47,9 @@ def test_book_reads_items_once_and_moves_no_finished_lines(spark):
     assert len(re.findall(r"FileScan parquet .*l_orderkey", plan)) == 1
     made = plan.index("Generate")
     assert "Exchange" not in plan[:made] and "Exchange" in plan[made:]
+
+
+def test_repeats_sort_orders_not_lines(spark):
+    plan = corpus(spark, "/root/testdata/sf0.001", "repeat_md")._jdf.queryExecution().executedPlan().toString()
+    made = plan.index("Generate")
+    assert "Sort" not in plan[:made] and plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan

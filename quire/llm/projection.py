@@ -1,4 +1,4 @@
-"""Embedding near-duplicates by passes of random projections."""
+"""Embedding near-duplicates by random projections that bound every pair."""
 
 from __future__ import annotations
 
@@ -8,35 +8,33 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import Spool, bounded_batches, join_by_key, mix
+from quire.llm.common import Spool, bounded_batches, join_by_key
 from quire.llm.components import connected_components
 from quire.llm.vectors import matrix, packed, valid
 
 COSINE = 0.9
-BITS = 62
-MISS = 0.02
-#: Rows that one task splits at their medians, and the leaves (all pairs are compared) from which the cheapest is taken.
-BUCKET, LEAVES = 16_384, (1024, 2048, 4096)
-#: Rows the driver draws to place the planes above the buckets (more if the buckets are many), and pairs it follows down the trees.
-SAMPLE, SAMPLE_A_BUCKET, PROBES, TREES = 20_000, 32, 512, 32
-#: Rows of a component that one task compares with as many others: a sixteenth of the component, within these bounds.
-#: A row is sent to each of its component's tiles, so large components need large tiles and small ones spread out.
-TILE_LEAST, TILE_MOST = 128, 4096
-
-
-def passes_for(n: int, cosine: float = COSINE, window: int = LEAVES[0], miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold met in a leaf of ``window`` rows with probability 1 - miss, in evenly spread data.
-
-    A random plane separates a pair at angle a with probability a / pi, and a leaf is log2(n / window) planes deep.
-    Dense groups need more: see Plan.
+#: Rows of one length are dealt to blocks of so many rows, at least SPREAD blocks if there are rows for them; every two blocks are a task.
+#: A block's components are bounded too: TILE_VALUES of them.
+TILE_LEAST, TILE_MOST, TILE_VALUES, SPREAD = 128, 65_536, 1 << 22, 8
+#: Rows of a cell, and columns that a cell is compared with at a time: their products stay near the processor.
+CELL, SPAN = 256, 4096
+#: Above this part of all pairs, what the projections leave is checked by a product of all of them.
+DENSE = 0.02
+
+
+def passes_for(n: int, dim: int = 64, cosine: float = COSINE) -> int:
+    """Random directions with which of the n rows about one passes the bound of an evenly spread row without being near.
+
+    k directions of dim see about k / dim of a pair's distance, give or take sqrt(k) / dim. Fewer or more change
+    the work only: what passes is checked in full, and nothing that is linked fails to pass.
     """
-    same = 1 - math.acos(cosine) / math.pi
-    p = same ** max(1.0, math.log2(max(n, 2) / window))
-    return max(6, math.ceil(math.log(miss) / math.log1p(-min(p, 0.9))))
+    z = math.sqrt(2 * math.log(max(n, 2)))
+    return min(dim, math.ceil(((z + math.sqrt(z * z + 4 * (1 - cosine) * dim)) / 2) ** 2))
 
 
-def planes(dim: int, number: int) -> np.ndarray:
-    return np.random.default_rng([dim, number]).standard_normal((BITS, dim))
+def directions(dim: int, number: int) -> np.ndarray:
+    """Random orthonormal columns."""
+    return np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, number)))[0]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -44,224 +42,150 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
-def _places(x: np.ndarray, ids: np.ndarray, plane: np.ndarray) -> np.ndarray:
-    """Where rows lie across a plane; rows of one direction are set apart a little by id, so that planes split them too."""
-    return x @ plane + (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(11)) * 2.0**-83
-
-
-def _depth(n: int, size: int) -> int:
-    return max(0, math.ceil(math.log2(n / size)))
-
-
-class Plan:
-    """Passes, leaf size and the planes' offsets above the buckets for the n vectors of one length.
-
-    A pass is a tree of random planes, each through the median of the rows it splits, so dense groups are split as
-    evenly as sparse ones. How often a pair at the threshold stays together depends on how dense its surroundings
-    are, so it is measured: probes are rows of the sample with a made-up partner at the threshold, towards the
-    nearest row that is no partner, and are followed down TREES trees. Each eighth of the probes by that row's
-    similarity must be missed by all passes with probability MISS at most. Up to a bucket of rows, all pairs are
-    compared.
-    """
-
-    def __init__(self, n: int, dim: int, cosine: float, ids: np.ndarray | None = None, x: np.ndarray | None = None, passes: int | None = None):
-        self.n, self.leaf, self.passes, self.levels, self.offsets = n, n, passes or 1, 0, {}
-        if n <= BUCKET:
-            return
-        if len(x) < 64:
-            raise ValueError(f"a sample of {len(x)} of {n} vectors is too small")
-        self.levels = _depth(n, BUCKET)
-        together = self._together(ids, x, dim, cosine)
-        self.found = {leaf: together[_depth(n, leaf)] for leaf in LEAVES}
-        needed = {leaf: self._passes(leaf, cosine) for leaf in LEAVES}
-        self.leaf = min(LEAVES, key=lambda leaf: needed[leaf] * (3000 + leaf))  # a row's way to its leaf costs about 3,000 comparisons
-        self.passes = passes or needed[self.leaf]
-        for p in range(self.passes):
-            self.offsets[p] = self._descend(ids, x, planes(dim, p), self.levels)[0]
-
-    def _descend(self, ids, x, normals, levels, pairs=None):
-        """(offsets of the planes of a tree in heap order, levels at which each pair of rows was together)."""
-        at = np.zeros(len(x), np.int64)
-        sides = [np.zeros(len(p), np.int64) for p in pairs] if pairs else []
-        offsets, kept = np.zeros((1 << levels) - 1), []
-        for level in range(levels):
-            place = _places(x, ids, normals[level])
-            order = np.lexsort((place, at))
-            edge = np.searchsorted(at[order], np.arange((1 << level) + 1))
-            cut = place[order[np.minimum((edge[:-1] + edge[1:]) // 2, len(x) - 1)]]
-            offsets[(1 << level) - 1 : (2 << level) - 1] = cut
-            at = 2 * at + (place >= cut[at])
-            sides = [2 * s + (p @ normals[level] >= cut[s]) for s, p in zip(sides, pairs or ())]
-            if pairs:
-                kept.append(sides[0] == sides[1])
-        return offsets, kept
-
-    def _together(self, ids, x, dim, cosine):
-        """By level, the rates at which the probes' pairs stay together, probes by density. Beyond the sample's depth the last level's loss goes on."""
-        a = x[np.linspace(0, len(x) - 1, min(PROBES, len(x))).astype(int)]
-        sims = a @ x.T
-        sims[sims >= cosine] = -2
-        near, z = sims.max(1), x[sims.argmax(1)]
-        order = np.argsort(near)
-        a, z, near = a[order], z[order], near[order]
-        side = z - (a * z).sum(1, keepdims=True) * a
-        side /= np.maximum(np.sqrt((side**2).sum(1, keepdims=True)), 1e-12)
-        b = cosine * a + math.sqrt(1 - cosine**2) * side
-        deep, known = _depth(self.n, LEAVES[0]), max(1, min(_depth(self.n, LEAVES[0]), int(math.log2(len(x) / 8))))
-        rate = np.zeros((known, len(a)))
-        for t in range(TREES):
-            rate += self._descend(ids, x, planes(dim, t), known, (a, b))[1]
-        out = {0: np.ones(len(a)), **{k + 1: r / TREES for k, r in enumerate(rate)}}
-        for k in range(known + 1, deep + 1):
-            last = out[known].mean() / max(out[known - 1].mean(), 1e-9)
-            out[k] = out[k - 1] * last
-        return out
-
-    def _passes(self, leaf: int, cosine: float) -> int:
-        groups = np.array_split(self.found[leaf], 8)
-        rates = [(g * TREES + 2 * g.mean()) / (TREES + 2) for g in groups]  # a probe's rate leans on its group's
-        n = passes_for(self.n, cosine, leaf)
-        while max(((1 - np.maximum(r, 1e-3)) ** n).mean() for r in rates) > MISS:
-            n += 1 + n // 50
-        return n
-
-
-def _plans(nodes: DataFrame, cosine: float, passes: int | None) -> dict[int, Plan]:
-    """The plan of each vector length; only lengths with more rows than a bucket send rows to the driver."""
-    sizes = {r.dim: r.n for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    plans = {d: Plan(n, d, cosine, passes=passes) for d, n in sizes.items() if 1 < n <= BUCKET}
-    for d, n in sizes.items():
-        if n > BUCKET:
-            every = max(1, n // max(SAMPLE, SAMPLE_A_BUCKET * math.ceil(n / BUCKET)))
-            drawn = nodes.filter((F.col("dim") == d) & (F.pmod(F.xxhash64("id", "raw"), F.lit(every)) == 0)).select("id", "raw").toArrow().sort_by([("id", "ascending"), ("raw", "ascending")])
-            plans[d] = Plan(n, d, cosine, drawn.column("id").to_numpy(), unit(matrix(drawn.column("raw").to_pylist(), d)), passes)
-    return plans
-
-
-def _keys(plans: dict[int, Plan]):
-    """Rows (lane, key, id, raw, dim): the bucket (key) of each row in each pass of its length (lane)."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            dims = b.column("dim").to_numpy()
-            for d in np.unique(dims).tolist():
-                plan = plans.get(d)
-                if plan is None:  # one vector of its length
-                    continue
-                part = b.filter(pa.array(dims == d))
-                x, ids = unit(matrix(part.column("raw").to_pylist(), d)), part.column("id").to_numpy()
-                for p in range(plan.passes):
-                    normals, key = planes(d, p), np.zeros(len(x), np.int64)
-                    for level in range(plan.levels):
-                        key = 2 * key + (_places(x, ids, normals[level]) >= plan.offsets[p][(1 << level) - 1 + key])
-                    lane = np.full(len(x), d * 1_000_000 + p, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(lane), pa.array(key), part.column("id"), part.column("raw"), part.column("dim")], names=["lane", "key", "id", "raw", "dim"])
-
-    return run
+def sketch(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """The projections of the rows' directions and the length of what they leave: no two rows are nearer than their sketches."""
+    out = np.empty((len(x), axes.shape[1] + 1), np.float32)
+    for at in range(0, len(x), SPAN):
+        u = unit(x[at : at + SPAN].astype(np.float64))
+        p = u @ axes
+        out[at : at + SPAN, :-1] = p
+        out[at : at + SPAN, -1] = np.sqrt(np.maximum(1 - (p**2).sum(1), 0))
+    return out
 
 
-def _leaves(x: np.ndarray, ids: np.ndarray, normals: np.ndarray, level: int, leaf: int):
-    """Positions of the rows of each leaf of a bucket, split at medians."""
-    stack = [(np.arange(len(x)), level)]
+def _cells(s: np.ndarray) -> list[np.ndarray]:
+    """Positions of the rows of each cell: split at the median of the projection that spreads most, down to CELL rows."""
+    done, stack = [], [np.arange(len(s))]
     while stack:
-        at, k = stack.pop()
-        if len(at) <= leaf:
-            yield at
+        at = stack.pop()
+        if len(at) <= CELL:
+            done.append(at)
             continue
-        order = np.argsort(_places(x[at], ids[at], normals[k % BITS]), kind="stable")
+        part = s[at]
+        order = np.argsort(part[:, part.var(0).argmax()], kind="stable")
         half = len(at) // 2
-        stack += [(at[order[:half]], k + 1), (at[order[half:]], k + 1)]
-
-
-def _spanning(x: np.ndarray, cosine: float) -> list[tuple[int, int]]:
-    """A spanning forest of the linked pairs of rows; all pairs are compared."""
-    group = np.arange(len(x))
-    out = []
-    for at in range(0, len(x), 256):  # keeps the products small
-        end = min(at + 256, len(x))
-        hit = np.tril(x[at:end] @ x[:end].T >= cosine, at - 1)
-        rows = np.flatnonzero(hit.any(1))
-        while len(rows):
-            open_ = hit[rows] & (group[at + rows][:, None] != group[None, :end])
-            live = open_.any(1)
-            rows, first = rows[live], open_[live].argmax(1)
-            for i, j in zip((at + rows).tolist(), first.tolist()):
-                if group[i] != group[j]:
-                    low, high = sorted((group[i], group[j]))
-                    group[group == high] = low
-                    out.append((i, j))
-    return out
-
-
-def _neighbours(plans: dict[int, Plan], cosine: float):
-    """Over rows sorted by (lane, key, id): linked pairs, as a spanning forest of each leaf."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        def flush():
-            dim, p = divmod(lane, 1_000_000)
-            plan, normals = plans[dim], planes(dim, p)
-            x, names = unit(matrix(raw, dim)), np.array(ids, np.int64)
-            found = [(names[at[i]], names[at[j]]) for at in _leaves(x, names, normals, plan.levels, plan.leaf) for i, j in _spanning(x[at], cosine)]
-            a, c = zip(*found) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["src", "dst"])
-
-        lane, key, ids, raw = None, None, [], []
-        for b in batches:
-            lanes, keys = b.column("lane").to_numpy(), b.column("key").to_numpy()
-            edge = np.flatnonzero((lanes[1:] != lanes[:-1]) | (keys[1:] != keys[:-1])) + 1
-            names, data = b.column("id").to_pylist(), b.column("raw").to_pylist()
-            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(lanes)]):
-                if hi > lo and (lanes[lo], keys[lo]) != (lane, key):
-                    if ids:
-                        yield flush()
-                    lane, key, ids, raw = int(lanes[lo]), int(keys[lo]), [], []
-                ids += names[lo:hi]
-                raw += data[lo:hi]
-        if ids:
-            yield flush()
-
-    return run
-
-
-def _count_links(cosine: float):
-    """Over rows sorted by tile: for each row the number of vectors linked with it across the tile."""
+        stack += [at[order[:half]], at[order[half:]]]
+    return done
+
+
+class Side:
+    """Rows of a tile in the order of their cells: vectors as they came, sketches, multiplicities, and each cell's box."""
+
+    def __init__(self, at: np.ndarray, x: np.ndarray, s: np.ndarray, mult: np.ndarray):
+        cells = _cells(s[at])
+        order = at[np.concatenate(cells)] if cells else at
+        self.at, self.x, self.s, self.mult = order, x[order], s[order], mult[order]
+        self.edge = np.cumsum([0, *map(len, cells)])
+        self.low, self.high = (np.array([f(s[at[c]], 0) for c in cells]).reshape(len(cells), s.shape[1]) for f in (np.min, np.max))
+
+
+class Forest:
+    """Labels of rows, and the pairs that joined them."""
+
+    def __init__(self, n: int):
+        self.label, self.pairs = np.arange(n), []
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.label[i], self.label[j]
+            new = a != b
+            if not new.any():
+                return
+            i, j, a, b = i[new], j[new], a[new], b[new]
+            high, first = np.unique(np.maximum(a, b), return_index=True)
+            self.pairs.append((i[first], j[first]))
+            to = np.arange(len(self.label))
+            to[high] = np.minimum(a, b)[first]
+            while not np.array_equal(to, further := to[to]):
+                to = further
+            self.label = to[self.label]
+
+
+def _checked(x: np.ndarray, y: np.ndarray, hit: np.ndarray, cosine: float) -> np.ndarray:
+    """Of the pairs of rows marked in hit those that are linked, in double precision."""
+
+    def exactly(i, j):
+        ok, step = np.zeros(len(i), bool), max(1, (1 << 21) // x.shape[1])
+        for k in range(0, len(i), step):
+            ok[k : k + step] = np.einsum("ij,ij->i", unit(x[i[k : k + step]].astype(np.float64)), unit(y[j[k : k + step]].astype(np.float64))) >= cosine
+        return ok
+
+    if np.count_nonzero(hit) > DENSE * hit.size:
+        sims = unit(x.astype(np.float64)) @ unit(y.astype(np.float64)).T
+        i, j = np.nonzero(hit & (np.abs(sims - cosine) < 1e-12))  # how such a pair is rounded mustn't depend on what it is compared with
+        hit &= sims >= cosine
+    else:
+        i, j = np.nonzero(hit)
+    hit[i, j] = exactly(i, j)
+    return hit
+
+
+def links(x: np.ndarray, side: np.ndarray, mult: np.ndarray, cosine: float = COSINE, passes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(links of each row across the tile, by multiplicity; both ends of a spanning forest of the linked pairs).
+
+    side: 0 and 1, or 2 for a tile against itself. For each two rows the sum of the products of their sketches is at
+    least their cosine (Cauchy and Schwarz on what the projections leave), so a pair below the threshold there, or in
+    cells whose boxes are further apart than linked rows can be, isn't linked. All others are checked in full.
+    """
+    s = sketch(x, directions(x.shape[1], passes or passes_for(len(x), x.shape[1], cosine)))
+    alone = bool((side == 2).all())
+    a = Side(np.flatnonzero(side != 1), x, s, mult)
+    b = a if alone else Side(np.flatnonzero(side == 1), x, s, mult)
+    n, forest = np.zeros(len(x), np.int64), Forest(len(x))
+    loss = (s.shape[1] + 8) * 2.0**-22  # of single precision, in the sketches and in their products
+    for c in range(len(a.edge) - 1):
+        lo, hi = int(a.edge[c]), int(a.edge[c + 1])
+        gap = np.maximum(np.maximum(b.low - a.high[c], a.low[c] - b.high), 0).astype(np.float64)
+        near = np.flatnonzero((gap**2).sum(1) <= 2 - 2 * cosine + 2 * loss)
+        near = near[near >= c] if alone else near
+        cols = np.concatenate([np.arange(b.edge[k], b.edge[k + 1]) for k in near]) if len(near) else np.zeros(0, np.int64)
+        for at in range(0, len(cols), SPAN):
+            part = cols[at : at + SPAN]
+            hit = a.s[lo:hi] @ b.s[part].T >= cosine - loss
+            if alone:  # each pair once
+                hit &= part[None, :] > np.arange(lo, hi)[:, None]
+            if not hit.any():
+                continue
+            rows, held = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+            rows, held = rows + lo, part[held]
+            hit = _checked(a.x[rows], b.x[held], hit[np.ix_(rows - lo, np.searchsorted(part, held))], cosine)
+            n[a.at[rows]] += hit @ b.mult[held]
+            n[b.at[held]] += hit.T @ a.mult[rows]
+            i, j = np.nonzero(hit & (forest.label[a.at[rows]][:, None] != forest.label[b.at[held]]))
+            forest.join(a.at[rows[i]], b.at[held[j]])
+    ends = [np.concatenate([p[k] for p in forest.pairs]) if forest.pairs else np.zeros(0, np.int64) for k in (0, 1)]
+    return n, *ends
+
+
+def _meet(cosine: float, passes: int | None):
+    """Over rows sorted by tile: (node, null, number of its links across the tile) and (node, node it is linked with, null)."""
 
     def run(batches):
         import pyarrow as pa
 
-        tile, side, ids, raw, mult, dim = None, [], [], [], [], 0
-
         def flush():
-            x = unit(matrix(raw, dim))
-            s, m = np.array(side), np.array(mult, np.int64)
-            n = np.zeros(len(x), np.int64)
-            alone = bool((s == 2).all())  # a tile against itself
-            a, b = (np.arange(len(x)),) * 2 if alone else (np.flatnonzero(s == 0), np.flatnonzero(s == 1))
-            for at in range(0, len(a), 512):  # keeps the products small
-                rows = a[at : at + 512]
-                hit = x[rows] @ x[b].T >= cosine
-                if alone:
-                    hit[np.arange(len(rows)), rows] = False
-                n[rows] += hit @ m[b]
-                if not alone:
-                    n[b] += hit.T @ m[rows]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n)], names=["node", "n"])
+            n, i, j = links(np.concatenate(raw), np.concatenate(side), np.concatenate(mult), cosine, passes)
+            ids, some = np.concatenate(names), np.flatnonzero(n)
+            src, dst = pa.array(np.concatenate((ids[some], ids[i]))), pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[j], pa.int64())])
+            return pa.RecordBatch.from_arrays([src, dst, pa.concat_arrays([pa.array(n[some], pa.int64()), pa.nulls(len(i), pa.int64())])], names=["src", "dst", "n"])
 
+        tile, side, names, raw, mult = None, [], [], [], []
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("tile", "side", "id", "raw", "mult", "dim"))):
-                if row[0] != tile:
-                    if ids:
+            keys = np.stack([b.column(c).to_numpy() for c in ("dim", "low", "high")], 1)
+            edge = (np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist()
+            for lo, hi in zip([0, *edge], [*edge, len(keys)]):
+                if hi == lo:
+                    continue
+                part, key = b.slice(lo, hi - lo), tuple(keys[lo].tolist())
+                if key != tile:
+                    if names:
                         yield flush()
-                    tile, side, ids, raw, mult, dim = row[0], [], [], [], [], row[5]
-                side.append(row[1])
-                ids.append(row[2])
-                raw.append(row[3])
-                mult.append(row[4])
-        if ids:
+                    tile, side, names, raw, mult = key, [], [], [], []
+                side.append(part.column("side").to_numpy())
+                names.append(part.column("id").to_numpy())
+                mult.append(part.column("mult").to_numpy())
+                raw.append(matrix(part.column("raw").to_pylist(), key[0], None))
+        if names:
             yield flush()
 
     return run
@@ -270,12 +194,11 @@ def _count_links(cosine: float):
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding", passes: int | None = None) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
-    Equal vectors are one node with a multiplicity, so exact copies cost nothing. Each pass splits the nodes
-    by random planes through their medians down to buckets, a bucket's task goes on to leaves, and all pairs of a
-    leaf are compared; verified pairs are united over all passes. The number of passes follows from the measured
-    loss in the densest surroundings (see Plan); up to BUCKET nodes all pairs meet. Links are then
-    counted exactly inside each component: its rows are dealt to tiles of a bounded size and every two tiles meet
-    in a task of their own, so no list of partners is cut short and no pair is written out.
+    Equal vectors are one node with a multiplicity, so exact copies cost nothing. Nodes are dealt to blocks of bounded
+    size, and every two blocks meet in a task, at any number of nodes. There random projections (``passes`` of them)
+    bound each pair's cosine from above, cells of rows at once and row by row, and what they leave is checked in
+    double precision: every link is found, counted and, in a spanning forest of each task, united. No list of partners
+    is cut short and no pair is written out. Memory is bounded by blocks; the pairs that are bounded grow with the square.
 
     Null, empty and zero vectors and those with null or non-finite components have n_links 0 and are their own
     component; vectors of different lengths don't link. Rows of one id with different vectors are nodes of their own
@@ -290,22 +213,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     lone = vectors.filter(~takes_part).select(F.col(id_col).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"))
     rows = spool.put(packed(vectors.filter(takes_part), id_col, vec_col).withColumn("node", F.xxhash64("raw", "dim")))
     nodes = spool.put(rows.groupBy("node").agg(F.min(F.struct("raw", "dim")).alias("v"), F.min("id").alias("least"), F.count("*").alias("mult")).select(F.col("node").alias("id"), "v.*", "least", "mult"))
-    plans = _plans(nodes, cosine, passes)
-    lanes = nodes.select("id", "raw", "dim").mapInArrow(_keys(plans), "lane long, key long, id long, raw binary, dim int")
-    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(sum(p.n * p.passes for p in plans.values()) / 50_000))
-    edges = lanes.repartition(wide, "lane", "key").sortWithinPartitions("lane", "key", "id").mapInArrow(_neighbours(plans, cosine), "src long, dst long")
-    linked = spool.put(connected_components(spark, edges, spool))
+    most = F.greatest(F.lit(TILE_LEAST), F.least(F.lit(TILE_MOST), F.lit(TILE_VALUES) / F.col("dim")))
+    blocks = F.greatest(F.ceil(F.col("n") / most), F.least(F.lit(SPREAD), F.ceil(F.col("n") / TILE_LEAST))).cast("int")
+    sizes = nodes.groupBy("dim").agg(F.count("*").alias("n")).filter("n > 1").select("dim", blocks.alias("blocks"))
+    wide = int(sizes.agg(F.sum(F.expr("blocks * (blocks + 1) div 2"))).first()[0] or 1)
+    dealt = nodes.join(F.broadcast(sizes), "dim").withColumn("me", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("side", F.when(F.col("me") == F.col("other"), 2).when(F.col("me") < F.col("other"), 0).otherwise(1)).withColumns({"low": F.least("me", "other"), "high": F.greatest("me", "other")})
+    task = F.pmod(F.expr("high * (high + 1) div 2 + low + dim"), F.lit(min(wide, 20_000))).cast("int")
+    tiles = dealt.select("dim", "low", "high", "side", "id", "raw", "mult").repartitionById(min(wide, 20_000), task).sortWithinPartitions("dim", "low", "high", "id")
+    met = spool.put(tiles.mapInArrow(_meet(cosine, passes), "src long, dst long, n long"))
+    linked = spool.put(connected_components(spark, met.filter("dst is not null").select("src", "dst"), spool))
     size = linked.join(nodes.select(F.col("id").alias("node"), "least"), "node").groupBy("component").agg(F.count("*").alias("size"), F.min("least").alias("component_id"))
-    size = spool.put(size)
-    tiles = F.ceil(F.col("size") / F.greatest(F.lit(TILE_LEAST), F.least(F.lit(TILE_MOST), F.col("size") / 16))).cast("int")
-    linked = spool.put(join_by_key(linked, size.withColumn("weight", F.col("size")), "component", "weight"))
-    member = linked.withColumn("tiles", tiles).withColumn("me", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    member = nodes.join(member, nodes.id == member.node).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    member = member.withColumn("side", F.when(F.col("me") == F.col("other"), 2).when(F.col("me") < F.col("other"), 0).otherwise(1))
-    member = member.withColumn("tile", F.concat_ws("/", "component", F.least("me", "other"), F.greatest("me", "other")))
-    dealt = member.select("tile", "side", "id", "raw", "mult", "dim").repartition("tile").sortWithinPartitions("tile", "side", "id")
-    counts = dealt.mapInArrow(_count_links(cosine), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    per = nodes.join(linked, nodes.id == linked.node, "left").drop("node").join(counts, nodes.id == counts.node, "left")
+    linked = join_by_key(linked, spool.put(size), "component", "size")
+    counts = met.filter("n is not null").groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("n"))
+    per = nodes.join(linked.select("node", "component_id"), nodes.id == F.col("node"), "left").drop("node").join(counts, nodes.id == counts.node, "left")
     per = spool.put(per.select(F.col("id").alias("node"), "mult", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")))
     out = join_by_key(rows.select(F.col("id").alias("vec_id"), "node"), per, "node", "mult").select("vec_id", "n_links", "component_id").unionByName(lone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

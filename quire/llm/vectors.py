@@ -34,8 +34,9 @@ def packed(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.filter(valid(vec_col)).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), typed.alias("v")).mapInArrow(run, "id long, raw binary, dim int")
 
 
-def matrix(raw: list[bytes], dim: int) -> np.ndarray:
-    """Rows as float64."""
+def matrix(raw: list[bytes], dim: int, to=np.float64) -> np.ndarray:
+    """Rows as float64, or as they were packed if ``to`` is None."""
     data = b"".join(raw)
     kind = np.float32 if len(data) == 4 * dim * len(raw) else np.float64
-    return np.frombuffer(data, kind).reshape(len(raw), dim).astype(np.float64)
+    rows = np.frombuffer(data, kind).reshape(len(raw), dim)
+    return rows if to is None else rows.astype(to)

@@ -436,6 +436,38 @@ def test_pairs_inside_a_dense_group_are_found(spark, tmp_path):
     assert found >= 0.98 * pairs, found
 
 
+def test_vector_links_are_exact_at_any_size(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n, pairs = 36_000, 5000
+    x = hot_cluster(n, pairs)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))}), f"{tmp_path}/v.parquet")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = [int(k) - 1 for at in range(0, n, 1000) for k in (u[at : at + 1000] @ u.T >= 0.9).sum(1)]
+    got = {r.vec_id: r for r in projection.near_duplicates(spark.read.parquet(f"{tmp_path}/v.parquet")).collect()}
+    assert [got[i].n_links for i in range(n)] == want and sum(want) >= 2 * pairs
+    assert all(got[i + pairs].component_id == got[i].component_id for i in range(pairs))
+
+
+@pytest.mark.parametrize("dim", [1, 2, 16, 64, 300])
+@pytest.mark.parametrize("passes", [None, 1])
+def test_projections_bound_pairs_and_lose_none(dim, passes):
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((1500, dim)).astype(np.float32)
+    x[500:900] = x[0] + 0.3 * rng.standard_normal((400, dim))
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    mult, side = rng.integers(1, 4, 1500), rng.integers(0, 2, 1500)
+    for sides, hit in ((np.full(1500, 2), (u @ u.T >= 0.9) & ~np.eye(1500, dtype=bool)), (side, (u @ u.T >= 0.9) & (side[:, None] != side))):
+        n, i, j = projection.links(x, sides, mult, passes=passes)
+        assert n.tolist() == (hit @ mult).tolist() and hit[i, j].all() and hit.any()
+        root = np.arange(1500)
+        for a, b in zip(i, j):  # a forest: each pair joins two parts
+            assert root[a] != root[b]
+            root[root == root[a]] = root[b]
+        assert (root[:, None] == root)[hit].all()
+
+
 @pytest.mark.parametrize("kind", ["inserted", "deleted", "changed"])
 def test_near_copies_of_a_passage_are_found(spark, kind):
     rng = np.random.default_rng(41)

@@ -62,6 +62,16 @@ def test_lines_are_shuffled_once_and_stay_in_the_jvm(spark):
     assert plan.split("Union")[0].count("Exchange") == 0
 
 
+def test_commands_and_outlines_are_read_once(spark):
+    asked = edits.parse_commands(frame(spark, [(1, ["DEMOTE | 1", "INSERT|2|3|B|c", "- retitle|1| a ", "RELEVEL|1|0", "MERGE"])]))
+    assert sorted(map(tuple, asked.collect())) == [(1, 0, "demote", 1, None, None), (1, 1, "insert", 2, 3, "B|c"), (1, 2, "retitle", 1, None, "a")]
+    assert asked._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    done = edits.apply_commands(frame(spark, [(1, ["# A", "", "text", ""])]), asked, frame(spark, [(1, ["# A", "- B|c (4)"])]))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(line" in plan and r"\.{3,}" not in plan and "upper(" not in plan
+    assert [(r.text, r.demote, r.insert, r.retitle, r.rejected) for r in done.collect()] == [("**a**\n\ntext\n\n### B|c\n", 1, 1, 1, 0)]  # behind the first blank line from the one after the named
+
+
 def test_documents_whose_model_failed_stay(spark):
     lines = frame(spark, [(1, ["# A", "####### B"]), (2, ["# A"]), (3, ["plain"]), (4, ["plain"])])
     asked = edits.parse_commands(frame(spark, [(1, ["DEMOTE|1"]), (2, ["DEMOTE|1"]), (3, ["PROMOTE|1|2"]), (4, ["PROMOTE|1|2"])]))

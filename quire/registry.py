@@ -254,7 +254,7 @@ query(
 )(lambda d: FO.correction_ranges(d, 200))
 # No line of the fixture's documents is a heading or blank, so each is one chunk; tests hold the rest against models.
 query("pack_translate", "DOCUMENTS", r"SELECT doc_id, 0::BIGINT AS chunk_no, length(t) AS chars, md5(t) AS text_md5 FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)")(lambda d: FO.translate_chunks(d).select("doc_id", "chunk_no", F.char_length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5")))
-query("translate_stub", "DOCUMENTS", r"SELECT doc_id, md5('[m1] ' || regexp_replace(text, '^\s+|\s+$', '', 'g')) AS text_md5 FROM documents")(lambda d: P.translate(FO.translate_chunks(d), "Latin", ["m1", "m2"]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5")))
+query("translate_stub", "DOCUMENTS", r"SELECT doc_id, md5('[m1] ' || regexp_replace(text, '^\s+|\s+$', '', 'g')) AS text_md5 FROM documents")(lambda d: P.translate_documents(d, "Latin", ["m1", "m2"]).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5")))
 query(
     "convert_pages",
     "DOCUMENTS",

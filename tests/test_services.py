@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import values as V
-from quire.operators import convert, jobs, services
+from quire.operators import convert, folds, jobs, services
 from quire.sources import providers
 
 
@@ -45,6 +45,27 @@ def test_models_are_asked_once_whatever_uses_their_answer(spark, tmp_path):
         assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
+def test_documents_of_one_id_are_translated_apart(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(1, "b c"), (1, "a"), (1, "a"), (2, None), (None, "x\n---\ny"), (None, " z\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in entry.queries()["translate_stub"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(db.sql(entry.oracle_sql()["translate_stub"]).fetchall(), key=str)
+
+
+def test_long_documents_are_translated_in_chunks(spark):
+    text = "\n".join(f"# H{i}\n" + "w " * 30 for i in range(6))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    done = providers.translate_documents(docs, "Latin", ["m1"], most=70)
+    assert [tuple(r) for r in done.collect()] == [tuple(r) for r in providers.translate(folds.translate_chunks(docs, 70), "Latin", ["m1"]).collect()]
+    assert done.first().text.count("[m1] ") == 3
+
+
 def test_ids_in_locale_order(spark):
     ids = ["b", "B", "a-1", "a_1", "a1", "Ä", "z", "2", "10"]
     got = [r.id for r in jobs.ids_descending(spark.createDataFrame([(x,) for x in [*ids, "b"]], "id string"), 9).orderBy("place").collect()]
